@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, urlfilter
+from . import decontam, langid, sharding, simhash, urlfilter
 from .common import table
 
 URL_RULES = [
@@ -16,6 +16,15 @@ URL_RULES = [
 ]
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("matches")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -25,14 +34,39 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_decontam": op3_decontam,
+    "op4_simhash": op4_simhash,
     "op6_urlfilter": op6_urlfilter,
     "op8_sharding": op8_sharding,
+    "op10_langid": op10_langid,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL = {
+    "op3_decontam": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item,
+  regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[o:o + 12], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(o) WHERE len(w) > 0),
+n AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, o, n, array_to_string(w[o:o + n - 1], ' ') AS win
+  FROM d, n, unnest(range(1, len(w) - n + 2)) AS t(o) WHERE len(w) >= n),
+hit AS (SELECT r, o, iw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(range(o, o + n)) AS t(p) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+""".replace("{UPPER}", urlfilter.UPPER).replace("{LOWER}", urlfilter.LOWER),
     "op6_urlfilter": f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULE_ROWS}),
 u AS (SELECT row_number() OVER () AS id, page_id, url,
