@@ -8,6 +8,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,24 +174,42 @@ _TYPES = pa.schema(
 )
 
 
+def _shards(tests: TestSuffixes, batch: pa.RecordBatch) -> list[tuple[int, list[dict], list[dict]]]:
+    """What ``search_shard`` finds for a batch's texts, at most about SHARD_BYTES of them at once."""
+    texts, size, found = [], 0, []
+    for text in batch["text"].to_pylist():
+        texts.append(text)
+        size += len(text or "")
+        if size > SHARD_BYTES:
+            found += search_shard(tests, texts)
+            texts, size = [], 0
+    return found + search_shard(tests, texts) if texts else found
+
+
 def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = sent.value
         for batch in batches:
-            texts, size, found = [], 0, []
-            for text in batch["text"].to_pylist():
-                texts.append(text)
-                size += len(text or "")
-                if size > SHARD_BYTES:
-                    found += search_shard(tests, texts)
-                    texts, size = [], 0
-            found += search_shard(tests, texts) if texts else []
+            found = _shards(tests, batch)
             columns = [pa.array([f[i] for f in found], t.type) for i, t in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], *columns], ["doc_id", "text_key", *_TYPES.names])
 
     return run
 
 
+def _parts(benchmark: DataFrame, item_bytes: int) -> tuple[DataFrame, int]:
+    """The items that have a text, and the number of parts in which they are sent."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first().size
+    return items, max(1, math.ceil(size / item_bytes))
+
+
+def _tests(items: DataFrame, part: int, parts: int, window: int) -> Broadcast:
+    own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+    tests = TestSuffixes([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], window)
+    return items.sparkSession.sparkContext.broadcast(tests)
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The stretches of each row of ``docs`` (doc_id, text) that occur in ``benchmark`` (item_id, text).
 
@@ -202,20 +221,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     each item's longest). Null and empty texts have no words and no match. Items of fewer words than a window match as a
     whole; those without words match nothing; those without an id hit words but are named null.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first().size
-    parts = max(1, math.ceil(size / item_bytes))
+    items, parts = _parts(benchmark, item_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.xxhash64("text") if parts > 1 else F.lit(0).cast("long")
     keyed = docs.select("doc_id", "text", key.alias("text_key"))
-    passes = []
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        tests = TestSuffixes([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], window)
-        passes.append(
-            keyed.mapInArrow(_search(spark.sparkContext.broadcast(tests)), f"doc_id {kind}, text_key long, {MATCHES}")
-        )
+    passes = [
+        keyed.mapInArrow(_search(_tests(items, part, parts, window)), f"doc_id {kind}, text_key long, {MATCHES}")
+        for part in range(parts)
+    ]
     if parts == 1:
         return passes[0].drop("text_key")
     union = passes[0]
@@ -258,3 +271,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "matches",
     )
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, item_bytes: int = ITEM_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``contamination`` finds clean."""
+    items, parts = _parts(benchmark, item_bytes)
+    if parts > 1:  # a verdict needs all parts; equal texts have equal ones
+        judged = contamination(docs.select(F.sha2("text", 256).alias("doc_id"), "text"), benchmark, window, share)
+        bad = judged.where("contaminated").select(F.col("doc_id").alias("__text_digest")).distinct()
+        return docs.join(bad, F.sha2(docs["text"], 256) == F.col("__text_digest"), "left_anti")
+    sent = _tests(items, 0, 1, window)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for n_words, spans, _ in _shards(sent.value, batch):
+                n_hit = sum(s["n"] for s in spans)
+                clean.append(not (n_hit and share * n_hit >= n_words))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

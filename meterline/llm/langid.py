@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +145,13 @@ class Profiles:
         return self.langs[best], float(1 - distances[best] / (len(values) * self.size))
 
 
+def _sent(docs: DataFrame, profiles: DataFrame, size: int) -> Broadcast:
+    rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
+    if len(rows) > MAX_LANGUAGES * size:
+        raise ValueError(f"over {MAX_LANGUAGES} languages: their profiles are too large to broadcast")
+    return docs.sparkSession.sparkContext.broadcast(Profiles(rows, size))
+
+
 def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to the rows of ``docs`` (doc_id, text).
 
@@ -152,10 +160,7 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE) -> DataF
     profile. Of equally near languages the first by name is taken. Returns a row for each row, repeated
     ones and null ids included: doc_id, lang_pred, score.
     """
-    rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: their profiles are too large to broadcast")
-    sent = docs.sparkSession.sparkContext.broadcast(Profiles(rows, size))
+    sent = _sent(docs, profiles, size)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -179,3 +184,15 @@ def learn_and_identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that aren't held out, and predict for all."""
     found = identify(docs, learn_profiles(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, size: int = PROFILE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language can be told; see ``learn_and_identify``."""
+    sent = _sent(docs, learn_profiles(docs.where(~held_out()), size), size)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [sent.value.predict(t.as_py())[0] != UNDETERMINED for t in batch["text"]]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

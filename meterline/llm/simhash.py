@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -47,16 +47,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(octets)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for each row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, key: str = "doc_id") -> DataFrame:
+    """``key`` and fp (the fingerprint as a signed long) for each row of ``docs`` (key, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(found.view(np.int64))], [key, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(hashed, f"{key} {kind}, fp long")
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -176,13 +176,38 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     kept.
     """
     prints = staged(fingerprints(docs, words), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, radius))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least"
-    )
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return prints.join(classes(prints, radius).drop("root"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root (the class's least fingerprint) and component_id (its least doc_id) for each fp of ``prints`` (doc_id, fp)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct, radius))
+    tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    return tied.join(least, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less near-duplicates: of each class the document with the least id stays.
+
+    Repeated rows of that id and text stay once; different texts under one id count as one document. Of a class
+    without any id, the row with the least text stays; rows without an id go if their class has one.
+    """
+    prints = staged(fingerprints(docs, words), "simhash")
+    found = staged(classes(prints, radius), "simhash-classes")
+    gone = prints.join(found, "fp").where("doc_id <> component_id").select("doc_id").distinct()
+    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    stay = _first(stay, ["doc_id", F.xxhash64("text")], F.xxhash64("text"))
+    unnamed = fingerprints(docs.where("doc_id is null").select("text").distinct().withColumn("copy", F.col("text")), words, "copy")
+    unnamed = unnamed.join(found.where("component_id is null"), "fp").groupBy("root").agg(F.min("copy").alias("__text"))
+    nameless = docs.where("doc_id is null")
+    nameless = nameless.join(unnamed, nameless["text"].eqNullSafe(unnamed["__text"]), "left_semi")
+    return stay.unionByName(_first(nameless, [F.xxhash64("text")], F.xxhash64("text")))
+
+
+def _first(rows: DataFrame, by: list, order) -> DataFrame:
+    n = "__first_of_copies"
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col(n) == 1).drop(n)

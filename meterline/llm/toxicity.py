@@ -6,9 +6,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,21 @@ def choose_terms(examples: DataFrame, terms: int = TERMS, min_chi2: float = MIN_
     return [r.term for r in kept.orderBy(F.desc("chi2"), "term").limit(terms).select("term").collect()]
 
 
+def _own_terms(text: str | None, number: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[list[int], list[int]]:
+    """A text's chosen terms, ascending, and their counts; ``known`` remembers words."""
+    found: Counter = Counter()
+    for word, n in _word_counts(text).items():
+        own = known.get(word)
+        if own is None:
+            if len(known) >= CACHED_WORDS:
+                known.clear()
+            own = known[word] = tuple(number[t] for t in word_terms(word) if t in number)
+        for t in own:
+            found[t] += n
+    ids = sorted(found)
+    return ids, [found[t] for t in ids]
+
+
 def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` and each whole text's chosen terms (numbers, ascending) with their counts."""
     sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
@@ -78,19 +95,8 @@ def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, known = sent.value, {}
         for batch in batches:
-            ids, counts = [], []
-            for text in batch["text"]:
-                found: Counter = Counter()
-                for word, n in _word_counts(text.as_py()).items():
-                    own = known.get(word)
-                    if own is None:
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        own = known[word] = tuple(number[t] for t in word_terms(word) if t in number)
-                    for t in own:
-                        found[t] += n
-                ids.append(sorted(found))
-                counts.append([found[t] for t in ids[-1]])
+            found = [_own_terms(text.as_py(), number, known) for text in batch["text"]]
+            ids, counts = [f[0] for f in found], [f[1] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[k] for k in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
                 [*keep, "ids", "counts"],
@@ -178,24 +184,26 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """Score each row of ``docs`` (doc_id, text) by the labelled examples most like it.
+class Model(NamedTuple):
+    """What ``fit`` has learnt: the terms, all documents' counts of them, and the broadcast index."""
 
-    Examples are up to ``examples`` rows, by hash of doc_id, of ``labels`` (doc_id, toxic) that
-    aren't held out and have a document. Terms are chosen on them; the terms' document frequencies come from all ``docs``. Labels
-    other than 0 and 1 and null ids are left out; of several labels of one id the greatest counts. Every
-    text is scored whole; null and empty ones, and those without a chosen term, get the rate of such
-    examples. Repeated rows are kept. Without labels of both kinds all get the base rate.
+    terms: list[str]
+    counts: DataFrame
+    index: Broadcast
 
-    Returns doc_id, held_out, score, predicted, evidence (doc_id, cosine, toxic of the nearest).
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Choose terms and build the index of examples.
+
+    Examples are up to ``examples`` rows, by hash of doc_id, of ``labels`` (doc_id, toxic) that aren't held
+    out and have a document. Terms are chosen on them; the terms' document frequencies come from all ``docs``.
+    Labels other than 0 and 1 and null ids are left out; of several labels of one id the greatest
+    counts, of several documents under one id the first by text.
     """
-    spark = docs.sparkSession
     known = labels.where(~held_out()).where("doc_id is not null and toxic in (0, 1)")
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # Of several documents under one id the first by text is the example.
     texts = staged(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-examples")
     terms = choose_terms(texts)
 
@@ -203,11 +211,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     n = every.count()
     frequency = {r.t: r.n for r in every.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     idf = np.array([math.log((1 + n) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = term_counts(texts, terms, ["doc_id", "toxic"]).collect()
+    rows = term_counts(texts, terms, ["doc_id", "toxic"]).collect()  # at most ``examples``
     rows = sorted(((r.doc_id, list(r.ids), list(r.counts), r.toxic) for r in rows), key=lambda r: (str(r[0]), r[1], r[2]))
-    sent = spark.sparkContext.broadcast(BlockMaxIndex(idf, rows))
+    return Model(terms, every, docs.sparkSession.sparkContext.broadcast(BlockMaxIndex(idf, rows)))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """Score each row of ``docs`` (doc_id, text) by the labelled examples most like it; see ``fit``.
+
+    Every text is scored whole; null and empty ones, and those without a chosen term, get the rate
+    of such examples. Repeated rows and null ids are kept. Without labels of both kinds all get the base rate.
+
+    Returns doc_id, held_out, score, predicted, evidence (doc_id, cosine, toxic of the nearest).
+    """
+    model = fit(docs, labels, examples)
+    sent = model.index
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -220,10 +238,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
                 ["doc_id", "score", "evidence"],
             )
 
-    scored = every.mapInArrow(
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = model.counts.mapInArrow(
         score, f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double,toxic:int>>"
     )
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence"
     )
 
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
+    model = fit(docs, labels)
+    sent, number = model.index, docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(model.terms)})
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = sent.value, {}
+        for batch in batches:
+            scores = [index.score(*_own_terms(text.as_py(), number.value, known))[0] for text in batch["text"]]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
