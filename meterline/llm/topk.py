@@ -124,7 +124,8 @@ def _whole(ids, values, query_ids, wanted, k: int) -> pa.Table:
     limit = 2**63 - 1
     rows = []
     for q, vector in zip(query_ids.tolist(), wanted, strict=True):
-        scores = sorted((-s, i) for s, i in zip((values * vector).sum(axis=1).tolist(), ids.tolist(), strict=True) if i != q)
+        products = [sum(a * b for a, b in zip(row, vector, strict=True)) for row in values]
+        scores = sorted((-s, i) for s, i in zip(products, ids.tolist(), strict=True) if i != q)
         rows += [(q, i, max(-limit, min(limit, -s))) for s, i in scores[:k]]
     return pa.table({n: pa.array([r[j] for r in rows], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
