@@ -90,11 +90,10 @@ def _k_best(scores: np.ndarray, size: int) -> np.ndarray:
     return np.nonzero(taken.T)[1].reshape(-1, size).T
 
 
-def _matrix(column: pa.ChunkedArray, exact: bool) -> np.ndarray:
-    """Vectors as rows; shorter ones are filled with zeros."""
+def _matrix(column: pa.ChunkedArray, width: int, exact: bool) -> np.ndarray:
+    """Vectors as rows of ``width``; shorter ones are filled with zeros."""
     lengths = column.combine_chunks().value_lengths().to_numpy()
     flat = column.combine_chunks().flatten().to_numpy()
-    width = max(1, int(lengths.max(initial=0)))
     out = np.zeros((len(lengths), width))
     out[np.arange(width) < lengths[:, None]] = flat
     return out if exact else np.array([[int(x) for x in row] for row in out], object)
@@ -107,9 +106,9 @@ def _answer(k: int, exact: bool):
             return none
         candidates = candidates.sort_by("vec_id")
         ids, query_ids = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        values, wanted = _matrix(candidates["vector"], exact), _matrix(queries["vector"], exact)
-        width = max(values.shape[1], wanted.shape[1])
-        values, wanted = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (values, wanted))
+        columns = candidates["vector"], queries["vector"]
+        width = max(1, *(int(c.combine_chunks().value_lengths().to_numpy().max()) for c in columns))
+        values, wanted = (_matrix(c, width, exact) for c in columns)
         if not exact:  # integers beyond a double's: all lists are read to the end
             return _whole(ids, values, query_ids, wanted, k)
         found = [block_top(ids, values, query_ids[i : i + 256], wanted[i : i + 256], k) for i in range(0, len(wanted), 256)]
