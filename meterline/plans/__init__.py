@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates
+from . import aggregates, relations
 from .common import plain
 
-FAMILIES = (aggregates,)
+FAMILIES = (aggregates, relations)
 
 
 def _plain(f):
