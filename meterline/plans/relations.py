@@ -212,7 +212,7 @@ def _(spark, d):
     return r.dedupe_names(named, "conv_id", "name", "turn").select("conv_id", "turn", "unique_name")
 
 
-@query("wn5_in_flight", with_(LOG, """e AS (SELECT model AS deployment, start_time AS at, 1 AS d FROM log UNION ALL SELECT model, start_time + to_seconds(k * 60), -1 FROM log)""", "g AS (SELECT deployment, at, d, sum(d) AS change FROM e GROUP BY 1, 2, 3)") + f"SELECT deployment, {n('epoch_us(at)')} AS at_us, {n('change')} AS change, {n('sum(change) OVER (PARTITION BY deployment ORDER BY at, d ROWS UNBOUNDED PRECEDING)')} AS in_flight FROM g")
+@query("wn5_in_flight", with_(LOG, """e AS (SELECT model AS deployment, start_time AS tm, 1 AS d FROM log UNION ALL SELECT model, start_time + to_seconds(k * 60), -1 FROM log)""", "g AS (SELECT deployment, tm, d, sum(d) AS change FROM e GROUP BY 1, 2, 3)") + f"SELECT deployment, {n('epoch_us(tm)')} AS at_us, {n('change')} AS change, {n('sum(change) OVER (PARTITION BY deployment ORDER BY tm, d ROWS UNBOUNDED PRECEDING)')} AS in_flight FROM g")
 def _(spark, d):
     log = _log(spark, d).select(F.col("model").alias("deployment"), "start_time", (F.col("start_time") + F.make_dt_interval(secs=F.col("k") * 60)).alias("end_time"))
     return r.in_flight(log).select("deployment", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "change", "in_flight")
