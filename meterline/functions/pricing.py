@@ -71,5 +71,5 @@ def cost_estimate(scenarios: DataFrame, prices: DataFrame) -> DataFrame:
     whole = cost + margin
     return j.select(
         "scenario", F.round(cost, 9).alias("base_cost"), F.round(margin, 9).alias("margin"), F.round(whole, 9).alias("per_request"),
-        F.round(whole * F.col("requests_per_day"), 6).alias("per_day"), F.round(whole * F.col("requests_per_day") * 30, 6).alias("per_month"),
+        F.round(whole * F.col("requests_per_day"), 9).alias("per_day"), F.round(whole * F.col("requests_per_day") * 30, 9).alias("per_month"),
     )

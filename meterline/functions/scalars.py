@@ -7,7 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, IntegerType, StringType
 
 MONEY = DecimalType(18, 6)
 DAY = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -139,7 +139,7 @@ def blend_score(models: DataFrame, quality_weight: float = 0.7, cost_weight: flo
     low, high = F.min("cost").over(w), F.max("cost").over(w)
     scaled = F.when(high > low, (F.col("cost") - low) / (high - low)).otherwise(0.5)
     rows = models.withColumn("normalized_cost", F.round(scaled, 6))
-    return rows.withColumn("blend", F.round(quality_weight * F.col("quality") + cost_weight * (1 - F.col("normalized_cost")), 6))
+    return rows.withColumn("blend", F.round(quality_weight * F.col("quality") + cost_weight * (1 - F.col("normalized_cost")), 9))
 
 
 def confidence_tier(confidence: Column, has_evidence: Column, time_sensitive: Column) -> Column:
@@ -215,7 +215,7 @@ def truncate_middle(text: Column, max_tokens: int) -> Column:
 def _arrow_text(f):
     """A text function as an Arrow UDF, null to null."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def run(v: pa.Array) -> pa.Array:
         return pa.array([None if x is None else f(x) for x in v.to_pylist()], pa.string())
 
@@ -325,7 +325,7 @@ def value_id(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(IntegerType())
 def common_length(a: pa.Array, b: pa.Array) -> pa.Array:
     """The length of the longest common substring."""
 

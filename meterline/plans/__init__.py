@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, relations
+from . import aggregates, relations, scalars
 from .common import plain
 
-FAMILIES = (aggregates, relations)
+FAMILIES = (aggregates, relations, scalars)
 
 
 def _plain(f):
