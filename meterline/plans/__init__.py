@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, relations, scalars
+from . import aggregates, analytics, relations, scalars
 from .common import plain
 
-FAMILIES = (aggregates, relations, scalars)
+FAMILIES = (aggregates, relations, scalars, analytics)
 
 
 def _plain(f):
