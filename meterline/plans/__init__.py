@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, analytics, relations, scalars
+from . import aggregates, analytics, flows, privacy, relations, scalars
 from .common import plain
 
-FAMILIES = (aggregates, relations, scalars, analytics)
+FAMILIES = (aggregates, relations, scalars, analytics, privacy, flows)
 
 
 def _plain(f):
