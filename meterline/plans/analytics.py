@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import extensions
 from ..operators import models as md
 from ..operators import text as tx
 from ..sources import bindings as b
@@ -77,14 +78,15 @@ def _(spark, d):
     return tx.confusion(scored.select(F.col("toxic").alias("truth"), (low.contains("idiot") | low.contains("scum")).cast("int").alias("predicted")))
 
 
-@query("tx8_semantic_match", f"""WITH u AS (SELECT 'route-' || label AS route, embedding AS u, CASE WHEN label % 2 = 0 THEN 0.35 END AS th FROM embeddings WHERE vec_id < 20),
+@query("tx8_semantic_match", f"""WITH u AS (SELECT 'route-' || label AS route, arg_max(embedding, vec_id) AS u, CASE WHEN label % 2 = 0 THEN 0.35 END AS th FROM embeddings GROUP BY label),
  s AS (SELECT vec_id, route, th, round(list_dot_product(e.embedding::DOUBLE[], u::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(u::DOUBLE[], u::DOUBLE[]))), 9) AS score FROM embeddings e, u),
  x AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, route DESC, th DESC NULLS LAST) AS n FROM s)
 SELECT vec_id, route, round(score, 6) AS score FROM x WHERE n = 1 AND score >= coalesce(th, 0.3)""")
 def _(spark, d):
     vectors = b.read(spark, d, "embeddings")
-    # The routes' utterances are the table's first twenty rows, as a policy file would hold them.
-    routes = vectors.where("vec_id < 20").select(_text("route-", F.col("label")).alias("route"), F.col("embedding").alias("utterance"), F.when(F.col("label") % 2 == 0, 0.35).alias("route_threshold"))
+    # A route for each label, its utterance the label's latest vector.
+    latest = vectors.groupBy("label").agg(F.max_by("embedding", "vec_id").alias("utterance"))
+    routes = latest.select(_text("route-", F.col("label")).alias("route"), "utterance", F.when(F.col("label") % 2 == 0, 0.35).alias("route_threshold"))
     return tx.semantic_match(vectors, routes, 0.3).select("vec_id", "route", F.round("score", 6).alias("score"))
 
 
@@ -116,6 +118,25 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(tx.head_tail(F.col("text"), 300), 256).alias("cut"))
 
 
+@query("udtf_split_text")
+def _(spark, d):
+    extensions.register_splitters(spark)
+    _docs(spark, d).createOrReplaceTempView("texts_to_split")
+    return spark.sql("SELECT doc_id, chunk, c.text FROM texts_to_split t, LATERAL split_text(t.text, 1000, 100) c")
+
+
+@query("udf_guardrail", "SELECT doc_id, NOT contains(lower(text), 'idiot') AS passes FROM documents")
+def _(spark, d):
+    extensions.register_guardrail(spark, "polite", lambda t: "idiot" not in t.lower())
+    return _docs(spark, d).select("doc_id", F.expr("polite(text)").alias("passes"))
+
+
+@query("udf_detector", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{16}')) AS numbers FROM documents")
+def _(spark, d):
+    extensions.register_detector(spark, "long_numbers", [("NUMBER", "[0-9]{16}", None)])
+    return _docs(spark, d).select("doc_id", F.size(F.expr("long_numbers(text)")).cast("long").alias("numbers"))
+
+
 # Models
 
 _CELLS = """c AS (SELECT 'router-' || (CAST("user" AS BIGINT) % 4) AS router, call_type AS request_type, model, k % 5 AS da, k % 3 AS db, CAST(request_id AS BIGINT) AS seq FROM log)"""

@@ -163,15 +163,15 @@ def _(spark, d):
     return jobs.drain(jobs.sticky_route(_turns(_stream(spark, d)), 90_000), name="sticky")
 
 
-@query("st5_hanging_requests", with_(LOG) + "SELECT request_id FROM log WHERE k % 9 = 0 AND epoch(TIMESTAMP '2024-01-30') - floor(epoch(start_time)) > 7200")
+@query("st5_hanging_requests", with_(LOG) + "SELECT request_id FROM log WHERE status = 'failure' AND epoch(TIMESTAMP '2024-01-30') - floor(epoch(start_time)) > 7200")
 def _(spark, d):
     log = _log(spark, d)
-    return jobs.hanging_requests(log, log.where("k % 9 <> 0"), "2024-01-30", 7_200).select("request_id")
+    return jobs.hanging_requests(log, log.where("status = 'success'"), "2024-01-30", 7_200).select("request_id")
 
 
 @query("st5_hanging_stream")
 def _(spark, d):
-    ended = _stream(spark, d).where("k % 9 <> 0").withColumn("end_time", F.col("start_time") + F.expr("INTERVAL 1 MINUTE"))
+    ended = _stream(spark, d).where("status = 'success'").withColumn("end_time", F.col("start_time") + F.expr("INTERVAL 1 MINUTE"))
     return jobs.drain(jobs.stream_hanging(_stream(spark, d).select("request_id", "start_time"), ended, 5), name="hanging")
 
 

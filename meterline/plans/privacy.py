@@ -100,13 +100,12 @@ def _(spark, d):
     return pii.shift_spans(spans).select("doc_id", "start", "end")
 
 
-@query("pi10_trim_spans", """WITH x AS (SELECT doc_id, ' ' || substr(text, 1, 20) || '  ' AS own FROM documents WHERE length(text) >= 40) SELECT doc_id, """ + n("1 + length(own) - length(regexp_replace(own, '^\\s+', '')) - 1") + """ AS "start", """ + n("length(own) - (length(own) - length(regexp_replace(own, '\\s+$', '')))") + """ AS "end" FROM x WHERE trim(own) <> ''""")
+@query("pi10_trim_spans", """WITH x AS (SELECT doc_id, ' ' || text || '  ' AS own FROM documents) SELECT doc_id, """ + n("1 + length(own) - length(regexp_replace(own, '^\\s+', '')) - 1") + """ AS "start", """ + n("length(own) - (length(own) - length(regexp_replace(own, '\\s+$', '')))") + """ AS "end" FROM x WHERE trim(own) <> ''""")
 def _(spark, d):
-    span = F.struct(F.lit("A").alias("entity_type"), F.lit(0).alias("start"), F.lit(23).alias("end"), F.lit(1.0).alias("score"), F.lit("rules").alias("detector"))
-    blank = F.struct(F.lit("B").alias("entity_type"), F.lit(21).alias("start"), F.lit(23).alias("end"), F.lit(1.0).alias("score"), F.lit("rules").alias("detector"))
-    text = F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit("  "))
-    rows = _docs(spark, d).where(F.length("text") >= 40).select("doc_id", text.alias("text"))
-    trimmed = rows.select("doc_id", F.explode(pii.trim_spans(F.array(span, blank), F.col("text"))).alias("s")).where("s.entity_type = 'A'")
+    span = F.struct(F.lit("A").alias("entity_type"), F.lit(0).alias("start"), (F.length("text") + 3).alias("end"), F.lit(1.0).alias("score"), F.lit("rules").alias("detector"))
+    blank = F.struct(F.lit("B").alias("entity_type"), (F.length("text") + 1).alias("start"), (F.length("text") + 3).alias("end"), F.lit(1.0).alias("score"), F.lit("rules").alias("detector"))
+    rows = _docs(spark, d).select("doc_id", F.array(span, blank).alias("spans"), F.concat(F.lit(" "), "text", F.lit("  ")).alias("text"))
+    trimmed = rows.select("doc_id", F.explode(pii.trim_spans(F.col("spans"), F.col("text"))).alias("s"))
     return trimmed.select("doc_id", "s.start", "s.end")
 
 
@@ -226,11 +225,11 @@ def _sides(spark, d):
     k = F.col("k")
     log = _log(spark, d)
     expected = log.select(F.col("user").alias("doc_id"), (k % 20).alias("start"), (k % 20 + 4).alias("end"), F.col("call_type").alias("cls"))
-    predicted = log.where(k % 3 != 0).select(F.col("user").alias("doc_id"), ((k + 1) % 20).alias("start"), ((k + 1) % 20 + 4).alias("end"), F.col("call_type").alias("cls"))
+    predicted = log.select(F.col("user").alias("doc_id"), ((k + 1) % 20).alias("start"), ((k + 1) % 20 + 4).alias("end"), F.col("call_type").alias("cls"))
     return expected, predicted
 
 
-_STRICT = with_(LOG, """e AS (SELECT "user" AS u, k % 20 AS s, call_type AS cls, count(*) AS n FROM log GROUP BY 1, 2, 3)""", """p AS (SELECT "user" AS u, (k + 1) % 20 AS s, call_type AS cls, count(*) AS m FROM log WHERE k % 3 <> 0 GROUP BY 1, 2, 3)""",
+_STRICT = with_(LOG, """e AS (SELECT "user" AS u, k % 20 AS s, call_type AS cls, count(*) AS n FROM log GROUP BY 1, 2, 3)""", """p AS (SELECT "user" AS u, (k + 1) % 20 AS s, call_type AS cls, count(*) AS m FROM log GROUP BY 1, 2, 3)""",
  "x AS (SELECT coalesce(e.cls, p.cls) AS cls, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM e FULL JOIN p ON e.u = p.u AND e.s = p.s AND e.cls = p.cls)", "c AS (SELECT cls, sum(least(n, m)) AS tp, sum(m - least(n, m)) AS fp, sum(n - least(n, m)) AS fn FROM x GROUP BY 1)")
 _RATIOS = f"{rnd('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END')} AS precision, {rnd('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END')} AS recall"
 

@@ -139,10 +139,10 @@ def _results(spark, d):
     return conv.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("idx"), "text")
 
 
-@query("jn7_rerank_pick", f"SELECT conv_id AS query_id, {n('turn * 7 % 5')} AS place, turn AS idx, length(text) AS chars, {m('1.0 / (1 + turn)')} AS relevance FROM conversations WHERE turn % 2 = 0")
+@query("jn7_rerank_pick", f"SELECT conv_id AS query_id, {n('turn * 7 % 5')} AS place, turn AS idx, length(text) AS chars, {m('1.0 / (1 + turn)')} AS relevance FROM conversations")
 def _(spark, d):
     results = _results(spark, d)
-    ranks = results.where("idx % 2 = 0").select("query_id", "idx", (F.col("idx") * 7 % 5).alias("place"), (1.0 / (1 + F.col("idx"))).alias("relevance"))
+    ranks = results.select("query_id", "idx", (F.col("idx") * 7 % 5).alias("place"), (1.0 / (1 + F.col("idx"))).alias("relevance"))
     out_of_range = ranks.select("query_id", (F.col("idx") + 1000).alias("idx"), "place", "relevance")
     return r.rerank_pick(results, ranks.union(out_of_range)).select("query_id", "place", "idx", F.length("text").cast("long").alias("chars"), "relevance")
 
@@ -160,14 +160,14 @@ def _(spark, d):
     return r.resolve_tool_results(said.union(tool))
 
 
-@query("jn9_reconcile_membership", """WITH h AS (SELECT DISTINCT 'team-' || (c_custkey % 40) AS team_id, 'g' || (c_custkey % 7) AS g FROM customer), w AS (SELECT DISTINCT 'team-' || (c_custkey % 50) AS team_id, 'g' || (c_nationkey % 6) AS g FROM customer WHERE c_custkey % 50 >= 5),
+@query("jn9_reconcile_membership", """WITH h AS (SELECT DISTINCT 'team-' || (c_custkey % 40) AS team_id, 'g' || (c_custkey % 7) AS g FROM customer), w AS (SELECT DISTINCT 'team-' || (c_custkey % 50) AS team_id, 'g' || (c_nationkey % 6) AS g FROM customer),
  x AS (SELECT coalesce(h.team_id, w.team_id) AS team_id, h.g AS a, w.g AS b FROM h FULL JOIN w ON h.team_id = w.team_id AND h.g = w.g)
 SELECT team_id, coalesce(string_agg(b, ',' ORDER BY b), '') AS groups, coalesce(string_agg(b, ',' ORDER BY b) FILTER (a IS NULL), '') AS attached, coalesce(string_agg(a, ',' ORDER BY a) FILTER (b IS NULL), '') AS detached FROM x GROUP BY 1""")
 def _(spark, d):
     c = b.read(spark, d, "customer")
     key = F.col("c_custkey")
     have = c.select(_text("team-", key % 40).alias("team_id"), _text("g", key % 7).alias("g")).groupBy("team_id").agg(F.collect_set("g").alias("groups"))
-    want = c.where(key % 50 >= 5).select(_text("team-", key % 50).alias("team_id"), _text("g", F.col("c_nationkey") % 6).alias("group_id"))
+    want = c.select(_text("team-", key % 50).alias("team_id"), _text("g", F.col("c_nationkey") % 6).alias("group_id"))
     found = r.reconcile_membership(have, want)
     return found.select("team_id", *[F.array_join(x, ",").alias(x) for x in ("groups", "attached", "detached")])
 

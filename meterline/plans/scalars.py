@@ -113,11 +113,11 @@ def _(spark, d):
     return _log(spark, d).select("request_id", F.round(share, 6).alias("share"))
 
 
-@query("sc11_blend_score", with_(LOG, "x AS (SELECT api_key AS router, model, CAST(avg(k) AS DOUBLE) / 100 AS quality, CAST(sum(spend) AS DOUBLE) AS cost FROM log WHERE api_key <> 'key-3' OR model = 'model-1' GROUP BY 1, 2)",
+@query("sc11_blend_score", with_(LOG, "x AS (SELECT api_key AS router, model, CAST(avg(k) AS DOUBLE) / 100 AS quality, CASE WHEN api_key = 'key-3' THEN 1.0::DOUBLE ELSE CAST(sum(spend) AS DOUBLE) END AS cost FROM log GROUP BY 1, 2)",
  f"y AS (SELECT *, {rnd('CASE WHEN max(cost) OVER w > min(cost) OVER w THEN (cost - min(cost) OVER w) / (max(cost) OVER w - min(cost) OVER w) ELSE 0.5 END')} AS nc FROM x WINDOW w AS (PARTITION BY router))") + f"SELECT router, model, nc AS normalized_cost, {rnd('0.7::DOUBLE * quality + 0.3::DOUBLE * (1 - nc)', 9)} AS blend FROM y")
 def _(spark, d):
-    rows = _log(spark, d).where("api_key <> 'key-3' or model = 'model-1'").groupBy(F.col("api_key").alias("router"), "model")
-    scored = sc.blend_score(rows.agg((F.avg("k") / 100).alias("quality"), F.sum("spend").cast("double").alias("cost")))
+    rows = _log(spark, d).groupBy(F.col("api_key").alias("router"), "model").agg((F.avg("k") / 100).alias("quality"), F.sum("spend").cast("double").alias("cost"))
+    scored = sc.blend_score(rows.withColumn("cost", F.when(F.col("router") == "key-3", 1.0).otherwise(F.col("cost"))))
     return scored.select("router", "model", "normalized_cost", F.round("blend", 9).alias("blend"))
 
 
@@ -165,7 +165,7 @@ def _(spark, d):
 @query("sc18_normalize_value")
 def _(spark, d):
     cls = F.when(F.col("doc_id") % 3 == 0, "EMAIL").when(F.col("doc_id") % 3 == 1, "PHONE").otherwise("OTHER")
-    return b.read(spark, d, "documents").select("doc_id", sc.normalize_value(cls, F.substring("text", 1, 60)).alias("value"))
+    return b.read(spark, d, "documents").select("doc_id", sc.normalize_value(cls, F.col("text")).alias("value"))
 
 
 @query("sc19_normalize_search")
@@ -216,9 +216,9 @@ def _(spark, d):
     return sc.query_text(b.read(spark, d, "conversations"))
 
 
-@query("sc25_context_block", "SELECT conv_id AS query_id, 'Context:' || chr(10) || chr(10) || string_agg(substr(text, 1, 40), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE turn < 3 GROUP BY 1")
+@query("sc25_context_block", "SELECT conv_id AS query_id, 'Context:' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
 def _(spark, d):
-    chunks = b.read(spark, d, "conversations").where("turn < 3").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.substring("text", 1, 40).alias("text"))
+    chunks = b.read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), "text")
     return sc.context_block(chunks)
 
 
