@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import staged
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a temporary folder and a cluster session a
-    folder under its warehouse, which all executors can reach.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        named = Path(tempfile.mkdtemp(prefix="spark-shared-")).as_uri()
-    else:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+__all__ = ["staged", "table"]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
