@@ -348,7 +348,8 @@ def test_shards_are_even_and_gapless(spark):
 # 9: language model
 
 
-def test_backoff_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("frequent", [3, 510])
+def test_backoff_scores_equal_brute_force(spark, frequent):
     rng = random.Random(9)
     vocabulary = ["the", "of", "and", *[f"w{i}" for i in range(40)]]
     docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30)))) for i in range(80)]
@@ -371,7 +372,7 @@ def test_backoff_scores_equal_brute_force(spark):
         want[d][0] += len(words[i])
         for (a, b), n in pairs[i].items():
             want[d][1] += n * np.log(both[a, b] / unigram[a] if holders[a, b] > 1 else 0.4 * unigram[b] / total)
-    found = lm.backoff_scores(frame(spark, docs), vocabulary=size).collect()
+    found = lm.backoff_scores(frame(spark, docs), vocabulary=size, frequent=frequent).collect()
     assert len(found) == len(want)
     for r in found:
         assert r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 2e-6
