@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8  # the short hash: the first 4 bytes of the digest
 BROADCAST_RULES = 100_000  # more rules than this are joined by a shuffle
@@ -74,11 +76,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     if n_rules <= BROADCAST_RULES:
         rules = F.broadcast(rules)
-    found = (
+    # Written, so that the join's sides are plain shuffles, of which Spark splits a hot host's.
+    found = staged(
         expressions.join(rules, "short")
         .where("digest = rule_digest")
         .groupBy("host", "head")
-        .agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict", "rule")).alias("won"))
+        .agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict", "rule")).alias("won")),
+        "url-verdicts",
     )
     return judged.join(found, ["host", "head"], "left").select(
         "page_id",
