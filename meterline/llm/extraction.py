@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -265,8 +265,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
         .groupBy("host", "path", "level")
         .agg(F.sum("share").alias("share"))
     )
-    share = F.round(F.col("share") / F.max("share").over(Window.partitionBy("host")), 6)
-    ranked = voted.withColumn("share", share).withColumn(
+    voted = staged(voted, "extraction-votes")
+    fullest = voted.groupBy("host").agg(F.max("share").alias("fullest_share"))
+    shares = voted.join(fullest, "host").withColumn("share", F.round(F.col("share") / F.col("fullest_share"), 6))
+    ranked = shares.withColumn(
         "order",
         F.struct(
             (F.col("share") >= MIN_SHARE).alias("enough"),
