@@ -34,6 +34,8 @@ DROPPED_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond responses discussion "
     "share sharing social related recommended recommendations teaser teasers outbrain taboola form search".split()
 )
+#: Compounds that are written as one word.
+DROPPED_COMPOUND = re.compile(r"^(?:comment|advert|cookie|sidebar|breadcrumb|newsletter|adsby)|(?:sidebar|nav|menu|footer|header|banner)$")
 #: Layout words such as ``sidebar`` say nothing against an <article>; these do.
 ASIDES = frozenset("comment comments reply teaser teasers related recommended promo sponsored ad ads advert advertisement".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -55,7 +57,7 @@ _TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 MIN_SHARE = 0.5
 
@@ -71,12 +73,12 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 class Block:
-    """One block of text: the containers it is in, whether something dropped is around it, and how much of it is links."""
+    """One block of text, the containers it is in, and how much of it is links."""
 
-    __slots__ = ("containers", "dropped", "link_chars", "text")
+    __slots__ = ("containers", "link_chars", "text")
 
-    def __init__(self, text: str, containers: tuple[tuple[str, int], ...], dropped: bool, link_chars: int) -> None:
-        self.text, self.containers, self.dropped, self.link_chars = text, containers, dropped, link_chars
+    def __init__(self, text: str, containers: tuple[tuple[str, int], ...], link_chars: int) -> None:
+        self.text, self.containers, self.link_chars = text, containers, link_chars
 
 
 def _label(name: str, attributes: dict[str, str]) -> str:
@@ -92,12 +94,14 @@ def _is_dropped(name: str, attributes: dict[str, str]) -> bool:
         return True
     if name in ("html", "body", "main"):
         return False
-    marks = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return not (ASIDES if name == "article" else DROPPED_WORDS).isdisjoint(_WORD.findall(marks))
+    marks = [w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")]
+    if name == "article":
+        return not ASIDES.isdisjoint(marks)
+    return any(w in DROPPED_WORDS or DROPPED_COMPOUND.search(w) for w in marks)
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page in page order. Missing and misplaced end tags are put up with."""
+    """The text blocks of a page in page order, less what is dropped. Missing and misplaced end tags are put up with."""
     out: list[Block] = []
     if not html:
         return out
@@ -110,7 +114,7 @@ def blocks(html: str | None) -> list[Block]:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                out.append(Block(line, path, dropped > 0, link_chars))
+                out.append(Block(line, path, link_chars))
             text.clear()
         link_chars = 0
 
@@ -127,7 +131,7 @@ def blocks(html: str | None) -> list[Block]:
     while at < end:
         m = _TAG.search(html, at)
         piece = html[at : m.start()] if m else html[at:]
-        if piece:
+        if piece and not dropped:
             text.append(piece)
             if links:
                 link_chars += len(piece)
@@ -195,14 +199,13 @@ def _paths(block: Block) -> Iterator[str]:
 
 
 def container_scores(found: list[Block]) -> dict[str, float]:
-    """For each container path of a page its share of the text that isn't dropped, links counted off."""
-    weights = {id(b): max(0, len(b.text) - 2 * b.link_chars) for b in found if not b.dropped}
+    """For each container path of a page its share of the text, links counted off."""
+    weights = {id(b): max(0, len(b.text) - 2 * b.link_chars) for b in found}
     total = sum(weights.values())
     scores: dict[str, float] = {}
     for b in found:
-        if not b.dropped and total:
-            for p in _paths(b):
-                scores[p] = scores.get(p, 0.0) + weights[id(b)] / total
+        for p in _paths(b) if total else ():
+            scores[p] = scores.get(p, 0.0) + weights[id(b)] / total
     return scores
 
 
@@ -224,13 +227,12 @@ def prefer(path: str, share: float) -> tuple:
 
 
 def extract(found: list[Block], path: str | None) -> str:
-    """The blocks under ``path`` that aren't dropped; if the page lacks it, those under the page's own best container."""
-    own = [b for b in found if not b.dropped]
-    kept = [b.text for b in own if path is not None and path in _paths(b)]
-    if not kept and own:
+    """The blocks under ``path``; if the page lacks it, those under the page's own best container."""
+    kept = [b.text for b in found if path is not None and path in _paths(b)]
+    if not kept:
         scores = container_scores(found)
         best = max(scores, key=lambda p: prefer(p, scores[p])) if scores else None
-        kept = [b.text for b in own if best is None or best in _paths(b)]
+        kept = [b.text for b in found if best is None or best in _paths(b)]
     return "\n\n".join(kept)
 
 

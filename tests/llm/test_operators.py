@@ -317,6 +317,26 @@ def test_extraction(spark):
     assert got[13, "http://h.example/z"][0] == "other page" and found.count() == len(pages)
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div id="siteHeader">{}</div>', '<div class="mainmenu">{}</div>', '<section id="commentSection"><p>{}</p></section>', '<div role="dialog">{}</div>',
+        '<div style="display: none">{}</div>', "<aside>{}</aside>", "<noscript>{}</noscript>", '<span class="ad">{}</span>', '<article class="comment"><p>{}</p></article>',
+        "<!-- {} -->", "<form><p>{}</p></form>", '<div class="cookie-banner"><p>{}</p></div>', "<select><option>{}</select>", '<ul class="breadcrumbs"><li>{}</ul>',
+    ],
+)
+def test_what_is_left_out(around):
+    junk = around.format("left out")
+    page = f"<body>{junk}<article><h1>Head</h1><p>One{junk}</p>{junk}<p>Two</article>{junk}</body>"
+    assert "left out" not in extraction.extract(extraction.blocks(page), None)
+    assert extraction.extract(extraction.blocks(page), None).split() == ["Head", "One", "Two"]
+
+
+def test_headlines_and_shadows_stay():
+    page = '<main><div class="headline">A</div><div class="shadow adapted">B</div><p>C</main>'
+    assert extraction.extract(extraction.blocks(page), None) == "A\n\nB\n\nC"
+
+
 def test_the_host_decides_where_a_page_alone_would_not(spark):
     page = "<body><div class='a1'>{}</div><div class='b2'>{}</div></body>"
     pages = [(i, "http://x/", page.format("<p>" + "long text " * 30, "<p>aside here")) for i in range(6)]
