@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -54,6 +55,25 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _copy_key(text: str | None) -> int:
+    """The least hash of the runs of three words: near copies mostly share it, other texts hardly ever."""
+    words = _WORD.findall(text.lower()) if text else []
+    return min(zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2)))
+
+
+def without_copies(examples: DataFrame) -> DataFrame:
+    """One of each group of near copies among ``examples`` (doc_id, text, toxic), that of the least id: else the rare words of a text with many copies would pass for signs of its label."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([_copy_key(t.as_py()) for t in batch["text"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "text", "toxic")), keys], ["doc_id", "text", "toxic", "key"])
+
+    kind = examples.schema["doc_id"].dataType.simpleString()
+    rows = examples.select("doc_id", "text", "toxic").mapInArrow(keyed, f"doc_id {kind}, text string, toxic int, key long")
+    return rows.groupBy("key").agg(F.min_by(F.struct("text", "toxic"), "doc_id").alias("e")).select("e.text", "e.toxic")
+
+
 def choose_terms(examples: DataFrame, terms: int = TERMS, min_chi2: float = MIN_CHI2) -> list[str]:
     """The terms whose presence goes most clearly with label 1, by the chi-square test over ``examples`` (text, toxic)."""
     by = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -196,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Choose terms and build the index of examples.
 
     Examples are up to ``examples`` rows, by hash of doc_id, of ``labels`` (doc_id, toxic) that aren't held
-    out and have a document. Terms are chosen on them; the terms' document frequencies come from all ``docs``.
+    out and have a document. Terms are chosen on them, near copies counting once; the terms' document frequencies come from all ``docs``.
     Labels other than 0 and 1 and null ids are left out; of several labels of one id the greatest
     counts, of several documents under one id the first by text.
     """
@@ -205,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = staged(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-examples")
-    terms = choose_terms(texts)
+    terms = choose_terms(staged(without_copies(texts), "toxicity-originals"))
 
     every = staged(term_counts(docs, terms, ["doc_id"]), "toxicity-terms")
     n = every.count()
