@@ -21,30 +21,35 @@ def tags_json(*names: str) -> Column:
 
 
 def focus_export(usage: DataFrame) -> DataFrame:
-    """The 44-column billing projection. Days become the period from midnight to midnight, unreadable ones null; money is Decimal(18,6), missing spend 0."""
+    """The 44-column billing projection. A day becomes the period from midnight to midnight, an unreadable one null; money is Decimal(18,6), missing spend 0."""
     start = F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))
-    period = lambda days: F.date_format(start + F.make_dt_interval(F.lit(days)), DAY)
+    begin, end = (F.date_format(start + F.make_dt_interval(F.lit(days)), DAY) for days in (0, 1))
     spend = F.coalesce(F.col("spend").cast(MONEY), F.lit(0).cast(MONEY))
-    text = F.lit(None).cast("string")
+    requests = F.coalesce(F.col("api_requests").cast("long"), F.lit(0)).cast(MONEY)
+    text, money = F.lit(None).cast("string"), F.lit(None).cast(MONEY)
+    # The columns' names and the constants among them.
     columns = {
-        "AvailabilityZone": text, "BilledCost": spend, "BillingAccountId": F.col("api_key"), "BillingAccountName": F.col("api_key_alias"),
-        "BillingAccountType": F.lit("API Key"), "BillingCurrency": F.lit("USD"), "BillingPeriodEnd": period(1), "BillingPeriodStart": period(0),
-        "CapacityReservationId": text, "CapacityReservationStatus": text, "ChargeCategory": F.lit("Usage"), "ChargeClass": text,
-        "ChargeDescription": F.coalesce("model", F.lit("")), "ChargeFrequency": F.lit("Usage-Based"), "ChargePeriodEnd": period(1), "ChargePeriodStart": period(0),
-        "CommitmentDiscountCategory": text, "CommitmentDiscountId": text, "CommitmentDiscountName": text, "CommitmentDiscountQuantity": F.lit(None).cast(MONEY),
-        "CommitmentDiscountStatus": text, "CommitmentDiscountType": text, "CommitmentDiscountUnit": text, "ConsumedQuantity": F.coalesce(F.col("api_requests"), F.lit(0)).cast(MONEY),
-        "ConsumedUnit": F.lit("Requests"), "ContractedCost": spend, "ContractedUnitPrice": F.lit(None).cast(MONEY), "EffectiveCost": spend,
-        "InvoiceId": text, "InvoiceIssuerName": F.col("provider"), "ListCost": spend, "ListUnitPrice": F.lit(None).cast(MONEY),
-        "PricingCategory": text, "PricingCurrency": F.lit("USD"), "PricingQuantity": F.coalesce(F.col("api_requests"), F.lit(0)).cast(MONEY), "PricingUnit": F.lit("Requests"),
-        "ProviderName": F.col("provider"), "PublisherName": F.col("provider"), "RegionId": text, "RegionName": text,
-        "ResourceId": F.col("model"), "ServiceName": F.col("model_group"), "SubAccountId": F.col("team_id"),
+        "BilledCost": spend, "BillingAccountId": F.col("api_key"), "BillingAccountName": F.col("api_key_alias"), "BillingAccountType": F.lit("API Key"),
+        "BillingCurrency": F.lit("USD"), "BillingPeriodEnd": end, "BillingPeriodStart": begin, "ChargeCategory": F.lit("Usage"), "ChargeClass": text,
+        "ChargeDescription": F.col("model"), "ChargeFrequency": F.lit("Usage-Based"), "ChargePeriodEnd": end, "ChargePeriodStart": begin,
+        "ConsumedQuantity": requests, "ConsumedUnit": F.lit("Requests"), "ContractedCost": spend, "ContractedUnitPrice": text, "EffectiveCost": spend,
+        "InvoiceIssuerName": F.col("provider"), "InvoiceId": text, "ListCost": spend, "ListUnitPrice": money, "AvailabilityZone": text,
+        "PricingCurrency": F.lit("USD"), "PricingCategory": text, "PricingQuantity": requests, "PricingCurrencyContractedUnitPrice": money,
+        "PricingCurrencyEffectiveCost": spend, "PricingCurrencyListUnitPrice": money, "PricingUnit": F.lit("Requests"), "ProviderName": F.col("provider"),
+        "PublisherName": F.col("provider"), "RegionId": text, "RegionName": text, "ResourceId": F.col("model"), "ResourceName": F.col("model"),
+        "ResourceType": F.col("model"), "ServiceCategory": F.lit("AI and Machine Learning"), "ServiceSubcategory": F.lit("Generative AI"),
+        "ServiceName": F.col("model_group"), "SubAccountId": F.col("team_id"), "SubAccountName": F.col("team_alias"), "SubAccountType": text,
         "Tags": tags_json("team_id", "team_alias", "user_id", "user_email", "api_key_alias", "model", "model_group", "provider", "api_key", "date"),
     }
     return usage.select(*[c.alias(n) for n, c in columns.items()])
 
 
-#: Provider names as the cost table knows them.
-PROVIDERS = {"azure-ai": "azure", "vertex-ai": "gcp", "bedrock": "aws", "openai": "openai", "anthropic": "anthropic", "vertex_ai": "gcp"}
+#: Provider names that stand for another.
+PROVIDERS = {
+    "azure": "azure", "azure_ai": "azure", "anthropic": "anthropic", "bedrock": "aws", "vertex_ai": "gcp", "gemini": "google",
+    "cohere": "cohere", "huggingface": "huggingface", "replicate": "replicate", "together_ai": "together-ai",
+}
+REGION, RESOURCE_KIND = "cross-region", "llm-usage"
 
 
 def resource_part(c: Column) -> Column:
@@ -53,19 +58,23 @@ def resource_part(c: Column) -> Column:
     return F.when(clean == "", "unknown").otherwise(clean)
 
 
-def resource_name(provider: Column, region: Column, account: Column, kind: Column, resource: Column) -> Column:
-    """provider/region/account/kind/resource. Underscores turn to hyphens before the alias lookup, so aliases with one never match."""
+def resource_name(provider: Column, account: Column, model: Column, service: str = "gateway") -> Column:
+    """czrn:service:provider:region:account:kind:model; null without a provider or model, for which there is no valid name.
+
+    Underscores turn to hyphens before the alias lookup, so aliases with an underscore never match. The model stays as it is.
+    """
     hyphened = F.replace(F.lower(provider), F.lit("_"), F.lit("-"))
     known = F.create_map(*[F.lit(x) for pair in PROVIDERS.items() for x in pair])
-    return F.concat_ws("/", F.coalesce(F.try_element_at(known, hyphened), resource_part(hyphened)), *[resource_part(c) for c in (region, account, kind, resource)])
+    name = F.concat_ws(":", F.lit("czrn"), F.lit(service), resource_part(F.coalesce(F.try_element_at(known, hyphened), hyphened)), F.lit(REGION), resource_part(account), F.lit(RESOURCE_KIND), model)
+    return F.when(provider.isNotNull() & (model != ""), name)
 
 
 def cbf_export(usage: DataFrame) -> DataFrame:
-    """Cost-billing rows for usage with successful requests and a provider; tags without meaning are left out."""
+    """Cost-billing rows for usage with successful requests and a valid resource name; tags without meaning are left out."""
     tags = F.create_map(*[x for n in ("model", "user_id", "team_alias", "key_alias") for x in (F.lit(n), F.col(n).cast("string"))])
     meaningful = F.map_filter(tags, lambda _, v: v.isNotNull() & ~F.lower(v).isin("", "n/a", "none", "null", "unknown"))
-    name = resource_name(F.col("provider"), F.lit("global"), F.col("team_id"), F.lit("model"), F.col("model"))
-    return usage.where((F.col("successful_requests") > 0) & F.col("provider").isNotNull()).select(
+    name = resource_name(F.col("provider"), F.col("team_id"), F.col("model"))
+    return usage.where((F.col("successful_requests") > 0) & name.isNotNull()).select(
         F.date_format(F.col("usage_date").cast("timestamp"), DAY).alias("usage_start"),
         F.coalesce("spend", F.lit(0)).cast(MONEY).alias("cost"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("usage_amount"),
@@ -128,9 +137,9 @@ def throttled_limit(limit: Column, share: Column) -> Column:
 
 
 def priority_share(value: Column, unit: Column, capacity_rpm: Column, capacity_tpm: Column) -> Column:
-    """A reservation as a share of capacity, whether given in percent, requests or tokens a minute."""
-    part = F.when(unit == "percent", value).when(unit == "rpm", F.try_divide(value, capacity_rpm)).when(unit == "tpm", F.try_divide(value, capacity_tpm))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), part))
+    """A reservation as a share of capacity, given as a share, or in requests or tokens a minute; of no known capacity it is taken for a share."""
+    part = F.when((unit == "rpm") & (capacity_rpm > 0), F.try_divide(value, capacity_rpm)).when((unit == "tpm") & (capacity_tpm > 0), F.try_divide(value, capacity_tpm))
+    return part.otherwise(value.cast("double"))
 
 
 def blend_score(models: DataFrame, quality_weight: float = 0.7, cost_weight: float = 0.3) -> DataFrame:
@@ -142,51 +151,56 @@ def blend_score(models: DataFrame, quality_weight: float = 0.7, cost_weight: flo
     return rows.withColumn("blend", F.round(quality_weight * F.col("quality") + cost_weight * (1 - F.col("normalized_cost")), 9))
 
 
-def confidence_tier(confidence: Column, has_evidence: Column, time_sensitive: Column) -> Column:
-    """Tier by cut points 0.3, 0.5 and 0.7; no evidence, or urgency, asks for the strongest."""
-    cut = F.when(confidence < 0.3, "strong").when(confidence < 0.5, "medium").when(confidence < 0.7, "light").otherwise("cheap")
-    return F.when(~has_evidence | time_sensitive, "strong").otherwise(cut)
+def confidence_tier(confidence: Column, evidence: Column, time: Column) -> Column:
+    """Tier by cut points 0.3, 0.5 and 0.7; unverified evidence asks for the smart one, then time from memory for the fast one."""
+    cut = F.when(confidence < 0.3, "cloud-smart").when(confidence < 0.5, "cloud-fast").when(confidence < 0.7, "local").otherwise("deep")
+    return F.when(F.array_contains(evidence, "UNVERIFIED"), "cloud-smart").when(time == "MEM", "cloud-fast").otherwise(cut)
 
 
 # Text
 
 PROMPT_CHARS = 2_000
-#: Our own ordered rules; the first that matches names the class.
+#: Class and pattern in order; the first that is found names the class. Case doesn't matter.
 PROMPT_RULES = [
-    ("debugging", r"\b(traceback|stack trace|exception|debug|fix (this|the) (bug|error))\b"),
-    ("code_review", r"\b(review|critique) (this|my|the) (code|pull request|pr|diff)\b"),
-    ("unit_tests", r"\b(unit tests?|pytest|test cases?)\b"),
-    ("sql", r"\b(sql|select .* from|join .* on)\b"),
-    ("regex", r"\b(regex|regular expression)\b"),
-    ("refactoring", r"\brefactor"),
-    ("code", r"\b(function|class|script|python|java|javascript|rust|code)\b"),
-    ("translation", r"\b(translate|translation)\b"),
-    ("summary", r"\b(summari[sz]e|summary|tl;?dr)\b"),
-    ("extraction", r"\b(extract|parse) "),
-    ("classification", r"\b(classify|categori[sz]e|label)\b"),
-    ("math", r"\b(calculate|integral|equation|prove|solve)\b"),
-    ("planning", r"\b(plan|roadmap|schedule|itinerary)\b"),
-    ("creative", r"\b(poem|story|song|lyrics|novel)\b"),
-    ("email", r"\b(e-?mail|letter|reply to)\b"),
-    ("question", r"^\s*(what|why|how|when|where|who|which)\b"),
+    ("code_generation", r"\b(write|create|generate|implement|build)\s+(?:a |an |the |me )?(?:python|javascript|typescript|java|rust|go|c\+\+|sql|bash|shell)\b"),
+    ("code_generation", r"\b(write|create|implement|build)\b(?:\s+\w+){0,4}?\s+(function|class|method|script|program|api|endpoint|microservice)\b"),
+    ("code_understanding", r"\b(explain|describe|understand|walk me through|what does)\b.*\b(code|function|method|class|algorithm|snippet)\b"),
+    ("code_understanding", r"\b(debug|fix|why (?:is|does|isn't)|what.s wrong|trace)\b.*\b(error|bug|exception|stacktrace|stack trace|traceback)\b"),
+    ("code_understanding", r"\b(review|critique)\s+(?:this |my |the )?(?:code|pr|pull request|diff|patch)\b"),
+    ("technical_design", r"\b(design|architect|plan|architecture)\b.*\b(system|service|api|database|schema|module|microservice)\b"),
+    ("technical_design", r"\b(should i (?:use|choose|pick)|tradeoffs? between|compare)\b.*\b(library|framework|language|database|protocol|postgres|postgresql|mongodb|dynamodb|mysql|redis|kafka|sql|nosql)\b"),
+    ("technical_design", r"\bhow (?:should|do) i (?:design|structure|organize|model)\b"),
+    ("analytical_reasoning", r"\b(solve|compute|calculate|prove|derive)\b.*\b(equation|integral|derivative|theorem|proof|problem)\b"),
+    ("analytical_reasoning", r"\b(if .+ then|given .+ find|suppose|assume)\b"),
+    ("analytical_reasoning", r"\b(probability|statistics|combinatorics|optimization problem)\b"),
+    ("writing", r"\b(write|draft|compose|rewrite|edit|proofread|polish)\b.*\b(email|essay|blog|post|article|letter|memo|copy|paragraph|sentence)\b"),
+    ("writing", r"\b(make (?:this|it)|help me)\s+(?:more |less )?(?:concise|formal|casual|professional|persuasive)\b"),
+    ("factual_lookup", r"^\s*(who|what|when|where|which)\s+(?:is|was|were|are)\b"),
+    ("factual_lookup", r"^\s*(define|definition of|meaning of)\b"),
+    ("factual_lookup", r"^\s*how (?:do you spell|to spell|many .* are there|tall is)\b"),
 ]
 
 
 def classify_prompt(text: Column) -> Column:
-    head = F.lower(F.substring(text, 1, PROMPT_CHARS))
-    return F.coalesce(*[F.when(head.rlike(rule), name) for name, rule in PROMPT_RULES], F.lit("general"))
+    head = F.substring(text, 1, PROMPT_CHARS)
+    return F.coalesce(*[F.when(head.rlike(f"(?i){rule}"), name) for name, rule in PROMPT_RULES], F.lit("general"))
 
 
-def content_type(text: Column) -> Column:
-    """json, code (a third of the lines look like it) or text."""
-    json = F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[\[{]")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    codelike = F.filter(lines, lambda x: x.rlike(r"[;{}]\s*$|^\s*(def|class|import|from|if|for|while|return|function|var|let|const|#include)\b"))
-    return F.when(json, "json").when(F.size(codelike) * 3 >= F.greatest(F.lit(1), F.size(lines)), "code").otherwise("text")
+SAMPLE_CHARS = 5_000
+#: Words of code, and where a file's path stands near the beginning of a text.
+CODE_WORDS = r"\b(?:def |function |class |import |from |require\(|#include|fn |func |const |let |var |public |private |static )\b"
+PATH_PATTERNS = [r"(?m)^#\s*(\S+\.\w+)", r"(?m)^//\s*(\S+\.\w+)", r"(?m)^File:\s*(\S+)", r"(?m)^---\s*(\S+\.\w+)", r"`(\S+\.\w{1,5})`"]
 
 
-#: Our own patterns for a file's path near the beginning of a text.
-PATH_PATTERNS = [r"(?m)^(?:File|Path): *(\S+)", r"```\w*[: ]+(\S+\.\w+)", r"(?m)^(?:---|\+\+\+) [ab]/(\S+)", r"<file(?:name)?>([^<]+)<", r"((?:[\w.-]+/)+[\w.-]+\.\w+)"]
+def content_type(text: Column) -> Column:
+    """json, code (three words of code, or of over five lines three in ten indented) or text."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    json = bare.rlike(r"^[\[{]") & F.try_parse_json(bare).isNotNull()
+    sample = F.substring(bare, 1, SAMPLE_CHARS)
+    lines = F.split(sample, "\n")
+    indented = F.size(F.filter(lines, lambda x: x.rlike(r"^(    |\t)\s*\S")))
+    code = (F.regexp_count(sample, F.lit(CODE_WORDS)) >= 3) | ((F.size(lines) > 5) & (indented > F.size(lines) * 0.3))
+    return F.when(json, "json").when(code, "code").otherwise("text")
 
 
 def extract_key(text: Column) -> Column:
@@ -196,19 +210,23 @@ def extract_key(text: Column) -> Column:
     return F.element_at(F.split(found, "/"), -1)
 
 
-def stub_message(text: Column, key: Column) -> Column:
+def stub_message(text: Column, key: Column, tool: str = "retrieve") -> Column:
+    """What stands for a message that is left out, with the name of the tool that brings it back."""
     lines = F.regexp_count(text, F.lit("\n")) + 1
-    return F.format_string("[%s: %d lines, %d characters, left out]", key, lines, F.length(text))
+    return F.format_string(f"[Compressed: %s — %d lines, %s. Use {tool} tool to get full content.]", key, lines, content_type(text))
+
+
+CUT = "\n...[truncated for context window]...\n"
 
 
 def truncate_middle(text: Column, max_tokens: int) -> Column:
-    """At 3 characters a token, whole lines from the first 70 % and the last 30 % of what is allowed."""
-    allowed = max_tokens * 3
+    """At 3 characters a token, and at least 100, whole lines: the first 70 % and the last 30 % of as many as fit on average."""
+    allowed = max(100, max_tokens * 3)
     lines = F.split(text, "\n")
-    keep = F.greatest(F.lit(2), F.floor(F.size(lines) * F.lit(float(allowed)) / F.length(text)).cast("int"))
-    head = F.greatest(F.lit(1), F.floor(keep * 0.7).cast("int"))
-    tail = F.greatest(F.lit(1), keep - head)
-    cut = F.concat_ws("\n", F.array_join(F.slice(lines, F.lit(1), head), "\n"), F.lit("..."), F.array_join(F.slice(lines, F.size(lines) - tail + 1, tail), "\n"))
+    mean = F.greatest(F.lit(1), F.floor(F.length(text) / F.size(lines)))
+    keep = F.greatest(F.lit(2), F.floor(F.lit(allowed) / mean)).cast("int")
+    head = F.floor(keep * 7 / 10).cast("int")
+    cut = F.concat(F.array_join(F.slice(lines, F.lit(1), head), "\n"), F.lit(CUT), F.array_join(F.slice(lines, F.size(lines) - (keep - head) + 1, keep - head), "\n"))
     return F.when((F.length(text) <= allowed) | (F.size(lines) <= keep), text).otherwise(cut)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql.types import DoubleType
 from . import relations as r
 from .aggregates import count_if
 
-TIER_MEANS = {1: 0.4, 2: 0.55, 3: 0.7}  # our choice
+#: Prior means by quality tier.
+TIER_MEANS = {1: 0.3, 2: 0.5, 3: 0.7}
 MASS = 10.0
 
 

@@ -49,7 +49,7 @@ def _(spark, d):
 
 
 @query("sc3_cbf_export", with_(ROLLUP, DIMS) + f"""SELECT strftime(usage_date, {_DAY}) AS usage_start, {m('spend')} AS cost, prompt_tokens + completion_tokens AS usage_amount,
- 'provider-' || substr(provider, 10) || '/global/' || coalesce('team-' || (order_key % 7), 'unknown') || '/model/' || trim(regexp_replace(lower(model), '[^a-z0-9]+', '-', 'g'), '-') AS resource_id,
+ 'czrn:gateway:provider-' || substr(provider, 10) || ':cross-region:team-' || (order_key % 7) || ':llm-usage:' || model AS resource_id,
  concat_ws(';', 'model=' || model, 'user_id=' || user_id) AS tags FROM rollup_ WHERE successful_requests > 0 AND line <> 1""")
 def _(spark, d):
     usage = b.rollup_of(spark, d).select(
@@ -60,11 +60,12 @@ def _(spark, d):
     return out.select("usage_start", "cost", "usage_amount", "resource_id", tags.alias("tags"))
 
 
-@query("sc4_resource_name", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'azure' WHEN p_partkey % 3 = 1 THEN 'gcp' ELSE 'my-cloud' END || '/' || CASE WHEN p_size % 2 = 0 THEN 'unknown' ELSE 'eu-1' END || '/acc-1/model/' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS name FROM part")
+@query("sc4_resource_name", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'czrn:gateway:' || CASE p_partkey % 4 WHEN 0 THEN 'azure-ai' WHEN 1 THEN 'aws' ELSE 'my-cloud' END || ':cross-region:' || CASE WHEN p_size % 2 = 0 THEN 'unknown' ELSE 'acc-1' END || ':llm-usage:' || p_name END AS name FROM part")
 def _(spark, d):
-    provider = F.when(F.col("p_partkey") % 3 == 0, "Azure_AI").when(F.col("p_partkey") % 3 == 1, "vertex_ai").otherwise("My__Cloud!")
-    region = F.when(F.col("p_size") % 2 == 0, " -- ").otherwise("EU 1")
-    return b.read(spark, d, "part").select("p_partkey", sc.resource_name(provider, region, F.lit("Acc#1"), F.lit("model"), F.col("p_name")).alias("name"))
+    i = F.col("p_partkey") % 4
+    provider = F.when(i == 0, "Azure_AI").when(i == 1, "bedrock").when(i == 2, "My__Cloud!")
+    account = F.when(F.col("p_size") % 2 == 0, " -- ").otherwise("Acc#1")
+    return b.read(spark, d, "part").select("p_partkey", sc.resource_name(provider, account, F.col("p_name")).alias("name"))
 
 
 def _billing(by: str, column: str) -> None:
@@ -104,13 +105,12 @@ def _(spark, d):
     return _log(spark, d).select("request_id", sc.throttled_limit(F.col("prompt_tokens"), F.col("k") / 50.0).cast("long").alias("lim"))
 
 
-@query("sc10_priority_share", with_(LOG) + f"SELECT request_id, {rnd('''least(1.0, greatest(0.0, CASE k % 4 WHEN 0 THEN k / 80.0::DOUBLE WHEN 1 THEN CAST(k AS DOUBLE) / 60 WHEN 2 THEN CAST(k AS DOUBLE) / 1000 END))''')} AS share FROM log")
+@query("sc10_priority_share", with_(LOG) + f"SELECT request_id, {rnd('CASE k % 4 WHEN 0 THEN k / 80.0::DOUBLE WHEN 1 THEN CAST(k AS DOUBLE) / 60 WHEN 2 THEN CAST(k AS DOUBLE) / 1000 ELSE k END')} AS share FROM log")
 def _(spark, d):
     k = F.col("k")
     unit = F.when(k % 4 == 0, "percent").when(k % 4 == 1, "rpm").when(k % 4 == 2, "tpm").otherwise("none")
     value = F.when(k % 4 == 0, k / 80.0).otherwise(k.cast("double"))
-    share = F.when(k % 4 == 3, F.lit(1.0) * 0).otherwise(sc.priority_share(value, unit, F.lit(60), F.lit(1000)))
-    return _log(spark, d).select("request_id", F.round(share, 6).alias("share"))
+    return _log(spark, d).select("request_id", F.round(sc.priority_share(value, unit, F.lit(60), F.lit(1000)), 6).alias("share"))
 
 
 @query("sc11_blend_score", with_(LOG, "x AS (SELECT api_key AS router, model, CAST(avg(k) AS DOUBLE) / 100 AS quality, CASE WHEN api_key = 'key-3' THEN 1.0::DOUBLE ELSE CAST(sum(spend) AS DOUBLE) END AS cost FROM log GROUP BY 1, 2)",
@@ -121,43 +121,43 @@ def _(spark, d):
     return scored.select("router", "model", "normalized_cost", F.round("blend", 9).alias("blend"))
 
 
-@query("sc12_confidence_tier", with_(LOG) + "SELECT request_id, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'strong' WHEN k < 30 THEN 'strong' WHEN k < 50 THEN 'medium' WHEN k < 70 THEN 'light' ELSE 'cheap' END AS tier FROM log")
+@query("sc12_confidence_tier", with_(LOG) + "SELECT request_id, CASE WHEN list_contains(request_tags, 'k2') THEN 'cloud-smart' WHEN k % 11 = 0 THEN 'cloud-fast' WHEN k < 30 THEN 'cloud-smart' WHEN k < 50 THEN 'cloud-fast' WHEN k < 70 THEN 'local' ELSE 'deep' END AS tier FROM log")
 def _(spark, d):
     k = F.col("k")
-    return _log(spark, d).select("request_id", sc.confidence_tier(k / 100.0, k % 7 != 0, k % 11 == 0).alias("tier"))
+    evidence = F.transform("request_tags", lambda x: F.when(x == "k2", "UNVERIFIED").otherwise(x))
+    return _log(spark, d).select("request_id", sc.confidence_tier(k / 100.0, evidence, F.when(k % 11 == 0, "MEM").otherwise("NOW")).alias("tier"))
 
 
-_CLASSES = " ".join(f"WHEN regexp_matches(h, '{p}') THEN '{c}'" for c, p in sc.PROMPT_RULES)
+_CLASSES = " ".join("WHEN regexp_matches(h, '(?i)" + p.replace("'", "''") + f"') THEN '{c}'" for c, p in sc.PROMPT_RULES)
 
 
-@query("sc13_classify_prompt", f"WITH x AS (SELECT conv_id, turn, lower(substr(CASE turn % 4 WHEN 0 THEN 'Fix this bug in the function. ' WHEN 1 THEN 'Why is it so? ' ELSE '' END || text, 1, 2000)) AS h FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE {_CLASSES} ELSE 'general' END AS class FROM x")
+@query("sc13_classify_prompt", f"WITH x AS (SELECT conv_id, turn, substr(CASE turn % 4 WHEN 0 THEN 'Fix this, there is a BUG in the function. ' WHEN 1 THEN 'What is it? ' ELSE '' END || text, 1, 2000) AS h FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE {_CLASSES} ELSE 'general' END AS class FROM x")
 def _(spark, d):
-    lead = F.when(F.col("turn") % 4 == 0, "Fix this bug in the function. ").when(F.col("turn") % 4 == 1, "Why is it so? ").otherwise("")
+    lead = F.when(F.col("turn") % 4 == 0, "Fix this, there is a BUG in the function. ").when(F.col("turn") % 4 == 1, "What is it? ").otherwise("")
     rows = b.read(spark, d, "conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", sc.classify_prompt(F.concat(lead, "text")).alias("class"))
 
 
-@query("sc14_content_type", """WITH x AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{"a": ' || turn || '}' WHEN 1 THEN 'def f(x):' || chr(10) || '  return x;' ELSE text END AS v FROM conversations)
+@query("sc14_content_type", """WITH x AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{"a": ' || turn || '}' WHEN 1 THEN 'x' || chr(10) || repeat('    y' || chr(10), 9) ELSE text END AS v FROM conversations)
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'code' ELSE 'text' END AS type FROM x""")
 def _(spark, d):
-    v = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"a": '), F.col("turn").cast("string"), F.lit("}"))).when(F.col("turn") % 3 == 1, "def f(x):\n  return x;").otherwise(F.col("text"))
+    v = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"a": '), F.col("turn").cast("string"), F.lit("}"))).when(F.col("turn") % 3 == 1, "x\n" + "    y\n" * 9).otherwise(F.col("text"))
     return b.read(spark, d, "conversations").select("conv_id", "turn", sc.content_type(v).alias("type"))
 
 
 @query("sc15_extract_key", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'f' || turn || '.py' WHEN 1 THEN 'b.txt' END AS key FROM conversations")
 def _(spark, d):
-    v = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("x\nFile: src/f"), F.col("turn").cast("string"), F.lit(".py\n"))).when(F.col("turn") % 3 == 1, "see a/dir/b.txt").otherwise("none here")
+    v = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("x\nFile: src/f"), F.col("turn").cast("string"), F.lit(".py\n"))).when(F.col("turn") % 3 == 1, "see `a/dir/b.txt`").otherwise("none here")
     return b.read(spark, d, "conversations").select("conv_id", "turn", sc.extract_key(v).alias("key"))
 
 
-@query("sc16_stub_message", r"SELECT doc_id, '[k: ' || (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines, ' || length(text) || ' characters, left out]' AS stub FROM documents")
+@query("sc16_stub_message", rf"SELECT conv_id, turn, '[Compressed: k — ' || (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines, ' || CASE WHEN len(regexp_extract_all(substr(text, 1, 5000), '{sc.CODE_WORDS}')) >= 3 THEN 'code' ELSE 'text' END || '. Use retrieve tool to get full content.]' AS stub FROM conversations")
 def _(spark, d):
-    return b.read(spark, d, "documents").select("doc_id", sc.stub_message(F.col("text"), F.lit("k")).alias("stub"))
+    return b.read(spark, d, "conversations").select("conv_id", "turn", sc.stub_message(F.col("text"), F.lit("k")).alias("stub"))
 
 
-@query("sc17_truncate_middle", """WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, length(text) AS c FROM documents), y AS (SELECT *, greatest(2, CAST(floor(len(l) * 300.0::DOUBLE / c) AS INTEGER)) AS keep FROM x),
- z AS (SELECT *, greatest(1, CAST(floor(keep * 0.7::DOUBLE) AS INTEGER)) AS h FROM y)
-SELECT doc_id, sha256(CASE WHEN c <= 300 OR len(l) <= keep THEN text ELSE array_to_string(l[1:h], chr(10)) || chr(10) || '...' || chr(10) || array_to_string(l[len(l) - greatest(1, keep - h) + 1:], chr(10)) END) AS cut FROM z""")
+@query("sc17_truncate_middle", """WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, length(text) AS c FROM documents), y AS (SELECT *, greatest(2, 300 // greatest(1, c // len(l))) AS keep FROM x), z AS (SELECT *, keep * 7 // 10 AS h FROM y)
+SELECT doc_id, sha256(CASE WHEN c <= 300 OR len(l) <= keep THEN text ELSE array_to_string(l[1:h], chr(10)) || chr(10) || '...[truncated for context window]...' || chr(10) || array_to_string(l[len(l) - (keep - h) + 1:], chr(10)) END) AS cut FROM z""")
 def _(spark, d):
     return b.read(spark, d, "documents").select("doc_id", F.sha2(sc.truncate_middle(F.col("text"), 100), 256).alias("cut"))
 

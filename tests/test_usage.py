@@ -72,10 +72,21 @@ def test_capital_keywords_never_match(spark):
 
 
 def test_underscore_aliases_never_match(spark):
-    df = spark.createDataFrame([("vertex_ai",), ("azure_ai",), (None,)], "p string")
-    lit = F.lit("x")
-    names = [x.n for x in df.select(sc.resource_name(F.col("p"), lit, lit, lit, F.lit(" A--b! ")).alias("n")).collect()]
-    assert names == ["gcp/x/x/x/a-b", "azure/x/x/x/a-b", "unknown/x/x/x/a-b"]
+    df = spark.createDataFrame([("vertex_ai",), ("bedrock",), (None,)], "p string")
+    names = [x.n for x in df.select(sc.resource_name(F.col("p"), F.lit(" A--b! "), F.lit("m/1")).alias("n")).collect()]
+    assert names == ["czrn:gateway:vertex-ai:cross-region:a-b:llm-usage:m/1", "czrn:gateway:aws:cross-region:a-b:llm-usage:m/1", None]
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Write me a python script", "code_generation"), ("build a tiny little api now", "code_generation"), ("explain this function", "code_understanding"),
+        ("design a billing system", "technical_design"), ("Suppose x is 3", "analytical_reasoning"), ("draft an EMAIL to Bo", "writing"),
+        ("what is it", "factual_lookup"), ("hello", "general"), ("", "general"), ("x" * 2000 + " write a python", "general"),
+    ],
+)
+def test_prompt_classes(spark, text, name):
+    assert one(spark.range(1).select(sc.classify_prompt(F.lit(text)).alias("c"))).c == name
 
 
 @pytest.mark.parametrize(
