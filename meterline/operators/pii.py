@@ -160,17 +160,22 @@ def cascade(rows: DataFrame, policy: str, model: Callable[[DataFrame], DataFrame
     return rows.where(~need).select("doc_id", "text", "spans").unionByName(both)
 
 
+#: Where a window may end, the most structural first.
+BOUNDARIES = ("\n\n", "\n", ". ", ", ", " ")
+
+
 def window_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Windows of at most ``size`` that overlap and end, where they can, at a paragraph, sentence or word."""
+    """Windows of at most ``size`` that overlap and end at the last natural boundary in their latter part, if there is one.
+
+    An overlap of ``size`` or more still moves on, by a character at least.
+    """
     out, start = [], 0
+    least = max(size - overlap, size // 2, 1) // 2
     while True:
         end = min(len(text), start + size)
         if end < len(text):
-            for sep in ("\n\n", "\n", ". ", " "):
-                cut = text.rfind(sep, start + size // 2, end)
-                if cut > start:
-                    end = cut + len(sep)
-                    break
+            found = ((text.rfind(b, start + least, end), len(b)) for b in BOUNDARIES)
+            end = next((at + n for at, n in found if at > start + least), end)
         out.append((start, end))
         if end >= len(text):
             return out
@@ -179,8 +184,6 @@ def window_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 
 def windows(docs: DataFrame, size: int = 2_000, overlap: int = 200) -> DataFrame:
     """doc_id, window number, start, end and text of each window of every text."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be from 0 to less than size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

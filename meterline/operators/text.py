@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -146,26 +147,42 @@ def head_tail(text: Column, most: int = 30_000) -> Column:
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
+def _joined(parts: list[str], sep: str, size: int, overlap: int) -> Iterator[str]:
+    """Parts put together while they fit; the last ones, up to ``overlap`` characters but one at least, begin the next chunk as well."""
+    held: deque[str] = deque()
+    length = 0
+    for part in parts:
+        added = len(part) + (len(sep) if held else 0)
+        if held and length + added > size:
+            yield sep.join(held)
+            while length > overlap and len(held) > 1:
+                length -= len(held.popleft()) + len(sep)
+        held.append(part)
+        length += added
+    if held:
+        yield sep.join(held)
+
+
+def _pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
+    at = next(i for i, sep in enumerate(separators) if not sep or sep in text)
+    sep, finer = separators[at], separators[at + 1 :]
+    small: list[str] = []
+    for part in text.split(sep) if sep else text:
+        if len(part) < size:
+            small.append(part)
+            continue
+        yield from _joined(small, sep, size, overlap)
+        small = []
+        if finer:
+            yield from _pieces(part, size, overlap, finer)
+        else:
+            yield from (part[i : i + size] for i in range(0, max(1, len(part) - overlap), size - overlap))
+    yield from _joined(small, sep, size, overlap)
+
+
 def split_recursively(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most ``size`` characters, cut at the coarsest separator that serves, each repeating up to ``overlap`` characters of the one before."""
-
-    def pieces(t: str, level: int) -> list[str]:
-        if len(t) <= size:
-            return [t]
-        sep = SEPARATORS[level]
-        if not sep:
-            return [t[i : i + size] for i in range(0, len(t), size)]
-        parts = t.split(sep)
-        kept = [p + sep for p in parts[:-1]] + [parts[-1]]
-        return [x for p in kept if p for x in pieces(p, level + 1)]
-
-    chunks, current = [], ""
-    for p in pieces(text, 0):
-        if current and len(current) + len(p) > size:
-            chunks.append(current)
-            current = current[max(0, len(current) - min(overlap, size - len(p))) :] if overlap else ""
-        current += p
-    return [c.strip() for c in [*chunks, current] if c.strip()]
+    """Chunks of a text, split at the first separator that it has; parts of ``size`` and more are split by the finer ones."""
+    return [c.strip() for c in _pieces(text, size, overlap, SEPARATORS) if c.strip()]
 
 
 def split_text(docs: DataFrame, size: int, overlap: int) -> DataFrame:
