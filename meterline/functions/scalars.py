@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pyarrow as pa
@@ -195,12 +196,12 @@ PATH_PATTERNS = [r"(?m)^#\s*(\S+\.\w+)", r"(?m)^//\s*(\S+\.\w+)", r"(?m)^File:\s
 def content_type(text: Column) -> Column:
     """json, code (three words of code, or of over five lines three in ten indented) or text."""
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    json = bare.rlike(r"^[\[{]") & F.try_parse_json(bare).isNotNull()
+    is_json = bare.rlike(r"^[\[{]") & F.try_parse_json(bare).isNotNull()
     sample = F.substring(bare, 1, SAMPLE_CHARS)
     lines = F.split(sample, "\n")
     indented = F.size(F.filter(lines, lambda x: x.rlike(r"^(    |\t)\s*\S")))
     code = (F.regexp_count(sample, F.lit(CODE_WORDS)) >= 3) | ((F.size(lines) > 5) & (indented > F.size(lines) * 0.3))
-    return F.when(json, "json").when(code, "code").otherwise("text")
+    return F.when(is_json, "json").when(code, "code").otherwise("text")
 
 
 def extract_key(text: Column) -> Column:
@@ -303,28 +304,35 @@ def mask_secret(value: Column, prefix: int = 4, suffix: int = 4) -> Column:
     return F.when(n > prefix + suffix, shown).otherwise(F.repeat(F.lit("*"), n))
 
 
-SENSITIVE = ("password", "secret", "key", "token", "auth", "credential", "access", "private", "certificate")
-HARMLESS = ("cost",)
+#: Segments of a key that make it sensitive, and those that make it harmless all the same.
+SENSITIVE = frozenset(
+    "password secret key token auth authorization credential credentials access private certificate fingerprint tenancy".split()
+)
+HARMLESS = frozenset(["cost"])
 
 
 def mask_json(prefix: int = 4, suffix: int = 4):
-    """An Arrow function that masks JSON text values under keys with a sensitive segment, unless a segment says ``cost``."""
-    import json
-    import re
+    """An Arrow function that masks the plain values, and lists of texts, under sensitive keys of a JSON text. Other texts stay as they are.
+
+    A key is sensitive by one of its segments between underscores or hyphens; objects under it go by their own keys.
+    """
 
     def masked(v: str) -> str:
-        return v[:prefix] + "*" * (len(v) - prefix - suffix) + v[len(v) - suffix :] if len(v) > prefix + suffix else "*" * len(v)
+        hidden = len(v) - prefix - suffix
+        return v[:prefix] + "*" * hidden + v[prefix + hidden :] if hidden > 0 else "*" * len(v)
+
+    def sensitive(key: str) -> bool:
+        parts = set(key.lower().replace("-", "_").split("_"))
+        return not parts.isdisjoint(SENSITIVE) and parts.isdisjoint(HARMLESS)
 
-    def walk(x, hide: bool):
+    def walk(x, hide: bool, inside_list: bool = False):
         if isinstance(x, dict):
-            out = {}
-            for k, v in x.items():
-                parts = set(re.split(r"[^a-z0-9]+", str(k).lower()))
-                out[k] = walk(v, (hide or not parts.isdisjoint(SENSITIVE)) and parts.isdisjoint(HARMLESS))
-            return out
+            return {k: walk(v, sensitive(k)) for k, v in x.items()}
         if isinstance(x, list):
-            return [walk(v, hide) for v in x]
-        return masked(x) if hide and isinstance(x, str) else x
+            return [walk(v, hide, True) for v in x]
+        if not hide or inside_list and not isinstance(x, str):
+            return x
+        return masked("" if x is None else str(x))
 
     def run(text: str) -> str:
         try:
