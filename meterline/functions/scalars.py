@@ -133,8 +133,8 @@ def budget_window(users: DataFrame, now: str) -> DataFrame:
 
 
 def throttled_limit(limit: Column, share: Column) -> Column:
-    """At least 1; a share outside (0, 1] leaves the limit as it is."""
-    return F.when((share > 0) & (share <= 1), F.greatest(F.lit(1), F.floor(limit * share))).otherwise(limit)
+    """At least 1; a share outside (0, 1] leaves the limit as it is, and no limit stays none."""
+    return F.when(limit.isNotNull() & (share > 0) & (share <= 1), F.greatest(F.lit(1), F.floor(limit * share))).otherwise(limit)
 
 
 def priority_share(value: Column, unit: Column, capacity_rpm: Column, capacity_tpm: Column) -> Column:

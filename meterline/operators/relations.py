@@ -195,20 +195,22 @@ def team_emails(teams: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def map_models(log: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Each model's deployment by the most specific pattern that fits: the longest, then the one with the fewest wildcards.
+    """Each model's deployment by the most specific pattern that it begins with, * standing for anything.
 
-    What the pattern's * stands for takes the place of the deployment's *. Patterns are few and broadcast; models are matched once each.
+    Specific is the pattern whose regular expression is longest, then the one with the most operators in it. What a pattern's
+    stars stand for takes the place of the deployment's, in order. Patterns are few and broadcast; models are matched once each.
     """
-    stars = F.regexp_count("pattern", F.lit(r"\*"))
-    p = patterns.withColumn("regex", F.regexp_replace(wildcard(F.col("pattern")), r"\.\*", "(.*)")).withColumn("stars", stars)
+    escaped = F.regexp_replace("pattern", r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r])", r"\\$1")
+    p = patterns.withColumn("regex", F.regexp_replace(escaped, r"\\\*", "(.*)"))
+    p = p.withColumn("operators", F.regexp_count("regex", F.lit(r"[*+?\\^$|()]"))).withColumn("stars", F.regexp_count("pattern", F.lit(r"\*")))
     models = log.select("model").distinct()
-    fits = models.join(F.broadcast(p), F.rlike(F.col("model"), F.col("regex")))
-    best = fits.groupBy("model").agg(
-        F.max_by(F.struct("pattern", "deployment", "regex"), F.struct(F.length("pattern"), -F.col("stars"), "pattern")).alias("b")
-    )
-    segment = F.expr("regexp_extract(model, b.regex, 1)")
-    target = F.when(F.col("b.pattern").contains("*"), F.replace(F.col("b.deployment"), F.lit("*"), segment)).otherwise(F.col("b.deployment"))
-    mapped = best.select("model", F.col("b.pattern").alias("pattern"), target.alias("deployment"))
+    fits = models.join(F.broadcast(p), F.rlike(F.col("model"), F.concat(F.lit("^"), "regex")))
+    order = F.struct(F.length("regex"), "operators", "pattern")
+    best = fits.groupBy("model").agg(F.max_by(F.struct("pattern", "deployment", "regex", "stars"), order).alias("b")).select("model", "b.*")
+    parts = F.split(F.regexp_replace("deployment", r"([\\$])", r"\\$1"), r"\*")
+    star = lambda i: F.when(i + 1 >= F.size(parts), "").when(i < F.col("stars"), F.concat(F.lit("$"), (i + 1).cast("string"))).otherwise("*")
+    template = F.array_join(F.transform(parts, lambda x, i: F.concat(x, star(i))), "")
+    mapped = best.select("model", "pattern", F.regexp_replace(F.col("model"), F.concat(F.lit("(?s)^"), "regex", F.lit(".*$")), template).alias("deployment"))
     return log.join(mapped, "model", "left")
 
 

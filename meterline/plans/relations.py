@@ -184,8 +184,8 @@ def _(spark, d):
 PATTERNS = [("model-*", "pool/*"), ("model-1*", "first/*-x"), ("model-3", "three"), ("m*", "any/*"), ("model-*2", "two/*")]
 
 
-@query("jn11_map_models", with_(LOG) + """SELECT request_id, model, CASE WHEN model = '' THEN NULL WHEN model = 'model-3' THEN 'model-3' WHEN model = 'model-1' THEN 'model-1*' WHEN model = 'model-2' THEN 'model-*2' ELSE 'model-*' END AS pattern,
- CASE WHEN model = '' THEN NULL WHEN model = 'model-3' THEN 'three' WHEN model = 'model-1' THEN 'first/-x' WHEN model = 'model-2' THEN 'two/' ELSE 'pool/' || substr(model, 7) END AS deployment FROM log""")
+@query("jn11_map_models", with_(LOG) + """SELECT request_id, model, CASE WHEN model = '' THEN NULL WHEN model = 'model-1' THEN 'model-1*' WHEN model = 'model-2' THEN 'model-*2' ELSE 'model-*' END AS pattern,
+ CASE WHEN model = '' THEN NULL WHEN model = 'model-1' THEN 'first/-x' WHEN model = 'model-2' THEN 'two/' ELSE 'pool/' || substr(model, 7) END AS deployment FROM log""")
 def _(spark, d):
     patterns = spark.createDataFrame(PATTERNS, "pattern string, deployment string")
     return r.map_models(_log(spark, d), patterns).select("request_id", "model", "pattern", "deployment")

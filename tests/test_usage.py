@@ -66,6 +66,13 @@ def test_tier_edges(spark):
     assert [x.rate for x in sorted(r.tier_price(usage, tiers).collect(), key=lambda x: (x.model, x.tokens))] == [None, 1.0, 2.0, 2.0, None]
 
 
+def test_model_patterns(spark):
+    patterns = spark.createDataFrame([("a/*::x::*", "d-*/*"), ("a/*", "w/*"), ("b.c", "plain$"), ("*", "any")], "pattern string, deployment string")
+    log = spark.createDataFrame([("a/1::x::2",), ("a/z",), ("b.c",), ("b.cd",), ("bxc",)], "model string")
+    found = {x.model: x.deployment for x in r.map_models(log, patterns).collect()}
+    assert found == {"a/1::x::2": "d-1/2", "a/z": "w/z", "b.c": "any", "b.cd": "any", "bxc": "any"}  # the star has more operators than b.c
+
+
 def test_capital_keywords_never_match(spark):
     texts = spark.createDataFrame([("A Clown and an IDIOT",)], "text string")
     assert one(r.banned_keywords(texts, ["Clown", "idiot"])).hits == ["idiot"]
