@@ -17,9 +17,9 @@ MASS = 10.0
 
 
 def cold_start(models: DataFrame) -> DataFrame:
-    """Prior successes and failures: the tier's mean, 0.3 more if the request type is a strength, at most 0.95, of mass 10."""
+    """Prior successes and failures: the tier's mean, 0.3 more if the request type is a strength, at most 0.95, of mass 10. Other tiers are an error."""
     means = F.create_map(*[F.lit(x) for pair in TIER_MEANS.items() for x in pair])
-    mean = F.least(F.lit(0.95), F.coalesce(F.try_element_at(means, F.col("quality_tier")), F.lit(0.5)) + F.when(F.array_contains("strengths", F.col("request_type")), 0.3).otherwise(0.0))
+    mean = F.least(F.lit(0.95), F.coalesce(F.try_element_at(means, F.col("quality_tier")), F.raise_error(F.lit("unknown quality tier")).cast("double")) + F.when(F.array_contains("strengths", F.col("request_type")), 0.3).otherwise(0.0))
     return models.select("model", "request_type", F.round(mean * MASS, 6).alias("alpha"), F.round((1 - mean) * MASS, 6).alias("beta"))
 
 
@@ -51,8 +51,9 @@ def apply_capped(deltas: DataFrame, cap: float = 200.0) -> DataFrame:
 
 
 def posterior(cells: DataFrame) -> DataFrame:
+    """Each cell's mean, and the whole samples that it has beyond the prior's mass."""
     total = F.col("alpha") + F.col("beta")
-    return cells.select(*CELL, F.round(F.when(total > 0, F.col("alpha") / total).otherwise(0.5), 6).alias("mean"), F.round(total, 6).alias("samples"))
+    return cells.select(*CELL, F.round(F.when(total > 0, F.col("alpha") / total).otherwise(0.5), 6).alias("mean"), F.greatest(F.lit(0), (total - MASS).cast("int")).alias("samples"))
 
 
 @F.pandas_udf(DoubleType())

@@ -146,9 +146,9 @@ def _deltas(spark, d):
     return _log(spark, d).select(_text("router-", F.col("user").cast("long") % 4).alias("router"), F.col("call_type").alias("request_type"), "model", (F.col("k") % 5).cast("double").alias("delta_alpha"), (F.col("k") % 3).cast("double").alias("delta_beta"), F.col("request_id").cast("long").alias("seq"))
 
 
-@query("md1_cold_start", f"SELECT p_partkey, {rnd('least(0.95, m) * 10')} AS alpha, {rnd('(1 - least(0.95, m)) * 10')} AS beta FROM (SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 WHEN 3 THEN 0.7 ELSE 0.5 END + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0 END AS m FROM part)")
+@query("md1_cold_start", f"SELECT p_partkey, {rnd('least(0.95, m) * 10')} AS alpha, {rnd('(1 - least(0.95, m)) * 10')} AS beta FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 ELSE 0.7 END + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0 END AS m FROM part)")
 def _(spark, d):
-    models = b.read(spark, d, "part").select(F.col("p_partkey").alias("model"), F.lit("code").alias("request_type"), (F.col("p_size") % 4).alias("quality_tier"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("code"))).otherwise(F.array(F.lit("math"))).alias("strengths"))
+    models = b.read(spark, d, "part").select(F.col("p_partkey").alias("model"), F.lit("code").alias("request_type"), (F.col("p_size") % 3 + 1).alias("quality_tier"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("code"))).otherwise(F.array(F.lit("math"))).alias("strengths"))
     return md.cold_start(models).select(F.col("model").alias("p_partkey"), "alpha", "beta")
 
 
@@ -162,7 +162,7 @@ def _(spark, d):
     return md.apply_capped(_deltas(spark, d))
 
 
-@query("md4_posterior", with_(LOG, _CELLS) + f"SELECT router, request_type, model, {rnd('CASE WHEN sum(da + db) > 0 THEN sum(da) / sum(da + db) ELSE 0.5 END')} AS mean, {m('sum(da + db)')} AS samples FROM c GROUP BY 1, 2, 3")
+@query("md4_posterior", with_(LOG, _CELLS) + f"SELECT router, request_type, model, {rnd('CASE WHEN sum(da + db) > 0 THEN sum(da) / sum(da + db) ELSE 0.5 END')} AS mean, {n('greatest(0, sum(da + db) - 10)')} AS samples FROM c GROUP BY 1, 2, 3")
 def _(spark, d):
     return md.posterior(md.fold_bandit(_deltas(spark, d)))
 
