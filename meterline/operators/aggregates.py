@@ -217,20 +217,22 @@ def endpoint_usage(rollup: DataFrame) -> DataFrame:
     )
 
 
-def cache_leakage(rollup: DataFrame, dim: str, rate: float, n: int = 10) -> DataFrame:
-    """Prompt tokens that no cache served, by ``dim``, ranked by what caching them would have saved.
+def cache_leakage(rollup: DataFrame, dim: str, n: int = 10) -> DataFrame:
+    """Prompt tokens that no cache served, by ``dim``, ranked by what caching them might have saved.
 
-    Savings are priced at the fleet's net rate, spend saved for each cached token; if it isn't positive, the ranking goes by tokens.
+    The fleet's net rate is its caching savings for each token that was read from or written to a cache. Unless it is positive
+    there is no saving to extrapolate from: savings are null, and tokens rank.
     """
-    sums = rollup.groupBy(dim).agg(*[F.sum(c).alias(c) for c in ("prompt_tokens", "cache_read_tokens", "cache_creation_tokens", "spend")])
-    uncached = F.greatest(F.lit(0), F.col("prompt_tokens") - F.col("cache_read_tokens") - F.col("cache_creation_tokens"))
-    fleet = rollup.agg((F.sum(F.col("cache_read_tokens") * F.lit(rate)) / F.sum("prompt_tokens")).alias("net_rate"))
-    priced = sums.withColumn("uncached", uncached).crossJoin(F.broadcast(fleet))  # one row
+    columns = ("prompt_tokens", "cache_read_tokens", "cache_creation_tokens", "caching_savings")
+    sums = rollup.groupBy(dim).agg(*[F.sum(c).alias(c) for c in columns])
+    cached = F.col("cache_read_tokens") + F.col("cache_creation_tokens")
+    fleet = sums.agg(F.try_divide(F.sum("caching_savings").cast("double"), F.sum(cached)).alias("net_rate"))
+    uncached = F.greatest(F.lit(0), F.col("prompt_tokens") - cached)
     ratio = F.when(F.col("prompt_tokens") > 0, F.round(F.col("cache_read_tokens") / F.col("prompt_tokens"), 6)).otherwise(0.0)
-    saving = F.when(F.col("net_rate") > 0, F.round(F.col("uncached") * F.col("net_rate"), 4)).otherwise(0.0)
-    ranked = priced.select(dim, "uncached", ratio.alias("hit_ratio"), saving.alias("savings"), "net_rate")
-    order = F.when(F.col("net_rate") > 0, F.col("savings")).otherwise(F.col("uncached"))
-    return ranked.orderBy(order.desc(), dim).limit(n).drop("net_rate")
+    priced = sums.withColumn("uncached", uncached).where("uncached > 0").crossJoin(F.broadcast(fleet))  # one row
+    saving = F.when(F.col("net_rate") > 0, F.round(F.col("uncached") * F.col("net_rate"), 6))
+    ranked = priced.select(dim, "uncached", ratio.alias("hit_ratio"), saving.alias("savings"))
+    return ranked.orderBy(F.coalesce("savings", F.col("uncached").cast("double")).desc(), dim).limit(n)
 
 
 def squash_alerts(alerts: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from .common import DIMS, LOG, ROLLUP, m, n, rnd, t, with_
 
 AS_OF = "2024-01-31"
 RECENT = f"usage_date >= DATE '{AS_OF}' - 30"
-RATE = 0.000002
 
 _ops: dict = {}
 _sql: dict = {}
@@ -242,9 +241,11 @@ def _(spark, d):
     return ag.endpoint_usage(b.rollup_of(spark, d))
 
 
-@query("ag25_cache_leakage", with_(ROLLUP, f"r AS (SELECT sum(cache_read_tokens * {RATE:.6f}::DOUBLE) / sum(prompt_tokens) AS net FROM rollup_)", "s AS (SELECT model, sum(prompt_tokens) AS p, sum(cache_read_tokens) AS c, sum(cache_creation_tokens) AS w FROM rollup_ GROUP BY 1)") + f"SELECT model, {n('greatest(0, p - c - w)')} AS uncached, {rnd('c / p')} AS hit_ratio, {rnd('greatest(0, p - c - w) * net', 4)} AS savings FROM s, r ORDER BY savings DESC, model LIMIT 10")
+@query("ag25_cache_leakage", with_(ROLLUP, "s AS (SELECT model, sum(prompt_tokens) AS p, sum(cache_read_tokens) AS c, sum(cache_creation_tokens) AS w FROM rollup_ GROUP BY 1)", f"r AS (SELECT {m('sum(c) * 0.000002')} / sum(c + w) AS net FROM s)") + f"SELECT model, {n('p - c - w')} AS uncached, {rnd('c / p')} AS hit_ratio, {rnd('(p - c - w) * net')} AS savings FROM s, r WHERE p - c - w > 0 ORDER BY savings DESC, model LIMIT 10")
 def _(spark, d):
-    return ag.cache_leakage(b.rollup_of(spark, d), "model", RATE)
+    rate = F.lit("0.000002").cast("decimal(7,6)")
+    rows = b.rollup_of(spark, d).withColumn("caching_savings", F.col("cache_read_tokens") * rate)
+    return ag.cache_leakage(rows, "model")
 
 
 @query("ag26_squash_alerts", with_(LOG) + "SELECT route AS url, status AS type, count(*) AS n, arg_min('request ' || request_id, CAST(request_id AS BIGINT)) AS message FROM log GROUP BY 1, 2")
