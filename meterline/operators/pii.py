@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..shared import staged
 from .aggregates import count_if
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,detector:string>"
@@ -325,6 +326,7 @@ def encode(rows: DataFrame, actions: dict[str, str] | None = None, default: str
     ``rows`` has request_id, text_no, text and spans that are apart and in order. ENCODE puts ``<PERSON_1>``, the same for the same value in
     all of a request's texts; MASK puts ``<PERSON>``; BLOCK rejects the whole request. Write the vault before the texts.
     """
+    rows = staged(rows.select("request_id", "text_no", "text", "spans"), "encode")  # read several times below; detection is costly
     known = F.create_map(*[F.lit(x) for p in (actions or {"": default}).items() for x in p])
     opened = rows.select("request_id", "text_no", F.posexplode("spans").alias("i", "s"), "text").select(
         "request_id", "text_no", "i", F.col("s.entity_type").alias("entity_type"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"),
