@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-VOCABULARY = 65_534  # words with a number of their own; 16 bits hold these, the unknown word and the start
+NUMBERED = 65_534  # most frequent words, whose counts are sent; 16 bits hold their numbers, 0 and the start
 FREQUENT = 510  # of the most frequent words; pairs of these, the unknown word and the start are at most 262,144
 BACKOFF = 0.4
 FLUSH_WORDS = 200_000
 SLICE_ROWS = 1_000  # documents whose pairs are held at once
+NONE = np.iinfo(np.int64).max  # in place of a null
 START = b""  # stands before a document's first word
+SEED = 42  # of Spark's xxhash64
+WORD = 1 << 16  # added to a word's number to tell it from a context's
 
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -60,17 +63,40 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def word_key(word: bytes) -> int:
+    """The 63-bit hash, negative, that stands for a word without a number; as Spark's xxhash64, with the sign bit set."""
+    return (xxhash.xxh64_intdigest(word, SEED) | 1 << 63) - (1 << 64)
+
+
 class Pairs:
-    """How a text's words become numbered pairs (context << 16 | word)."""
+    """How a text's words become pairs.
 
-    def __init__(self, numbers: dict[bytes, int], start: int, frequent: int = FREQUENT) -> None:
-        self.numbers, self.start, self.most = numbers, start, frequent
+    A pair of two numbers is context << 16 | word. Any other pair has an anchor, the key of its word or, if the word has
+    a number, of its context, and the other word: the context's number or key, or the word's number plus WORD.
+    """
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """A text's different pairs, ascending, and how often each occurs. Words without a number have number 0."""
-        found = words(text)
-        ids = np.fromiter(map(self.numbers.get, found, repeat(0)), np.int64, len(found))
-        return np.unique(np.concatenate(([self.start], ids[:-1])) << 16 | ids, return_counts=True) if len(ids) else (ids, ids)
+    def __init__(self, numbers: dict[bytes, int], start: int, frequent: int = FREQUENT, unknown: bool = False) -> None:
+        self.numbers, self.start, self.most, self.unknown = numbers, start, frequent, unknown
+
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's context and the word, as numbers; a word without one is 0 if ``unknown``, else its key."""
+        found, number = words(text), self.numbers.get
+        each = map(number, found, repeat(0)) if self.unknown else (number(w) or word_key(w) for w in found)
+        ids = np.fromiter(each, np.int64, len(found))
+        return (np.concatenate(([self.start], ids[:-1])), ids) if len(ids) else (ids, ids)
+
+    def numbered(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of two numbers, ascending, and how often each occurs."""
+        both = (contexts >= 0) & (ids >= 0)
+        return np.unique((contexts << 16 | ids)[both], return_counts=True)
+
+    def keyed(self, contexts: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+        """Anchors and others of the different pairs with a word that has no number, and how often each occurs."""
+        some = (contexts < 0) | (ids < 0)
+        contexts, ids = contexts[some], ids[some]
+        anchors, others = np.where(ids < 0, ids, contexts), np.where(ids < 0, contexts, ids + WORD)
+        found = Counter(zip(anchors.tolist(), others.tolist(), strict=True))
+        return [np.array(c, np.int64) for c in ([a for a, _ in found], [o for _, o in found], list(found.values()))]
 
     def frequent(self, pairs: np.ndarray) -> np.ndarray:
         """Whether both of a pair's words are among the most frequent, unknown or the start."""
@@ -87,7 +113,7 @@ def frequent_pairs(docs: DataFrame, sent: Broadcast) -> pa.Table:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [sent.value.of(text.as_py()) for text in batch["text"]]
+            found = [sent.value.numbered(*sent.value.ids(text.as_py())) for text in batch["text"]]
             pairs = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)])
             times = np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
             keep = sent.value.frequent(pairs)
@@ -116,79 +142,128 @@ class FrequentScores:
 def bigrams(docs: DataFrame, pairs: Broadcast, scores: Broadcast) -> DataFrame:
     """For each document row its rarer pairs, each different one once, and one row with the sums over its frequent ones.
 
-    doc_id, pair, n and s; s is the frequent pairs' score and null in a pair's row. The row of sums has a negative
-    number of its own for a pair, a hash of the id and text, so that these rows spread as well.
+    doc_id, anchor, n, s and other (see ``Pairs``); for two numbers the anchor is the pair and other is null. s is the frequent
+    pairs' score and null in a pair's row. The row of sums has a number beyond all pairs' for an anchor, a hash of the
+    id and text, so that these rows spread as well.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            own, counts, sums, sizes = [], [], [], np.ones(batch.num_rows, np.int64)
+            own, counts, sums, others, sizes = [], [], [], [], np.ones(batch.num_rows, np.int64)
             for i, (name, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
-                found, n = pairs.value.of(text)
+                contexts, ids = pairs.value.ids(text)
+                found, n = pairs.value.numbered(contexts, ids)
+                anchors, other, times = pairs.value.keyed(contexts, ids)
                 common = pairs.value.frequent(found)
-                mark = xxhash.xxh64_intdigest(f"{name} {text}".encode("utf-8", "surrogatepass")) >> 1
-                own += [found[~common], np.array([-1 - mark])]
-                counts += [n[~common], np.array([n[common].sum()])]
-                sums += [np.full(len(own[-2]), np.nan), np.array([scores.value.sum(found[common], n[common])])]
-                sizes[i] += len(own[-2])
+                mark = xxhash.xxh64_intdigest(f"{name} {text}".encode("utf-8", "surrogatepass")) >> 1 | 1 << 32
+                own += [anchors, found[~common], np.array([mark])]
+                counts += [times, n[~common], np.array([n[common].sum()])]
+                sizes[i] += len(anchors) + len(own[-2])
+                sums += [np.full(sizes[i] - 1, np.nan), np.array([scores.value.sum(found[common], n[common])])]
+                others += [other, np.full(sizes[i] - len(anchors), NONE)]
             rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            flat = [np.concatenate(c) if c else np.empty(0) for c in (own, counts, sums)]
+            flat = [np.concatenate(c) if c else np.empty(0) for c in (own, counts, sums, others)]
+            other = flat[3].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(rows), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2], from_pandas=True)],
-                ["doc_id", "pair", "n", "s"],
+                [
+                    batch["doc_id"].take(rows),
+                    pa.array(flat[0].astype(np.int64)),
+                    pa.array(flat[1].astype(np.int64)),
+                    pa.array(flat[2], from_pandas=True),
+                    pa.array(other, mask=other == NONE),
+                ],
+                ["doc_id", "anchor", "n", "s", "other"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, pair long, n long, s double")
+    return docs.select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, anchor long, n long, s double, other long")
 
 
-def backoff_scores(docs: DataFrame, vocabulary: int = VOCABULARY, backoff: float = BACKOFF, frequent: int = FREQUENT) -> DataFrame:
+def backoff_scores(
+    docs: DataFrame, vocabulary: int | None = None, backoff: float = BACKOFF, frequent: int = FREQUENT, numbered: int = NUMBERED
+) -> DataFrame:
     """Score each document of ``docs`` (doc_id, text) by a bigram model of all of them.
 
-    Words are counted over the whole corpus; the ``vocabulary`` most frequent ones (at most 65,534) have numbers of
-    their own, all others are the unknown word, whose count is theirs together. A word's score after its
+    Words and pairs are counted over the whole corpus, each word on its own. A word's score after its
     predecessor is c(predecessor, word) / c(predecessor) if another document has the pair as well, and
-    ``backoff`` * c(word) / N if not. Pairs of frequent words are counted first and their table is sent to the tasks. All other
-    pairs meet by their hash, where a pair's total is summed beside its rows; the word counts are joined to
-    them, and the logarithms summed per document.
+    ``backoff`` * c(word) / N if not. The ``numbered`` most frequent words (at most 65,534) have numbers and their counts are
+    sent to the tasks; any other word goes by a 63-bit hash, where its count meets its pairs. Pairs of the ``frequent``
+    most frequent words are counted first and their table is sent. All other pairs meet by a word without a number, or else by the pair, where a pair's
+    total is summed beside its rows, and the logarithms are summed per document. None of these sizes changes a score.
+
+    With a ``vocabulary`` (at most 65,534) all but that many most frequent words are one unknown word, whose count is theirs together.
 
     Returns doc_id, n_words, log_score (natural logarithm, 6 decimals) and mean_score (null without words). Null
     and empty texts have no words and a log_score of 0. Rows that share an id, null included, are one document.
     """
-    if not 0 < vocabulary <= VOCABULARY:
-        raise ValueError(f"vocabulary must be from 1 to {VOCABULARY}")
+    for name, size in (("vocabulary", vocabulary), ("numbered", numbered)):
+        if size is not None and not 0 < size <= NUMBERED:
+            raise ValueError(f"{name} must be from 1 to {NUMBERED}")
+    sent = vocabulary or numbered
     counted = staged(word_counts(docs), "lm-words")
     is_start = F.col("word") == F.lit(START)
     total, starts = counted.agg(
         F.coalesce(F.sum(F.when(~is_start, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(is_start, F.col("n"))), F.lit(0))
     ).first()
-    top = counted.where(~is_start).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    start = vocabulary + 1
+    top = counted.where(~is_start).orderBy(F.desc("n"), "word").limit(sent).collect()
+    start = sent + 1
     # At most 65,536 rows.
     unigrams = [(0, total - sum(r.n for r in top)), *((i + 1, r.n) for i, r in enumerate(top)), (start, starts)]
     spark = docs.sparkSession
-    pairs = spark.sparkContext.broadcast(Pairs({bytes(r.word): i + 1 for i, r in enumerate(top)}, start, frequent))
+    numbers = {bytes(r.word): i + 1 for i, r in enumerate(top)}
+    pairs = spark.sparkContext.broadcast(Pairs(numbers, start, frequent, vocabulary is not None))
     scores = FrequentScores(frequent_pairs(docs, pairs), dict(unigrams), total, backoff)
     rows = bigrams(docs, pairs, spark.sparkContext.broadcast(scores))
-    same = Window.partitionBy("pair")
-    rows = rows.withColumn("both", F.sum("n").over(same)).withColumn("holders", F.count("*").over(same))
-    table = spark.createDataFrame(unigrams, "id int, c long")
-    of_context = F.broadcast(table.select(F.col("id").alias("context"), F.col("c").alias("c1")))
-    of_word = F.broadcast(table.select(F.col("id").alias("word"), F.col("c").alias("c2")))
-    scored = (
-        rows.withColumn("context", F.shiftright("pair", 16).bitwiseAND(0xFFFF).cast("int"))
-        .withColumn("word", F.col("pair").bitwiseAND(0xFFFF).cast("int"))
-        .join(of_context, "context", "left")
-        .join(of_word, "word", "left")
+    rare = vocabulary is None and total > sum(r.n for r in top)
+    if rare:  # a word's count meets its pairs; a word without a row here occurs once
+        rows = rows.unionByName(counted.where("n > 1").select(_key().alias("anchor"), "n"), allowMissingColumns=True)
+    rows = rows.repartition("anchor").withColumns(
+        {k: f.over(Window.partitionBy("anchor", "other")) for k, f in (("both", F.sum("n")), ("holders", F.count("*")))}
+    )
+    if rare:
+        is_count = (F.col("anchor") < 0) & F.col("other").isNull()
+        rows = rows.withColumn("own", F.max(F.when(is_count, F.col("n"))).over(Window.partitionBy("anchor"))).where(~is_count)
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("long"))
+    seen, other = F.col("holders") > 1, F.col("other")
+    # The word whose count a row's score takes, the context's if the pair is seen, else its own; null if that is the anchor.
+    key = F.when(other.isNull(), F.when(seen, F.shiftright("anchor", 16)).otherwise(F.col("anchor").bitwiseAND(0xFFFF)))
+    key = key.when(seen & (other < WORD), other).when(~seen & (other >= WORD), other - WORD)
+    rows = rows.withColumn("key", F.when(F.col("s").isNull(), key))
+    table = spark.createDataFrame(unigrams, "key long, c long")
+    rows = rows.join(F.broadcast(table), "key", "left")
+    count = F.coalesce(F.log(F.when(F.col("key").isNull(), F.col("own")).otherwise(F.col("c"))), F.lit(0.0))
+    one = F.when(seen, F.log("both") - count).otherwise(F.log(F.lit(backoff / max(1, total))) + count)
+    rows = rows.select(
+        "doc_id",
+        "n",
+        F.coalesce("s", F.col("n") * one).alias("s"),
+        F.when(F.col("key") < 0, F.col("key")).alias("key"),
+        F.when(F.col("key") < 0, -F.col("n")).alias("times"),
     )
-    seen = F.log("both") - F.log("c1")
-    unseen = F.log(F.col("c2") * F.lit(backoff / max(1, total)))
-    one = F.when(F.col("holders") > 1, seen).otherwise(unseen)
-    score = F.when(F.col("pair") < 0, F.col("s")).otherwise(F.col("n") * one)
-    sums = scored.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(score).alias("s"))
+    if rare:
+        rows = _with_counts(rows, counted)
+    sums = rows.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
     return sums.select(
         "doc_id",
         "n_words",
         F.round("s", 6).alias("log_score"),
         F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6)).alias("mean_score"),
     )
+
+
+def _key():
+    return F.xxhash64("word").bitwiseOR(F.lit(-(1 << 63)))
+
+
+def _with_counts(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows`` with ``times`` logarithms of the count of the word ``key`` added to s.
+
+    Rows without a key are summed by document first and spread by its hash, which isn't negative and so meets no key. A
+    word without a number is outnumbered by all that have one, so no key makes a large group.
+    """
+    held = rows.groupBy("doc_id", "key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("times").alias("times"))
+    held = held.withColumn("key", F.coalesce("key", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)))
+    counts = counted.where("n > 1").groupBy(_key().alias("key")).agg(F.max("n").alias("c"))
+    added = F.coalesce(F.col("times") * F.log("c"), F.lit(0.0))
+    return held.join(counts, "key", "left").select("doc_id", "n", (F.col("s") + added).alias("s"))

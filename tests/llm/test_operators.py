@@ -400,6 +400,27 @@ def test_backoff_scores_equal_brute_force(spark, frequent):
     assert lm.backoff_scores(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("n_words", "sizes"), [(60, {"frequent": 3, "numbered": 20}), (66_000, {})])
+def test_every_word_has_its_own_counts(spark, n_words, sizes):
+    rng = random.Random(19)
+    docs = [(i, f"the rare w{i} the x{i % 7} w{i % 50} x{i % 50}") for i in range(n_words)] + [(-1, "x1 w1 junk"), (-2, "junk heap"), (None, None)]
+    words = {i: ["<s>", *lm.words(t)] for i, (_, t) in enumerate(docs)}
+    count = Counter(w for ws in words.values() if ws[1:] for w in ws)
+    total = sum(count.values()) - count["<s>"]
+    assert len(count) > sizes.get("numbered", lm.NUMBERED) + 1
+    pairs = {i: Counter(zip(ws, ws[1:])) for i, ws in words.items()}
+    both, holders = Counter(), Counter()
+    for p in pairs.values():
+        both.update(p)
+        holders.update(set(p))
+    one = lambda a, b: np.log(both[a, b] / count[a] if holders[a, b] > 1 else 0.4 * count[b] / total)
+    want = {d: sum(n * one(*p) for p, n in pairs[i].items()) for i, (d, _) in enumerate(docs)}
+    found = {r.doc_id: r.log_score for r in lm.backoff_scores(frame(spark, docs), **sizes).collect()}
+    assert found.keys() == want.keys()
+    for d in rng.sample(list(want), 50) + [-1, -2, None]:
+        assert abs(found[d] - want[d]) < 2e-6
+
+
 # 10: language
 
 
