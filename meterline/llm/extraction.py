@@ -35,9 +35,13 @@ DROPPED_WORDS = frozenset(
     "share sharing social related recommended recommendations teaser teasers outbrain taboola form search".split()
 )
 #: Compounds that are written as one word.
-DROPPED_COMPOUND = re.compile(r"^(?:comment|advert|cookie|sidebar|breadcrumb|newsletter|adsby)|(?:sidebar|nav|menu|footer|header|banner)$")
+DROPPED_COMPOUND = re.compile(r"^comments?(?:list|area|section|box|form|block|body|thread|wrap|wrapper|count)$|^(?:advert|cookie|sidebar|breadcrumb|newsletter|adsby)|(?:sidebar|nav|menu|footer|header|banner)$")
 #: Layout words such as ``sidebar`` say nothing against an <article>; these do.
 ASIDES = frozenset("comment comments reply teaser teasers related recommended promo sponsored ad ads advert advertisement".split())
+#: Words that also mark the layout of a wrapper; alone they don't drop what holds most of a page's text.
+LAYOUT = frozenset("nav navbar navigation menu menus toolbar topbar header masthead footer sidebar sidebars side aside rail widget widgets banner".split())
+#: Class words that say what an element has or lacks, not what it is.
+MODIFIER = re.compile(r"^(?:has|with|without|no)(?:[-_]|(?=[A-Z]))")
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 GOOD_WORDS = frozenset("article content entry main post story text body".split())
 #: What an open element of this name is closed by.
@@ -75,10 +79,13 @@ def _attributes(rest: str) -> dict[str, str]:
 class Block:
     """One block of text, the containers it is in, and how much of it is links."""
 
-    __slots__ = ("containers", "link_chars", "text")
+    __slots__ = ("containers", "link_chars", "marked", "text")
 
-    def __init__(self, text: str, containers: tuple[tuple[str, int], ...], link_chars: int) -> None:
-        self.text, self.containers, self.link_chars = text, containers, link_chars
+    def __init__(self, text: str, containers: tuple[tuple[str, int], ...], link_chars: int, marked: tuple[int, ...] = ()) -> None:
+        self.text, self.containers, self.link_chars, self.marked = text, containers, link_chars, marked
+
+    def weight(self) -> int:
+        return max(0, len(self.text) - 2 * self.link_chars)
 
 
 def _label(name: str, attributes: dict[str, str]) -> str:
@@ -88,16 +95,60 @@ def _label(name: str, attributes: dict[str, str]) -> str:
 
 
 def _is_dropped(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element goes whatever it holds."""
     if name in DROPPED or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if attributes.get("role", "").lower() in DROPPED_ROLES or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if name in ("html", "body", "main"):
-        return False
-    marks = [w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")]
-    if name == "article":
-        return not ASIDES.isdisjoint(marks)
-    return any(w in DROPPED_WORDS or DROPPED_COMPOUND.search(w) for w in marks)
+    return name == "article" and not ASIDES.isdisjoint(_words(attributes))
+
+
+def _words(attributes: dict[str, str]) -> list[str]:
+    """The words of an element's classes and id, less modifiers such as ``has-sidebar``."""
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return [w.lower() for c in names if not MODIFIER.match(c) for w in _WORD.findall(c)]
+
+
+def _marks(name: str, attributes: dict[str, str]) -> list[str]:
+    """The words of classes and id that speak for dropping an element, unless it holds the article; see ``_unmarked``."""
+    if name in ("html", "body", "main", "article"):
+        return []
+    return [w for w in _words(attributes) if w in DROPPED_WORDS or DROPPED_COMPOUND.search(w)]
+
+
+class Marked:
+    """An element with marks, and whether a <main> or <h1> is in it."""
+
+    __slots__ = ("aside", "heads", "layout")
+
+    def __init__(self, marks: list[str]) -> None:
+        self.aside = not ASIDES.isdisjoint(marks)
+        self.layout = all(w in LAYOUT or w.endswith(("sidebar", "nav", "menu", "footer", "header", "banner")) for w in marks)
+        self.heads = False
+
+
+def _unmarked(found: list[Block], marked: dict[int, Marked], articles: dict[int, tuple[int, ...]]) -> list[Block]:
+    """The blocks less those in marked elements, from the innermost out.
+
+    A marked element stays if it has a <main> or <h1>, or, its marks not being those of an aside, the fullest <article>
+    (``articles``: the marked elements around each), or, all its marks being of layout, more than half of what is left of the text.
+    """
+    if not marked:
+        return found
+    sizes = dict.fromkeys(articles, 0)
+    for b in found:
+        for _, number in b.containers:
+            if number in sizes:
+                sizes[number] += b.weight()
+    around = articles[max(sizes, key=sizes.get)] if sizes else ()
+    for number in sorted(marked, reverse=True):
+        m = marked[number]
+        if m.heads or (number in around and not m.aside):
+            continue
+        own = sum(b.weight() for b in found if number in b.marked)
+        if not (m.layout and 2 * own > sum(b.weight() for b in found)):
+            found = [b for b in found if number not in b.marked]
+    return found
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -107,6 +158,9 @@ def blocks(html: str | None) -> list[Block]:
         return out
     open_: list[tuple[str, str, bool, int]] = []  # name, label, dropped, number
     path: tuple[tuple[str, int], ...] = ()
+    marked: dict[int, Marked] = {}
+    articles: dict[int, tuple[int, ...]] = {}
+    inside: tuple[int, ...] = ()  # open marked elements
     dropped, links, number, text, link_chars = 0, 0, 0, [], 0
 
     def end_block() -> None:
@@ -114,16 +168,18 @@ def blocks(html: str | None) -> list[Block]:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                out.append(Block(line, path, link_chars))
+                out.append(Block(line, path, link_chars, inside))
             text.clear()
         link_chars = 0
 
     def close(to: int) -> None:
         """Close open elements down to the first ``to``."""
-        nonlocal dropped, path
+        nonlocal dropped, inside, path
         while len(open_) > to:
-            name, _, was_dropped, _ = open_.pop()
+            name, _, was_dropped, own = open_.pop()
             dropped -= was_dropped
+            if inside and inside[-1] == own:
+                inside = inside[:-1]
             if name in CONTAINER:
                 path = path[:-1]
 
@@ -168,7 +224,8 @@ def blocks(html: str | None) -> list[Block]:
         if name == "a":
             links = 1
         attributes = _attributes(rest) if rest.strip(" /\n\t") else {}
-        is_dropped = _is_dropped(name, attributes)
+        marks = _marks(name, attributes)
+        is_dropped = _is_dropped(name, attributes) or bool(marks) and name not in BLOCK
         if name not in BLOCK and not is_dropped:
             continue
         if name in BLOCK:
@@ -186,10 +243,18 @@ def blocks(html: str | None) -> list[Block]:
         label = _label(name, attributes)
         open_.append((name, label, is_dropped, number))
         dropped += is_dropped
+        if marks and not is_dropped:
+            marked[number] = Marked(marks)
+            inside = (*inside, number)
+        if not dropped and name in ("main", "h1"):
+            for i in inside:
+                marked[i].heads = True
+        if not dropped and name == "article":
+            articles[number] = inside
         if name in CONTAINER:
             path = (*path, (label, number))
     end_block()
-    return out
+    return _unmarked(out, marked, articles)
 
 
 def _paths(block: Block) -> Iterator[str]:
@@ -200,7 +265,7 @@ def _paths(block: Block) -> Iterator[str]:
 
 def container_scores(found: list[Block]) -> dict[str, float]:
     """For each container path of a page its share of the text, links counted off."""
-    weights = {id(b): max(0, len(b.text) - 2 * b.link_chars) for b in found}
+    weights = {id(b): b.weight() for b in found}
     total = sum(weights.values())
     scores: dict[str, float] = {}
     for b in found:
@@ -299,7 +364,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Pages vote by host on the container that holds the article, and each is then extracted from its host's winning
     path; a page without that container uses its own best one. Menus, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments are left out by their elements, roles, classes and ids.
+    adverts, forms, scripts, styles and comments are left out by their elements, roles, classes and ids, but classes and ids
+    don't drop a wrapper that holds the article (see ``_unmarked``).
     Character references are decoded, white space in a block becomes one space, and blocks are joined by a blank line.
 
     Returns page_id, url, text, n_chars: a row for each row. Null and empty pages have an empty text; pages with a null url, or

@@ -337,6 +337,21 @@ def test_headlines_and_shadows_stay():
     assert extraction.extract(extraction.blocks(page), None) == "A\n\nB\n\nC"
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["content has-sidebar", "with-sidebar", "no-header", "page side-layout", "commentary", "layout-sidebar wide"],
+)
+@pytest.mark.parametrize("body", ["<h1>Head</h1><p>One of many", "<article><p>Head</p><p>One of many</article>", "<p>Head</p><p>One of many"])
+def test_a_layout_wrapper_keeps_its_article(wrapper, body):
+    page = f"<body><div class='cookie-notice'>left out</div><div class='{wrapper}'><div class='sidebar'>junk</div>{body}</div></body>"
+    assert extraction.extract(extraction.blocks(page), None).split() == ["Head", "One", "of", "many"]
+
+
+def test_long_comments_are_still_left_out():
+    page = "<body><p>Article text</p><section class='comments'><article>" + "reader " * 99 + "</article></section><div class='cookie-bar'>" + "we use " * 99 + "</div>"
+    assert extraction.extract(extraction.blocks(page), None) == "Article text"
+
+
 def test_the_host_decides_where_a_page_alone_would_not(spark):
     page = "<body><div class='a1'>{}</div><div class='b2'>{}</div></body>"
     pages = [(i, "http://x/", page.format("<p>" + "long text " * 30, "<p>aside here")) for i in range(6)]
