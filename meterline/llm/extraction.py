@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -63,7 +64,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
-MIN_SHARE = 0.5
+MIN_SHARE = 0.9  # of the text that isn't dropped; a container with less leaves too much out
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -285,7 +286,7 @@ def prefer(path: str, share: float) -> tuple:
     """The order in which containers are taken.
 
     Those with at least MIN_SHARE of the text come first, then the most plainly named; of named ones the
-    fullest, of others the innermost.
+    fullest, of others the innermost. What has less than MIN_SHARE isn't taken on a page of its own (``extract``).
     """
     named = level(path)
     return share >= MIN_SHARE, named, round(share, 2) if named else 0.0, path.count("/"), share, path
@@ -297,6 +298,8 @@ def extract(found: list[Block], path: str | None) -> str:
     if not kept:
         scores = container_scores(found)
         best = max(scores, key=lambda p: prefer(p, scores[p])) if scores else None
+        if best is not None and scores[best] < MIN_SHARE:
+            best = None
         kept = [b.text for b in found if best is None or best in _paths(b)]
     return "\n\n".join(kept)
 
@@ -305,17 +308,20 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shares by host and path, summed over a batch."""
     for batch in batches:
         sums: dict[tuple[str, str], float] = {}
+        full: Counter = Counter()
         for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             for path, share in container_scores(blocks(html)).items():
                 sums[host, path] = sums.get((host, path), 0.0) + share
+                full[host, path] += share >= MIN_SHARE
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in sums], pa.string()),
                 pa.array([k[1] for k in sums], pa.string()),
                 pa.array(list(sums.values()), pa.float64()),
                 pa.array([level(k[1]) for k in sums], pa.int32()),
+                pa.array([full[k] for k in sums], pa.int64()),
             ],
-            ["host", "path", "share", "level"],
+            ["host", "path", "share", "level", "full"],
         )
 
 
@@ -323,22 +329,23 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """host and path: the container that each host's pages (url, html) vote for.
 
     A page gives each of its containers its share of the page's text. A path's votes, divided by
-    those of the fullest container, which is as good as the number of pages, are its mean share; see ``prefer``.
+    those of the fullest container, which is as good as the number of pages, are its mean share; see ``prefer``, but
+    here a path has enough if it holds MIN_SHARE of the text on half of the pages.
     """
     voted = (
         pages.select(split_url(F.col("url"))[0].alias("host"), "html")
         .where("html is not null")
-        .mapInArrow(_vote, "host string, path string, share double, level int")
+        .mapInArrow(_vote, "host string, path string, share double, level int, full long")
         .groupBy("host", "path", "level")
-        .agg(F.sum("share").alias("share"))
+        .agg(F.sum("share").alias("share"), F.sum("full").alias("full"))
     )
     voted = staged(voted, "extraction-votes")
     fullest = voted.groupBy("host").agg(F.max("share").alias("fullest_share"))
-    shares = voted.join(fullest, "host").withColumn("share", F.round(F.col("share") / F.col("fullest_share"), 6))
+    shares = voted.join(fullest, "host").withColumn("full", F.col("full") >= F.col("fullest_share") / 2).withColumn("share", F.round(F.col("share") / F.col("fullest_share"), 6))
     ranked = shares.withColumn(
         "order",
         F.struct(
-            (F.col("share") >= MIN_SHARE).alias("enough"),
+            F.col("full").alias("enough"),
             "level",
             F.when(F.col("level") > 0, F.round("share", 2)).otherwise(0.0).alias("fullest"),
             F.size(F.split("path", "/")).alias("depth"),

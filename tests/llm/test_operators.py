@@ -352,6 +352,24 @@ def test_long_comments_are_still_left_out():
     assert extraction.extract(extraction.blocks(page), None) == "Article text"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='wrap'><div class='intro'><p>{}</div><div class='x7'><p>{}</div><section class='part'><p>{}</section></div></body>",
+        "<body><div class='wrap'><article><p>{}</article><div class='x7'><p>{}</div><div class='x8'><p>{}</div></div></body>",
+        "<div class='a'><p>{}</div><div class='b'><p>{}</div><div class='c'><p>{}</div>",
+    ],
+)
+def test_an_article_in_several_containers_is_whole(spark, page):
+    parts = ["lead " * 30, "long part " * 30, "rest " * 40]
+    text = "\n\n".join(p.strip() for p in parts)
+    assert extraction.extract(extraction.blocks(page.format(*parts)), None) == text
+    if "<body>" in page:
+        pages = [(i, "http://x/", page.format(*parts)) for i in range(4)]
+        found = extraction.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+        assert {r.text for r in found} == {text}
+
+
 def test_the_host_decides_where_a_page_alone_would_not(spark):
     page = "<body><div class='a1'>{}</div><div class='b2'>{}</div></body>"
     pages = [(i, "http://x/", page.format("<p>" + "long text " * 30, "<p>aside here")) for i in range(6)]
