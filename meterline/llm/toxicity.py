@@ -4,262 +4,296 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
-EXAMPLES = 20_000  # labelled rows, at most, that terms are chosen on and that are indexed
-TERMS = 2_000  # terms, at most
-MIN_CHI2 = 30.0  # how clearly a term's documents must differ in label from the others
-PURITY = 0.5  # least share of label 1 among a term's examples
+EXAMPLES = 4_000  # labelled rows, at most, that are indexed
 NEIGHBOURS = 24
-BLOCK = 64  # examples under one set of maxima
+BLOCK = 64
+STEPS = 4, 16  # blocks that are read before the rest is judged by what they held
+EPSILON = 1e-6  # beyond the rounding of the stored weights
 PRIOR_VOTES = 1.0  # weight of the base rate among the votes
 THRESHOLD = 0.3
-CACHED_WORDS = 500_000
+SKETCH = 8  # least hashes of runs of three words by which near copies among the examples are known
+EVIDENCE = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    """A word's terms: the word itself (``=``), its beginnings (``^``) and its endings (``$``) of 3 to 6 letters."""
-    return [
-        "=" + word,
-        *("^" + word[:n] for n in range(3, min(6, len(word) - 1) + 1)),
-        *("$" + word[-n:] for n in range(3, min(6, len(word) - 1) + 1)),
-    ]
+def words(text: str | None) -> list[str]:
+    """Lower-cased runs of letters."""
+    return _WORD.findall(text.lower()) if text else []
 
 
-def _word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by term and label, summed over a batch."""
-    for batch in batches:
-        seen = Counter(), Counter()
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            seen[toxic].update({t for w in _word_counts(text) for t in word_terms(w)})
-        terms = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), *(pa.array([s[t] for t in terms], pa.int64()) for s in seen)], ["term", "n0", "n1"]
-        )
-
-
-def _copy_key(text: str | None) -> int:
-    """The least hash of the runs of three words: near copies mostly share it, other texts hardly ever."""
-    words = _WORD.findall(text.lower()) if text else []
-    return min(zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2)))
+def _sketch(text: str | None) -> list[int]:
+    """The SKETCH least hashes of a text's runs of three words."""
+    found = words(text)
+    runs = {" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))}
+    return sorted(xxhash.xxh64_intdigest(r) >> 1 for r in runs)[:SKETCH]
 
 
 def without_copies(examples: DataFrame) -> DataFrame:
-    """One of each group of near copies among ``examples`` (doc_id, text, toxic), that of the least id: else the rare words of a text with many copies would pass for signs of its label."""
+    """``examples`` (doc_id, toxic, text), one of each group of near copies.
+
+    Copies share most of their sketch. For each hash the holder of the least text hash leads; an example that has at
+    least half of its sketch from one other leader goes. Else the words of a text with many copies would pass
+    for signs of its label, and its copies would fill a neighbourhood.
+    """
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([_copy_key(t.as_py()) for t in batch["text"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "text", "toxic")), keys], ["doc_id", "text", "toxic", "key"])
-
-    kind = examples.schema["doc_id"].dataType.simpleString()
-    rows = examples.select("doc_id", "text", "toxic").mapInArrow(keyed, f"doc_id {kind}, text string, toxic int, key long")
-    return rows.groupBy("key").agg(F.min_by(F.struct("text", "toxic"), "doc_id").alias("e")).select("e.text", "e.toxic")
-
-
-def choose_terms(examples: DataFrame, terms: int = TERMS, min_chi2: float = MIN_CHI2) -> list[str]:
-    """The terms whose presence goes most clearly with label 1, by the chi-square test over ``examples`` (text, toxic)."""
-    by = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = by.get(0, 0), by.get(1, 0)
-    if not n0 or not n1:
-        return []
-    counts = (
-        examples.select("text", "toxic")
-        .mapInArrow(_count_terms, "term string, n0 long, n1 long")
-        .groupBy("term")
-        .agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
+            found = pa.array([_sketch(t.as_py()) for t in batch["text"]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["key"], found], ["key", "sketch"])
+
+    keyed = examples.withColumn("key", F.struct(F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("i")))
+    flat = keyed.select(F.to_json("key").alias("key"), "text").mapInArrow(sketched, "key string, sketch array<long>")
+    flat = flat.select("key", F.size("sketch").alias("size"), F.explode("sketch").alias("hash"))
+    flat = staged(flat, "toxicity-sketches")
+    leaders = flat.groupBy("hash").agg(F.min("key").alias("leader"))
+    shared = flat.join(leaders, "hash").where("leader <> key").groupBy("key", "leader", "size").agg(F.count("*").alias("n"))
+    copies = shared.where(2 * F.col("n") >= F.col("size")).select("key").distinct()
+    kept = keyed.withColumn("key", F.to_json("key")).join(copies, "key", "left_anti")
+    return kept.select("doc_id", "toxic", "text")
+
+
+def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples by term and label, summed over a task."""
+    seen = Counter(), Counter()
+    for batch in batches:
+        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            seen[toxic].update(set(words(text)))
+    terms = list(seen[0] | seen[1])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(terms, pa.string()), *(pa.array([s[t] for t in terms], pa.int64()) for s in seen)], ["term", "n0", "n1"]
     )
-    n, has = float(n0 + n1), F.col("a0") + F.col("a1")
-    excess = F.col("a1") * F.lit(float(n0)) - F.col("a0") * F.lit(float(n1))
-    chi2 = n * excess * excess / (has * (n - has) * n0 * n1)
-    kept = counts.where((excess > 0) & (has < n) & (F.col("a1") >= PURITY * has)).withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2)
-    return [r.term for r in kept.orderBy(F.desc("chi2"), "term").limit(terms).select("term").collect()]
-
-
-def _own_terms(text: str | None, number: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[list[int], list[int]]:
-    """A text's chosen terms, ascending, and their counts; ``known`` remembers words."""
-    found: Counter = Counter()
-    for word, n in _word_counts(text).items():
-        own = known.get(word)
-        if own is None:
-            if len(known) >= CACHED_WORDS:
-                known.clear()
-            own = known[word] = tuple(number[t] for t in word_terms(word) if t in number)
-        for t in own:
-            found[t] += n
-    ids = sorted(found)
-    return ids, [found[t] for t in ids]
-
-
-def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and each whole text's chosen terms (numbers, ascending) with their counts."""
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = sent.value, {}
-        for batch in batches:
-            found = [_own_terms(text.as_py(), number, known) for text in batch["text"]]
-            ids, counts = [f[0] for f in found], [f[1] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
-                [*keep, "ids", "counts"],
-            )
 
-    kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return docs.select(*keep, "text").mapInArrow(count, ", ".join([*kinds, "ids array<int>", "counts array<long>"]))
+def _numbered(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's known terms, ascending, and their counts."""
+    found = Counter(words(text))
+    ids = np.fromiter(map(number.get, found, repeat(-1)), np.int64, len(found))
+    counts = np.fromiter(found.values(), np.int64, len(found))
+    order = np.argsort(ids)[np.count_nonzero(ids < 0) :]
+    return ids[order], counts[order]
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The integers from each ``first`` to before its ``last``, one range after the other."""
+    n = last - first
+    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
 class BlockMaxIndex:
     """An inverted index of unit vectors whose postings are cut at the same examples for all terms.
 
-    For each term and block of examples the greatest weight is kept. Their product with a query bounds
+    For each term and block of examples that has it, the greatest weight is kept. Their products with a query bound
     every cosine in a block, so blocks are read from the greatest bound down until no other can hold a
-    nearer example than those found.
+    nearer example than those found. ``rows`` are (name, ids, counts, label), in the order in which equally near ones are taken.
     """
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[object, list[int], list[int], int]], block: int = BLOCK) -> None:
-        self.idf, self.block = idf, block
+    def __init__(self, term_weights: np.ndarray, rows: list[tuple[object, np.ndarray, np.ndarray, int]], block: int = BLOCK) -> None:
+        self.term_weights, self.size = term_weights, block
         vectors = [(self.weights(ids, counts), ids, name, label) for name, ids, counts, label in rows]
         blank = [label for w, _, _, label in vectors if not len(w)]
+        labels = [label for *_, label in rows]
+        self.rate = (sum(labels) + 0.5) / (len(labels) + 5)
+        self.blank_rate = (sum(blank) + self.rate) / (len(blank) + 1)
         vectors = [v for v in vectors if len(v[0])]
         # Examples that share their weightiest term are neighbours: it tightens the bounds.
-        vectors.sort(key=lambda v: (v[1][int(v[0].argmax())], len(v[1]), str(v[2])))
+        vectors.sort(key=lambda v: (int(v[1][v[0].argmax()]), len(v[1])))
         self.names, self.labels = [v[2] for v in vectors], np.array([v[3] for v in vectors], np.float64)
-        labels = [r[3] for r in rows]
-        self.rate = (sum(labels) + 0.5) / (len(labels) + 5)
-        self.blank_rate = (sum(blank) + self.rate) / (len(blank) + 1)
-        blocks = -(-len(vectors) // block) if vectors else 0
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        self.maxima = np.zeros((len(idf), blocks))
-        for i, (w, ids, _, _) in enumerate(vectors):
-            for t, x in zip(ids, w, strict=True):
-                postings[t].append((i, float(x)))
-                self.maxima[t, i // block] = max(self.maxima[t, i // block], x)
-        self.places = [np.array([p[0] for p in ps], np.int64) for ps in postings]
-        self.values = [np.array([p[1] for p in ps]) for ps in postings]
-        edges = np.arange(blocks + 1) * block
-        self.cuts = [np.searchsorted(p, edges) for p in self.places]
-
-    def weights(self, ids: list[int], counts: list[int]) -> np.ndarray:
-        """The unit TF-IDF vector: (1 + ln tf) * idf over its length."""
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[ids] if len(ids) else np.empty(0)
-        return w / math.sqrt(float(w @ w)) if len(w) else w
-
-    def nearest(self, ids: list[int], counts: list[int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine over 0, equal ones in index order, and their cosines."""
+        self.blocks = -(-len(vectors) // block)
+        term = (np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0, np.int64)).astype(np.int32)
+        value = (np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0))
+        example = np.repeat(np.arange(len(vectors)), [len(v[1]) for v in vectors])
+        order = np.argsort(term, kind="stable")
+        term, self.value, self.example = term[order], value[order], example[order]
+        # A cell is a term's postings in one block.
+        block_of = self.example // block
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block_of[1:] != block_of[:-1])))) if len(term) else order
+        self.postings_from = np.append(new, len(term))
+        self.cell_block = block_of[new]
+        self.cell_max = np.maximum.reduceat(self.value, new) if len(term) else self.value
+        self.cells_from = np.searchsorted(term[new], np.arange(len(term_weights) + 1))
+
+    def weights(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The unit vector of (1 + ln tf) times the terms' weights; empty if all are 0."""
+        w = (1 + np.log(counts)) * self.term_weights[ids] if len(ids) else np.empty(0)
+        norm = math.sqrt(float(w @ w))
+        return w / norm if norm > 0 else np.empty(0)
+
+    def nearest(self, ids: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k examples of greatest cosine over 0, equal ones in index order, their cosines, and the number of blocks read."""
         w = self.weights(ids, counts)
-        if not len(w) or not self.maxima.shape[1]:
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.maxima[ids]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-9:
+        best_at, best, read = np.empty(0, np.int64), np.empty(0), 0
+        if not len(w) or not self.blocks:
+            return best_at, best, read
+        first, last = self.cells_from[ids], self.cells_from[ids + 1]
+        cells, own = _ranges(first, last), np.repeat(w, last - first)
+        block_of = self.cell_block[cells]
+        bounds = np.bincount(block_of, own * self.cell_max[cells], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        for step in (*STEPS, self.blocks):
+            floor = best[-1] - EPSILON if len(best) == k else EPSILON
+            some = order[read : read + step]
+            some = some[bounds[some] >= floor]
+            if not len(some):
                 break
-            scores = np.zeros(self.block)
-            for t, x in zip(ids, w, strict=True):
-                low, high = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.places[t][low:high] - b * self.block] += x * self.values[t][low:high]
-            at = np.flatnonzero(scores)
-            best_at, best = np.concatenate((best_at, at + b * self.block)), np.round(np.concatenate((best, scores[at])), 12)
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
-
-    def score(self, ids: list[int], counts: list[int]) -> tuple[float, list[dict]]:
-        """The chance of label 1 and the three nearest examples.
+            read += len(some)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            chosen = np.flatnonzero(chosen[block_of])
+            a = self.postings_from[cells[chosen]]
+            n = self.postings_from[cells[chosen] + 1] - a
+            at = _ranges(a, a + n)
+            scores = np.bincount(self.example[at], np.repeat(own[chosen], n) * self.value[at], minlength=len(self.labels))
+            found = np.flatnonzero(scores >= floor)
+            best_at, best = np.concatenate((best_at, found)), np.concatenate((best, np.round(scores[found], 9)))
+            kept = np.lexsort((best_at, -best))[:k]
+            best_at, best = best_at[kept], best[kept]
+        return best_at, best, read
+
+    def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        """The chance of label 1 and the nearest examples.
 
         Votes weigh the inverse of the distance 1 - cosine; the base rate counts as PRIOR_VOTES votes, so few and far
-        neighbours move the score little. A text without a chosen term has the rate of such examples.
+        neighbours move the score little. A text without a known term has the rate of such examples.
         """
-        at, cosines = self.nearest(ids, counts)
+        at, cosines, _ = self.nearest(ids, counts)
         if not len(at):
             return float(self.blank_rate), []
         votes = 1 / (1 - np.minimum(cosines, 1) + 0.1)
         share = (votes @ self.labels[at] + PRIOR_VOTES * self.rate) / (votes.sum() + PRIOR_VOTES)
         evidence = [
-            {"doc_id": self.names[i], "cosine": float(c), "toxic": int(self.labels[i])} for i, c in zip(at[:3], cosines, strict=False)
+            {"doc_id": self.names[i], "cosine": float(c), "toxic": int(self.labels[i])}
+            for i, c in zip(at[:EVIDENCE].tolist(), cosines, strict=False)
         ]
         return float(min(1.0, max(0.0, share))), evidence
 
 
+def term_weights(n0: np.ndarray, n1: np.ndarray, holders0: np.ndarray, holders1: np.ndarray, docs: int, frequency: np.ndarray) -> np.ndarray:
+    """Inverse document frequency over all documents times the chi-square of a term's presence and the label, as a share of the examples.
+
+    No term is left out; one that tells the labels apart counts for more.
+    """
+    n, has = n0 + n1, holders0 + holders1
+    excess = holders1 * float(n0) - holders0 * float(n1)
+    chi2 = excess * excess / np.maximum(has * (n - has) * float(n0) * float(n1), 1)
+    return (np.log((1 + docs) / (1 + frequency)) + 1) * chi2
+
+
 def held_out():
     """True for documents whose labels are never learnt; a null id is never held out, and has no label."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 class Model(NamedTuple):
-    """What ``fit`` has learnt: the terms, all documents' counts of them, and the broadcast index."""
+    """What ``fit`` has learnt, as sent to the tasks: each term's number, and the index."""
 
-    terms: list[str]
-    counts: DataFrame
+    number: Broadcast
     index: Broadcast
 
 
+def _frequencies(docs: DataFrame, number: Broadcast) -> tuple[int, dict[int, int]]:
+    """The number of ``docs``, and of those with each known term, over all of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = number.value, 0
+        totals = np.zeros(len(known), np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch["text"]:
+                found = [known[w] for w in set(words(text.as_py())) if w in known]
+                totals[found] += 1
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(totals[at], n))], ["term", "n"])
+
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    totals = dict(zip(found["term"].to_pylist(), found["n"].to_pylist(), strict=True))
+    return totals.pop(-1, 0), totals
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
-    """Choose terms and build the index of examples.
+    """Weigh the terms and build the index of examples.
 
     Examples are up to ``examples`` rows, by hash of doc_id, of ``labels`` (doc_id, toxic) that aren't held
-    out and have a document. Terms are chosen on them, near copies counting once; the terms' document frequencies come from all ``docs``.
+    out and have a document; near copies count once. Terms are all words of the examples. A term weighs its inverse document frequency,
+    from all ``docs``, times its chi-square with the label among the examples.
     Labels other than 0 and 1 and null ids are left out; of several labels of one id the greatest
-    counts, of several documents under one id the first by text.
+    counts, of several documents under one id the first by text. With examples of one label only, chi-squares are 0, and every
+    text gets the base rate.
     """
     known = labels.where(~held_out()).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = staged(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-examples")
-    terms = choose_terms(staged(without_copies(texts), "toxicity-originals"))
+    texts = staged(without_copies(texts), "toxicity-originals")
 
-    every = staged(term_counts(docs, terms, ["doc_id"]), "toxicity-terms")
-    n = every.count()
-    frequency = {r.t: r.n for r in every.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((1 + n) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = term_counts(texts, terms, ["doc_id", "toxic"]).collect()  # at most ``examples``
-    rows = sorted(((r.doc_id, list(r.ids), list(r.counts), r.toxic) for r in rows), key=lambda r: (str(r[0]), r[1], r[2]))
-    return Model(terms, every, docs.sparkSession.sparkContext.broadcast(BlockMaxIndex(idf, rows)))
+    counts = texts.select("text", "toxic").mapInArrow(_term_labels, "term string, n0 long, n1 long")
+    counts = counts.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("term")
+    spark = docs.sparkSession
+    number = spark.sparkContext.broadcast({t: i for i, t in enumerate(counts["term"].to_pylist())})
+    n, found = _frequencies(docs, number)
+    frequency = np.zeros(len(number.value), np.int64)
+    frequency[list(found)] = list(found.values())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_numbered(t.as_py(), number.value) for t in batch["text"]]
+            columns = [pa.array([o[i] for o in own], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["t"], *columns], ["doc_id", "toxic", "t", "ids", "counts"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.withColumn("t", F.xxhash64("text")).mapInArrow(numbered, f"doc_id {kind}, toxic int, t long, ids array<int>, counts array<int>")
+    rows = rows.toArrow().sort_by([("t", "ascending"), ("toxic", "ascending")])  # at most ``examples``
+    by = [int((np.array(rows["toxic"]) == label).sum()) for label in (0, 1)]
+    weights = term_weights(*by, *(counts[c].to_numpy().astype(np.float64) for c in ("n0", "n1")), n, frequency)
+    vectors = list(
+        zip(
+            rows["doc_id"].to_pylist(),
+            *([x.values.to_numpy().astype(np.int64) for x in rows[c]] for c in ("ids", "counts")),
+            rows["toxic"].to_pylist(),
+            strict=True,
+        )
+    )
+    return Model(number, spark.sparkContext.broadcast(BlockMaxIndex(weights, vectors)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """Score each row of ``docs`` (doc_id, text) by the labelled examples most like it; see ``fit``.
 
-    Every text is scored whole; null and empty ones, and those without a chosen term, get the rate
+    Every text is scored whole; null and empty ones, and those without a known term, get the rate
     of such examples. Repeated rows and null ids are kept. Without labels of both kinds all get the base rate.
 
     Returns doc_id, held_out, score, predicted, evidence (doc_id, cosine, toxic of the nearest).
     """
-    model = fit(docs, labels, examples)
-    sent = model.index
+    number, sent = fit(docs, labels, examples)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index, known = sent.value, number.value
         for batch in batches:
             own = batch.schema.field("doc_id").type
             evidence = pa.list_(pa.struct([("doc_id", own), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            found = [index.score(i, c) for i, c in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
+            found = [index.score(*_numbered(t.as_py(), known)) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], evidence)],
                 ["doc_id", "score", "evidence"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = model.counts.mapInArrow(
+    scored = docs.select("doc_id", "text").mapInArrow(
         score, f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},cosine:double,toxic:int>>"
     )
     return scored.select(
@@ -268,14 +302,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below ``threshold``."""
-    model = fit(docs, labels)
-    sent, number = model.index, docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(model.terms)})
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``; see ``toxicity``."""
+    number, sent = fit(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = sent.value, {}
+        index, known = sent.value, number.value
         for batch in batches:
-            scores = [index.score(*_own_terms(text.as_py(), number.value, known))[0] for text in batch["text"]]
+            scores = [index.score(*_numbered(text.as_py(), known))[0] for text in batch["text"]]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -101,25 +101,91 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.count() == sum(r.predicted == 0 for r in found)
 
 
+def random_examples(rng, n, terms, most):
+    out = []
+    for i in range(n):
+        ids = np.sort(rng.choice(terms, rng.integers(0, most), replace=False))
+        out.append((i, ids, rng.integers(1, 4, len(ids)), int(rng.integers(0, 2))))
+    return out
+
+
 def test_nearest_equals_brute_force():
     rng = np.random.default_rng(2)
-    examples = []
-    for i in range(500):
-        ids = sorted(rng.choice(30, rng.integers(0, 6), replace=False).tolist())
-        examples.append((i, ids, rng.integers(1, 4, len(ids)).tolist(), int(rng.integers(0, 2))))
+    examples = random_examples(rng, 500, 30, 6)
     index = toxicity.BlockMaxIndex(rng.random(30) + 0.5, examples, block=16)
-    vector = lambda ids, counts: dict(zip(ids, index.weights(ids, counts)))
+    vector = lambda ids, counts: dict(zip(ids.tolist(), index.weights(ids, counts)))
     by_name = {e[0]: vector(e[1], e[2]) for e in examples}
     for _ in range(40):
-        ids = sorted(rng.choice(30, 4, replace=False).tolist())
-        counts = rng.integers(1, 4, 4).tolist()
-        at, cosines = index.nearest(ids, counts, 10)
+        ids, counts = np.sort(rng.choice(30, 4, replace=False)), rng.integers(1, 4, 4)
+        at, cosines, _ = index.nearest(ids, counts, 10)
         q = vector(ids, counts)
         cos = sorted((sum(q[t] * v.get(t, 0) for t in q) for v in by_name.values()), reverse=True)[:10]
         assert np.allclose(cosines, cos[: len(cosines)])
         assert all(np.isclose(sum(q[t] * by_name[index.names[i]].get(t, 0) for t in q), c) for i, c in zip(at, cosines))
 
 
+def test_blocks_out_of_reach_are_not_read():
+    rng = np.random.default_rng(4)
+    weights = np.where(np.arange(400) < 20, 30.0, 1.0)  # twenty telling terms
+    examples = []
+    for i in range(2000):
+        ids = np.unique(np.append(rng.choice(np.arange(20, 400), 30, replace=False), i % 20))
+        examples.append((i, ids, np.ones(len(ids), np.int64), 1))
+    index = toxicity.BlockMaxIndex(weights, examples)
+    read = [index.nearest(e[1], e[2])[2] for e in examples[:100]]
+    assert index.blocks == 32 and max(read) < 16
+
+
+def toxicity_by_hand(docs, labels, k=toxicity.NEIGHBOURS):
+    """Scores of (doc_id, text) by all labelled rows that aren't held out, of which no two are near copies."""
+    split = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    text, bags = dict(docs), [split(t) for _, t in docs]
+    known = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in text)
+    n0, n1 = (sum(labels[i] == y for i in known) for y in (0, 1))
+    held = [Counter(t for i in known if labels[i] == y for t in split(text[i])) for y in (0, 1)]
+
+    def vector(bag):
+        v = {}
+        for t, n in bag.items():
+            a, b = held[0][t], held[1][t]
+            if a + b:
+                chi = (b * n0 - a * n1) ** 2 / max(1, (a + b) * (n0 + n1 - a - b) * n0 * n1)
+                v[t] = (1 + np.log(n)) * (np.log((1 + len(docs)) / (1 + sum(t in x for x in bags))) + 1) * chi
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    examples = [(vector(split(text[i])), labels[i]) for i in known]
+    rate = (n1 + 0.5) / (len(known) + 5)
+    blank = [y for v, y in examples if not v]
+    out = []
+    for bag in bags:
+        q = vector(bag)
+        near = sorted(((sum(x * v.get(t, 0) for t, x in q.items()), y) for v, y in examples), key=lambda c: -c[0])[:k]
+        votes = [(1 / (1.1 - min(1, c)), y) for c, y in near if c > 1e-6]
+        total = sum(w for w, _ in votes)
+        out.append((sum(w * y for w, y in votes) + rate) / (total + 1) if votes else (sum(blank) + rate) / (len(blank) + 1))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = toxic_corpus(300)
+    docs += [(1000, None), (1001, ""), (1002, "GRUMBLE, snarky! " * 3), (1003, "word " * 20_000 + "vileness"), (1004, "unknown zzz")]
+    found = {r.doc_id: r.score for r in toxicity.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    want = toxicity_by_hand(docs, dict(labels))
+    # Equally near examples at the k-th place may be others there.
+    close = [abs(found[d] - w) < 1e-4 for (d, _), w in zip(docs, want)]
+    assert np.mean(close) > 0.97 and all(close[-5:])
+
+
+def test_near_copies_among_the_examples_count_once(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") * rng.randint(1, 5) for _ in range(n))
+    base = text(60)
+    copies = [(i, 1, base + f" extra{i}") for i in range(5)] + [(10, 1, base), (11, 1, base), (12, 0, text(60)), (13, 0, None), (14, 0, "")]
+    kept = rows(toxicity.without_copies(spark.createDataFrame(copies, "doc_id long, toxic int, text string")), "doc_id")
+    assert len([i for (i,) in kept if i < 12]) == 1 and len([i for (i,) in kept if i > 12]) == 1 and (12,) in kept
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(frame(spark, HARD), none).collect()} == {0}
