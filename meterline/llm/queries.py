@@ -76,10 +76,10 @@ _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE_SQL = {
     "op1_topk": """
-WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM x q JOIN x c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH x AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS e FROM embeddings),
+s AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.vec_id % 50 = 0 AND q.r <> c.r),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op3_decontam": r"""

@@ -13,81 +13,79 @@ from .common import staged
 
 K = 5
 BLOCK_ROWS = 4_096  # candidates whose sorted lists a task holds
-QUERY_ROWS = 2_048  # queries that a task answers at once
-DEPTHS = (0.08, 0.16, 0.28, 0.45, 0.7, 1.0)  # how far the lists are read, round by round
+QUERY_ROWS = 16_384  # queries that a task answers
+READS = (0.05, 0.1, 0.2, 0.25, 0.2, 0.2)  # share of each list that is read in turn, to its end
 EXACT = 2.0**52  # doubles add integers up to here without loss
 
 
 class SortedLists:
-    """One list a dimension of a block's values in descending order; read from the end for negative weights."""
+    """One list a dimension of a block's values, in descending order; read from the end for negative weights."""
 
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
-        n = len(values)
-        order = np.argsort(-values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, order, axis=0)
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+        self.order = np.argsort(-values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, self.order, axis=0)
 
-    def bounds(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (candidate by query) once ``depth`` entries of each list are read.
+    def search(self, query: np.ndarray, k: int, floor: float = -np.inf, skip: int = -1) -> tuple[np.ndarray, int]:
+        """The positions of all candidates that may be among the ``k`` best and reach ``floor``, and the number of entries read.
 
-        ``up`` and ``down`` are the queries' positive and negative parts. A value that was not read
-        lies between its list's last entry and the last one read.
+        Each round reads on in every list whose weight isn't 0, from where the last one stopped. A value that was not read
+        lies between its list's last entry and the last one read, which gives every candidate a lower and an upper bound. A candidate
+        whose upper bound is below ``floor`` or the k-th greatest lower bound is out. Reading stops when no more than ``k``
+        are left, or when the lists are at their ends. ``skip`` takes no part.
         """
         n = len(self.values)
-        if depth >= n:
-            exact = self.values @ (up + down).T
-            return exact, exact
-        from_top, from_end = self.place < depth, self.place >= n - depth
-        known = np.where(from_top, self.values, 0) @ up.T + np.where(from_end, self.values, 0) @ down.T
-        low = known + np.where(from_top, 0, self.sorted[-1]) @ up.T + np.where(from_end, 0, self.sorted[0]) @ down.T
-        high = known + np.where(from_top, 0, self.sorted[depth - 1]) @ up.T + np.where(from_end, 0, self.sorted[n - depth]) @ down.T
-        return low, high
-
-
-def block_top(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Each query's ``k`` best candidates of a block (``ids`` ascending): positions of queries and candidates, scores.
-
-    All lists are read in turn to growing depths. A query is done once every candidate outside its best
-    k has an upper bound below the least lower bound of these; the rest read on. The winners' scores are then made exact.
+        used = np.flatnonzero(query)
+        w = query[used]
+        up = w > 0
+        order, entries = self.order[:, used], self.sorted[:, used]
+        worst = np.where(up, entries[-1], entries[0]) * w  # what the list's last entry would give
+        sums = np.zeros(n)  # of what was read
+        missing = np.ones((n, len(used)))  # 1 where a value was not read
+        alive = np.delete(np.arange(n), skip) if skip >= 0 else np.arange(n)
+        read = done = 0
+        for share in READS:
+            to = min(n, done + math.ceil(share * n))
+            for own, top in ((up, slice(done, to)), (~up, slice(n - to, n - done))):
+                lists = np.flatnonzero(own)
+                at, found = order[top][:, lists], entries[top][:, lists]
+                sums += np.bincount(at.ravel(), (found * w[lists]).ravel(), minlength=n)
+                missing[at, lists[None, :]] = 0
+            read, done = read + (to - done) * len(used), to
+            if done == n:
+                high = low = sums[alive]
+            else:
+                last = np.where(up, entries[done - 1], entries[n - done]) * w
+                open_ = missing[alive]
+                high, low = sums[alive] + open_ @ last, sums[alive] + open_ @ worst
+            bar = floor
+            if len(alive) > k:
+                bar = max(bar, float(np.partition(low, len(low) - k)[len(low) - k]))
+            alive = alive[high >= bar]
+            if len(alive) <= k or done == n:
+                break
+        return alive, read
+
+
+def block_top(
+    values: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query those of a block's candidates that may be among its ``k`` best: positions of queries and candidates, whole scores, entries read.
+
+    ``own`` is each query's position among the candidates (-1: not there), which isn't its candidate; ``floors`` are scores that
+    ``k`` candidates elsewhere are known to have.
     """
-    lists = SortedLists(values)
-    open_, won = np.arange(len(queries)), []
-    for share in DEPTHS:
-        depth = math.ceil(share * len(values))
-        up, down = np.maximum(queries[open_], 0), np.minimum(queries[open_], 0)
-        low, high = lists.bounds(depth, up, down)
-        own = ids[:, None] == query_ids[open_][None, :]
-        low[own], high[own] = -np.inf, -np.inf
-        size = min(k, len(ids))
-        if depth < len(values):
-            best = np.argpartition(-low, size - 1, axis=0)[:size]
-            least = np.take_along_axis(low, best, axis=0).min(axis=0)
-            np.put_along_axis(high, best, -np.inf, axis=0)
-            done = (high.max(axis=0) < least) & np.isfinite(least)
-        else:
-            best = _k_best(low, size)
-            done = np.ones(len(open_), bool)
-        if done.any():
-            chosen = best[:, done]
-            q = np.broadcast_to(open_[done], chosen.shape)
-            keep = ~np.take_along_axis(own, best, axis=0)[:, done]
-            won.append((q[keep], chosen[keep]))
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    q, c = (np.concatenate([w[i] for w in won]) for i in (0, 1))
-    return q, c, (values[c] * queries[q]).sum(axis=1)
-
-
-def _k_best(scores: np.ndarray, size: int) -> np.ndarray:
-    """Rows of the ``size`` greatest scores of each column, of equal ones the first rows."""
-    cut = -np.partition(-scores, size - 1, axis=0)[size - 1]
-    sure, even = scores > cut, scores == cut
-    room = size - sure.sum(axis=0)
-    taken = sure | even & (np.cumsum(even, axis=0) <= room)
-    return np.nonzero(taken.T)[1].reshape(-1, size).T
+    lists, q, c, read = SortedLists(values), [], [], 0
+    for i, query in enumerate(queries):
+        found, entries = lists.search(query, k, -np.inf if floors is None else floors[i], int(own[i]))
+        read += entries
+        scores = values[found] @ query
+        if len(found) > k:  # ties at the k-th place stay together
+            found = found[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+        q.append(np.full(len(found), i))
+        c.append(found)
+    q, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (q, c))
+    return q, c, (values[c] * queries[q]).sum(axis=1), read
 
 
 def _matrix(column: pa.ChunkedArray, width: int, exact: bool) -> np.ndarray:
@@ -101,38 +99,40 @@ def _matrix(column: pa.ChunkedArray, width: int, exact: bool) -> np.ndarray:
 
 def _answer(k: int, exact: bool):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        none = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+        names = "query_row", "query_id", "vec_id", "score"
         if not candidates.num_rows or not queries.num_rows:
-            return none
-        candidates = candidates.sort_by("vec_id")
-        ids, query_ids = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        candidates = candidates.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        ids, rows = candidates["vec_id"].to_numpy(), candidates["row"].to_numpy()
+        query_ids, query_rows = queries["vec_id"].to_numpy(), queries["row"].to_numpy()
         columns = candidates["vector"], queries["vector"]
         width = max(1, *(int(c.combine_chunks().value_lengths().to_numpy().max()) for c in columns))
         values, wanted = (_matrix(c, width, exact) for c in columns)
-        if not exact:  # integers beyond a double's: all lists are read to the end
-            return _whole(ids, values, query_ids, wanted, k)
-        found = [block_top(ids, values, query_ids[i : i + 256], wanted[i : i + 256], k) for i in range(0, len(wanted), 256)]
-        q = np.concatenate([f[0] + 256 * i for i, f in enumerate(found)])
-        c, score = (np.concatenate([f[j] for f in found]) for j in (1, 2))
-        return pa.table({"query_id": query_ids[q], "vec_id": ids[c], "score": score.astype(np.int64)})
+        at = dict(zip(rows.tolist(), range(len(rows)), strict=True))
+        own = np.array([at.get(r, -1) for r in query_rows.tolist()])
+        if exact:
+            floors = queries["floor"].to_numpy().astype(np.float64)
+            q, c, score, _ = block_top(values, own, wanted, k, np.where(np.isnan(floors), -np.inf, floors))
+        else:  # integers beyond a double's: all lists are read to the end
+            q, c, score = _whole(values, own, wanted, k)
+        found = query_rows[q], query_ids[q], ids[c], score
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, found, strict=True)})
 
     return run
 
 
-def _whole(ids, values, query_ids, wanted, k: int) -> pa.Table:
-    limit = 2**63 - 1
-    rows = []
-    for q, vector in zip(query_ids.tolist(), wanted, strict=True):
-        products = [sum(a * b for a, b in zip(row, vector, strict=True)) for row in values]
-        scores = sorted((-s, i) for s, i in zip(products, ids.tolist(), strict=True) if i != q)
-        rows += [(q, i, max(-limit, min(limit, -s))) for s, i in scores[:k]]
-    return pa.table({n: pa.array([r[j] for r in rows], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
+def _whole(values: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    limit, rows = 2**63 - 1, []
+    for q, (skip, vector) in enumerate(zip(own.tolist(), queries, strict=True)):
+        products = [(-sum(a * b for a, b in zip(row, vector, strict=True)), c) for c, row in enumerate(values) if c != skip]
+        rows += [(q, c, max(-limit, min(limit, -s))) for s, c in sorted(products)[:k]]
+    return tuple([r[i] for r in rows] for i in range(3))
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """vec_id and floor(256 * x) of each component, for vectors without null or non-finite components.
 
-    Repeated rows count once; of different vectors under one id the least is taken. Rows with a
+    Every row counts, also repeated ones and those that share an id. Rows with a
     null id, and vectors null or with a null or non-finite component, take no part.
     """
     x = F.col("embedding").cast("array<double>")
@@ -141,8 +141,6 @@ def quantized(vectors: DataFrame) -> DataFrame:
         vectors.where("vec_id is not null and embedding is not null")
         .where(sound)
         .select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: _floor(v * 256.0)).alias("vector"))
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("vector"))
     )
 
 
@@ -154,28 +152,46 @@ def _floor(v):
 def top_k(vectors: DataFrame, is_query, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The ``k`` candidates of greatest inner product for each query, among all rows of ``vectors`` (vec_id, embedding).
 
-    ``is_query`` is a condition on vec_id. Candidates and queries are dealt by hash into blocks of bounded size, and each pair of
-    blocks is one task's: it sorts the candidates' values by dimension and reads these lists only
+    ``is_query`` is a condition on vec_id. Candidates and queries are dealt by hash into blocks of bounded size. First each query is
+    answered in one block of candidates; the k-th score found there is a floor for the others, so that their lists need not be read far.
+    Then each pair of blocks is one task's: it sorts the candidates' values by dimension and reads these lists in turn, only
     as far as the bounds require. The blocks' winners meet in one window by query.
 
+    A query's candidates are all rows but its own: other rows of its id are candidates, and several query rows of one id have an answer each.
     Vectors of different lengths are filled up with zeros. Ties go to the smaller vec_id. Scores beyond a long are cut to its limits.
     Returns query_id, rank (from 1), vec_id, score; fewer rows for a query if there are fewer candidates.
     """
-    sound = staged(quantized(vectors), "topk")
+    sound = staged(quantized(vectors).withColumn("row", F.monotonically_increasing_id()), "topk")
     queries = sound.where(is_query)
     size = F.aggregate("vector", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
     n, largest, width = sound.agg(F.count("*"), F.max(size), F.max(F.size("vector"))).first()
     exact = not n or largest * largest * max(1, width) * 2 < EXACT
     blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(queries.count() / query_rows))
-    dealt = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
+    dealt = lambda blocks, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = sound.select("vec_id", "vector", dealt(blocks, 1).alias("b"), every(query_blocks).alias("q"))
-    right = queries.select("vec_id", "vector", every(blocks).alias("b"), dealt(query_blocks, 2).alias("q"))
-    found = (
-        left.groupBy("b", "q")
-        .cogroup(right.groupBy("b", "q"))
-        .applyInArrow(_answer(k, exact), "query_id long, vec_id long, score long")
+    kind = "query_row long, query_id long, vec_id long, score long"
+    columns = ["row", "vec_id", "vector"]
+
+    def answered(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_answer(k, exact), kind)
+
+    # Columns of their own: the two sides of a cogroup must not share any.
+    queries = queries.select(*[F.col(c).alias(c) for c in columns])
+    asked = queries.withColumn("floor", F.lit(None).cast("double"))
+    if exact and blocks > 1:
+        # A block holds few of the queries that begin there, so these are one group.
+        first = answered(
+            sound.select(*columns, dealt(blocks, 1).alias("b"), F.lit(0).alias("q")),
+            asked.select(*columns, "floor", dealt(blocks, 3).alias("b"), F.lit(0).alias("q")),
+        )
+        floors = first.groupBy("query_row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+        floors = floors.where(F.size("scores") >= k).select("query_row", F.col("scores")[k - 1].cast("double").alias("floor"))
+        floors = staged(floors, "topk-floors")
+        asked = queries.join(floors, queries["row"] == floors["query_row"], "left").select(*columns, "floor")
+    found = answered(
+        sound.select(*columns, dealt(blocks, 1).alias("b"), every(query_blocks).alias("q")),
+        asked.select(*columns, "floor", every(blocks).alias("b"), dealt(query_blocks, 2).alias("q")),
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -30,19 +30,31 @@ HARD = [(1, None), (2, ""), (3, "   \n"), (4, "..."), (5, "x"), (5, "x"), (None,
 # 1: top-k
 
 
+def top_by_hand(data, is_query, k=5):
+    sound = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for r, (a, x) in enumerate(sound):
+        if is_query(a):
+            best = sorted((-sum(m * n for m, n in zip(x, y)), b) for s, (b, y) in enumerate(sound) if s != r)[:k]
+            want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(best)]
+    return sorted(want, key=str)
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
     data += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")]), (1003, [float("inf")]), (None, [1.0]), (0, data[0][1])]
     data += [(2000 + i, data[5][1]) for i in range(40)]  # ties
-    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    data += [(3000, []), (77, data[3][1]), (3050, [0.0] * 6)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("row", F.lit(1))
     got = rows(topk.top_k(vectors, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=4), "query_id", "rank", "vec_id", "score")
-    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for a in (i for i in q if i % 50 == 0):
-        best = sorted((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a)[:5]
-        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(best)]
-    assert got == sorted(want, key=str)
+    assert got == [g for g in top_by_hand([d if d[1] != [] else (d[0], [0.0]) for d in data], lambda i: i % 50 == 0)]
+
+
+def test_topk_of_rows_that_share_an_id(spark):
+    data = [(0, [1.0]), (1, [2.0]), (1, [3.0]), (0, [2.0])]
+    got = rows(topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score")
+    assert got == top_by_hand(data, lambda i: i == 0) and (0, 1, 1, 196608) in got
 
 
 def test_topk_of_few_huge_and_no_vectors(spark):
@@ -58,12 +70,21 @@ def test_topk_of_few_huge_and_no_vectors(spark):
     ]
 
 
-def test_bounds_enclose_the_scores():
+def test_search_finds_the_best_and_reads_less_where_it_can():
     rng = np.random.default_rng(5)
-    values, queries = np.floor(rng.normal(size=(50, 4)) * 9), np.floor(rng.normal(size=(7, 4)) * 9)
-    for depth in (1, 7, 30, 50):
-        low, high = topk.SortedLists(values).bounds(depth, np.maximum(queries, 0), np.minimum(queries, 0))
-        assert (low <= values @ queries.T).all() and (values @ queries.T <= high).all()
+    n, d = 2000, 16
+    values = np.floor(rng.pareto(1.5, size=(n, 1)) * 99 * rng.random((n, d)))  # a few vectors are large in every list
+    queries = np.floor(rng.random((20, d)) * 9)
+    q, c, scores, read = topk.block_top(values, np.full(20, -1), queries, 5)
+    assert read < 0.6 * 20 * n * d
+    best = np.sort(values @ queries.T, axis=0)[::-1][:5]
+    for i in range(20):
+        assert np.array_equal(np.sort(scores[q == i])[::-1][:5], best[:, i])
+    # With a floor that other candidates are known to reach, lists of even values are left early as well.
+    even, x = np.floor(rng.normal(size=(n, d)) * 256), np.floor(rng.normal(size=(4, d)) * 256)
+    floors = np.sort(even @ x.T, axis=0)[::-1][0] + 1
+    q, c, scores, read = topk.block_top(even, np.full(4, -1), x, 5, floors)
+    assert read < 0.75 * 4 * n * d and np.isin(np.arange(n)[(even @ x.T)[:, 0] >= floors[0]], c[q == 0]).all()
 
 
 # 2: toxicity
