@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,8 +19,11 @@ GROUP_PIECES = 20_000  # pieces that are packed together
 
 
 def sequence_cost(length: int) -> float:
-    """What training on a sequence costs: a fixed part, a linear one and attention's square."""
-    return 64 + length + length * length / 65_536
+    """What training on a sequence costs, in code points: a fixed part, a linear one and attention's square.
+
+    Short sequences suffer from the first, long ones from the last; 8,192 of the permitted lengths costs least for each code point.
+    """
+    return 1_024 + length + length * length / 65_536
 
 
 def pieces(docs: DataFrame, longest: int) -> DataFrame:
@@ -32,62 +36,83 @@ def pieces(docs: DataFrame, longest: int) -> DataFrame:
     return split.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most), F.col("n_chars") - start).cast("int").alias("n"))
 
 
-class Bins:
-    """Open sequences of any permitted length, found by the room that is left in them."""
-
-    def __init__(self, lengths: Sequence[int]) -> None:
-        self.lengths = sorted(lengths)
-        self.room: list[int] = []  # the different amounts of room, ascending
-        self.with_room: dict[int, list[int]] = {}
-        self.used: list[int] = []
-
-    def _put(self, bin_: int, room: int) -> None:
-        if room > SEPARATOR:
-            if room not in self.with_room:
-                insort(self.room, room)
-                self.with_room[room] = []
-            self.with_room[room].append(bin_)
-
-    def add(self, size: int) -> tuple[int, int]:
-        """The bin and the offset of a piece: in the open bin that it fills best, or in a new one of the least cost for each code point."""
-        i = bisect_left(self.room, size)
-        if i < len(self.room):
-            room = self.room[i]
-            bin_ = self.with_room[room].pop()
-            if not self.with_room[room]:
-                del self.with_room[room], self.room[i]
-        else:
-            fit = [c for c in self.lengths if c >= size]
-            room = min(fit, key=lambda c: (sequence_cost(c) / c, c))
-            bin_ = len(self.used)
-            self.used.append(0)
-        offset = self.used[bin_]
-        self.used[bin_] += size
-        self._put(bin_, room - size)
-        return bin_, offset
-
-    def capacities(self) -> np.ndarray:
-        """Each bin's final length: the least permitted one that holds its contents."""
-        return np.array([self.lengths[bisect_left(self.lengths, u)] for u in self.used], np.int64)
+class Unpacked:
+    """The sizes that are still to be packed: different ones in ascending order, and how many there are of each."""
+
+    def __init__(self, sizes: Sequence[int]) -> None:
+        found = sorted(Counter(sizes).items())
+        self.sizes, self.left = [s for s, _ in found], [n for _, n in found]
+        self.below = list(range(len(found)))  # itself, or a smaller size to go to once there are none left
+
+    def at_most(self, size: int, before: int) -> int:
+        """The place, under ``before``, of the greatest size left that is at most ``size``; -1 if there is none."""
+        i = min(bisect_right(self.sizes, size), before) - 1
+        path = []
+        while i >= 0 and self.below[i] != i:
+            path.append(i)
+            i = self.below[i]
+        for j in path:
+            self.below[j] = i
+        return i
+
+    def take(self, i: int, n: int) -> None:
+        self.left[i] -= n
+        if not self.left[i]:
+            self.below[i] = i - 1
+
+    def filled(self, length: int) -> tuple[list[tuple[int, int]], int]:
+        """A sequence of ``length`` filled by best fit, the greatest size that fits the room first: places with numbers of pieces, and what they use."""
+        room, found, i = length, [], len(self.sizes)
+        while room and (i := self.at_most(room, i)) >= 0:
+            n = min(self.left[i], room // self.sizes[i])
+            found.append((i, n))
+            room -= n * self.sizes[i]
+        return found, length - room
+
+
+def sequences(sizes: Sequence[int], lengths: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """Pack all ``sizes``, none over the greatest of ``lengths``: each sequence's length and the sizes in it.
+
+    Every sequence takes the greatest size left. All lengths that hold it are filled on trial with what else is left and shrunk
+    to the least length that holds their contents; the one that costs least for each code point of its contents is opened.
+    """
+    rest, out, lengths = Unpacked(sizes), [], sorted(lengths)
+    while (largest := rest.at_most(lengths[-1], len(rest.sizes))) >= 0:
+        best = None
+        for length in lengths[bisect_left(lengths, rest.sizes[largest]) :]:
+            found, used = rest.filled(length)
+            final = lengths[bisect_left(lengths, used)]
+            cost = sequence_cost(final) / used
+            if best is None or cost < best[0] - 1e-12:
+                best = cost, final, found
+        _, final, found = best
+        for i, n in found:
+            rest.take(i, n)
+        out.append((final, [rest.sizes[i] for i, n in found for _ in range(n)]))
+    return out
 
 
 def _packed(lengths: Sequence[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, held, at = Bins(lengths), [], []
-        for batch in batches:  # by size, the largest first
-            held.append(batch)
-            at.append(np.array([bins.add(n + SEPARATOR) for n in batch["n"].to_pylist()], np.int64).reshape(-1, 2))
+        held = list(batches)  # by size, the largest first
         if not held:
             return
-        final, used = bins.capacities(), np.array(bins.used, np.int64)
-        first = TaskContext.get().partitionId() << 32
-        for batch, places in zip(held, at, strict=True):
-            bin_ = places[:, 0]
+        sizes = np.concatenate([b["n"].to_numpy() for b in held]).astype(np.int64) + SEPARATOR
+        values, first = np.unique(-sizes, return_index=True)  # pieces of one size follow each other
+        next_ = dict(zip((-values).tolist(), first.tolist(), strict=True))
+        bins = np.zeros((4, len(sizes)), np.int64)  # number, length, used, offset
+        for number, (length, own) in enumerate(sequences(sizes.tolist(), lengths)):
+            offset, used = 0, sum(own)
+            for size in own:
+                bins[:, next_[size]] = number, length, used, offset
+                next_[size] += 1
+                offset += size
+        bins[0] += TaskContext.get().partitionId() << 32
+        at = 0
+        for batch in held:
+            places, at = bins[:, at : at + batch.num_rows], at + batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(c) for c in (bin_ + first, final[bin_], used[bin_], places[:, 1])),
-                    *(batch[c] for c in ("doc_id", "piece", "start", "n")),
-                ],
+                [*map(pa.array, places), *(batch[c] for c in ("doc_id", "piece", "start", "n"))],
                 ["bin_id", "capacity", "used", "offset", "doc_id", "piece", "start", "n"],
             )
 
@@ -98,9 +123,7 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: int =
     """Assign every code point of ``docs`` (doc_id, text) to a place in a sequence of one of the permitted ``lengths``.
 
     Texts are cut where they exceed the greatest length; pieces are dealt by hash into groups of about ``group_pieces``,
-    and each group is packed from its largest piece down: into the open sequence, of whatever length, with the least
-    sufficient room, or into a new one of the length that costs least for each code point. In the end every
-    sequence shrinks to the least permitted length that holds its contents. A task holds four
+    and each group is packed from its largest piece down; see ``sequences``. A task holds some
     numbers for each of its pieces, never their texts.
 
     Returns bin_id, capacity, used (with separators), offset, doc_id, piece, start, n. Null and empty texts have nothing to

@@ -359,10 +359,57 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
-def test_best_fit_takes_the_least_room():
-    bins = packing.Bins((16, 32))
-    first = [bins.add(n)[0] for n in (20, 30, 10)]
-    assert first == [0, 1, 0] and bins.add(2)[0] in (0, 1) and list(bins.capacities()) == [32, 32]
+def cost_of(packed):
+    return sum(packing.sequence_cost(length) for length, _ in packed)
+
+
+def least_cost(sizes, lengths):
+    """By trying every way to part the pieces into sequences."""
+    if not sizes:
+        return 0.0
+    first, rest, best = sizes[0], sizes[1:], float("inf")
+    for mask in range(1 << len(rest)):
+        used = first + sum(s for i, s in enumerate(rest) if mask >> i & 1)
+        fit = [c for c in lengths if c >= used]
+        if fit:
+            others = [s for i, s in enumerate(rest) if not mask >> i & 1]
+            best = min(best, packing.sequence_cost(min(fit)) + least_cost(others, lengths))
+    return best
+
+
+def smallest_fit(sizes, lengths):
+    """Best fit decreasing, with every sequence opened at the least length that holds its first piece."""
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fit = [b for b in bins if b[0] - sum(b[1]) >= s]
+        if fit:
+            min(fit, key=lambda b: b[0] - sum(b[1]))[1].append(s)
+        else:
+            bins.append((min(c for c in lengths if c >= s), [s]))
+    return bins
+
+
+def test_lengths_are_chosen_jointly():
+    rng = random.Random(8)
+    sizes = [rng.randint(4_200, 5_600) for _ in range(400)]  # over 4,096, and only one fits in 8,192
+    found = packing.sequences(sizes, packing.LENGTHS)
+    assert sorted(s for _, own in found for s in own) == sorted(sizes)
+    assert cost_of(found) < 0.75 * cost_of(smallest_fit(sizes, packing.LENGTHS))
+    # What is left at the end goes to short sequences.
+    assert [c for c, _ in packing.sequences([1_500] * 5 + [300], packing.LENGTHS)] == [8_192]
+    assert [c for c, _ in packing.sequences([1_500], packing.LENGTHS)] == [2_048]
+    for _ in range(40):
+        sizes = [rng.choice([rng.randint(1, 2_000), rng.randint(1_000, 16_384)]) for _ in range(7)]
+        assert cost_of(packing.sequences(sizes, packing.LENGTHS)) <= 1.25 * least_cost(sizes, packing.LENGTHS)
+
+
+def test_packing_of_long_texts_ties_and_clashing_columns(spark):
+    docs = frame(spark, [(1, "x" * 1_000_000), (2, "y" * 100), (3, "z" * 100), (3, "z" * 100)])
+    for c in ("start", "n", "piece", "bin_id", "n_chars"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    found = packing.pack(docs).collect()
+    assert sum(r.n for r in found if r.doc_id == 1) == 1_000_000 and max(r.capacity for r in found) == 16_384
+    assert sorted(r.n for r in found if r.doc_id > 1) == [100, 100, 100]
 
 
 # 6: URL filter
