@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 PROFILE = 400  # n-grams in a profile, and most of a document's that are compared
 MAX_LANGUAGES = 2_000  # profiles are broadcast: 2,000 of 400 n-grams are under 20 MB
+MIN_SCORE = 0.1  # of a text that is kept; texts of the learnt languages score 0.39 or more
 FLUSH_KEYS = 2_000_000
 UNDETERMINED = "und"
 EDGE = 1  # stands for the blank around words; no letter has this code point
@@ -114,8 +115,9 @@ def learn_profiles(examples: DataFrame, size: int = PROFILE) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    ranks = counts.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < size)
-    return ranks.select("lang", "gram", "rank")
+    # The condition is on the row number itself: Spark then drops most n-grams before they are shuffled.
+    ranks = counts.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= size)
+    return ranks.select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
 class Profiles:
@@ -186,13 +188,21 @@ def learn_and_identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, size: int = PROFILE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language can be told; see ``learn_and_identify``."""
+def keep_identified(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language can be told; see ``learn_and_identify``.
+
+    Texts without a letter go, null and empty ones included, and texts that are as far from every profile as can be: whose score
+    is under ``min_score``. If there is no profile, because no row has a lang, only the former go.
+    """
     sent = _sent(docs, learn_profiles(docs.where(~held_out()), size), size)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [sent.value.predict(t.as_py())[0] != UNDETERMINED for t in batch["text"]]
+            texts = [t.as_py() for t in batch["text"]]
+            if sent.value.langs:
+                known = [s >= min_score and p != UNDETERMINED for p, s in map(sent.value.predict, texts)]
+            else:
+                known = [bool(t) and len(grams(t)) > 0 for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

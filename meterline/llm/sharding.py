@@ -58,7 +58,7 @@ def shard(docs: DataFrame, shards: int = 8, range_bytes: int = RANGE_BYTES) -> D
     Records are ordered by the hash of their text, so equal texts are neighbours. A sample in
     which a record's chance grows with its size gives the boundaries of the ranges; records are dealt to
     ranges by them, and a range that holds over twice its share (many copies of one text) is
-    subdivided by a hash that takes in doc_id. Running sums inside the ranges, on top of
+    subdivided by a hash of the record's number, so that repeated rows part as well. Running sums inside the ranges, on top of
     the ranges' own totals, put each record at its place in the whole order, which is cut into ``shards``
     of equal bytes. A shard's bytes differ from the mean by less than the largest record.
 
@@ -75,6 +75,7 @@ def shard(docs: DataFrame, shards: int = 8, range_bytes: int = RANGE_BYTES) -> D
             F.crc32(raw).alias("text_crc32"),
             F.xxhash64(raw).alias("k"),
             F.xxhash64(raw, F.col("doc_id").cast("string"), F.lit(1)).alias("k2"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("k3"),  # tells repeated rows apart, once written
         ),
         "sharding",
     )
@@ -95,9 +96,9 @@ def shard(docs: DataFrame, shards: int = 8, range_bytes: int = RANGE_BYTES) -> D
         .select("range", F.ceil(F.col("held") / share).alias("parts"))
     )
     dealt = dealt.join(F.broadcast(overfull), "range", "left").withColumn(
-        "part", F.coalesce(F.floor(_unit(F.col("k2")) * F.col("parts")), F.lit(0)).cast("long")
+        "part", F.coalesce(F.floor(_unit(F.col("k3")) * F.col("parts")), F.lit(0)).cast("long")
     )
-    order = Window.partitionBy("range", "part").orderBy("k", "k2", "doc_id")
+    order = Window.partitionBy("range", "part").orderBy("k", "k2", "doc_id", "k3")
     rows = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.select(
         "doc_id", "size", "text_crc32", "range", "part",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,12 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 BUCKET = 1_024  # a larger bucket is compared in blocks of this size, pair of blocks by pair
+COPY_WORDS = 5  # words in a shingle by which near copies are judged
+COPY_SIMILARITY = 0.8
+COPY_RADIUS = 6  # differing bits of the fingerprints of words that candidates may have
+GROUP_SHINGLES = 4_000  # groups of candidates of at most so many shingles are compared many at a time
+BLOCK_SHINGLES = 500_000  # a larger group is compared in blocks of about this many, pair of blocks by pair
+CACHED_WORDS = 500_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The bits of each byte value, the highest first.
@@ -186,28 +193,166 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct, radius))
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join's sides are plain shuffles, of which Spark splits a large class's.
+    least = staged(tied.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-classes")
     return tied.join(least, "root").select("fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, less near-duplicates: of each class the document with the least id stays.
+def text_key(text):
+    """A column that tells texts apart: their hash; 0 for null and for texts without a word."""
+    return F.when(F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
-    Repeated rows of that id and text stay once; different texts under one id count as one document. Of a class
-    without any id, the row with the least text stays; rows without an id go if their class has one.
+
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+
+
+def word_fingerprint(text: str | None, known: dict[bytes, bytes]) -> int:
+    """The 64-bit fingerprint of a text's words, each weighing 1 + ln of its frequency; ``known`` remembers words' hashes.
+
+    A changed word changes one feature of this, but several shingles, so near copies' fingerprints differ in fewer bits.
     """
-    prints = staged(fingerprints(docs, words), "simhash")
-    found = staged(classes(prints, radius), "simhash-classes")
-    gone = prints.join(found, "fp").where("doc_id <> component_id").select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    stay = _first(stay, ["doc_id", F.xxhash64("text")], F.xxhash64("text"))
-    unnamed = fingerprints(docs.where("doc_id is null").select("text").distinct().withColumn("copy", F.col("text")), words, "copy")
-    unnamed = unnamed.join(found.where("component_id is null"), "fp").groupBy("root").agg(F.min("copy").alias("__text"))
-    nameless = docs.where("doc_id is null")
-    nameless = nameless.join(unnamed, nameless["text"].eqNullSafe(unnamed["__text"]), "left_semi")
-    return stay.unionByName(_first(nameless, [F.xxhash64("text")], F.xxhash64("text")))
-
-
-def _first(rows: DataFrame, by: list, order) -> DataFrame:
+    found = Counter(_words(text))
+    if not found:
+        return 0
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh64_digest(w, SEED)
+    bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in found]), np.uint8).reshape(-1, 8), axis=1)
+    weights = 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
+    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big")
+
+
+def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, bytes] = {}
+    for batch in batches:
+        found = np.array([word_fingerprint(t.as_py(), known) for t in batch["text"]], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(found.view(np.int64))], ["doc_id", "key", "fp"])
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending; a shorter text is one shingle."""
+    found = _words(text)
+    runs = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64).view(np.int64))
+
+
+def _copies(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (member, member) that join what is linked by pairs of at least ``similarity`` (Jaccard) among ``sets``.
+
+    Visited members leave the set that later ones are compared to, so a group of copies takes few rounds.
+    """
+    sizes = np.array([len(x) for x in sets])
+    flat, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
+    rest, found = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        todo = [first] if rest[first] else []
+        rest[first] = False
+        while todo:
+            x = todo.pop()
+            near = np.flatnonzero(rest & (sizes >= similarity * sizes[x]) & (similarity * sizes <= sizes[x]))
+            if not len(near):
+                continue
+            n = sizes[near]
+            starts = np.cumsum(n) - n
+            others = flat[np.repeat(begin[near] - starts, n) + np.arange(n.sum())]
+            place = np.minimum(np.searchsorted(sets[x], others), sizes[x] - 1)
+            shared = np.add.reduceat((sets[x][place] == others).astype(np.int64), starts)
+            near = near[shared >= similarity * (sizes[x] + n - shared) - 1e-9]
+            rest[near] = False
+            todo += near.tolist()
+            found += [(int(keys[first]), int(keys[i])) for i in near]
+    return found
+
+
+_LINK = "a long, b long"
+
+
+def _link_batch(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")})
+
+
+def copy_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the keys of near copies in the same group of ``candidates`` (least, key, root).
+
+    The text of each candidate is fetched once and cut into shingles. Groups are compared as a whole if they are small;
+    of a large one every pair of blocks is compared, so no task holds more than two blocks and no pair is missed.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingles(t.as_py(), words) for t in batch["text"]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["root"], found], ["key", "root", "shingles"])
+
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    wanted = candidates.select(F.col("least").alias("id"), F.col("key").alias("k"), "root")
+    texts = texts.join(wanted, (texts["key"] == wanted["k"]) & texts["doc_id"].eqNullSafe(wanted["id"]))
+    sets = texts.select("key", "root", "text").mapInArrow(cut, "key long, root long, shingles array<long>")
+    # A repeated row is fetched as often as it occurs.
+    sets = staged(sets.groupBy("key").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "simhash-shingles")
+    sizes = sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("size"))
+    sized = sets.join(sizes, "root")
+    small = sized.where(F.col("size") <= GROUP_SHINGLES).groupBy("root").agg(F.collect_list(F.struct("key", "shingles")).alias("texts"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for group in batch["texts"]:
+                keys = group.values.field("key").to_numpy()
+                sets = [x.values.to_numpy() for x in group.values.field("shingles")]
+                found += _copies(keys, sets, similarity)
+            yield from _link_batch(found).to_batches()
+
+    def compare_blocks(group: pa.Table) -> pa.Table:
+        return _link_batch(_copies(group["key"].to_numpy(), [x.values.to_numpy() for x in group["shingles"]], similarity))
+
+    blocks = F.ceil(F.col("size") / BLOCK_SHINGLES)
+    large = sized.where(F.col("size") > GROUP_SHINGLES).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), blocks))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    large = large.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "shingles")
+    return small.select("texts").mapInArrow(compare, _LINK).union(large.groupBy("root", "i", "j").applyInArrow(compare_blocks, _LINK))
+
+
+def near_copies(prints: DataFrame, docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """key (of each different text), least (its least doc_id) and class (a key) for ``prints`` (doc_id, key, fp) of ``docs``.
+
+    Texts are candidates if their fingerprints are joined by links of at most ``radius`` bits, and near copies if their sets
+    of shingles then have the ``similarity``. Classes are what such pairs join.
+    """
+    distinct = staged(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "simhash-texts")
+    roots = components(links(distinct.select("fp").distinct(), radius))
+    tied = distinct.join(roots, distinct.fp == roots.node, "left").select("key", "least", F.coalesce("root", "fp").alias("root"))
+    several = tied.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    candidates = staged(tied.where("key <> 0").join(several, "root", "left_semi"), "simhash-candidates")
+    joined = components(copy_links(docs, candidates, words, similarity)).select(F.col("node").alias("key"), F.col("root").alias("class"))
+    return distinct.join(joined, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class"))
+
+
+def one_of_each(
+    docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less near copies: one row of each class stays; see ``near_copies``.
+
+    It is the one with the least id (null last), of several texts under that id the one of the least hash; of its repeated rows
+    one. Null texts and those without a word are one class. Texts that differ in case and white space only are copies.
+    """
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = staged(keyed.mapInArrow(_word_fingerprints, f"doc_id {kind}, key long, fp long"), "simhash-words")
+    found = near_copies(prints, docs, words, similarity, radius)
+    order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "key")
+    stay = staged(found.groupBy("class").agg(F.min(order).alias("one")).select("one.least", "one.key"), "simhash-one-of-each")
+    key, id_ = "__text_key", "__least_id"
+    stay = stay.select(F.col("least").alias(id_), F.col("key").alias(key + "_"))
+    keyed = docs.withColumn(key, text_key(F.col("text")))
+    named = keyed.where("doc_id is not null")
+    named = named.join(stay, (named["doc_id"] == stay[id_]) & (named[key] == stay[key + "_"]), "left_semi")
+    nameless = keyed.where("doc_id is null").join(stay.where(f"{id_} is null"), F.col(key) == F.col(key + "_"), "left_semi")
+    return _first(named, ["doc_id", key]).unionByName(_first(nameless, [key])).select(docs.columns)
+
+
+def _first(rows: DataFrame, by: list) -> DataFrame:
     n = "__first_of_copies"
-    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col(n) == 1).drop(n)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))).where(F.col(n) == 1).drop(n)

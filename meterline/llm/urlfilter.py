@@ -22,8 +22,8 @@ def split_url(url):
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Judge the ``url`` of every page by ``rules`` (host, path, verdict).
 
-    Each distinct (host, longest relevant path head) is expanded into all host suffixes times
-    all path prefixes of the lengths that rules have. The expressions meet the rules by an
+    Each distinct (host, longest relevant path head) is expanded into all host suffixes, and these, where rules have such a
+    host, into path prefixes of the lengths that its rules have. The expressions meet the rules by an
     equi-join on the first 4 bytes of their SHA-256; the full digest confirms. Of the rules that fit, the
     longest wins, and of equal ones ``block``. A url that no rule fits gets ``default``.
 
@@ -42,6 +42,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         .groupBy("host", "path")
         .agg(F.max("verdict").alias("verdict"))  # 'block' is after 'allow'
         .select(
+            "host",
             F.concat("host", "path").alias("rule"),
             F.length("path").alias("n"),
             "verdict",
@@ -50,35 +51,40 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         )
         .withColumn("short", F.substring("rule_digest", 1, PREFIX_HEX))
     )
-    lengths = rules.select("n").distinct().orderBy("n").limit(4096).collect()
-    lengths = [r.n for r in lengths]
-    n_rules = rules.count()
+    hosts = rules.groupBy("host").agg(F.collect_set("n").alias("lengths")).withColumn("rule_digest", digest(F.col("host")))
+    hosts = hosts.select("lengths", "rule_digest", F.substring("rule_digest", 1, PREFIX_HEX).alias("short"))
+    n_rules, longest = rules.agg(F.count("*"), F.max("n")).first()
+    if n_rules <= BROADCAST_RULES:
+        rules, hosts = F.broadcast(rules), F.broadcast(hosts)
 
     host, path = split_url(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    judged = judged.withColumn("head", F.substring("path", 1, max(lengths, default=0)))
+    judged = judged.withColumn("head", F.substring("path", 1, longest or 0))
     parts = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
     )
-    heads = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("head")),
-        lambda n: F.substring(F.col("head"), F.lit(1), n),
-    )
-    expressions = (
+    known = (
         judged.where("host <> ''")
         .select("host", "head")
         .distinct()
-        .select("host", "head", F.explode(suffixes).alias("suffix"), heads.alias("heads"))
-        .select("host", "head", "suffix", F.explode("heads").alias("prefix"))
+        .select("host", "head", F.explode(suffixes).alias("suffix"))
+        .withColumn("digest", digest(F.col("suffix")))
+        .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
+        .join(hosts, "short")
+        .where("digest = rule_digest")
+    )
+    heads = F.transform(
+        F.filter("lengths", lambda n: n <= F.length("head")), lambda n: F.substring(F.col("head"), F.lit(1), n)
+    )
+    expressions = (
+        known.select("host", "head", "suffix", F.explode(heads).alias("prefix"))
         .withColumn("digest", digest(F.concat_ws("\x01", "suffix", "prefix")))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     )
-    if n_rules <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
     # Written, so that the join's sides are plain shuffles, of which Spark splits a hot host's.
     found = staged(
-        expressions.join(rules, "short")
+        expressions.join(rules.drop("host"), "short")
         .where("digest = rule_digest")
         .groupBy("host", "head")
         .agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "verdict", "rule")).alias("won")),

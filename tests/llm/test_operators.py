@@ -300,16 +300,61 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     prints = [(d, fingerprint_by_hand(t)) for d, t in docs]
     want = components_by_hand(prints)
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in found} == {d: (f"{p:016x}", want[d]) for d, p in prints}
-    kept = simhash.one_of_each(frame(spark, docs))
+
+
+def copies_by_hand(docs, similarity=0.8):
+    def cut(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""}
+
+    sets, root = [cut(t) for _, t in docs], list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= similarity * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return set(least.values())
+
+
+@pytest.mark.parametrize("block, radius", [(500_000, simhash.COPY_RADIUS), (150, 8)])
+def test_one_of_each_equals_brute_force(spark, monkeypatch, block, radius):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(simhash, "GROUP_SHINGLES", 400 if block < 1_000 else 4_000)
+    rng = random.Random(9)
+    docs = []
+    for g in range(12):
+        base = [rng.choice(["The", "of", "tion", "é", "zu"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(80, 300))]
+        for _ in range(10):
+            w = list(base)
+            for _ in range(rng.randint(0, len(base) // 40)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randint(0, 9))
+            docs.append((len(docs), " ".join(w)))
+        docs.append((len(docs), " ".join(rng.sample(base, len(base)))))  # the same words in another order
+    docs += [(500, None), (501, ""), (502, "\t "), (503, "One two"), (504, "one  TWO"), (505, docs[0][1]), (506, "one two three")]
+    kept = simhash.one_of_each(frame(spark, docs), radius=radius)
     assert kept.columns == ["doc_id", "text", "lang", "source", "score", "rank"]
-    assert {r.doc_id for r in kept.collect()} == {d for d in want if want[d] == d}
+    kept, want = {r.doc_id for r in kept.collect()}, copies_by_hand(docs)
+    # The greater radius reaches every pair here; the default misses few.
+    assert kept == want if radius > simhash.COPY_RADIUS else want <= kept and len(kept - want) <= 2
 
 
 def test_near_duplicates_of_hard_rows(spark):
     found = rows(simhash.near_duplicates(frame(spark, HARD)), "doc_id", "component_id")
     assert found == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5), (None, None), (7, 7)], key=str)
-    kept = simhash.one_of_each(frame(spark, [*HARD, (None, "x"), (None, "y z"), (None, "Y  z")]))
-    assert rows(kept, "doc_id", "text") == sorted([(1, None), (4, "..."), (5, "x"), (7, "word " * 20_000), (None, "Y  z")], key=str)
+    kept = rows(simhash.one_of_each(frame(spark, [*HARD, (None, "x"), (None, "y z"), (None, "Y  z")])), "doc_id", "text")
+    assert [k for k in kept if k[0]] == sorted([(1, None), (4, "..."), (5, "x"), (7, "word " * 20_000)], key=str)
+    assert len(kept) == 5 and kept[-1][1] in ("y z", "Y  z")
+    assert simhash.one_of_each(frame(spark, [])).count() == 0
+    both = [(1, "a b c"), (1, "d e f"), (2, "D e f"), (None, "a b c")]  # two texts under one id
+    assert rows(simhash.one_of_each(frame(spark, both)), "doc_id", "text") == [(1, "a b c"), (1, "d e f")]
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
@@ -431,6 +476,16 @@ def test_url_filter_on_hard_urls(spark):
     assert urlfilter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 1])
+def test_url_rules_of_many_lengths(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", broadcast)
+    rules = [("h.org", "/" + "a" * n, "block" if n % 2 else "allow") for n in range(4_200)] + [(None, "/", "block"), ("", "/", "block"), ("x", None, "block")]
+    pages = [(n, "http://w.h.org/" + "a" * n) for n in (0, 1, 4_098, 4_199, 5_000)] + [(7, "http://x"), (8, "http://y.x/z")]
+    found = urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    want = [(n, len("h.org/") + min(n, 4_199), "block" if min(n, 4_199) % 2 else "allow") for n in (0, 1, 4_098, 4_199, 5_000)] + [(7, 1, "block"), (8, 1, "block")]
+    assert sorted((r.page_id, len(r.rule), r.verdict) for r in found.collect()) == sorted(want)
+
+
 # 7: extraction
 
 PAGE = """<!doctype html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="has-sidebar">
@@ -532,6 +587,15 @@ def test_shards_are_even_and_gapless(spark):
     assert rows(sharding.shard(frame(spark, HARD)), "slot") and sharding.shard(frame(spark, HARD)).count() == len(HARD)
 
 
+def test_repeated_rows_of_one_id_are_spread(spark):
+    docs = [(5, "one and the same " * 50)] * 2000 + [(None, "other")] * 1000
+    found = sharding.shard(frame(spark, docs)).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert len(found) == 3000 and max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in found)
+
+
 # 9: language model
 
 
@@ -613,6 +677,37 @@ def test_language_on_held_out_documents(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "score", "rank"] and kept.count() == len(docs) + 3
 
 
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(1, 6)))
+    docs = [(i, " ".join(word("abcdé" if i % 2 else "cdefß") for _ in range(rng.randint(1, 40))), "xy"[i % 2]) for i in range(60)]
+    docs += [(100, "abc " * 50_000, None), (101, "zzz", None)]
+    size, learnt = 30, [(t, l) for d, t, l in docs if l and zlib.crc32(str(d).encode()) % 5]
+    counts = {l: Counter(g for t, k in learnt if k == l for g in map(int, langid.grams(t))) for l in "xy"}
+    ranks = {l: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size])} for l, c in counts.items()}
+
+    def by_hand(text):
+        own = sorted(Counter(map(int, langid.grams(text))).items(), key=lambda x: (-x[1], x[0]))[:size]
+        mean = {n: np.mean([i for i, (_, m) in enumerate(own) if m == n]) for _, n in own}
+        far = {l: sum(abs(r[g] - mean[n]) if g in r else size for g, n in own) for l, r in ranks.items()}
+        best = min(far, key=lambda l: (far[l], l))
+        return best, 1 - far[best] / (len(own) * size)
+
+    spark_docs = frame(spark, docs)
+    found = langid.identify(spark_docs, langid.learn_profiles(spark_docs.where(~langid.held_out()), size), size).collect()
+    for r in found:
+        lang, score = by_hand(dict((d, t) for d, t, _ in docs)[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+
+
+def test_languages_that_no_profile_knows(spark):
+    docs = [(i, "the and of with " * 5, "en") for i in range(40)]
+    others = [(100, "Ωμέγα και άλφα", None), (101, "the", None), (102, "...", None), (103, None, None)]
+    assert rows(langid.keep_identified(frame(spark, docs + others)).where("doc_id >= 100"), "doc_id") == [(101,)]
+    # Without any language all texts with a letter stay.
+    assert rows(langid.keep_identified(frame(spark, others)), "doc_id") == [(100,), (101,)]
+
+
 def test_grams_by_hand():
     def by_hand(text):
         out = []
