@@ -108,16 +108,19 @@ COUNTERS = ("prompt_tokens", "completion_tokens", "cache_read_tokens", "cache_cr
             "api_requests", "successful_requests", "failed_requests")
 
 
+ROLLUP_COUNTERS = (*COUNTERS, "compression_saved_tokens")
+ROLLUP_MONEY = ("spend", "compression_savings_spend", "prompt_caching_savings_spend", "autorouter_savings_spend")
+
+
 def daily_rollup(deltas: DataFrame, entity: str) -> DataFrame:
-    """Counters and money by day, entity, key, model, provider and endpoint; null and '' members are one.
+    """Counters and money by day, entity, key, model, provider, tool and endpoint; null and '' members are one, an absent counter or amount counts 0.
 
     ``model_group`` is that of the first row by order_key and line.
     """
-    by = ["usage_date", entity, "api_key", "model", "provider", "endpoint"]
+    by = ["usage_date", entity, "api_key", "model", "provider", "mcp_namespaced_tool_name", "endpoint"]
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in by[1:]]
     return deltas.groupBy("usage_date", *texts).agg(
-        *[F.sum(c).alias(c) for c in COUNTERS],
-        F.sum("spend").alias("spend"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*ROLLUP_COUNTERS, *ROLLUP_MONEY)],
         F.min_by("model_group", F.struct("order_key", "line")).alias("model_group"),
     )
 

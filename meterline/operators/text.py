@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import staged
 from .aggregates import count_if
 
 
@@ -18,19 +21,29 @@ def sentences(docs: DataFrame, max_words: int | None = None) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("sentence", "s"))
 
 
+MAX_RULES = 100_000  # of one kind and category, which go into the plan
+
+
 def _listed(rules: DataFrame, kind: str, category: str) -> list[tuple[str, str]]:
-    rows = rules.where((F.col("kind") == kind) & (F.col("category") == category)).select("value", "severity").orderBy("value").limit(5_000).collect()
-    return [(r["value"], r["severity"]) for r in rows]
+    rows = rules.where((F.col("kind") == kind) & (F.col("category") == category)).select("value", "severity").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules of kind {kind} in category {category}")
+    return sorted(((r["value"], r["severity"]) for r in rows if r["value"] is not None), key=lambda r: (r[0], r[1] or ""))
+
+
+def _constant(rows: list, kind: str) -> Column:
+    """A list as a constant array."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
 
 
 def _hits(text: Column, words: list[str]) -> Column:
-    return F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(text, w))
+    return F.filter(_constant(words, "string"), lambda w: F.contains(text, w))
 
 
 def screen_keywords(docs: DataFrame, rules: DataFrame, category: str) -> DataFrame:
     """Texts that hold an always-blocked keyword, with the keyword and its severity. Rules are a policy's, so few."""
     listed = _listed(rules, "always", category)
-    pairs = F.array(*[F.struct(F.lit(w).alias("keyword"), F.lit(s).alias("severity")) for w, s in listed])
+    pairs = _constant([{"keyword": w, "severity": s} for w, s in listed], "struct<keyword:string,severity:string>")
     low = docs.select("doc_id", F.lower("text").alias("t"))
     found = low.select("doc_id", F.explode(F.filter(pairs, lambda p: F.contains(F.col("t"), p["keyword"]))).alias("h"))
     return found.select("doc_id", "h.keyword", "h.severity")
@@ -102,11 +115,28 @@ def semantic_match(vectors: DataFrame, routes: DataFrame, threshold: float) -> D
     """
     if routes.limit(MAX_UTTERANCES + 1).count() > MAX_UTTERANCES:
         raise ValueError(f"over {MAX_UTTERANCES} utterances: too many to broadcast")
-    pairs = vectors.join(F.broadcast(routes), F.lit(True))
-    scored = pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("utterance")), 9))
-    best = scored.groupBy("vec_id").agg(F.max_by(F.struct("route", "score", "route_threshold"), F.struct("score", "route")).alias("b"))
-    enough = F.col("b.score") >= F.coalesce("b.route_threshold", F.lit(threshold))
-    return best.where(enough).select("vec_id", "b.route", "b.score")
+    rows = sorted((r.route, r.utterance, r.route_threshold) for r in routes.select("route", "utterance", "route_threshold").collect() if r.route is not None and r.utterance)
+    names, limits = [r[0] for r in rows], [threshold if r[2] is None else r[2] for r in rows]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
+        wanted = unit(np.array([r[1] for r in rows], np.float64))
+        for batch in batches:
+            sound = [i for i, v in enumerate(batch["embedding"].to_pylist()) if v is not None and len(v) == wanted.shape[1]]
+            batch = batch.take(pa.array(sound, pa.int64()))
+            scores = np.round(unit(np.array(batch["embedding"].to_pylist(), np.float64).reshape(len(sound), -1)) @ wanted.T, 9) if sound else np.empty((0, len(rows)))
+            best = scores.shape[1] - 1 - scores[:, ::-1].argmax(axis=1) if sound else np.empty(0, np.int64)  # of equal ones the last route
+            score = scores[np.arange(len(best)), best]
+            kept = np.flatnonzero(score >= np.array(limits)[best]) if sound else best
+            yield pa.RecordBatch.from_arrays(
+                [batch["vec_id"].take(pa.array(kept)), pa.array([names[i] for i in best[kept]], pa.string()), pa.array(score[kept], pa.float64())],
+                ["vec_id", "route", "score"],
+            )
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], f"vec_id {kind}, route string, score double")
+    return vectors.select("vec_id", "embedding").mapInArrow(match, f"vec_id {kind}, route string, score double")
 
 
 def tokens(text: Column) -> Column:
@@ -121,16 +151,21 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> DataF
     """
     terms = docs.sparkSession.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
     terms = [(r.term, r.times) for r in terms.orderBy("term").collect()]  # of one query
-    lengths = docs.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    count = lambda keep: F.size(F.filter("words", keep))
-    equal, begins = (lambda t: lambda w: w == t), (lambda t: lambda w: w.startswith(t))
-    exact = [count(equal(t)) for t, _ in terms]
-    tf = [F.when((e == 0) & F.lit(len(t) >= 4), count(begins(t))).otherwise(e) for e, (t, _) in zip(exact, terms, strict=True)]
-    counted = lengths.select("doc_id", "length", *[c.alias(f"tf{i}") for i, c in enumerate(tf)], *[(c > 0).alias(f"has{i}") for i, c in enumerate(exact)])
+    low, edge = F.lower("text"), "(?<![a-z0-9_])"
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    exact = [count(f"{edge}{t}(?![a-z0-9_])") for t, _ in terms]
+    begins = [count(f"{edge}{t}") if len(t) >= 4 else F.lit(0) for t, _ in terms]
+    counted = docs.select(
+        "doc_id",
+        F.coalesce(count("[a-z0-9_]+"), F.lit(0)).alias("length"),
+        *[c.alias(f"exact{i}") for i, c in enumerate(exact)],
+        *[F.when(e == 0, s).otherwise(e).alias(f"tf{i}") for i, (e, s) in enumerate(zip(exact, begins, strict=True))],
+    )
+    counted = staged(counted, "bm25")  # the texts are read once
+    totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     if not terms or not totals.n:
         return counted.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    df = counted.agg(*[count_if(F.col(f"has{i}")).alias(f"df{i}") for i in range(len(terms))]).first()
+    df = counted.agg(*[count_if(F.col(f"exact{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, (_, times) in enumerate(terms):
         idf = F.log(F.lit((totals.n - df[i] + 0.5) / (df[i] + 0.5) + 1))

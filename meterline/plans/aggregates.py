@@ -125,6 +125,11 @@ def _deltas(spark, d):
             "agent": text("agent-", line % 3),
             "tag": text("tag-", line % 5),
             "model_group": text("group-", key % 3),
+            "mcp_namespaced_tool_name": F.when(line % 3 != 0, text("tool-", line % 2)),
+            "compression_saved_tokens": F.when(line % 2 == 0, F.col("api_requests") * 3),
+            "compression_savings_spend": (F.when(line % 2 == 0, F.col("api_requests") * 3) * F.lit("0.000001").cast(b.MONEY)).cast(b.MONEY),
+            "prompt_caching_savings_spend": (F.col("cache_read_tokens") * F.lit("0.000002").cast(b.MONEY)).cast(b.MONEY),
+            "autorouter_savings_spend": F.when(line % 4 == 0, F.col("spend")),
         }
     )
 
@@ -133,8 +138,11 @@ _SUMS = ", ".join(f"{n(f'sum({c})')} AS {c}" for c in ag.COUNTERS)
 
 
 def _rollup_query(entity: str, expression: str) -> None:
-    sql = with_(ROLLUP) + f"""SELECT {t('usage_date')} AS usage_date, coalesce({expression}, '') AS "{entity}", api_key, model, provider, endpoint, {_SUMS},
- {m('sum(spend)')} AS spend, arg_min('group-' || (order_key % 3), (order_key, line)) AS model_group FROM rollup_ GROUP BY 1, 2, 3, 4, 5, 6"""
+    sql = with_(ROLLUP) + f"""SELECT {t('usage_date')} AS usage_date, coalesce({expression}, '') AS "{entity}", api_key, model, provider, CASE WHEN line % 3 <> 0 THEN 'tool-' || (line % 2) ELSE '' END AS mcp_namespaced_tool_name, endpoint, {_SUMS},
+ {n('sum(CASE WHEN line % 2 = 0 THEN api_requests * 3 ELSE 0 END)')} AS compression_saved_tokens, {m('sum(spend)')} AS spend,
+ {m('sum(CASE WHEN line % 2 = 0 THEN api_requests * 3 ELSE 0 END) * 0.000001')} AS compression_savings_spend, {m('sum(cache_read_tokens) * 0.000002')} AS prompt_caching_savings_spend,
+ {m('sum(CASE WHEN line % 4 = 0 THEN spend ELSE 0 END)')} AS autorouter_savings_spend,
+ arg_min('group-' || (order_key % 3), (order_key, line)) AS model_group FROM rollup_ GROUP BY 1, 2, 3, 4, 5, 6, 7"""
 
     @query(f"ag13_daily_rollup_{entity}", sql)
     def _(spark, d):

@@ -33,24 +33,43 @@ def _(spark, d):
     return _log(spark, d).select("request_id", "usage_date", "user", "api_key", "team_id", "model", "end_user", "call_type", "status", "spend", "prompt_tokens", "completion_tokens", "cache_hit")
 
 
+def _requests(spark, d):
+    """The conversations as requests, with more fields than the library knows."""
+    content = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    message = F.struct("role", content.alias("content"), F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("name"))
+    tools = F.array(F.struct(F.lit("function").alias("type"), F.struct(F.lit("look_up").alias("name")).alias("function")))
+    body = F.struct(F.lit("old").alias("model"), F.lit(0.5).alias("temperature"), tools.alias("tools"), F.array(message).alias("messages"))
+    return b.read(spark, d, "conversations").select(F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("custom_id"), F.struct("turn").alias("metadata"), F.lit("/v1/chat").alias("url"), body.alias("body"))).alias("value"))
+
+
 def _batch_file(spark, d):
     """The conversations as batch files, objects spread over lines."""
-    rows = b.read(spark, d, "conversations").select(F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat").alias("url"), F.struct(F.lit("old").alias("model"), F.lit(5).alias("max_tokens"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")).alias("body"))).alias("value"))
     path = new_path(spark, "batch-files")
-    rows.select(F.regexp_replace("value", '"body":', '"body":\n  ')).write.text(path)
+    _requests(spark, d).select(F.regexp_replace("value", '"body":', '"body":\n  ')).write.text(path)
     return path
 
 
+def _custom_and_chars(found):
+    return found.where("error is null").select(F.get_json_object("request", "$.custom_id").alias("custom_id"), F.length(F.get_json_object("request", "$.body.messages[0].content[0].text")).cast("long").alias("chars"))
+
+
 @query("src2_read_batch_jsonl", "SELECT concat_ws('-', conv_id, turn) AS custom_id, length(text) AS chars FROM conversations")
 def _(spark, d):
-    found = files.read_batch_jsonl(spark, _batch_file(spark, d)).where("error is null")
-    return found.select(F.get_json_object("request", "$.custom_id").alias("custom_id"), F.length(F.get_json_object("request", "$.body.messages[0].content")).cast("long").alias("chars"))
+    return _custom_and_chars(files.read_batch_jsonl(spark, _batch_file(spark, d)))
+
+
+@query("src2_read_batch_lines", "SELECT concat_ws('-', conv_id, turn) AS custom_id, length(text) AS chars FROM conversations")
+def _(spark, d):
+    path = new_path(spark, "batch-lines")
+    _requests(spark, d).write.text(path)
+    return _custom_and_chars(files.read_batch_lines(spark, path))
 
 
-@query("src3_rewrite_batch_model", "SELECT concat_ws('-', conv_id, turn) AS custom_id, 'new' AS model FROM conversations")
+@query("src3_rewrite_batch_model", """SELECT CAST(json_object('custom_id', concat_ws('-', conv_id, turn), 'metadata', json_object('turn', turn), 'url', '/v1/chat',
+ 'body', json_object('model', 'new', 'temperature', 0.5::DOUBLE, 'tools', json_array(json_object('type', 'function', 'function', json_object('name', 'look_up'))),
+ 'messages', json_array(json_object('role', role, 'content', json_array(json_object('type', 'text', 'text', text)), 'name', 'conv' || conv_id)))) AS VARCHAR) AS request FROM conversations""")
 def _(spark, d):
-    found = files.rewrite_batch_model(files.read_batch_jsonl(spark, _batch_file(spark, d)), "new")
-    return found.select(F.get_json_object("request", "$.custom_id").alias("custom_id"), F.get_json_object("request", "$.body.model").alias("model"))
+    return files.rewrite_batch_model(files.read_batch_jsonl(spark, _batch_file(spark, d)), "new").select("request")
 
 
 @query("src4_html_chunks")
@@ -66,15 +85,7 @@ def _(spark, d):
     made = b.read(spark, d, "part").groupBy("p_brand").agg(lines.alias("lines")).select("p_brand", text.alias("value"))
     path = new_path(spark, "policies")
     made.write.option("lineSep", "\n").partitionBy("p_brand").text(path)
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value")
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.DataFrame([r for v in batch["value"] for r in policies.parse_category(v)], columns=["category", "default_action", "kind", "value", "severity"])
-
-    rules = whole.mapInPandas(run, policies.RULES)
+    rules = policies.load_policy_table(spark, path, "*.txt")
     return rules.groupBy("category", "kind", "value").agg(F.count("*").alias("n"))
 
 

@@ -45,13 +45,40 @@ def read_batch_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, BATCH)
 
 
-REQUEST = "custom_id string, method string, url string, body struct<model:string,max_tokens:long,messages:array<struct<role:string,content:string>>>"
+def read_batch_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, request (JSON) and error of each line that isn't blank, for files with one object a line: a large file is split among tasks."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value")).where("value <> ''")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [next(split_objects(v)) for v in batch["value"]]
+            yield pd.DataFrame({"path": batch["path"], "request": [f[0] for f in found], "error": [f[1] for f in found]})
+
+    return lines.mapInPandas(run, "path string, request string, error string")
 
 
 def rewrite_batch_model(requests: DataFrame, model: str) -> DataFrame:
-    """Requests (request, JSON) with ``body.model`` set."""
-    typed = F.from_json("request", REQUEST)
-    return requests.withColumn("request", F.to_json(typed.withField("body", typed["body"].withField("model", F.lit(model)))))
+    """Requests (request, JSON) with ``body.model`` set and all else as it was, in compact form.
+
+    What isn't an object, or has no object for a body, stays as it is, and so does what isn't JSON.
+    """
+
+    @F.pandas_udf("string")
+    def rewritten(column: pd.Series) -> pd.Series:
+        return column.map(lambda text: _with_model(text, model))
+
+    return requests.withColumn("request", rewritten("request"))
+
+
+def _with_model(text: str | None, model: str) -> str | None:
+    try:
+        found = json.loads(text) if text else None
+    except ValueError:
+        return text
+    if not isinstance(found, dict) or not isinstance(found.get("body"), dict):
+        return text
+    found["body"]["model"] = model
+    return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
 
 
 CHUNK_CHARS = 4_000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ LISTS = {
     "phrase_patterns": "phrase",
 }
 
+#: A line up to a comment: quoted parts may hold the mark.
+_COMMENT = re.compile(r"""^((?:"(?:[^"\\]|\\.)*"|'[^']*'|(?!\s\#).)*?)\s\#.*$""")
+
 #: Our own rules over the invented words of the given tables.
 SAMPLE = [
     ("insults", "BLOCK", "always", "idiot", "high"),
@@ -33,7 +38,7 @@ def parse_category(text: str) -> list[tuple[str, str, str, str, str | None]]:
     """The rules of one category file: plain ``key: value`` lines and lists of texts, or of ``keyword``/``severity`` pairs."""
     name, action, kind, rows = "", "BLOCK", None, []
     for line in text.splitlines():
-        body = line.split(" #")[0].rstrip()
+        body = _COMMENT.sub(r"\1", line).rstrip()
         if not body.strip() or body.lstrip().startswith("#"):
             continue
         item = body.strip()
@@ -55,9 +60,9 @@ def parse_category(text: str) -> list[tuple[str, str, str, str, str | None]]:
     return [(name, action, k, v.replace("\\\\", "\\"), s) for k, v, s in rows]
 
 
-def load_policy_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All category files of a folder as one table of rules; each file is one task's text."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.yaml")
+def load_policy_table(spark: SparkSession, folder: str, names: str = "*.yaml") -> DataFrame:
+    """All category files under a folder, those whose names fit, as one table of rules; each file is one task's text."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=names, recursiveFileLookup=True).select("value")
 
     def run(batches):
         import pandas as pd

@@ -8,7 +8,8 @@ from meterline.functions import pricing as pr
 from meterline.functions import scalars as sc
 from meterline.operators import aggregates as ag
 from meterline.operators import relations as r
-from meterline.sources import files
+from meterline.operators import text
+from meterline.sources import files, policies
 from pyspark.sql import functions as F
 
 
@@ -27,12 +28,13 @@ def test_a_cached_failure_is_subtracted_twice(spark):
 
 @pytest.mark.parametrize("parts", [1, 8])
 def test_rollup_merges_null_and_empty_keys_in_any_order(spark, parts):
-    kind = "usage_date date, team string, api_key string, model string, provider string, endpoint string, model_group string, order_key long, line int, spend decimal(18,6), " + ", ".join(f"{c} long" for c in ag.COUNTERS)
+    kind = "usage_date date, team string, api_key string, model string, provider string, mcp_namespaced_tool_name string, endpoint string, model_group string, order_key long, line int, " + ", ".join([*(f"{c} decimal(18,6)" for c in ag.ROLLUP_MONEY), *(f"{c} long" for c in ag.ROLLUP_COUNTERS)])
     day, money = dt.date(2024, 1, 1), Decimal("0.1")
-    rows = [(day, t, "k", None, "p", "e", f"g{i}", i, 0, money, *[1] * 7) for i, t in enumerate([None, "", None])]
+    rows = [(day, t, "k", None, "p", None if i else "", "e", f"g{i}", i, 0, money, money, None, money, *[1] * 7, None) for i, t in enumerate([None, "", None])]
     for order in (rows, rows[::-1]):
         found = one(ag.daily_rollup(spark.createDataFrame(order, kind).repartition(parts), "team"))
         assert (found.team, found.api_requests, found.spend, found.model_group) == ("", 3, Decimal("0.3"), "g0")
+        assert (found.mcp_namespaced_tool_name, found.compression_saved_tokens, found.prompt_caching_savings_spend) == ("", 0, 0)
 
 
 def test_upsert_keeps_the_old_request_where_the_new_is_null(spark):
@@ -147,3 +149,23 @@ def test_empty_tables(spark):
     log = spark.createDataFrame([], "usage_date date, api_key string, spend decimal(18,6), user string, model string, end_user string, request_tags array<string>, tools array<string>, prompt_tokens long, completion_tokens long")
     for found in (ag.spend_by_day(log, "2024-01-31"), ag.daily_tag_spend(log), ag.top_end_users(log), ag.tool_spend(log), ag.top_models(log, "2024-01-31")):
         assert found.count() == 0
+
+
+def test_a_rewritten_request_keeps_all_but_its_model(spark):
+    whole = '{"custom_id":"é/1","metadata":{"a":[1,2.5,null]},"body":{"model":"old","tools":[{"type":"function"}],"messages":[{"role":"user","content":[{"type":"text","text":"x\\n"}],"name":"n"}]}}'
+    cases = {whole: whole.replace('"old"', '"new"'), '{"body": null}': '{"body": null}', "[1]": "[1]", "no JSON": "no JSON", '{"body":{}}': '{"body":{"model":"new"}}'}
+    found = files.rewrite_batch_model(spark.createDataFrame([(i, c) for i, c in enumerate([*cases, None])], "i int, request string"), "new").collect()
+    assert {r.i: r.request for r in found} == dict(enumerate([*cases.values(), None]))
+
+
+def test_category_files_keep_marks_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text('category_name: "x"  # note\nexceptions:\n  - "issue #5"  # why\n  - plain # gone\n')
+    (tmp_path / "b.txt").write_text("category_name: other\nexceptions:\n  - no\n")
+    found = policies.load_policy_table(spark, str(tmp_path)).collect()
+    assert [(r.category, r.kind, r.value) for r in found] == [("x", "exception", "issue #5"), ("x", "exception", "plain")]
+
+
+def test_no_rule_is_dropped(spark):
+    rules = spark.createDataFrame([("c", "BLOCK", "always", f"word{i:05d}", None) for i in range(5_001)], policies.RULES)
+    docs = spark.createDataFrame([(1, "word00000"), (2, "WORD05000"), (3, "word09999"), (4, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keyword) for r in text.screen_keywords(docs, rules, "c").collect()) == [(1, "word00000"), (2, "word05000")]
