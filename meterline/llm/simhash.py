@@ -74,8 +74,15 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     conditions m(i) . v = 0 on v, and one more unknown leaves a nonzero v that meets all of them.
     """
     size = 1 << (radius + 1)
-    # The nonzero vectors in turn, shuffled: each mask then keeps about half the positions.
-    vectors = np.random.default_rng(seed).permutation(np.arange(64) % (size - 1) + 1)
+    rng = np.random.default_rng(seed)
+    if size <= 64:
+        # The nonzero vectors in turn, shuffled: each mask then keeps about half the positions.
+        vectors = rng.permutation(np.arange(64) % (size - 1) + 1)
+    else:
+        # Of some draws of 64 vectors the one whose emptiest mask keeps the most positions.
+        parity = np.array([bin(x).count("1") & 1 for x in range(size)])
+        kept = lambda drawn: min(parity[drawn & v].sum() for v in range(1, size))
+        vectors = max((rng.permutation(np.arange(1, size))[:64] for _ in range(32)), key=kept)
     odd = lambda v: sum(1 << i for i, m in enumerate(vectors) if (int(m) & v).bit_count() & 1)
     return [m - (1 << 64) if m >> 63 else m for m in map(odd, range(1, size))]
 
@@ -292,7 +299,7 @@ def copy_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: f
     sets = texts.select("key", "root", "text").mapInArrow(cut, "key long, root long, shingles array<long>")
     # A repeated row is fetched as often as it occurs.
     sets = staged(sets.groupBy("key").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "simhash-shingles")
-    sizes = sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("size"))
+    sizes = staged(sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("size")), "simhash-sizes")
     sized = sets.join(sizes, "root")
     small = sized.where(F.col("size") <= GROUP_SHINGLES).groupBy("root").agg(F.collect_list(F.struct("key", "shingles")).alias("texts"))
 
@@ -324,7 +331,8 @@ def near_copies(prints: DataFrame, docs: DataFrame, words: int, similarity: floa
     distinct = staged(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "simhash-texts")
     roots = components(links(distinct.select("fp").distinct(), radius))
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("key", "least", F.coalesce("root", "fp").alias("root"))
-    several = tied.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    # Written, like the sizes of groups, so that joins with them are of plain shuffles, of which Spark splits a large group's.
+    several = staged(tied.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "simhash-groups")
     candidates = staged(tied.where("key <> 0").join(several, "root", "left_semi"), "simhash-candidates")
     joined = components(copy_links(docs, candidates, words, similarity)).select(F.col("node").alias("key"), F.col("root").alias("class"))
     return distinct.join(joined, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class"))

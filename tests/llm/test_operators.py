@@ -358,13 +358,15 @@ def test_near_duplicates_of_hard_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_masks_cover_every_difference_within_the_radius():
-    rng, masks = random.Random(1), simhash.covering_masks(4)
-    assert len(masks) == 31
+@pytest.mark.parametrize("radius", [4, 6])
+def test_masks_cover_every_difference_within_the_radius(radius):
+    rng, masks = random.Random(1), simhash.covering_masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    assert min((m & (1 << 64) - 1).bit_count() for m in masks) >= 26  # none so empty that unlike texts meet under it
     for _ in range(2000):
         a = rng.getrandbits(64)
         b = a
-        for i in rng.sample(range(64), 4):
+        for i in rng.sample(range(64), radius):
             b ^= 1 << i
         assert any(a & m == b & m for m in masks)
 
