@@ -80,8 +80,7 @@ def block_top(
         found, entries = lists.search(query, k, -np.inf if floors is None else floors[i], int(own[i]))
         read += entries
         scores = values[found] @ query
-        if len(found) > k:  # ties at the k-th place stay together
-            found = found[scores >= np.partition(scores, len(scores) - k)[len(scores) - k]]
+        found = np.sort(found[np.lexsort((found, -scores))[:k]])  # of equal ones the first, which have the smaller ids
         q.append(np.full(len(found), i))
         c.append(found)
     q, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (q, c))
