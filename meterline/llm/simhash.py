@@ -19,10 +19,10 @@ SEED = 42
 BUCKET = 1_024  # a larger bucket is compared in blocks of this size, pair of blocks by pair
 COPY_WORDS = 5  # words in a shingle by which near copies are judged
 COPY_SIMILARITY = 0.8
-COPY_RADIUS = 6  # differing bits of the fingerprints of words that candidates may have
+COPY_RADIUS = 5  # differing bits of the fingerprints of words that candidates may have
 GROUP_SHINGLES = 4_000  # groups of candidates of at most so many shingles are compared many at a time
 BLOCK_SHINGLES = 500_000  # a larger group is compared in blocks of about this many, pair of blocks by pair
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The bits of each byte value, the highest first.
