@@ -23,7 +23,7 @@ def price_tiered(log: DataFrame, tiers: DataFrame, rates: DataFrame) -> DataFram
     t = tiers.select(F.col("model").alias("t_model"), "range_start", "range_end", "input_rate", "output_rate")
     last = tiers.groupBy(F.col("model").alias("l_model")).agg(F.max_by(F.struct("input_rate", "output_rate"), "range_end").alias("last"))
     within = (F.col("model") == F.col("t_model")) & (F.col("prompt_tokens") > F.col("range_start")) & (F.col("prompt_tokens") <= F.col("range_end"))
-    j = log.join(F.broadcast(t), within, "left").join(F.broadcast(last), F.col("model") == F.col("l_model"), "left")
+    j = log.join(t, within, "left").join(last, F.col("model") == F.col("l_model"), "left")
     j = j.join(rates.select("model", F.col("output_rate").alias("model_output")), "model", "left")
     found = F.col("t_model").isNotNull()
     pick = lambda c: F.when(F.col("prompt_tokens") > 0, F.when(found, F.col(c)).otherwise(F.col(f"last.{c}")))

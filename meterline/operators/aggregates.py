@@ -168,7 +168,7 @@ def guardrail_cost(units: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost by guardrail: the region's price, else the default one, else 0; costs of 0 or less, NaN and infinity count 0."""
     regional = prices.where("region is not null").select("unit", "region", F.col("price").alias("regional"))
     default = prices.where("region is null").select("unit", F.col("price").alias("default"))
-    priced = units.join(F.broadcast(regional), ["unit", "region"], "left").join(F.broadcast(default), "unit", "left")
+    priced = units.join(regional, ["unit", "region"], "left").join(default, "unit", "left")
     cost = F.col("units") * F.coalesce("regional", "default", F.lit(0.0))
     sound = F.when(~F.isnan(cost) & (cost > 0) & (cost < float("inf")), cost).otherwise(0.0)
     return priced.groupBy("guardrail").agg(F.round(F.sum(sound), 6).alias("cost"))
@@ -259,7 +259,7 @@ def compliance(entries: DataFrame) -> DataFrame:
 
 def deprecations(models: DataFrame, dates: DataFrame, as_of: str, warn_days: int = 30) -> DataFrame:
     """When each model ends: its own date, else its base model's, else its name's, else its name's without the provider."""
-    at = lambda name, by: F.broadcast(dates.select(F.col("name").alias(by), F.col("date").alias(name)))
+    at = lambda name, by: dates.select(F.col("name").alias(by), F.col("date").alias(name))
     bare = F.element_at(F.split("model", "/"), -1)
     joined = (
         models.withColumn("bare", bare)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import sent
+
 # Filters
 
 
@@ -75,11 +77,11 @@ def wildcard(pattern: Column) -> Column:
 def policy_match(contexts: DataFrame, policies: DataFrame) -> DataFrame:
     """Context and policy pairs whose team, key and model fit and, if the policy has tags, one of whose tags does.
 
-    A null value fits only ``*``. Policies are few: they are broadcast.
+    A null value fits only ``*``. Policies are broadcast if they are few.
     """
     fits = lambda c: F.when(F.col(c).isNull(), F.col(f"p_{c}") == "*").otherwise(F.rlike(F.col(c), wildcard(F.col(f"p_{c}"))))
     tags = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: F.rlike(v, wildcard(p))))
-    joined = contexts.join(F.broadcast(policies), fits("team") & fits("key") & fits("model") & tags)
+    joined = contexts.join(sent(policies), fits("team") & fits("key") & fits("model") & tags)
     return joined.select("context_id", "policy")
 
 
@@ -146,13 +148,13 @@ def fill_missing_team(log: DataFrame, keys: DataFrame) -> DataFrame:
 def tier_price(usage: DataFrame, tiers: DataFrame) -> DataFrame:
     """Every request at the rate of the one tier with start < tokens <= end, of its model's last tier beyond all of them, of none for no tokens.
 
-    Tiers (model, range_start, range_end, rate) are few and broadcast.
+    Tiers (model, range_start, range_end, rate) meet their model; Spark broadcasts them if they are small.
     """
     within = (F.col("tokens") > F.col("range_start")) & (F.col("tokens") <= F.col("range_end"))
     t = tiers.select(F.col("model").alias("t_model"), "range_start", "range_end", "rate")
     last = tiers.groupBy(F.col("model").alias("l_model")).agg(F.max_by("rate", "range_end").alias("last_rate"))
-    joined = usage.join(F.broadcast(t), (F.col("model") == F.col("t_model")) & within, "left")
-    joined = joined.join(F.broadcast(last), F.col("model") == F.col("l_model"), "left")
+    joined = usage.join(t, (F.col("model") == F.col("t_model")) & within, "left")
+    joined = joined.join(last, F.col("model") == F.col("l_model"), "left")
     rate = F.when(F.col("tokens") > 0, F.coalesce("rate", "last_rate"))
     return joined.select(*usage.columns, rate.alias("rate"), F.round(rate * F.col("tokens"), 6).alias("cost"))
 
@@ -198,13 +200,13 @@ def map_models(log: DataFrame, patterns: DataFrame) -> DataFrame:
     """Each model's deployment by the most specific pattern that it begins with, * standing for anything.
 
     Specific is the pattern whose regular expression is longest, then the one with the most operators in it. What a pattern's
-    stars stand for takes the place of the deployment's, in order. Patterns are few and broadcast; models are matched once each.
+    stars stand for takes the place of the deployment's, in order. Patterns are broadcast if they are few; models are matched once each.
     """
     escaped = F.regexp_replace("pattern", r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r])", r"\\$1")
     p = patterns.withColumn("regex", F.regexp_replace(escaped, r"\\\*", "(.*)"))
     p = p.withColumn("operators", F.regexp_count("regex", F.lit(r"[*+?\\^$|()]"))).withColumn("stars", F.regexp_count("pattern", F.lit(r"\*")))
     models = log.select("model").distinct()
-    fits = models.join(F.broadcast(p), F.rlike(F.col("model"), F.concat(F.lit("^"), "regex")))
+    fits = models.join(sent(p), F.rlike(F.col("model"), F.concat(F.lit("^"), "regex")))
     order = F.struct(F.length("regex"), "operators", "pattern")
     best = fits.groupBy("model").agg(F.max_by(F.struct("pattern", "deployment", "regex", "stars"), order).alias("b")).select("model", "b.*")
     parts = F.split(F.regexp_replace("deployment", r"([\\$])", r"\\$1"), r"\*")

@@ -60,11 +60,25 @@ def stream_load(log: DataFrame, length: str = "1 minute", slide: str | None = No
     return sums.select("deployment", F.col("w.start").alias("start"), "tpm", "rpm")
 
 
-def _by_session(step, state_schema: str, out_schema: str):
-    """A keyed fold over a session's rows in order of time; ``step`` takes state and row and gives both the new state and a row."""
+LATE = "1 hour"  # rows this far behind the newest are still folded in
+
+
+def _by_session(step, ends, state_schema: str, out_schema: str, last=None):
+    """A keyed fold over a session's rows in order of time; ``step`` takes state and row and gives both the new state and a row.
+
+    ``ends`` gives the second from which a state has no more effect; it is dropped once the watermark, LATE behind the newest
+    ``at``, has passed that, so state doesn't grow with the sessions ever seen. ``last`` makes a row of a dropped state. Rows from before the watermark are left out;
+    it begins at the epoch, so event time runs a second ahead of ``at`` to take in rows at 0.
+    """
+    columns = [c.split()[0] for c in out_schema.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            made = last(at) if last else None
+            yield pd.DataFrame([] if made is None else [(*key, *made)], columns=columns)
+            return
         rows = pd.concat(list(frames)).sort_values(["at", "seq"])
         out = []
         for row in rows.itertuples(index=False):
@@ -73,10 +87,14 @@ def _by_session(step, state_schema: str, out_schema: str):
                 out.append((*key, *made))
         if at is not None:
             state.update(at)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in out_schema.split(", ")])
+            state.setTimeoutTimestamp(max((int(ends(at)) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns)
 
     def apply(stream: DataFrame, by: list[str]) -> DataFrame:
-        return stream.groupBy(*by).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        timed = stream.withColumn("event_time", F.timestamp_seconds(F.col("at") + 1)).withWatermark("event_time", LATE)
+        return timed.groupBy(*by).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
     return apply
 
@@ -88,7 +106,7 @@ def session_limit(events: DataFrame, maximum: int, ttl_s: int) -> DataFrame:
         first, n = state if state and row.at < state[0] + ttl_s else (row.at, 0)
         return (first, n + 1), (int(row.seq), n + 1, n + 1 > maximum)
 
-    fold = _by_session(step, "first long, n long", "session_id string, seq long, n long, over boolean")
+    fold = _by_session(step, lambda s: s[0] + ttl_s, "first long, n long", "session_id string, seq long, n long, over boolean")
     return fold(events.select("session_id", "at", "seq"), ["session_id"])
 
 
@@ -101,7 +119,7 @@ def sticky_route(events: DataFrame, ttl_s: int) -> DataFrame:
         alive = state is not None and row.at < state[1] + ttl_s
         return state, (int(row.seq), state[0] if alive else None)
 
-    fold = _by_session(step, "override string, set_at long", "tenant string, session_id string, seq long, route string")
+    fold = _by_session(step, lambda s: s[1] + ttl_s, "override string, set_at long", "tenant string, session_id string, seq long, route string")
     return fold(events.select("tenant", "session_id", "at", "seq", "override"), ["tenant", "session_id"])
 
 
@@ -139,7 +157,7 @@ def stream_cooldown(failures: DataFrame, allowed: int, window_s: int, rest_s: in
         rests = n > allowed and row.at >= until
         return (first, n, row.at + rest_s if rests else until), (int(row.seq), row.at + rest_s) if rests else None
 
-    fold = _by_session(step, "first long, n long, until long", "session_id string, seq long, until long")
+    fold = _by_session(step, lambda s: max(s[0] + window_s, s[2]), "first long, n long, until long", "session_id string, seq long, until long")
     return fold(failures.select("session_id", "at", "seq"), ["session_id"])
 
 
@@ -163,11 +181,11 @@ TOKEN_CHARS = 64
 _TOKEN = re.compile(r"<([A-Z][A-Z_]*_[0-9]+)>")
 
 
-def stream_decode(fragments: DataFrame) -> DataFrame:
+def stream_decode(fragments: DataFrame, ttl_s: int = 3_600) -> DataFrame:
     """Fragments (session_id, at, seq, text, vault) with tokens restored.
 
     What may be the beginning of a token, at most TOKEN_CHARS characters, is held back until the next fragment of the session; a fragment marked
-    ``last`` gives out all. ``vault`` maps tokens to values.
+    ``last`` gives out all, and so does a session without a fragment for ``ttl_s``. ``vault`` maps tokens to values.
     """
 
     def step(state, row):
@@ -176,7 +194,8 @@ def stream_decode(fragments: DataFrame) -> DataFrame:
         hold = "" if row.last or at < 0 or ">" in text[at:] or len(text) - at > TOKEN_CHARS else text[at:]
         ready = text[: len(text) - len(hold)]
         vault = dict(row.vault) if row.vault is not None else {}
-        return (hold,), (int(row.seq), _TOKEN.sub(lambda m: vault.get(m[0], m[0]), ready))
+        return (hold, int(row.seq), int(row.at)) if hold else None, (int(row.seq), _TOKEN.sub(lambda m: vault.get(m[0], m[0]), ready))
 
-    fold = _by_session(step, "held string", "session_id string, seq long, text string")
+    state, out = "held string, seq long, at long", "session_id string, seq long, text string"
+    fold = _by_session(step, lambda s: s[2] + ttl_s, state, out, lambda s: (s[1] + 1, s[0]))
     return fold(fragments.select("session_id", "at", "seq", "text", "vault", "last"), ["session_id"])
