@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, langid, lm, packing, sharding, simhash, topk, toxicity, urlfilter
+from . import alignment, conversations, decontam, extraction, langid, lm, packing, quality, sharding, simhash, topk, toxicity, urlfilter
 from .common import table
 
 URL_RULES = [
@@ -16,6 +16,12 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_files(folder: str = TOKENIZERS) -> tuple[str, str]:
+    return f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model"
+
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -59,6 +65,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents")).drop("text")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *tokenizer_files())[0]
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +88,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_lm": op9_lm,
     "op10_langid": op10_langid,
+    "op11_conversations": op11_conversations,
+    "op12_quality": op12_quality,
+    "op13_alignment": op13_alignment,
 }
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -113,4 +134,6 @@ hit AS (SELECT id, rhost || rpath AS rule, rverdict,
 SELECT page_id, url, host, path, rule, coalesce(rverdict, 'allow') AS verdict
 FROM u LEFT JOIN (SELECT * FROM hit WHERE n = 1) USING (id)
 """,
+    "op12_quality": quality.oracle_sql(),
+    "op11_conversations": conversations.oracle_sql(),
 }
