@@ -379,34 +379,6 @@ def decode(texts: DataFrame, vault: DataFrame) -> DataFrame:
 # Vault
 
 
-def seal(vault: DataFrame, key: str) -> DataFrame:
-    """Values encrypted and bound to their token and request; ``key`` has 16, 24 or 32 bytes."""
-    aad = F.concat_ws("\x01", "token", "request_id")
-    sealed = F.base64(F.aes_encrypt(F.col("value"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(F.sha2(F.concat_ws("\x01", "token", "request_id", "value"), 256), 1, 24)), aad))
-    return vault.withColumn("ciphertext", sealed).drop("value")
-
-
-def unseal(vault: DataFrame, key: str) -> DataFrame:
-    aad = F.concat_ws("\x01", "token", "request_id")
-    value = F.try_aes_decrypt(F.unbase64("ciphertext"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string")
-    return vault.withColumn("value", value).drop("ciphertext")
-
-
-MAX_CANDIDATES = 100_000
-
-
-def vault_search(vault: DataFrame, scope: str, query: str, mode: str = "normalized") -> DataFrame:
-    """A scope's tokens whose value is ``query``: exact, normalized or as a part. Scopes of over MAX_CANDIDATES tokens are refused."""
-    own = vault.where(F.col("request_id") == scope)
-    if own.limit(MAX_CANDIDATES + 1).count() > MAX_CANDIDATES:
-        raise ValueError(f"over {MAX_CANDIDATES} candidates: narrow the scope")
-    if mode == "exact":
-        return own.where(F.col("value") == query)
-    wanted = sc.normalize_search(F.lit(query))
-    folded = sc.normalize_search(F.col("value"))
-    return own.where(folded == wanted if mode == "normalized" else F.contains(folded, wanted))
-
-
 def live(vault: DataFrame, as_of: str) -> DataFrame:
     return vault.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of).cast("timestamp")))
 

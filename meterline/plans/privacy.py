@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pii
+from ..operators import pii, vault
 from ..operators import relations as r
+from ..shared import new_path
 from ..sources import bindings as b
 from .common import LOG, n, rnd, with_
 
@@ -178,8 +179,15 @@ def _(spark, d):
 
 @query("pi20_seal")
 def _(spark, d):
-    vault = pii.encode(_requests(spark, d))[1]
-    return pii.unseal(pii.seal(vault, "0123456789abcdef"), "0123456789abcdef")
+    rows = pii.encode(_requests(spark, d))[1]
+    return vault.unseal(vault.seal(rows, "0123456789abcdef"), "0123456789abcdef")
+
+
+@query("pi20_round_trip", with_(LOG) + "SELECT '<V_' || request_id || '>' AS token, api_key AS request_id, call_type || ' ' || model AS value, true AS hidden FROM log")
+def _(spark, d):
+    rows = _log(spark, d).select(F.concat(F.lit("<V_"), "request_id", F.lit(">")).alias("token"), F.col("api_key").alias("request_id"), F.concat_ws(" ", "call_type", "model").alias("value"))
+    sealed = vault.seal(rows, "0123456789abcdef").withColumn("hidden", ~F.contains("ciphertext", F.lit("model")))
+    return vault.unseal(sealed, "0123456789abcdef").select("token", "request_id", "value", "hidden")
 
 
 def _vault(spark, d):
@@ -190,9 +198,51 @@ def _vault(spark, d):
     )
 
 
-@query("pi21_vault_search")
+@query("pi21_vault_search", with_(LOG) + "SELECT '<V_' || request_id AS token, call_type AS value FROM log WHERE api_key = 'key-3' AND contains(lower(call_type), 'purch')")
+def _(spark, d):
+    return vault.scan(_vault(spark, d), "key-3", "PURCH", "substring", 10_000_000).select("token", "value")
+
+
+def _orders_vault(spark, d):
+    """A token for each order, a third of them in one scope."""
+    customers = b.read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    value = F.concat_ws(" ", "c_name", F.concat("o_orderpriority", F.lit(" ")), "o_orderstatus")
+    scope = F.when(F.col("o_orderkey") % 3 == 0, "all").otherwise(F.col("c_mktsegment"))
+    return b.read(spark, d, "orders").join(customers, "o_custkey").select(_text("<O_", F.col("o_orderkey")).alias("token"), scope.alias("request_id"), value.alias("value"), "o_custkey")
+
+
+_ORDERS = """v AS (SELECT '<O_' || o_orderkey AS token, CASE WHEN o_orderkey % 3 = 0 THEN 'all' ELSE c_mktsegment END AS request_id, c_name || ' ' || o_orderpriority || '  ' || o_orderstatus AS value, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _indexed(spark, d, queries, mode):
+    """Hits by an index that has been written and read again."""
+    path = new_path(spark, "vault-index")
+    vault.write_index(vault.index(_orders_vault(spark, d), "0123456789abcdef"), path)
+    return vault.search(vault.read_index(spark, path), queries, "0123456789abcdef", mode).select("query_id", "token", "request_id", "o_custkey")
+
+
+def _asked(spark, d, query):
+    """Every twentieth customer asks, in the scope of all."""
+    return b.read(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.lit("all").alias("request_id"), query.alias("query"))
+
+
+def _search_sql(query: str, fits: str) -> str:
+    return with_(_ORDERS, f"q AS (SELECT c_custkey AS query_id, {query} AS query FROM customer WHERE c_custkey % 20 = 0)", r"f AS (SELECT *, regexp_replace(lower(value), '\s+', ' ', 'g') AS folded FROM v WHERE request_id = 'all')") + f"SELECT query_id, token, request_id, o_custkey FROM q JOIN f ON {fits}"
+
+
+@query("pi21_search_exact", _search_sql("c_name || ' 5-LOW  P'", "value = query"))
+def _(spark, d):
+    return _indexed(spark, d, _asked(spark, d, F.concat("c_name", F.lit(" 5-LOW  P"))), "exact")
+
+
+@query("pi21_search_normalized", _search_sql("lower(c_name || ' 2-HIGH F')", "folded = query"))
+def _(spark, d):
+    return _indexed(spark, d, _asked(spark, d, F.concat(F.lit(" "), F.upper("c_name"), F.lit("\t2-hígh  f"))), "normalized")
+
+
+@query("pi21_search_substring", _search_sql("right(c_name, 3) || ' 5-low'", "contains(folded, query)"))
 def _(spark, d):
-    return pii.vault_search(_vault(spark, d), "key-3", "PURCH", "substring").select("token", "value")
+    return _indexed(spark, d, _asked(spark, d, F.concat(F.right("c_name", F.lit(3)), F.lit(" 5-Low"))), "substring")
 
 
 _VAULT = """v AS (SELECT '<V_' || request_id AS token, "user" AS subject_id, coalesce(team_id, '') AS session_id, CASE WHEN k % 3 <> 0 THEN start_time + to_days(k % 10) END AS expires_at FROM log)"""

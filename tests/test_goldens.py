@@ -44,18 +44,6 @@ def test_handles(spark):
     assert {(r.token, r.value) for r in rows} == {(f"<A_{i}>", f"v{i}") for i in range(50)}
 
 
-def test_vault_search(spark, monkeypatch):
-    rows = [("r", "<P_1>", "Anna Bell"), ("r", "<P_2>", "anna bell"), ("r", "<P_3>", "Bob"), ("s", "<P_1>", "Anna Bell")]
-    vault = spark.createDataFrame(rows, "request_id string, token string, value string")
-    tokens = lambda query, mode: sorted(r.token for r in pii.vault_search(vault, "r", query, mode).collect())
-    assert tokens("Anna Bell", "exact") == ["<P_1>"]
-    assert tokens("ANNA BELL", "normalized") == ["<P_1>", "<P_2>"] and tokens("bell", "normalized") == []
-    assert tokens("BELL", "part") == ["<P_1>", "<P_2>"]
-    monkeypatch.setattr(pii, "MAX_CANDIDATES", 2)
-    with pytest.raises(ValueError, match="candidates"):
-        pii.vault_search(vault, "r", "Bob")
-
-
 def test_leaks(spark):
     pairs = [("1", " Anna BELL", "anna bell"), ("2", "Anna", "Anna Bell"), ("3", "xx Bell", "Anna Bell"), ("4", "zzz", "Anna Bell"), ("5", "", "Anna"), ("6", None, "Anna")]
     df = spark.createDataFrame(pairs, "value_id string, released string, original string")

@@ -4,6 +4,7 @@ import pytest
 from meterline.operators import models as md
 from meterline.operators import pii
 from meterline.operators import text as tx
+from meterline.operators import vault as vault_ops
 from meterline.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -75,11 +76,11 @@ def test_round_trip_shares_tokens_and_passes_over_taken_numbers(spark):
     loose = encoded.where("request_id = 1 and text_no = 0").select("request_id", "text_no", F.lit(r"x < email _2 > y <EMAIL\_3> z <EMAIL_9>").alias("text"))
     assert pii.decode(loose, vault).collect()[0].text == "x a@b.org y c@d.org z <EMAIL_9>"
     assert pii.encode(rows, {"EMAIL": "BLOCK"})[0].count() == 1
-    sealed = pii.seal(vault, "0123456789abcdef")
+    sealed = vault_ops.seal(vault, "0123456789abcdef")
     assert "value" not in sealed.columns
-    moved = pii.unseal(sealed.withColumn("request_id", F.lit(9)), "0123456789abcdef")
+    moved = vault_ops.unseal(sealed.withColumn("request_id", F.lit(9)), "0123456789abcdef")
     assert {x.value for x in moved.collect()} == {None}
-    assert sorted(x.value for x in pii.unseal(sealed, "0123456789abcdef").collect()) == ["a@b.org", "c@d.org", "c@d.org"]
+    assert sorted(x.value for x in vault_ops.unseal(sealed, "0123456789abcdef").collect()) == ["a@b.org", "c@d.org", "c@d.org"]
 
 
 @pytest.mark.parametrize(("text", "size", "overlap"), [("abc", 10, 2), ("a" * 95, 10, 9), ("a" * 30, 10, 12), ("one two three\n\nfour five. six " * 9, 40, 7)])
