@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from ..shared import sent
+from ..shared import staged
 
 # Filters
 
@@ -74,15 +79,48 @@ def wildcard(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(escaped, r"\*", ".*"), F.lit("$"))
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What a value must begin with to fit a pattern in which * stands for anything."""
+    return F.substring_index(pattern, "*", 1)
+
+
+def prefixes(value: Column, lengths: list[int]) -> Column:
+    """The beginnings of a value that have one of the lengths; of null only the empty one."""
+    text = F.coalesce(value, F.lit(""))
+    own = [F.when(F.length(text) >= n, F.left(text, F.lit(n))) for n in lengths]
+    return F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
+
+
+def _lengths(keyed: DataFrame) -> dict[str, list[int]]:
+    """The lengths of key prefixes in use by column: at most one row for each length that a pattern has."""
+    rows = keyed.select("k.c", F.length("k.prefix").alias("n")).distinct().collect()
+    return {c: sorted(r.n for r in rows if r.c == c) for c in {r.c for r in rows}}
+
+
 def policy_match(contexts: DataFrame, policies: DataFrame) -> DataFrame:
     """Context and policy pairs whose team, key and model fit and, if the policy has tags, one of whose tags does.
 
-    A null value fits only ``*``. Policies are broadcast if they are few.
+    A null value fits only ``*``. Each policy is keyed by the longest literal prefix that its patterns have, or by those of its tags if it names
+    no team, key or model; contexts are expanded into their beginnings of the lengths in use and meet the policies on equal keys, whatever
+    their number. What is met is then compared as a whole.
     """
+    columns = ("team", "key", "model")
+    key = lambda c, prefix: F.struct(F.length(prefix).alias("n"), F.lit(c).alias("c"), prefix.alias("prefix"))
+    best = F.array_max(F.array(*[key(c, literal_prefix(F.col(f"p_{c}"))) for c in columns]))
+    tags = F.array_distinct(F.transform("p_tags", lambda t: key("tag", literal_prefix(t))))
+    sound = policies.select("policy", "p_team", "p_key", "p_model", F.coalesce("p_tags", F.array().cast("array<string>")).alias("p_tags")).dropna(subset=["p_team", "p_key", "p_model"])
+    keyed = sound.withColumn("keys", F.when((best["n"] > 0) | (F.size("p_tags") == 0), F.array(best)).otherwise(tags)).withColumn("k", F.explode("keys"))
+    lengths = _lengths(keyed)
+    under = lambda c, found: F.transform(found, lambda x: F.struct(F.lit(c).alias("c"), x.alias("prefix")))
+    own = [under(c, prefixes(F.col(c), lengths.get(c, []))) for c in columns]
+    own.append(under("tag", F.array_distinct(F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: prefixes(t, lengths.get("tag", [])))))))
+    opened = contexts.select("context_id", *columns, "tags", F.explode(F.concat(*own)).alias("o")).select("*", F.col("o.c").alias("c"), F.col("o.prefix").alias("prefix"))
+    met = opened.join(keyed.select("*", F.col("k.c").alias("c"), F.col("k.prefix").alias("prefix")).drop("k"), ["c", "prefix"])
     fits = lambda c: F.when(F.col(c).isNull(), F.col(f"p_{c}") == "*").otherwise(F.rlike(F.col(c), wildcard(F.col(f"p_{c}"))))
-    tags = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: F.rlike(v, wildcard(p))))
-    joined = contexts.join(sent(policies), fits("team") & fits("key") & fits("model") & tags)
-    return joined.select("context_id", "policy")
+    tagged = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: F.rlike(v, wildcard(p))))
+    # A policy with several tags may be met by more than one: the first counts.
+    first = F.filter("keys", lambda k: (k["c"] != "tag") | F.exists("tags", lambda t: F.startswith(t, k["prefix"])))[0]
+    return met.where(fits("team") & fits("key") & fits("model") & tagged & (first["prefix"] == F.col("prefix"))).select("context_id", "policy")
 
 
 def policy_condition(df: DataFrame, column: str, condition: str | list[str]) -> DataFrame:
@@ -97,13 +135,11 @@ def policy_condition(df: DataFrame, column: str, condition: str | list[str]) ->
 
 
 def _is_regex(df: DataFrame, text: str) -> bool:
-    probe = df.sparkSession.range(1).select(F.lit("").alias("x"))
+    """Whether the JVM, which will match it, takes it for a regular expression."""
     try:
-        probe.where(F.col("x").rlike(text)).count()
-    except Exception as e:
-        if "INVALID_PARAMETER_VALUE" in str(e) or "Pattern" in str(e):
-            return False
-        raise
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(text)
+    except IllegalArgumentException:
+        return False
     return True
 
 
@@ -200,13 +236,15 @@ def map_models(log: DataFrame, patterns: DataFrame) -> DataFrame:
     """Each model's deployment by the most specific pattern that it begins with, * standing for anything.
 
     Specific is the pattern whose regular expression is longest, then the one with the most operators in it. What a pattern's
-    stars stand for takes the place of the deployment's, in order. Patterns are broadcast if they are few; models are matched once each.
+    stars stand for takes the place of the deployment's, in order. Different models, expanded into their beginnings, meet the patterns by literal prefix.
     """
     escaped = F.regexp_replace("pattern", r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r])", r"\\$1")
     p = patterns.withColumn("regex", F.regexp_replace(escaped, r"\\\*", "(.*)"))
     p = p.withColumn("operators", F.regexp_count("regex", F.lit(r"[*+?\\^$|()]"))).withColumn("stars", F.regexp_count("pattern", F.lit(r"\*")))
-    models = log.select("model").distinct()
-    fits = models.join(sent(p), F.rlike(F.col("model"), F.concat(F.lit("^"), "regex")))
+    p = p.withColumn("k", F.struct(F.lit("model").alias("c"), literal_prefix(F.col("pattern")).alias("prefix")))
+    models = log.select("model").distinct().where("model is not null")
+    opened = models.withColumn("prefix", F.explode(prefixes(F.col("model"), _lengths(p).get("model", []))))
+    fits = opened.join(p.withColumn("prefix", F.col("k.prefix")), "prefix").where(F.rlike(F.col("model"), F.concat(F.lit("^"), "regex")))
     order = F.struct(F.length("regex"), "operators", "pattern")
     best = fits.groupBy("model").agg(F.max_by(F.struct("pattern", "deployment", "regex", "stars"), order).alias("b")).select("model", "b.*")
     parts = F.split(F.regexp_replace("deployment", r"([\\$])", r"\\$1"), r"\*")
@@ -236,10 +274,71 @@ def protected_turns(conv: DataFrame) -> DataFrame:
     return conv.withColumn("protected", kept)
 
 
+_SUFFIX = re.compile(r"(.*)_([1-9][0-9]*)\Z", re.S)
+
+
+class UsedNames:
+    """Gives each name, in order, a form that no earlier one has: itself, or the first free of name_2, name_3, …
+
+    Kept is only where each different name goes on: all its numbers below are taken.
+    """
+
+    def __init__(self):
+        self.next: dict[str, int] = {}
+
+    def taken(self, name: str) -> bool:
+        if name in self.next:
+            return True
+        parts = _SUFFIX.match(name)
+        return parts is not None and 2 <= int(parts[2]) < self.next.get(parts[1], 0)
+
+    def give(self, name: str) -> str:
+        if not self.taken(name):
+            self.next[name] = 2
+            return name
+        n = self.next.get(name, 2)
+        while self.taken(f"{name}_{n}"):
+            n += 1
+        self.next[name] = n + 1
+        return f"{name}_{n}"
+
+
 def dedupe_names(df: DataFrame, by: str, name: str, order: str) -> DataFrame:
-    """The k-th repeat of a name within ``by`` gets the suffix _k, from the second on."""
-    n = F.row_number().over(Window.partitionBy(by, name).orderBy(order))
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    """``unique_name``: the name, or with the first suffix _2, _3, … that no earlier row of its ``by`` has taken, in the order of ``order`` and then the name.
+
+    Names that could meet have one stem, the name without any numbers at its end; a fold goes over the rows of each ``by`` and stem as Spark
+    has sorted them and holds their different names only. A null name stays null.
+    """
+    stem = F.regexp_replace(name, r"(?s)(_[1-9][0-9]*)+\z", "")
+    ordered = df.withColumn("__stem", stem).repartition(F.col(by), "__stem").sortWithinPartitions(by, "__stem", order, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, UsedNames()
+        for batch in batches:
+            out = []
+            for key in zip(batch[by].to_pylist(), batch["__stem"].to_pylist(), batch[name].to_pylist()):
+                if now != key[:2]:
+                    now, used = key[:2], UsedNames()
+                out.append(None if key[2] is None else used.give(key[2]))
+            kept = [c for c in batch.schema.names if c != "__stem"]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(out, pa.string())], [*kept, "unique_name"])
+
+    return ordered.mapInArrow(run, StructType([*df.schema.fields]).add("unique_name", StringType()))
+
+
+def running_sum(df: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over a row and those before it in ``order``, within ``by``; order is unique there.
+
+    In two levels, so that one key may hold most rows: rows are dealt into ranges of (by, order), each range's sums are added up over the ranges
+    before it, and what comes before a range is added to the running sum inside.
+    """
+    ranged = staged(df.repartitionByRange(by, *order).withColumn("__range", F.spark_partition_id()), "running-sum")
+    totals = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__of")).agg(F.sum(value).alias("__total"))
+    before = F.sum("__total").over(Window.partitionBy("__by").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("__by", "__of", F.coalesce(before, F.lit(0)).alias("__before"))  # a row for each key and range that holds it
+    joined = ranged.join(offsets, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
+    inside = F.sum(value).over(Window.partitionBy("__range", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn(name, inside + F.col("__before")).select(*df.columns, name)
 
 
 def in_flight(log: DataFrame) -> DataFrame:
@@ -247,8 +346,7 @@ def in_flight(log: DataFrame) -> DataFrame:
     at = F.struct(F.col("start_time").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_time").alias("at"), F.lit(-1).alias("d"))
     moves = log.select("deployment", F.explode(F.array(*at)).alias("e")).select("deployment", "e.*")
     moves = moves.groupBy("deployment", "at", "d").agg(F.sum("d").alias("change"))
-    w = Window.partitionBy("deployment").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.select("deployment", "at", "change", F.sum("change").over(w).alias("in_flight"))
+    return running_sum(moves, "deployment", ["at", "d"], "change", "in_flight").select("deployment", "at", "change", "in_flight")
 
 
 def counter_delta(samples: DataFrame) -> DataFrame:

@@ -191,6 +191,29 @@ def _(spark, d):
     return r.map_models(_log(spark, d), patterns).select("request_id", "model", "pattern", "deployment")
 
 
+@query("jn11_map_models_many", "WITH p AS (SELECT DISTINCT p_name || '*' AS pattern, p_brand AS deployment FROM part), b AS (SELECT pattern, max(deployment) AS deployment FROM p GROUP BY 1), m AS (SELECT DISTINCT p_name || ' ' || p_type AS model FROM part) SELECT model, max_by(pattern, (length(pattern), pattern)) AS pattern, max_by(deployment, (length(pattern), pattern)) AS deployment FROM m JOIN b ON starts_with(model, left(pattern, length(pattern) - 1)) GROUP BY model")
+def _(spark, d):
+    """As many patterns as parts have names, each model the name and type of a part."""
+    parts = b.read(spark, d, "part")
+    patterns = parts.groupBy(F.concat("p_name", F.lit("*")).alias("pattern")).agg(F.max("p_brand").alias("deployment"))
+    models = parts.select(F.concat_ws(" ", "p_name", "p_type").alias("model")).distinct()
+    return r.map_models(models, patterns).select("model", "pattern", "deployment")
+
+
+@query("flt7_policy_match_many", with_(LOG, "p AS (SELECT 'c' || c_custkey AS policy, CASE WHEN c_custkey % 2 = 0 THEN 'key-' || (c_custkey % 50) ELSE 'key-' || (c_custkey % 7) || '%' END AS pk, CASE c_custkey % 3 WHEN 0 THEN 'model-' || (c_custkey % 9) ELSE '%' END AS pm, CASE WHEN c_custkey % 5 = 0 THEN ['view', 'k' || (c_custkey % 4)] ELSE CAST([] AS VARCHAR[]) END AS tags FROM customer)") + """SELECT policy, count(*) AS requests FROM log JOIN p ON api_key LIKE pk AND model LIKE pm AND (len(tags) = 0 OR list_has_any(request_tags, tags)) GROUP BY policy""")
+def _(spark, d):
+    """A policy for each customer."""
+    c = F.col("c_custkey")
+    policies = b.read(spark, d, "customer").select(
+        F.concat(F.lit("c"), c.cast("string")).alias("policy"), F.lit("*").alias("p_team"),
+        F.when(c % 2 == 0, F.concat(F.lit("key-"), (c % 50).cast("string"))).otherwise(F.concat(F.lit("key-"), (c % 7).cast("string"), F.lit("*"))).alias("p_key"),
+        F.when(c % 3 == 0, F.concat(F.lit("model-"), (c % 9).cast("string"))).otherwise("*").alias("p_model"),
+        F.when(c % 5 == 0, F.array(F.lit("view"), F.concat(F.lit("k"), (c % 4).cast("string")))).otherwise(F.array().cast("array<string>")).alias("p_tags"),
+    )
+    contexts = _log(spark, d).select(F.col("request_id").alias("context_id"), F.col("team_id").alias("team"), F.col("api_key").alias("key"), "model", F.col("request_tags").alias("tags"))
+    return r.policy_match(contexts, policies).groupBy("policy").agg(F.count("*").alias("requests"))
+
+
 def _daily(spark, d):
     rows = _log(spark, d).groupBy("usage_date").agg(F.sum("prompt_tokens").alias("cached"), F.sum("completion_tokens").alias("compressed"), F.sum("k").alias("routed"))
     return rows
@@ -206,10 +229,18 @@ def _(spark, d):
     return r.protected_turns(b.read(spark, d, "conversations")).select("conv_id", "turn", "role", "protected")
 
 
-@query("wn3_dedupe_names", "SELECT conv_id, turn, CASE WHEN i = 1 THEN name ELSE name || '_' || i END AS unique_name FROM (SELECT conv_id, turn, role || '.py' AS name, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations)")
+_NAMES = """n AS (SELECT conv_id, turn, left(role, 1) || CASE turn % 4 WHEN 2 THEN '_2' WHEN 3 THEN '_2_2' ELSE '' END AS name FROM conversations),
+g AS (SELECT conv_id, list(turn ORDER BY turn, name) AS turns, list_reduce(list_concat([{'name': '', 'used': CAST([] AS VARCHAR[])}], list({'name': name, 'used': CAST([] AS VARCHAR[])} ORDER BY turn, name)),
+  lambda a, x: {'name': '', 'used': list_append(a.used, CASE WHEN list_contains(a.used, x.name) THEN x.name || '_' || list_filter(range(2, len(a.used) + 3), lambda c: NOT list_contains(a.used, x.name || '_' || c))[1] ELSE x.name END)}).used AS used
+  FROM n GROUP BY conv_id)"""
+
+
+@query("wn3_dedupe_names", with_(_NAMES) + "SELECT conv_id, unnest(turns) AS turn, unnest(used) AS unique_name FROM g")
 def _(spark, d):
-    named = b.read(spark, d, "conversations").withColumn("name", F.concat("role", F.lit(".py")))
-    return r.dedupe_names(named, "conv_id", "name", "turn").select("conv_id", "turn", "unique_name")
+    """Names that collide with the suffixes given to others: u, u, u_2, a_2_2, …"""
+    turn = F.col("turn") % 4
+    name = F.concat(F.left("role", F.lit(1)), F.when(turn == 2, "_2").when(turn == 3, "_2_2").otherwise(""))
+    return r.dedupe_names(b.read(spark, d, "conversations").withColumn("name", name), "conv_id", "name", "turn").select("conv_id", "turn", "unique_name")
 
 
 @query("wn5_in_flight", with_(LOG, """e AS (SELECT model AS deployment, start_time AS tm, 1 AS d FROM log UNION ALL SELECT model, start_time + to_seconds(k * 60), -1 FROM log)""", "g AS (SELECT deployment, tm, d, sum(d) AS change FROM e GROUP BY 1, 2, 3)") + f"SELECT deployment, {n('epoch_us(tm)')} AS at_us, {n('change')} AS change, {n('sum(change) OVER (PARTITION BY deployment ORDER BY tm, d ROWS UNBOUNDED PRECEDING)')} AS in_flight FROM g")

@@ -7,7 +7,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,11 +30,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def sent(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """A table for the small side of a join without equal keys: broadcast if it has at most ``most`` rows, else left to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
