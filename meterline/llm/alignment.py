@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SENT_PAIRS = 1 << 19  # most frequent pairs whose counts are sent (9 MB); the links of the others are joined to their counts
-CACHE_PIECES = 150_000  # pieces of text in each of the two generations whose alignment a worker keeps
+CACHE_PIECES = 250_000  # pieces of text in each of the two generations whose alignment a worker keeps
 SLICE_ROWS = 256  # texts whose links are held at once
 B_IDS = 1 << 31  # a pair is one number: A's id times this, plus B's id
 
@@ -26,15 +27,18 @@ _CUT = re.compile(r"(?<=[^\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u
 
 
 class Piece(NamedTuple):
-    """What a piece of text adds: tokens, groups, their rendering, and the linked pairs of ids."""
+    """What a piece of text adds: A's tokens, the groups' rendering, and the linked pairs of ids."""
 
     n_a: int
-    n_b: int
-    n_groups: int
     rendered: str
     links: tuple[int, ...]  # a * 2 ** 31 + b
 
 
+#: How the byte-level tokenizer cuts a text before it merges bytes; fixed by its kind.
+_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile("[\t\n\r -\u024f]*").fullmatch  # no version of the character tables disagrees on these
+
+
 class Aligner:
     """Encodes pieces by both tokenizers and aligns them; kept by its worker."""
 
@@ -47,8 +51,12 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.a_bytes = _byte_level(self.a)
-        pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.b_pieces)]
+        self.a_size = {i: len(t) for i, t in self.a_bytes.items()}
+        self.b_size = [len(t) for t in self.b_bytes]
+        self.names = list(map(str, range(max(len(self.b), max(self.a_bytes) + 1))))
+        self.fast = _ranked(a_file, self.a_bytes)
         # Where no token has a place to cut inside, none reaches over a cut.
         self.cuts = not any(_CUT.search(t.decode("utf-8", "replace")) for t in (*self.a_bytes.values(), *self.b_bytes))
         self.known: dict[str, Piece | None] = {}
@@ -58,44 +66,67 @@ class Aligner:
         """The space and the text, cut where both tokenizers cut as well."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
+    def encode_a(self, pieces: list[str]) -> list[list[int]]:
+        if self.fast is None:
+            return [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [self.fast(p) if p.isascii() or _PLAIN(p) else self.a.encode(p, add_special_tokens=False).ids for p in pieces]
+
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {}, self.known
-        missing = pieces - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new = list(missing - again)
+        new = [p for p in pieces if p not in self.known]
+        if self.older:
+            self.known.update((p, self.older[p]) for p in new if p in self.older)
+            new = [p for p in new if p not in self.known]
         if new:
-            a = self.a.encode_batch_fast(new, add_special_tokens=False)
             b = self.b.encode([p[1:] for p in new], num_threads=1)  # the space is put before by the tokenizer
-            self.known.update((p, self.align(p, x.ids, y)) for p, x, y in zip(new, a, b))
+            self.known.update(zip(new, map(self.align, new, self.encode_a(new), b)))
+
+    def _returns(self, piece: str, a: list[int], b: list[int]) -> bool:
+        """Whether the joined bytes of both sides are the piece's."""
+        pieces = self.b_pieces
+        if "▁" not in piece and "".join([pieces[x] for x in b]) == piece.replace(" ", "▁"):
+            raw, sizes = len(piece.encode("utf-8", "surrogatepass")), self.a_size
+            return sum([sizes[x] for x in a]) == raw  # the byte-level side changes no byte
+        raw = piece.encode("utf-8", "surrogatepass")
+        return b"".join([self.a_bytes[x] for x in a]) == raw == b"".join([self.b_bytes[x] for x in b])
 
     def align(self, piece: str, a: list[int], b: list[int]) -> Piece | None:
         """None if the joined bytes of either side differ from the piece's."""
-        raw = piece.encode("utf-8", "surrogatepass")
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
+        if not a or not self._returns(piece, a, b):
             return None
-        out, links = [], []
-        i = j = first_i = first_j = end_a = end_b = 0
-        while i < len(a):
-            # Tokens that overlap are linked; the side that ends first goes on.
-            links.append(a[i] * B_IDS + b[j])
-            stop_a, stop_b = end_a + len(x[i]), end_b + len(y[j])
-            if stop_a <= stop_b:
-                i, end_a = i + 1, stop_a
-            if stop_b <= stop_a:
-                j, end_b = j + 1, stop_b
-            if stop_a == stop_b:
-                out.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-                first_i, first_j = i, j
-        return Piece(len(a), len(b), len(out), ";".join(out), tuple(links))
+        a_size, b_size, names = self.a_size, self.b_size, self.names
+        n, i, j = len(a), 0, 0
+        x, y = a[0], b[0]
+        end_a, end_b, left, right = a_size[x], b_size[y], names[x], names[y]
+        out, links = [], [x * B_IDS + y]
+        while True:
+            # The side that ends first goes on; tokens that overlap are linked; where both end a group does.
+            if end_a == end_b:
+                out.append(f"{left}|{right}")
+                i, j = i + 1, j + 1
+                if i == n:
+                    return Piece(n, ";".join(out), tuple(links))
+                x, y = a[i], b[j]
+                left, right = names[x], names[y]
+                end_a, end_b = end_a + a_size[x], end_b + b_size[y]
+            elif end_a < end_b:
+                i += 1
+                x = a[i]
+                left = f"{left},{names[x]}"
+                end_a += a_size[x]
+            else:
+                j += 1
+                y = b[j]
+                right = f"{right},{names[y]}"
+                end_b += b_size[y]
+            links.append(x * B_IDS + y)
 
     def text(self, text: str) -> list[Piece] | None:
         """The pieces of a text, or none if its bytes don't come back."""
         parts = self.pieces(text)
         self.learn(set(parts))
-        found = [self.known[p] for p in parts]
+        found = list(map(self.known.__getitem__, parts))
         if None not in found:
             return found
         whole = " " + text  # pieces that differ could make up for each other
@@ -111,6 +142,23 @@ def _byte_level(tokenizer) -> dict[int, bytes]:
     return {i: special[i].encode() if i in special else bytes(spelt[c] for c in t) for t, i in tokenizer.get_vocab().items()}
 
 
+def _ranked(a_file: str, a_bytes: dict[int, bytes]):
+    """The same encoding by a quicker library, which merges by the ids' order; None if the file's merges have another or it cuts words otherwise."""
+    import tiktoken
+
+    with open(a_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    own = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if made != sorted(set(made)) or -1 in made or spec["normalizer"] or not own.items() <= cut.items() or model.get("ignore_merges"):
+        return None
+    special = {t["id"] for t in spec["added_tokens"]}
+    ranks = {t: i for i, t in a_bytes.items() if i not in special}
+    return tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -142,8 +190,10 @@ def _align(batches: Iterator[pa.RecordBatch], a_file: str, b_file: str) -> Itera
                 flat: list[int] = []
                 for p in pieces:
                     flat += p.links
-                rows.append([sum(p.n_a for p in pieces), sum(p.n_b for p in pieces), sum(p.n_groups for p in pieces), len(flat)])
-                digests.append(hashlib.sha256(";".join([p.rendered for p in pieces]).encode()).hexdigest() if pieces else "")
+                rendered = ";".join([p.rendered for p in pieces]).encode()
+                n_a, n_groups = sum([p.n_a for p in pieces]), rendered.count(b"|")
+                rows.append([n_a, len(flat) + n_groups - n_a, n_groups, len(flat)])  # each further end of a token begins a link or a group
+                digests.append(hashlib.sha256(rendered).hexdigest() if pieces else "")
                 found, n = np.unique(np.array(flat, np.int64), return_counts=True)
                 pairs.append(found)
                 times.append(n)
