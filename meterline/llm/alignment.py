@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SENT_PAIRS = 1 << 19  # most frequent pairs whose counts are sent (9 MB); the links of the others are joined to their counts
-CACHE_PIECES = 250_000  # pieces of text in each of the two generations whose alignment a worker keeps
+CACHE_PIECES = 320_000  # pieces of text in each of the two generations whose alignment a worker keeps
 SLICE_ROWS = 256  # texts whose links are held at once
 B_IDS = 1 << 31  # a pair is one number: A's id times this, plus B's id
 
@@ -31,7 +32,7 @@ class Piece(NamedTuple):
 
     n_a: int
     rendered: str
-    links: tuple[int, ...]  # a * 2 ** 31 + b
+    links: bytes  # of longs: a * 2 ** 31 + b
 
 
 #: How the byte-level tokenizer cuts a text before it merges bytes; fixed by its kind.
@@ -106,7 +107,7 @@ class Aligner:
                 out.append(f"{left}|{right}")
                 i, j = i + 1, j + 1
                 if i == n:
-                    return Piece(n, ";".join(out), tuple(links))
+                    return Piece(n, ";".join(out), array("q", links).tobytes())
                 x, y = a[i], b[j]
                 left, right = names[x], names[y]
                 end_a, end_b = end_a + a_size[x], end_b + b_size[y]
@@ -187,14 +188,12 @@ def _align(batches: Iterator[pa.RecordBatch], a_file: str, b_file: str) -> Itera
             rows, digests, pairs, times, ends = [], [], [], [], [0]
             for text in batch["text"]:
                 pieces = aligner.text(text.as_py()) or []
-                flat: list[int] = []
-                for p in pieces:
-                    flat += p.links
+                flat = np.frombuffer(b"".join([p.links for p in pieces]), np.int64)
                 rendered = ";".join([p.rendered for p in pieces]).encode()
                 n_a, n_groups = sum([p.n_a for p in pieces]), rendered.count(b"|")
                 rows.append([n_a, len(flat) + n_groups - n_a, n_groups, len(flat)])  # each further end of a token begins a link or a group
                 digests.append(hashlib.sha256(rendered).hexdigest() if pieces else "")
-                found, n = np.unique(np.array(flat, np.int64), return_counts=True)
+                found, n = np.unique(flat, return_counts=True)
                 pairs.append(found)
                 times.append(n)
                 ends.append(ends[-1] + len(found))
@@ -256,6 +255,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, sent_pairs: int = SENT_PAIR
     whole = measured.drop("rest").join(more, "text_key", "left")
     plus = lambda c, m: F.col(c) + F.coalesce(m, F.lit(0))
     whole = whole.select("text_key", "n_a", "n_b", "n_groups", "n_links", plus("n_best", F.col("more_best")).alias("n_best"), plus("count_sum", F.col("more_sum")).alias("count_sum"), "groups_sha256")
+    whole = staged(whole, "align-whole")  # the join below then has two plain sides, which Spark can split at a text with many copies
     joined = docs.select("doc_id", key.alias("text_key")).join(whole, "text_key", "left")
     none = {"groups_sha256": F.lit("")}
     rows = joined.select("doc_id", *[F.coalesce(c, none.get(c, F.lit(0))).alias(c) for c in whole.columns[1:]])
