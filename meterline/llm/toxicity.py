@@ -37,34 +37,40 @@ def words(text: str | None) -> list[str]:
 
 
 def _sketch(text: str | None) -> list[int]:
-    """The SKETCH least hashes of a text's runs of three words."""
+    """The SKETCH least hashes of a text's runs of three words; none without a word, so blank texts are no copies of one another."""
     found = words(text)
+    if not found:
+        return []
     runs = {" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))}
     return sorted(xxhash.xxh64_intdigest(r) >> 1 for r in runs)[:SKETCH]
 
 
 def without_copies(examples: DataFrame) -> DataFrame:
-    """``examples`` (doc_id, toxic, text), one of each group of near copies.
+    """``examples`` (doc_id, toxic, text), one of each group of near copies of one label, with ``share``.
 
-    Copies share most of their sketch. For each hash the holder of the least text hash leads; an example that has at
-    least half of its sketch from one other leader goes. Else the words of a text with many copies would pass
-    for signs of its label, and its copies would fill a neighbourhood.
+    Of equal texts the one of least id stays; ``share`` is the part of them that is labelled toxic, and ``toxic`` whether that is at least half.
+    Near copies share most of their sketch. For each hash and label the holder of the least text hash leads; an example that has at
+    least half of its sketch from one other leader of its label goes. Else the words of a text with many copies would pass
+    for signs of its label, and its copies would fill a neighbourhood. Copies of opposite labels both stay. Texts without a word are all kept.
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([_sketch(t.as_py()) for t in batch["text"]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["key"], found], ["key", "sketch"])
-
-    keyed = examples.withColumn("key", F.struct(F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("i")))
-    flat = keyed.select(F.to_json("key").alias("key"), "text").mapInArrow(sketched, "key string, sketch array<long>")
-    flat = flat.select("key", F.size("sketch").alias("size"), F.explode("sketch").alias("hash"))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["toxic"], found], ["key", "toxic", "sketch"])
+
+    worded = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    own = examples.withColumn("share", F.col("toxic").cast("double")).withColumn("blank_id", F.when(~worded, F.col("doc_id")))
+    equal = own.groupBy("text", "blank_id").agg(F.avg("share").alias("share"), F.min("doc_id").alias("doc_id"))
+    keyed = equal.withColumn("toxic", (F.col("share") >= 0.5).cast("int")).withColumn("key", F.to_json(F.struct(F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("i"))))
+    keyed = staged(keyed.select("doc_id", "toxic", "share", "text", "key"), "toxicity-texts")
+    flat = keyed.select("key", "toxic", "text").mapInArrow(sketched, "key string, toxic int, sketch array<long>")
+    flat = flat.select("key", "toxic", F.size("sketch").alias("size"), F.explode("sketch").alias("hash"))
     flat = staged(flat, "toxicity-sketches")
-    leaders = flat.groupBy("hash").agg(F.min("key").alias("leader"))
-    shared = flat.join(leaders, "hash").where("leader <> key").groupBy("key", "leader", "size").agg(F.count("*").alias("n"))
+    leaders = flat.groupBy("hash", "toxic").agg(F.min("key").alias("leader"))
+    shared = flat.join(leaders, ["hash", "toxic"]).where("leader <> key").groupBy("key", "leader", "size").agg(F.count("*").alias("n"))
     copies = shared.where(2 * F.col("n") >= F.col("size")).select("key").distinct()
-    kept = keyed.withColumn("key", F.to_json("key")).join(copies, "key", "left_anti")
-    return kept.select("doc_id", "toxic", "text")
+    return keyed.join(copies, "key", "left_anti").select("doc_id", "toxic", "share", "text")
 
 
 def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +108,7 @@ class BlockMaxIndex:
     nearer example than those found. ``rows`` are (name, ids, counts, label), in the order in which equally near ones are taken.
     """
 
-    def __init__(self, term_weights: np.ndarray, rows: list[tuple[object, np.ndarray, np.ndarray, int]], block: int = BLOCK) -> None:
+    def __init__(self, term_weights: np.ndarray, rows: list[tuple[object, np.ndarray, np.ndarray, float]], block: int = BLOCK) -> None:
         self.term_weights, self.size = term_weights, block
         vectors = [(self.weights(ids, counts), ids, name, label) for name, ids, counts, label in rows]
         blank = [label for w, _, _, label in vectors if not len(w)]
@@ -176,7 +182,7 @@ class BlockMaxIndex:
         votes = 1 / (1 - np.minimum(cosines, 1) + 0.1)
         share = (votes @ self.labels[at] + PRIOR_VOTES * self.rate) / (votes.sum() + PRIOR_VOTES)
         evidence = [
-            {"doc_id": self.names[i], "cosine": float(c), "toxic": int(self.labels[i])}
+            {"doc_id": self.names[i], "cosine": float(c), "toxic": int(self.labels[i] >= 0.5)}
             for i, c in zip(at[:EVIDENCE].tolist(), cosines, strict=False)
         ]
         return float(min(1.0, max(0.0, share))), evidence
@@ -253,10 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         for batch in batches:
             own = [_numbered(t.as_py(), number.value) for t in batch["text"]]
             columns = [pa.array([o[i] for o in own], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], batch["t"], *columns], ["doc_id", "toxic", "t", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "toxic", "share", "t")), *columns], ["doc_id", "toxic", "share", "t", "ids", "counts"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.withColumn("t", F.xxhash64("text")).mapInArrow(numbered, f"doc_id {kind}, toxic int, t long, ids array<int>, counts array<int>")
+    rows = texts.withColumn("t", F.xxhash64("text")).mapInArrow(numbered, f"doc_id {kind}, toxic int, share double, t long, ids array<int>, counts array<int>")
     rows = rows.toArrow().sort_by([("t", "ascending"), ("toxic", "ascending")])  # at most ``examples``
     by = [int((np.array(rows["toxic"]) == label).sum()) for label in (0, 1)]
     weights = term_weights(*by, *(counts[c].to_numpy().astype(np.float64) for c in ("n0", "n1")), n, frequency)
@@ -264,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
         zip(
             rows["doc_id"].to_pylist(),
             *([x.values.to_numpy().astype(np.int64) for x in rows[c]] for c in ("ids", "counts")),
-            rows["toxic"].to_pylist(),
+            rows["share"].to_pylist(),
             strict=True,
         )
     )
