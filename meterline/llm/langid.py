@@ -12,6 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 PROFILE = 400  # n-grams in a profile, and most of a document's that are compared
 MAX_LANGUAGES = 2_000  # profiles are broadcast: 2,000 of 400 n-grams are under 20 MB
 MIN_SCORE = 0.1  # of a text that is kept; texts of the learnt languages score 0.39 or more
@@ -147,34 +149,50 @@ class Profiles:
         return self.langs[best], float(1 - distances[best] / (len(values) * self.size))
 
 
-def _sent(docs: DataFrame, profiles: DataFrame, size: int) -> Broadcast:
-    rows = profiles.limit(MAX_LANGUAGES * size + 1).collect()
-    if len(rows) > MAX_LANGUAGES * size:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: their profiles are too large to broadcast")
-    return docs.sparkSession.sparkContext.broadcast(Profiles(rows, size))
+def _blocks(profiles: DataFrame, size: int, most: int) -> Iterator[Broadcast]:
+    """Profiles of up to ``most`` languages at a time, in order of name, as sent to the tasks; one without any if there is no profile."""
+    context = profiles.sparkSession.sparkContext
+    block: list = []
+    langs = 0
+    for r in staged(profiles, "profiles").orderBy("lang", "rank").toLocalIterator():
+        if not block or block[-1].lang != r.lang:
+            if langs == most:
+                yield context.broadcast(Profiles(block, size))
+                block, langs = [], 0
+            langs += 1
+        block.append(r)
+    yield context.broadcast(Profiles(block, size))
 
 
-def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE, most: int = MAX_LANGUAGES) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to the rows of ``docs`` (doc_id, text).
 
     A document's most frequent n-grams are compared, by out-of-place distance, to each profile; whole
     texts count. Null texts and texts without a letter get ``und`` and 0, as does every text if there is no
-    profile. Of equally near languages the first by name is taken. Returns a row for each row, repeated
-    ones and null ids included: doc_id, lang_pred, score.
+    profile. Of equally near languages the first by name is taken. Beyond ``most`` languages their profiles are sent block by block, each of which
+    improves on the ones before. Returns a row for each row, repeated ones and null ids included: doc_id, lang_pred, score.
     """
-    sent = _sent(docs, profiles, size)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for sent in _blocks(profiles, size, most):
+        rows = rows.mapInArrow(_improved(sent), f"doc_id {kind}, text string, lang_pred string, score double")
+    return rows.drop("text")
+
 
+def _improved(sent: Broadcast):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            found = [known.predict(t.as_py()) for t in batch["text"]]
+            found = []
+            for text, had in zip(batch["text"], zip(batch["lang_pred"].to_pylist(), batch["score"].to_pylist())):
+                lang, score = known.predict(text.as_py())
+                found.append((lang, score) if had[0] == UNDETERMINED or score > had[1] else had)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [batch["doc_id"], batch["text"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                ["doc_id", "text", "lang_pred", "score"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(label, f"doc_id {kind}, lang_pred string, score double")
+    return label
 
 
 def held_out():
@@ -188,21 +206,31 @@ def learn_and_identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE) -> DataFrame:
+def keep_identified(docs: DataFrame, size: int = PROFILE, min_score: float = MIN_SCORE, most: int = MAX_LANGUAGES) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language can be told; see ``learn_and_identify``.
 
     Texts without a letter go, null and empty ones included, and texts that are as far from every profile as can be: whose score
     is under ``min_score``. If there is no profile, because no row has a lang, only the former go.
     """
-    sent = _sent(docs, learn_profiles(docs.where(~held_out()), size), size)
+    mark = "__identified"
+    kept = docs.withColumn(mark, F.lit(False))
+    for sent in _blocks(learn_profiles(docs.where(~held_out()), size), size, most):
+        kept = kept.mapInArrow(_marked(sent, mark, min_score), kept.schema)
+    return kept.where(mark).drop(mark)
+
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(sent: Broadcast, mark: str, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for batch in batches:
-            texts = [t.as_py() for t in batch["text"]]
-            if sent.value.langs:
-                known = [s >= min_score and p != UNDETERMINED for p, s in map(sent.value.predict, texts)]
+            texts, had = [t.as_py() for t in batch["text"]], batch[mark].to_pylist()
+            if known.langs:
+                found = [h or s >= min_score and p != UNDETERMINED for h, (p, s) in zip(had, map(known.predict, texts))]
             else:
-                known = [bool(t) and len(grams(t)) > 0 for t in texts]
-            yield batch.filter(pa.array(known, pa.bool_()))
+                found = [bool(t) and len(grams(t)) > 0 for t in texts]
+            at = batch.schema.get_field_index(mark)
+            columns = [batch[i] for i in range(batch.num_columns)]
+            columns[at] = pa.array(found, pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return run
