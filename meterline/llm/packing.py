@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 LENGTHS = (2_048, 4_096, 8_192, 16_384)  # permitted sequence lengths, in code points
 SEPARATOR = 1  # every piece is followed by one separator
 GROUP_PIECES = 20_000  # pieces that are packed together
@@ -122,16 +124,16 @@ def _packed(lengths: Sequence[int]):
 def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Assign every code point of ``docs`` (doc_id, text) to a place in a sequence of one of the permitted ``lengths``.
 
-    Texts are cut where they exceed the greatest length; pieces are dealt by hash into groups of about ``group_pieces``,
-    and each group is packed from its largest piece down; see ``sequences``. A task holds some
+    Texts are cut where they exceed the greatest length; pieces are written with a row number of their own and dealt by its hash into groups of
+    about ``group_pieces``, so rows without an id or with many copies are spread as well. Each group is packed from its largest piece down; see ``sequences``. A task holds some
     numbers for each of its pieces, never their texts.
 
     Returns bin_id, capacity, used (with separators), offset, doc_id, piece, start, n. Null and empty texts have nothing to
     pack and give no row. Null and repeated ids are packed as any others; a repeated row is packed as often as it occurs.
     """
-    cut = pieces(docs, max(lengths))
+    cut = staged(pieces(docs, max(lengths)).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     groups = max(1, math.ceil(cut.count() / group_pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = cut.repartition(groups, F.xxhash64("doc_id", "piece", "n")).sortWithinPartitions(F.desc("n"), "doc_id", "piece")
+    dealt = cut.repartition(groups, F.xxhash64("row")).drop("row").sortWithinPartitions(F.desc("n"), "doc_id", "piece")
     columns = f"bin_id long, capacity long, used long, offset long, doc_id {kind}, piece int, start long, n int"
     return dealt.mapInArrow(_packed(lengths), columns)

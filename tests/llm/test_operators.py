@@ -204,7 +204,27 @@ def test_near_copies_among_the_examples_count_once(spark):
     base = text(60)
     copies = [(i, 1, base + f" extra{i}") for i in range(5)] + [(10, 1, base), (11, 1, base), (12, 0, text(60)), (13, 0, None), (14, 0, "")]
     kept = rows(toxicity.without_copies(spark.createDataFrame(copies, "doc_id long, toxic int, text string")), "doc_id")
-    assert len([i for (i,) in kept if i < 12]) == 1 and len([i for (i,) in kept if i > 12]) == 1 and (12,) in kept
+    assert len([i for (i,) in kept if i < 12]) == 1 and len([i for (i,) in kept if i > 12]) == 2 and (12,) in kept
+
+
+def test_blank_texts_have_the_rate_of_all_blank_examples(spark):
+    blanks = [(i, None if i % 3 else " ", int(i == 7)) for i in range(40)]
+    docs = [(i, t) for i, t, _ in blanks] + [(100 + i, f"word{i} here and there") for i in range(20)]
+    labels = [(i, y) for i, _, y in blanks] + [(100 + i, i % 2) for i in range(20)]
+    found = {r.doc_id: r for r in toxicity.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert {found[i].predicted for i in range(40)} == {0} and len({found[i].score for i in range(40)}) == 1
+    assert found[0].score < 0.1
+
+
+def test_copies_of_opposite_labels(spark):
+    schema = "doc_id long, toxic int, text string"
+    base = " ".join(f"word{chr(97 + i)}" for i in range(26))
+    near = [(1, 0, base), (2, 0, base + " more"), (3, 1, base + " vile"), (4, 1, base + " viler")]
+    kept = {r.doc_id: r.toxic for r in toxicity.without_copies(spark.createDataFrame(near, schema)).collect()}
+    assert sorted(kept.values()) == [0, 1]  # one of each label
+    equal = [(i, int(i == 3), "the same words again") for i in range(10)]
+    found = toxicity.without_copies(spark.createDataFrame(equal, schema)).collect()
+    assert [(r.doc_id, r.toxic, r.share) for r in found] == [(0, 0, 0.1)]
 
 
 def test_toxicity_without_labels_or_documents(spark):
@@ -725,3 +745,21 @@ def test_grams_by_hand():
 
     for text in ("a", "Ab, cd1e", " x ", "Été 𝒳y"):
         assert Counter(map(decoded, langid.grams(text))) == by_hand(text)
+
+
+def test_languages_beyond_one_block(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = langid.learn_profiles(docs.where(~langid.held_out()))
+    one = rows(langid.identify(docs, profiles), "doc_id", "lang_pred", "score")
+    for most in (1, 3):
+        assert rows(langid.identify(docs, profiles, most=most), "doc_id", "lang_pred", "score") == one
+        assert langid.keep_identified(docs, most=most).count() == langid.keep_identified(docs).count()
+    many = frame(spark, [(i, f"abc def g{i}", f"lang{i}") for i in range(50)])
+    assert langid.identify(many, langid.learn_profiles(many), most=7).where("lang_pred <> 'und'").count() == 50
+
+
+def test_rows_without_an_id_and_equal_texts_are_spread(spark):
+    docs = frame(spark, [(None, "x" * 30)] * 6_000)
+    packed = packing.pack(docs, group_pieces=1_000).withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in packed.groupBy("task").count().collect()]
+    assert sum(tasks) == 6_000 and len(tasks) == 6 and max(tasks) < 1_300
