@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,21 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..operators import pii
+from ..operators.patterns import Scanner, Shape
 from ..operators.text import split_recursively
 
 
-def register_detector(spark: SparkSession, name: str, rules: Sequence[pii.Rule], detector: str = "user") -> None:
-    """A SQL function from a text to its spans, for rules of (entity, pattern, check or None)."""
-    compiled = [(n, re.compile(p), check) for n, p, check in rules]
+def register_detector(spark: SparkSession, name: str, rules: Sequence[Shape | tuple], detector: str = "user") -> None:
+    """A SQL function from a text to its spans, for rules of (entity, pattern, check or None) or shapes with literals."""
+    rules = [Shape(*r) for r in rules]
+    made: list[Scanner] = []  # by each worker for itself
 
     def spans(text: str | None) -> list[dict]:
-        found = [
-            {"entity_type": n, "start": x.start(), "end": x.end(), "score": 1.0, "detector": detector}
-            for n, p, check in compiled
-            for x in p.finditer(text or "")
-            if check is None or check(x[0])
-        ]
-        return sorted(found, key=lambda s: (s["start"], s["end"], s["entity_type"]))
+        if not made:
+            made.append(Scanner(rules))
+        return [{"entity_type": e, "start": a, "end": b, "score": 1.0, "detector": detector} for e, a, b in made[0].scan(text or "")]
 
     spark.udf.register(name, F.udf(spans, f"array<{pii.SPAN}>", useArrow=True))
 

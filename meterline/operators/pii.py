@@ -5,134 +5,136 @@ Offsets count code points of the original text; a span's end is exclusive.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..shared import staged
+from ..shared import new_path, staged
+from . import shapes
 from .aggregates import count_if
+from .patterns import MOST_WORDS, Scanner, Shape, WholeWords, name_blocks
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,detector:string>"
 _ARROW_SPAN = pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("detector", pa.string())])
 
 
-def _luhn(v: str) -> bool:
-    d = [int(c) for c in reversed(v) if c.isdigit()]
-    return len(d) >= 12 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
-
-
-def _iban(v: str) -> bool:
-    v = re.sub(r"\s", "", v).upper()
-    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
-
-
-def _ahv(v: str) -> bool:
-    d = [int(c) for c in v if c.isdigit()]
-    return len(d) == 13 and d[:3] == [7, 5, 6] and (10 - sum(x * (3 if i % 2 else 1) for i, x in enumerate(d[:12])) % 10) % 10 == d[12]
-
-
-Rule = tuple[str, str, Callable[[str], bool] | None]
-
-#: Entity, pattern and checksum; a match that fails its checksum is not reported.
-RULES: list[Rule] = [
-    ("IBAN", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("AHV", r"(?<!\d)756[.\s]?\d{4}[.\s]?\d{4}[.\s]?\d{2}(?!\d)", _ahv),
-    ("CARD", r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])", _luhn),
-    ("EMAIL", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![\w-])", None),
-    ("PHONE", r"(?<![\w+])(?:\+|00)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)", None),
-    ("IP", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.])", None),
-    ("AWS_KEY", r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])", None),
-    ("GITHUB_TOKEN", r"(?<!\w)gh[pousr]_[A-Za-z0-9]{36,}(?!\w)", None),
-    ("JWT", r"(?<![\w-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", None),
-    ("SLACK_TOKEN", r"(?<!\w)xox[abprs]-[A-Za-z0-9-]{10,}", None),
-    ("PRIVATE_KEY", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", None),
-    ("MODEL_KEY", r"(?<![\w-])sk-[A-Za-z0-9_-]{20,}", None),
-    ("ASSIGNED_SECRET", r"(?i)(?<!\w)(?:token|secret|password|api[_-]?key) ?[=:] ?[\"'][^\"'\s]{8,}[\"']", None),
-]
-
-#: Secret shapes by provider: fixed prefixes and lengths of keys as their issuers publish them.
-SECRETS: list[Rule] = [
-    (name, rf"(?<![\w-]){shape}(?![\w-])", None)
-    for name, shape in [
-        ("adafruit", r"aio_[A-Za-z0-9]{28}"), ("airtable", r"pat[A-Za-z0-9]{14}\.[a-f0-9]{64}"), ("alibaba", r"LTAI[A-Za-z0-9]{20}"),
-        ("clojars", r"CLOJARS_[a-z0-9]{60}"), ("databricks", r"dapi[a-f0-9]{32}"), ("digitalocean", r"do[opr]_v1_[a-f0-9]{64}"),
-        ("doppler", r"dp\.pt\.[A-Za-z0-9]{43}"), ("dynatrace", r"dt0c01\.[A-Z0-9]{24}\.[A-Z0-9]{64}"), ("easypost", r"EZ[AT]K[A-Za-z0-9]{54}"),
-        ("flutterwave", r"FLW(?:PUB|SEC)K_TEST-[a-h0-9]{32}-X"), ("frameio", r"fio-u-[\w=-]{64}"), ("gcp", r"AIza[\w-]{35}"),
-        ("gitlab", r"glpat-[\w-]{20}"), ("grafana", r"glsa_[A-Za-z0-9]{32}_[a-f0-9]{8}"), ("huggingface", r"hf_[A-Za-z]{34}"),
-        ("linear", r"lin_api_[A-Za-z0-9]{40}"), ("lob", r"(?:live|test)_[a-f0-9]{35}"), ("mailgun", r"key-[a-f0-9]{32}"),
-        ("mapbox", r"pk\.[a-z0-9]{60}\.[a-z0-9]{22}"), ("newrelic", r"NRAK-[A-Z0-9]{27}"), ("npm", r"npm_[A-Za-z0-9]{36}"),
-        ("planetscale", r"pscale_(?:pw|tkn|oauth)_[\w.=-]{32,64}"), ("postman", r"PMAK-[a-f0-9]{24}-[a-f0-9]{34}"), ("prefect", r"pnu_[a-z0-9]{36}"),
-        ("pulumi", r"pul-[a-f0-9]{40}"), ("pypi", r"pypi-AgEIcHlwaS5vcmc[\w-]{50,}"), ("readme", r"rdme_[a-z0-9]{70}"),
-        ("rubygems", r"rubygems_[a-f0-9]{48}"), ("scalingo", r"tk-us-[\w-]{48}"), ("sendgrid", r"SG\.[\w-]{22}\.[\w-]{43}"),
-        ("sendinblue", r"xkeysib-[a-f0-9]{64}-[A-Za-z0-9]{16}"), ("shippo", r"shippo_(?:live|test)_[a-f0-9]{40}"), ("shopify", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
-        ("square", r"sq0atp-[\w-]{22}"), ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{24,}"), ("telegram", r"\d{8,10}:AA[\w-]{33}"),
-        ("twilio", r"SK[a-f0-9]{32}"), ("typeform", r"tfp_[\w.=-]{59}"), ("vault", r"hvs\.[\w-]{90,100}"),
-    ]
-]
-
-REGIONAL: list[Rule] = [
-    ("SG_NRIC", r"(?<!\w)[STFGM]\d{7}[A-Z](?!\w)", None), ("SG_PHONE", r"(?<!\d)(?:\+65[ -]?)?[689]\d{3}[ -]?\d{4}(?!\d)", None),
-    ("SG_POSTAL", r"(?i)(?<!\w)singapore \d{6}(?!\d)", None), ("SG_PASSPORT", r"(?<!\w)[EK]\d{7}[A-Z](?!\w)", None),
-    ("EU_VAT", r"(?<!\w)(?:AT|BE|DE|DK|ES|FI|FR|IE|IT|NL|PL|PT|SE)(?=[A-Z]{0,3}\d{5})[A-Z0-9]{8,12}(?!\w)", None), ("FR_NIR", r"(?<!\d)[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?!\d)", None),
-    ("EU_PASSPORT", r"(?<!\w)[A-Z]{1,2}\d{7}(?!\w)", None), ("CA_SIN", r"(?<!\d)\d{3}[ -]\d{3}[ -]\d{3}(?!\d)", None), ("US_SSN", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)", None),
-]
-
-# Our own short lists.
-GIVEN_NAMES = ("Anna", "Ben", "Carla", "David", "Emma", "Felix", "Julia", "Laura", "Lukas", "Maria", "Peter", "Sophie", "Thomas")
-SUFFIXES = ("AG", "GmbH", "Inc", "Ltd", "LLC", "SA", "SE", "SARL")
-GAZETTEER: list[Rule] = [
-    ("PERSON", rf"(?<!\w)(?:{'|'.join(GIVEN_NAMES)}) [A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?", None),
-    ("ORGANIZATION", rf"(?<!\w)(?:[A-ZÀ-Þ][\w&'-]+ ){{1,3}}(?:{'|'.join(SUFFIXES)})(?!\w)", None),
-]
-
-
-def detect(docs: DataFrame, rules: Sequence[Rule], detector: str, score: float = 1.0) -> DataFrame:
-    """doc_id, text and the spans that ``rules`` find in each whole text, in text order. A null text has none."""
-    compiled = [(name, re.compile(p), check) for name, p, check in rules]
+def detect(docs: DataFrame, rules: Iterable[Shape | tuple], detector: str, score: float = 1.0) -> DataFrame:
+    """doc_id, text and the spans that ``rules`` find in each whole text, in text order. A null text has none.
+
+    A rule is a ``Shape``, or its first fields: entity, pattern and checksum. All rules' literals are found in one pass over a text.
+    """
+    rules = [Shape(*r) for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules)
         for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                spans = [
-                    {"entity_type": n, "start": x.start(), "end": x.end(), "score": score, "detector": detector}
-                    for n, p, check in compiled
-                    for x in p.finditer(text or "")
-                    if check is None or check(x[0])
-                ]
-                found.append(sorted(spans, key=lambda s: (s["start"], s["end"], s["entity_type"])))
+            found = [[_one(e, a, b, score, detector) for e, a, b in scanner.scan(t.as_py() or "")] for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(found, pa.list_(_ARROW_SPAN))], ["doc_id", "text", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, spans array<{SPAN}>")
 
 
+def _one(entity: str, start: int, end: int, score: float, detector: str) -> dict:
+    return {"entity_type": entity, "start": start, "end": end, "score": score, "detector": detector}
+
+
 def detect_rules(docs: DataFrame) -> DataFrame:
-    return detect(docs, RULES, "rules")
+    return detect(docs, shapes.RULES, "rules")
 
 
 def detect_secrets(docs: DataFrame) -> DataFrame:
-    return detect(docs, SECRETS, "secrets")
+    return detect(docs, shapes.SECRETS, "secrets")
 
 
 def detect_regional(docs: DataFrame) -> DataFrame:
-    return detect(docs, REGIONAL, "rules", 0.8)
+    return detect(docs, shapes.REGIONAL, "rules", 0.8)
+
+
+def detect_gazetteer(docs: DataFrame, names: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """doc_id, text and spans of the names (name, entity_type) that stand in a text as whole words, and of organizations by their legal form.
+
+    Case counts. Where names overlap the leftmost and then the longest stays. Any number of names may be given: beyond ``most`` the texts are
+    read once for each block of names.
+    """
+    found = detect(docs, [shapes.ORGANIZATION], "model", 0.6)
+    for block in name_blocks(names, most):
+        found = _add_names(found, block)
+    return found
+
+
+def _add_names(rows: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WholeWords(sent.value)
+        for batch in batches:
+            out = []
+            for text, had in zip(batch["text"], batch["spans"].to_pylist()):
+                spans = had + [_one(e, a, b, 0.6, "model") for e, a, b in names.scan(text.as_py() or "")]
+                out.append(sorted(spans, key=lambda s: (s["start"], s["end"], s["entity_type"])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(out, pa.list_(_ARROW_SPAN))], ["doc_id", "text", "spans"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def detect_each(docs: DataFrame, find: Callable[[str], list[tuple[str, int, int, float]]], detector: str) -> DataFrame:
+    """doc_id, text, spans and error: a model applied to each text (entity, start, end, score), whose failure on a text is kept as that row's error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, errors = [], []
+            for text in batch["text"]:
+                try:
+                    spans.append([_one(e, a, b, score, detector) for e, a, b, score in find(text.as_py() or "")])
+                    errors.append(None)
+                except Exception as e:  # whatever a user's model raises
+                    spans.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(spans, pa.list_(_ARROW_SPAN)), pa.array(errors, pa.string())], ["doc_id", "text", "spans", "error"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, spans array<{SPAN}>, error string")
+
 
+_KEPT = ("version", "policy", "locale")
 
-def detect_gazetteer(docs: DataFrame) -> DataFrame:
-    return detect(docs, GAZETTEER, "model", 0.6)
 
+def detect_once(docs: DataFrame, detector: Callable[[DataFrame], DataFrame], version: str, policy: str = "", locale: str = "", kept: str | None = None) -> DataFrame:
+    """Spans of every row, each different text looked at once for a detector's version, policy and locale.
+
+    ``kept`` is the path of a table of results by (text hash, version, policy, locale), in partitions of the last three. Only texts
+    whose hash isn't there for these go to the detector; what it finds is added before it is used, so a run that is broken off or repeated
+    redoes only what is missing. Without a path a table of this run's own is used. Null texts have no spans (null).
+    """
+    spark = docs.sparkSession
+    kept = kept or new_path(spark, "detected")
+    fields = f"text_hash string, spans array<{SPAN}>, version string, policy string, locale string"
+    key = dict(zip(_KEPT, (version, policy, locale)))
+
+    def known() -> DataFrame:
+        try:
+            table = spark.read.option("basePath", kept).schema(fields).parquet(kept)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], fields)
+        # An empty key is a partition without a name.
+        return table.where(reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit("")) == v for c, v in key.items()]))
 
-def detect_once(docs: DataFrame, detector: Callable[[DataFrame], DataFrame], version: str) -> DataFrame:
-    """Spans of every row, each different text looked at once; the version says which detector's results these are."""
     keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("text_hash"))
-    once = keyed.groupBy("text_hash").agg(F.any_value("text").alias("text")).where("text is not null")
-    found = detector(once.withColumnRenamed("text_hash", "doc_id")).select(F.col("doc_id").alias("text_hash"), "spans")
-    return keyed.join(found, "text_hash", "left").select("doc_id", "text", "spans", F.lit(version).alias("version"))
+    once = keyed.where("text is not null").groupBy("text_hash").agg(F.any_value("text").alias("text"))
+    new = once.join(known().select("text_hash"), "text_hash", "left_anti")
+    found = detector(new.withColumnRenamed("text_hash", "doc_id")).select(F.col("doc_id").alias("text_hash"), "spans")
+    found.withColumns({c: F.lit(v) for c, v in key.items()}).write.mode("append").partitionBy(*_KEPT).parquet(kept)
+    spans = known().select("text_hash", "spans").dropDuplicates(["text_hash"])  # two runs at once may both have added one
+    return keyed.join(spans, "text_hash", "left").select("doc_id", "text", "spans", *[F.lit(v).alias(c) for c, v in key.items()])
 
 
 VOCABULARY = {"PER": "PERSON", "PERSON": "PERSON", "LOC": "LOCATION", "GPE": "LOCATION", "ORG": "ORGANIZATION", "MAIL": "EMAIL"}
@@ -146,19 +148,31 @@ def map_labels(spans: DataFrame, vocabulary: dict[str, str] | None = None) -> Da
 
 
 def needs_model(rows: DataFrame, policy: str, threshold: float = 0.5) -> Column:
-    """Whether a row (spans) goes to the model stage: never, on_miss, low_confidence or always."""
+    """Whether a row (spans) goes to the model stage: never, on_miss, low_confidence (its surest span is below ``threshold``) or always."""
     none = F.size("spans") == 0
-    low = F.exists("spans", lambda s: s["score"] < threshold)
+    low = F.array_max(F.transform("spans", lambda s: s["score"])) < threshold
     return {"never": F.lit(False), "on_miss": none, "low_confidence": none | low, "always": F.lit(True)}[policy]
 
 
-def cascade(rows: DataFrame, policy: str, model: Callable[[DataFrame], DataFrame], threshold: float = 0.5) -> DataFrame:
-    """Rule spans, and for the rows that the policy names also the model's, found on those rows only."""
-    need = F.coalesce(needs_model(rows, policy, threshold), F.lit(False))
+def cascade(rows: DataFrame, policy: str, model: Callable[[DataFrame], DataFrame], threshold: float = 0.5, fail_closed: bool = True) -> DataFrame:
+    """doc_id, text, merged spans, model_ran and error: rule spans, and for the rows that the policy names also the model's, found on those rows only.
+
+    ``rows`` and the model's result may have an ``error``, not null where the stage failed on a row (``detect_each`` makes one). Closed, such
+    a row has that error and null spans, so it can't pass for clean. Open, it goes on without the stage: failed rules leave no
+    spans, a failed model leaves the rules'.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+    with_error = lambda df: df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
+    rows = with_error(rows).select("doc_id", "text", F.when(F.col("error").isNull(), F.coalesce("spans", none)).otherwise(none).alias("spans"), "error")
+    need = F.coalesce(needs_model(rows, policy, threshold), F.lit(False)) & F.col("error").isNull()
     second = rows.where(need)
-    found = model(second.select(F.struct("doc_id", "spans").alias("doc_id"), "text"))
-    both = found.select("doc_id.doc_id", "text", F.concat("doc_id.spans", "spans").alias("spans"))
-    return rows.where(~need).select("doc_id", "text", "spans").unionByName(both)
+    found = with_error(model(second.select(F.struct("doc_id", "spans").alias("doc_id"), "text")))
+    own, ran = F.col("doc_id.spans"), F.col("error").isNull()
+    both = found.select("doc_id.doc_id", "text", F.when(ran, F.concat(own, F.coalesce("spans", none))).otherwise(own).alias("spans"), ran.alias("model_ran"), "error")
+    merged = merge_spans(rows.where(~need).select("doc_id", "text", "spans", F.lit(False).alias("model_ran"), "error").unionByName(both))
+    if not fail_closed:
+        return merged.withColumn("error", F.lit(None).cast("string"))
+    return merged.withColumn("spans", F.when(F.col("error").isNull(), F.col("spans")))
 
 
 #: Where a window may end, the most structural first.
@@ -320,11 +334,77 @@ def token_ordinals(values: DataFrame, texts: DataFrame, by: str = "request_id")
     return joined.select(by, "entity_type", "value", number.alias("n"))
 
 
-def encode(rows: DataFrame, actions: dict[str, str] | None = None, default: str = "ENCODE") -> tuple[DataFrame, DataFrame]:
+class Codec(Protocol):
+    """How tokens are made: ``mint`` gives a token to each value (request_id, entity_type, value, token); ``pattern`` finds such tokens in loose form, its
+    two groups a label and what tells tokens of one label apart; ``plain`` spells a found one as it was made."""
+
+    pattern: str
+
+    def mint(self, values: DataFrame, texts: DataFrame) -> DataFrame: ...
+
+    def plain(self, found: Column) -> Column: ...
+
+
+class Ordinals:
+    """Tokens ``<PERSON_1>``, numbered in each request by first appearance."""
+
+    pattern = r"(?i)<\s*([a-z][a-z_\\]*?)\s*\\?_\s*([0-9]+)\s*\\?>"
+
+    def mint(self, values: DataFrame, texts: DataFrame) -> DataFrame:
+        token = F.concat(F.lit("<"), "entity_type", F.lit("_"), F.col("n").cast("string"), F.lit(">"))
+        return token_ordinals(values, texts).select("request_id", "entity_type", "value", token.alias("token"))
+
+    def plain(self, found: Column) -> Column:
+        return F.upper(F.regexp_replace(F.regexp_replace(found, r"[\s\\]", ""), "_+", "_"))
+
+
+class Handles:
+    """Tokens ``<PERSON:3f9c2e1b8d4a7f60>`` with random handles, which tell nothing of a value's order or number.
+
+    Handles are drawn once and written before they are used. One that is drawn twice, that a vault kept from before has (``kept``, with a column token), or that
+    stands in a text is drawn again, until none is. A value keeps its token from ``kept`` (request_id, entity_type, value, token).
+    """
+
+    pattern = r"(?i)<\s*([a-z][a-z_]*)\s*:\s*([0-9a-f]+)\s*>"
+
+    def __init__(self, kept: DataFrame | None = None, draw: Callable[[], Column] | None = None, most_rounds: int = 20):
+        self.kept, self.most_rounds = kept, most_rounds
+        self.draw = draw or (lambda: F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))
+
+    def mint(self, values: DataFrame, texts: DataFrame) -> DataFrame:
+        key = ["request_id", "entity_type", "value"]
+        wanted = values.select(*key).distinct()
+        spelt = F.explode(F.transform(F.regexp_extract_all("text", F.lit(f"({self.pattern})"), 1), self.plain))
+        taken = texts.select(spelt.alias("token"))
+        done = None
+        if self.kept is not None:
+            taken = taken.unionByName(self.kept.select("token"))
+            done = staged(wanted.join(self.kept.select(*key, "token").dropDuplicates(key), key), "tokens")
+            wanted = wanted.join(done, key, "left_anti")
+        taken = taken.where("token is not null").distinct()
+        for _ in range(self.most_rounds):
+            token = F.concat(F.lit("<"), "entity_type", F.lit(":"), self.draw(), F.lit(">"))
+            drawn = staged(wanted.withColumn("token", token), "tokens")
+            earlier = taken if done is None else taken.unionByName(done.select("token"))
+            once = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n = 1").join(earlier, "token", "left_anti").select("token")
+            good = staged(drawn.join(once, "token"), "tokens").select(*key, "token")
+            done = good if done is None else done.unionByName(good)
+            wanted = drawn.select(*key).join(good, key, "left_anti")
+            if wanted.isEmpty():
+                return done
+        raise ValueError(f"handles still collide after {self.most_rounds} draws")
+
+    def plain(self, found: Column) -> Column:
+        bare = F.regexp_replace(found, r"\s", "")
+        return F.concat(F.upper(F.substring_index(bare, ":", 1)), F.lit(":"), F.lower(F.substring_index(bare, ":", -1)))
+
+
+def encode(rows: DataFrame, actions: dict[str, str] | None = None, default: str = "ENCODE", codec: Codec | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts with their spans replaced, and the vault that restores them.
 
     ``rows`` has request_id, text_no, text and spans that are apart and in order. ENCODE puts ``<PERSON_1>``, the same for the same value in
-    all of a request's texts; MASK puts ``<PERSON>``; BLOCK rejects the whole request. Write the vault before the texts.
+    all of a request's texts; MASK puts ``<PERSON>``; BLOCK rejects the whole request. Write the vault before the texts. ``codec`` mints the tokens,
+    by default numbered ones.
     """
     rows = staged(rows.select("request_id", "text_no", "text", "spans"), "encode")  # read several times below; detection is costly
     known = F.create_map(*[F.lit(x) for p in (actions or {"": default}).items() for x in p])
@@ -334,9 +414,9 @@ def encode(rows: DataFrame, actions: dict[str, str] | None = None, default: str
     )
     opened = opened.withColumn("action", F.coalesce(F.try_element_at(known, F.col("entity_type")), F.lit(default)))
     blocked = opened.where("action = 'BLOCK'").select("request_id").distinct()
-    ordinals = token_ordinals(opened.where("action = 'ENCODE'"), rows.select("request_id", "text"))
-    token = F.when(F.col("action") == "MASK", F.concat(F.lit("<"), "entity_type", F.lit(">"))).otherwise(F.concat(F.lit("<"), "entity_type", F.lit("_"), F.col("n").cast("string"), F.lit(">")))
-    named = opened.join(ordinals, ["request_id", "entity_type", "value"], "left").withColumn("token", token)
+    minted = (codec or Ordinals()).mint(opened.where("action = 'ENCODE'"), rows.select("request_id", "text"))
+    token = F.when(F.col("action") == "MASK", F.concat(F.lit("<"), "entity_type", F.lit(">"))).otherwise(F.col("minted"))
+    named = opened.join(minted.withColumnRenamed("token", "minted"), ["request_id", "entity_type", "value"], "left").withColumn("token", token)
     placed = named.groupBy("request_id", "text_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
     joined = rows.join(placed, ["request_id", "text_no"], "left").join(blocked, "request_id", "left_anti")
     pairs = F.reverse(F.coalesce(F.arrays_zip("spans", "tokens"), F.array().cast(f"array<struct<spans:{SPAN},tokens:string>>")))
@@ -344,9 +424,7 @@ def encode(rows: DataFrame, actions: dict[str, str] | None = None, default: str
         F.concat(F.substring(t, F.lit(1), p["spans"]["start"]), p["tokens"], F.substring(t, p["spans"]["end"] + 1, F.length(t)))
     )
     encoded = joined.select("request_id", "text_no", F.aggregate(pairs, F.col("text"), splice).alias("encoded"))
-    vault = ordinals.join(blocked, "request_id", "left_anti").select(
-        F.concat(F.lit("<"), "entity_type", F.lit("_"), F.col("n").cast("string"), F.lit(">")).alias("token"), "entity_type", "value", "request_id"
-    )
+    vault = minted.join(blocked, "request_id", "left_anti").select("token", "entity_type", "value", "request_id")
     return encoded, vault
 
 
@@ -355,7 +433,7 @@ def handle_tokens(vault: DataFrame) -> DataFrame:
     return vault.withColumn("handle", F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))
 
 
-_LOOSE = r"(?i)<\s*([a-z][a-z_\\]*?)\s*\\?_\s*([0-9]+)\s*\\?>"
+_LOOSE = Ordinals.pattern
 
 
 def find_tokens(text: Column) -> Column:
@@ -364,13 +442,13 @@ def find_tokens(text: Column) -> Column:
     return F.transform(raw, lambda t: F.upper(F.regexp_replace(F.regexp_replace(t, r"[\s\\]", ""), "_+", "_")))
 
 
-def decode(texts: DataFrame, vault: DataFrame) -> DataFrame:
-    """Texts (request_id, text_no, text) with their tokens restored in one pass; unknown ones stay as they are."""
-    marked = texts.select("request_id", "text_no", F.regexp_extract_all("text", F.lit(f"({_LOOSE})"), 1).alias("raw"), F.split("text", _LOOSE).alias("literal"))
+def decode(texts: DataFrame, vault: DataFrame, codec: Codec | None = None) -> DataFrame:
+    """Texts (request_id, text_no, text) with the codec's tokens restored in one pass; unknown ones stay as they are."""
+    codec = codec or Ordinals()
+    marked = texts.select("request_id", "text_no", F.regexp_extract_all("text", F.lit(f"({codec.pattern})"), 1).alias("raw"), F.split("text", codec.pattern).alias("literal"))
     parts = marked.select("request_id", "text_no", F.posexplode(F.arrays_zip("literal", "raw")).alias("i", "p")).select("request_id", "text_no", "i", "p.literal", "p.raw")
-    plain = F.upper(F.regexp_replace(F.regexp_replace("raw", r"[\s\\]", ""), "_+", "_"))
     known = vault.select("request_id", F.col("token").alias("plain"), "value")
-    joined = parts.withColumn("plain", plain).join(known, ["request_id", "plain"], "left")
+    joined = parts.withColumn("plain", codec.plain(F.col("raw"))).join(known, ["request_id", "plain"], "left")
     piece = F.concat(F.coalesce("literal", F.lit("")), F.coalesce("value", "raw", F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("i", piece.alias("piece"))))
     return joined.groupBy("request_id", "text_no").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text"))

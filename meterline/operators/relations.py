@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..shared import staged
+from .patterns import with_hits
 
 # Filters
 
@@ -66,8 +67,13 @@ def blocked_users(df: DataFrame, blocked: DataFrame, keep: bool = False) -> Data
     return df.join(blocked.select("user").distinct(), "user", "left_semi" if keep else "left_anti")
 
 
-def banned_keywords(texts: DataFrame, words: list[str]) -> DataFrame:
-    """Texts that hold a keyword in lower-cased form; a keyword in capitals therefore never matches."""
+def banned_keywords(texts: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+    """Texts that hold a keyword in lower-cased form; a keyword in capitals therefore never matches.
+
+    Keywords are a short list or a table (word) of any length, all of which are found in one pass over a text.
+    """
+    if isinstance(words, DataFrame):
+        return with_hits(texts.withColumn("__low", F.lower("text")), "__low", {"hits": words}).drop("__low").where(F.size("hits") > 0)
     low = F.lower("text")
     hits = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
     return texts.withColumn("hits", hits).where(F.size("hits") > 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..shared import staged
 from .aggregates import count_if
+from .patterns import with_hits, word_blocks
 
 
 def sentences(docs: DataFrame, max_words: int | None = None) -> DataFrame:
@@ -21,14 +22,8 @@ def sentences(docs: DataFrame, max_words: int | None = None) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("sentence", "s"))
 
 
-MAX_RULES = 100_000  # of one kind and category, which go into the plan
-
-
-def _listed(rules: DataFrame, kind: str, category: str) -> list[tuple[str, str]]:
-    rows = rules.where((F.col("kind") == kind) & (F.col("category") == category)).select("value", "severity").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules of kind {kind} in category {category}")
-    return sorted(((r["value"], r["severity"]) for r in rows if r["value"] is not None), key=lambda r: (r[0], r[1] or ""))
+def _of(rules: DataFrame, kind: str, category: str) -> DataFrame:
+    return rules.where((F.col("kind") == kind) & (F.col("category") == category)).select("value", "severity")
 
 
 def _constant(rows: list, kind: str) -> Column:
@@ -41,33 +36,42 @@ def _hits(text: Column, words: list[str]) -> Column:
 
 
 def screen_keywords(docs: DataFrame, rules: DataFrame, category: str) -> DataFrame:
-    """Texts that hold an always-blocked keyword, with the keyword and its severity. Rules are a policy's, so few."""
-    listed = _listed(rules, "always", category)
-    pairs = _constant([{"keyword": w, "severity": s} for w, s in listed], "struct<keyword:string,severity:string>")
+    """Texts that hold an always-blocked keyword, with the keyword and its severity.
+
+    All keywords are found in one pass over a text and then meet their severities on equal keys.
+    """
+    listed = _of(rules, "always", category)
     low = docs.select("doc_id", F.lower("text").alias("t"))
-    found = low.select("doc_id", F.explode(F.filter(pairs, lambda p: F.contains(F.col("t"), p["keyword"]))).alias("h"))
-    return found.select("doc_id", "h.keyword", "h.severity")
+    found = with_hits(low, "t", {"hits": listed}, "value").select("doc_id", F.explode("hits").alias("keyword"))
+    return found.join(listed.select(F.col("value").alias("keyword"), "severity"), "keyword").select("doc_id", "keyword", "severity")
 
 
 def screen_conditional(docs: DataFrame, rules: DataFrame, category: str) -> DataFrame:
     """Sentences with both an identifier and a blocked action word."""
-    who, what = ([w for w, _ in _listed(rules, k, category)] for k in ("identifier", "block"))
-    found = sentences(docs).select("doc_id", "sentence", "s", _hits(F.col("s"), who).alias("identifiers"), _hits(F.col("s"), what).alias("actions"))
+    found = with_hits(sentences(docs), "s", {"identifiers": _of(rules, "identifier", category), "actions": _of(rules, "block", category)}, "value")
     found = found.where((F.size("identifiers") > 0) & (F.size("actions") > 0))
     return found.select("doc_id", "sentence", "s", F.lit(category).alias("category"), F.col("identifiers")[0].alias("identifier"), F.col("actions")[0].alias("action"))
 
 
+PHRASES = 1_000  # regular expressions joined into one
+
+
 def screen_phrases(docs: DataFrame, rules: DataFrame, category: str) -> DataFrame:
-    """Sentences that match one of a category's phrases, regular expressions joined into one."""
-    phrases = [w for w, _ in _listed(rules, "phrase", category)]
-    found = sentences(docs).where(F.col("s").rlike("|".join(f"(?:{p})" for p in phrases))) if phrases else sentences(docs).limit(0)
+    """Sentences that match one of a category's phrases, which are regular expressions.
+
+    Phrases are tried by the thousand, joined; a further thousand costs another filter over the sentences not yet found.
+    """
+    left, found = sentences(docs), sentences(docs).limit(0)
+    for block in word_blocks(_of(rules, "phrase", category), "value", PHRASES):
+        fits = F.col("s").rlike("|".join(f"(?:{p})" for p in sorted(block)))
+        found, left = found.unionByName(left.where(fits)), left.where(~fits)
     return found.withColumn("category", F.lit(category))
 
 
 def apply_exceptions(hits: DataFrame, rules: DataFrame, category: str) -> DataFrame:
     """Hits whose sentence holds none of the category's exceptions."""
-    words = [w for w, _ in _listed(rules, "exception", category)]
-    return hits.where(F.size(_hits(F.col("s"), words)) == 0)
+    found = with_hits(hits, "s", {"__exceptions": _of(rules, "exception", category)}, "value")
+    return found.where(F.size("__exceptions") == 0).drop("__exceptions")
 
 
 def competitor_intent(docs: DataFrame, brands: list[str], markers: list[str], operational: list[str], signals: list[str], threshold: float = 0.6) -> DataFrame:
@@ -105,38 +109,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-MAX_UTTERANCES = 10_000
+UTTERANCES = 10_000  # sent at once
 
 
-def semantic_match(vectors: DataFrame, routes: DataFrame, threshold: float) -> DataFrame:
+def semantic_match(vectors: DataFrame, routes: DataFrame, threshold: float, most: int = UTTERANCES) -> DataFrame:
     """The best route of each vector, if the greatest cosine to one of its utterances reaches its threshold, or the global one.
 
-    Utterances (route, utterance, route_threshold) are hand-written and few; their number is checked before they are broadcast.
+    Utterances (route, utterance, route_threshold) are sent in blocks of ``most``, in order of route and utterance; each row carries its best so
+    far from block to block, so any number is exact. Of equal ones the last counts. Vectors of another length than a block's take no part in it.
     """
-    if routes.limit(MAX_UTTERANCES + 1).count() > MAX_UTTERANCES:
-        raise ValueError(f"over {MAX_UTTERANCES} utterances: too many to broadcast")
-    rows = sorted((r.route, r.utterance, r.route_threshold) for r in routes.select("route", "utterance", "route_threshold").collect() if r.route is not None and r.utterance)
-    names, limits = [r[0] for r in rows], [threshold if r[2] is None else r[2] for r in rows]
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    fields = f"vec_id {kind}, embedding array<double>, route string, score double, least double"
+    none = F.lit(None)
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), none.cast("string").alias("route"), none.cast("double").alias("score"), none.cast("double").alias("least"))
+    listed = routes.where("route IS NOT NULL AND size(utterance) > 0").orderBy("route", "utterance", "route_threshold").select("route", "utterance", "route_threshold")
+    for block in _route_blocks(listed, threshold, most):
+        rows = _best_of(rows, block, fields)
+    return rows.where(F.col("score") >= F.col("least")).select("vec_id", "route", "score")
+
+
+def _route_blocks(listed: DataFrame, threshold: float, most: int) -> Iterator[list[tuple]]:
+    """Utterances of one length, at most ``most``: a block ends where the length changes as well."""
+    block: list[tuple] = []
+    for r in listed.toLocalIterator():
+        if block and (len(block) == most or len(block[0][1]) != len(r.utterance)):
+            yield block
+            block = []
+        block.append((r.route, r.utterance, threshold if r.route_threshold is None else r.route_threshold))
+    if block:
+        yield block
+
+
+def _best_of(rows: DataFrame, block: list[tuple], fields: str) -> DataFrame:
+    names, utterances, limits = zip(*block)
+    sent = rows.sparkSession.sparkContext.broadcast((names, np.array(utterances, np.float64), limits))
+    unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
-        wanted = unit(np.array([r[1] for r in rows], np.float64))
+        names, wanted, limits = sent.value
+        wanted = unit(wanted)
         for batch in batches:
-            sound = [i for i, v in enumerate(batch["embedding"].to_pylist()) if v is not None and len(v) == wanted.shape[1]]
-            batch = batch.take(pa.array(sound, pa.int64()))
-            scores = np.round(unit(np.array(batch["embedding"].to_pylist(), np.float64).reshape(len(sound), -1)) @ wanted.T, 9) if sound else np.empty((0, len(rows)))
-            best = scores.shape[1] - 1 - scores[:, ::-1].argmax(axis=1) if sound else np.empty(0, np.int64)  # of equal ones the last route
-            score = scores[np.arange(len(best)), best]
-            kept = np.flatnonzero(score >= np.array(limits)[best]) if sound else best
+            route, score, least = (batch[c].to_pylist() for c in ("route", "score", "least"))
+            vectors = batch["embedding"].to_pylist()
+            sound = [i for i, v in enumerate(vectors) if v is not None and len(v) == wanted.shape[1]]
+            if sound:
+                scores = np.round(unit(np.array([vectors[i] for i in sound], np.float64)) @ wanted.T, 9)
+                best = scores.shape[1] - 1 - scores[:, ::-1].argmax(axis=1)  # of equal ones the last
+                for i, at, s in zip(sound, best.tolist(), scores.max(axis=1).tolist()):
+                    if score[i] is None or s >= score[i]:
+                        route[i], score[i], least[i] = names[at], s, float(limits[at])
             yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"].take(pa.array(kept)), pa.array([names[i] for i in best[kept]], pa.string()), pa.array(score[kept], pa.float64())],
-                ["vec_id", "route", "score"],
+                [batch["vec_id"], batch["embedding"], pa.array(route, pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64())], ["vec_id", "embedding", "route", "score", "least"]
             )
 
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], f"vec_id {kind}, route string, score double")
-    return vectors.select("vec_id", "embedding").mapInArrow(match, f"vec_id {kind}, route string, score double")
+    return rows.mapInArrow(match, fields)
 
 
 def tokens(text: Column) -> Column:

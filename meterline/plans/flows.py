@@ -128,6 +128,26 @@ def _(spark, d):
     return files.upsert_rollup(old, new, keys, counters)
 
 
+@query("snk5_upsert_into", with_(LOG) + f"SELECT {t('usage_date')} AS usage_date, model, {n('sum(prompt_tokens)')} AS prompt_tokens, {m('sum(spend)')} AS spend FROM log GROUP BY 1, 2")
+def _(spark, d):
+    """The rollup by day as a table that three runs add to, one of them repeated."""
+    path, log = new_path(spark, "upserted"), _log(spark, d).withColumn("request_id", F.lit(None).cast("string"))
+    for i, part in enumerate(("usage_date <= date'2024-01-10'", "usage_date > date'2024-01-10' and k < 50", "usage_date > date'2024-01-10' and k >= 50", "false")):
+        for _again in range(2 if i == 1 else 1):
+            files.upsert_into(log.where(part), path, ["usage_date", "model"], ["prompt_tokens", "spend"], "usage_date", f"run-{i}")
+    return spark.read.parquet(path).select("usage_date", "model", "prompt_tokens", "spend")
+
+
+@query("pi22_erase_in_place", with_(LOG) + f"SELECT {t('usage_date')} AS usage_date, count(*) AS n FROM log WHERE \"user\" NOT IN ('7', '11') GROUP BY 1")
+def _(spark, d):
+    """The users that are to be forgotten erased from a table by day; days without them aren't touched."""
+    path = new_path(spark, "erasable")
+    files.write_partitioned(_log(spark, d).select("request_id", "user", "usage_date"), path)
+    gone = spark.createDataFrame([("7",), ("11",)], "user string")
+    files.erase_from(spark, path, "usage_date", "user", gone, "erase-1")
+    return spark.read.parquet(path).groupBy("usage_date").agg(F.count("*").alias("n"))
+
+
 # Streams
 
 
@@ -141,16 +161,29 @@ def _(spark, d):
 @query("st2_stream_load", with_(LOG) + f"SELECT model AS deployment, strftime(date_trunc('minute', start_time), '%Y-%m-%d %H:%M:%S') AS start, {n('sum(prompt_tokens)')} AS tpm, count(*) AS rpm FROM log GROUP BY 1, 2")
 def _(spark, d):
     log = _stream(spark, d).select(F.col("model").alias("deployment"), "start_time", F.col("prompt_tokens").alias("tokens"))
-    return jobs.drain(jobs.stream_load(log), "complete", "load")
+    return jobs.drain_closed(log, jobs.stream_load, "start_time", "load")
 
 
 @query("st2_stream_load_sliding", with_(LOG, "w AS (SELECT model, prompt_tokens, date_trunc('hour', start_time) - to_hours(i) AS s FROM log, range(2) AS r(i))") + f"SELECT model AS deployment, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, {n('sum(prompt_tokens)')} AS tpm, count(*) AS rpm FROM w GROUP BY 1, 2")
 def _(spark, d):
     log = _stream(spark, d).select(F.col("model").alias("deployment"), "start_time", F.col("prompt_tokens").alias("tokens"))
-    return jobs.drain(jobs.stream_load(log, "2 hours", "1 hour"), "complete", "sliding")
+    return jobs.drain_closed(log, lambda x: jobs.stream_load(x, "2 hours", "1 hour"), "start_time", "sliding")
 
 
-@query("st3_session_limit")
+def _folded(who: str, where: str, start: str, step: str, made: str) -> str:
+    """SQL that folds the rows of each ``who`` in order: ``step`` gives the state after row x from a, ``made`` what is put out with it."""
+    return with_(LOG, f"""e AS (SELECT {who} AS session_id, {_SECONDS} AS sec, CAST(request_id AS BIGINT) AS seq FROM log WHERE {where})""",
+     f"""g AS (SELECT session_id, list_reduce(list_concat([{{'sec': 0::BIGINT, 'seq': 0::BIGINT, 's': {start}, 'made': CAST([] AS STRUCT(seq BIGINT, v BIGINT)[])}}],
+      list({{'sec': sec, 'seq': seq, 's': {start}, 'made': CAST([] AS STRUCT(seq BIGINT, v BIGINT)[])}} ORDER BY sec, seq)),
+      lambda a, x: {{'sec': x.sec, 'seq': x.seq, 's': {step}, 'made': {made}}}).made AS made FROM e GROUP BY 1)""", "m AS (SELECT session_id, unnest(made) AS u FROM g)")
+
+
+_OPEN = "a.s.n > 0 AND x.sec < a.s.first + 86400"
+
+
+@query("st3_session_limit", _folded('"user"', "true", "{'first': 0::BIGINT, 'n': 0::BIGINT}",
+ f"CASE WHEN {_OPEN} THEN {{'first': a.s.first, 'n': a.s.n + 1}} ELSE {{'first': x.sec, 'n': 1}} END",
+ f"list_append(a.made, {{'seq': x.seq, 'v': CASE WHEN {_OPEN} THEN a.s.n + 1 ELSE 1 END}})") + 'SELECT session_id, u.seq AS seq, u.v AS n, u.v > 5 AS "over" FROM m')
 def _(spark, d):
     events = _stream(spark, d).select(F.col("user").alias("session_id"), _seconds("start_time").alias("at"), F.col("request_id").cast("long").alias("seq"))
     return jobs.drain(jobs.session_limit(events, 5, 86_400), name="limit")
@@ -186,7 +219,13 @@ def _(spark, d):
     return jobs.drain(jobs.stream_hanging(_stream(spark, d).select("request_id", "start_time"), ended, 5), name="hanging")
 
 
-@query("st6_stream_cooldown")
+_NOW = f"CASE WHEN {_OPEN} THEN a.s.n + 1 ELSE 1 END"
+_RESTS = f"({_NOW}) > 2 AND x.sec >= a.s.until"
+
+
+@query("st6_stream_cooldown", _folded("api_key", "status = 'failure'", "{'first': 0::BIGINT, 'n': 0::BIGINT, 'until': 0::BIGINT}",
+ f"{{'first': CASE WHEN {_OPEN} THEN a.s.first ELSE x.sec END, 'n': {_NOW}, 'until': CASE WHEN {_RESTS} THEN x.sec + 3600 ELSE a.s.until END}}",
+ f"CASE WHEN {_RESTS} THEN list_append(a.made, {{'seq': x.seq, 'v': x.sec + 3600}}) ELSE a.made END") + "SELECT session_id, u.seq AS seq, u.v AS until FROM m")
 def _(spark, d):
     failed = _stream(spark, d).where("status = 'failure'").select(F.col("api_key").alias("session_id"), _seconds("start_time").alias("at"), F.col("request_id").cast("long").alias("seq"))
     return jobs.drain(jobs.stream_cooldown(failed, 2, 86_400, 3_600), name="cooldown")
@@ -195,7 +234,7 @@ def _(spark, d):
 @query("st7_stream_sessions", with_(LOG, """g AS (SELECT *, CASE WHEN start_time < lag(start_time) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM log WINDOW w AS (PARTITION BY "user" ORDER BY start_time))""", """s AS (SELECT *, sum(new) OVER (PARTITION BY "user" ORDER BY start_time, request_id ROWS UNBOUNDED PRECEDING) AS s FROM g)""") + f"""SELECT "user", {n('epoch_us(min(start_time))')} AS start_us, count(*) AS turns, {n('sum(prompt_tokens)')} AS tokens, {m('sum(spend)')} AS spend FROM s GROUP BY "user", s""")
 def _(spark, d):
     log = _stream(spark, d).select("user", "start_time", F.col("prompt_tokens").alias("tokens"), "spend")
-    return jobs.drain(jobs.stream_sessions(log), "complete", "sessions").select("user", F.unix_micros("start").alias("start_us"), "turns", "tokens", "spend")
+    return jobs.drain_closed(log, jobs.stream_sessions, "start_time", "sessions").select("user", F.unix_micros("start").alias("start_us"), "turns", "tokens", "spend")
 
 
 @query("st8_stream_dedupe", with_(LOG) + "SELECT request_id FROM log")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pii, vault
+from ..operators import pii, shapes, vault
 from ..operators import relations as r
 from ..shared import new_path
 from ..sources import bindings as b
@@ -44,19 +44,35 @@ def _(spark, d):
     return mails.groupBy("doc_id").agg(F.count("*").alias("emails"))
 
 
-@query("pi2_detect_secrets")
+_H = "sha256(CAST(doc_id AS VARCHAR))"
+_UUID = "left(h, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+@query("pi2_detect_secrets", f"""WITH x AS (SELECT doc_id, length(text) AS n, {_H} AS h FROM documents) SELECT doc_id, 'npm' AS entity_type, n + 1 AS start, n + 41 AS "end", 1.0::DOUBLE AS score, 'secrets' AS detector, 'npm_' || left(h, 36) AS value FROM x
+ UNION ALL SELECT doc_id, 'gitlab', n + 42, n + 68, 1.0::DOUBLE, 'secrets', 'glpat-' || left(h, 20) FROM x UNION ALL SELECT doc_id, 'heroku', n + 83, n + 119, 1.0::DOUBLE, 'secrets', {_UUID} FROM x""")
 def _(spark, d):
-    return _flat(pii.detect_secrets(_docs(spark, d)))
+    """The documents with three secrets, made of a hash, after each."""
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    uuid = F.concat_ws("-", F.left(h, F.lit(8)), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    text = F.concat("text", F.lit(" npm_"), F.left(h, F.lit(36)), F.lit(" glpat-"), F.left(h, F.lit(20)), F.lit(' heroku_key = "'), uuid, F.lit('"'))
+    return _flat(pii.detect_secrets(_docs(spark, d).select("doc_id", text.alias("text"))))
 
 
-@query("pi3_detect_regional")
+@query("pi3_detect_regional", """WITH x AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS k FROM customer) SELECT c_custkey AS doc_id, 'SG_NRIC' AS entity_type, 'S' || k || 'D' AS value FROM x UNION ALL SELECT c_custkey, 'US_SSN', substr(k, 5, 3) || '-45-' || right(k, 4) FROM x""")
 def _(spark, d):
-    return _flat(pii.detect_regional(_docs(spark, d)))
+    k = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    text = F.concat(F.lit("S"), k, F.lit("D of "), "c_name", F.lit(", ssn "), F.substring(k, 5, 3), F.lit("-45-"), F.right(k, F.lit(4)))
+    return _flat(pii.detect_regional(b.read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))).select("doc_id", "entity_type", "value")
 
 
-@query("pi4_detect_gazetteer")
+@query("pi4_detect_gazetteer", r"""WITH names AS (SELECT DISTINCT regexp_extract(text, '^[\p{L}\p{N}_]+') AS name FROM conversations WHERE length(regexp_extract(text, '^[\p{L}\p{N}_]+')) >= 4),
+ w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS name FROM documents) SELECT doc_id, name AS value, count(*) AS n FROM w JOIN names USING (name) GROUP BY ALL""")
 def _(spark, d):
-    return _flat(pii.detect_gazetteer(_docs(spark, d)))
+    """The words with which conversations begin as names."""
+    first = F.regexp_extract("text", r"^[\p{L}\p{N}_]+", 0)
+    names = b.read(spark, d, "conversations").select(first.alias("name"), F.lit("PERSON").alias("entity_type")).where("length(name) >= 4")
+    found = _flat(pii.detect_gazetteer(_docs(spark, d), names)).where("entity_type = 'PERSON'")
+    return found.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
 @query("pi5_map_labels", with_(LOG) + "SELECT request_id, CASE k % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'ORGANIZATION' WHEN 3 THEN 'EMAIL' END AS entity_type FROM log WHERE k % 5 < 4")
@@ -80,13 +96,51 @@ def _log_spans(spark, d):
     return _log(spark, d).select(F.col("request_id").alias("doc_id"), F.lit("ab cd efg hij  klmno p qrst uv").alias("text"), spans.alias("spans"), "k")
 
 
-@query("pi7_cascade", with_(LOG) + f"SELECT request_id AS doc_id, {n('CASE WHEN k % 4 = 0 THEN 0 ELSE 2 END + CASE WHEN k % 4 = 0 OR k < 50 THEN 1 ELSE 0 END')} AS n_spans FROM log")
+_STAGES = "k % 3 = 0 OR CASE WHEN k % 3 = 1 THEN k ELSE greatest(k, k * 7 % 100) END < 50"
+
+
+def _staged_spans(spark, d):
+    """Up to two spans of different scores over a text of 26 letters, and a model that fails where k ends in 0 or 5."""
+    k = F.col("k")
+    span = lambda name, start, score: F.struct(F.lit(name).alias("entity_type"), F.lit(start).alias("start"), F.lit(start + 3).alias("end"), (score / 100.0).alias("score"), F.lit("rules").alias("detector"))
+    spans = F.slice(F.array(span("A", 0, k), span("B", 5, k * 7 % 100)), F.lit(1), k % 3)
+    text = F.concat(F.lit("abcdefghijklmnopqrstuvwxyz"), k.cast("string"))
+
+    def model(rows):
+        def find(text):
+            if text[-1] in "05":
+                raise RuntimeError("down")
+            return [("M", 10, 12, 0.9)]
+
+        return pii.detect_each(rows, find, "model")
+
+    return _log(spark, d).select(F.col("request_id").alias("doc_id"), text.alias("text"), spans.cast(f"array<{pii.SPAN}>").alias("spans")), model
+
+
+def _cascaded(spark, d, fail_closed):
+    rows, model = _staged_spans(spark, d)
+    found = pii.cascade(rows, "low_confidence", model, fail_closed=fail_closed)
+    return found.select("doc_id", F.coalesce(F.size("spans"), F.lit(-1)).alias("n_spans"), "model_ran", "error")
+
+
+@query("pi7_cascade", with_(LOG) + f"SELECT request_id AS doc_id, {n(f'CASE WHEN ({_STAGES}) AND k % 5 = 0 THEN -1 ELSE k % 3 + CASE WHEN {_STAGES} THEN 1 ELSE 0 END END')} AS n_spans, ({_STAGES}) AND k % 5 <> 0 AS model_ran, CASE WHEN ({_STAGES}) AND k % 5 = 0 THEN 'RuntimeError: down' END AS error FROM log")
 def _(spark, d):
-    def one_span(rows):
-        span = F.struct(F.lit("M").alias("entity_type"), F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit(0.9).alias("score"), F.lit("model").alias("detector"))
-        return rows.select("doc_id", "text", F.array(span).cast(f"array<{pii.SPAN}>").alias("spans"))
+    return _cascaded(spark, d, True)
+
+
+@query("pi7_cascade_open", with_(LOG) + f"SELECT request_id AS doc_id, {n(f'k % 3 + CASE WHEN ({_STAGES}) AND k % 5 <> 0 THEN 1 ELSE 0 END')} AS n_spans, ({_STAGES}) AND k % 5 <> 0 AS model_ran, CAST(NULL AS VARCHAR) AS error FROM log")
+def _(spark, d):
+    return _cascaded(spark, d, False)
+
 
-    return pii.cascade(_log_spans(spark, d), "low_confidence", one_span).select("doc_id", F.size("spans").alias("n_spans"))
+@query("pi8_windows_cover", "SELECT doc_id, 0::BIGINT AS first, CAST(length(text) AS BIGINT) AS last, true AS in_size FROM documents WHERE text <> ''")
+def _(spark, d):
+    """That the windows of a text reach from its beginning to its end without a gap, none over its size."""
+    found = pii.windows(_docs(spark, d), 2000, 200)
+    joins = F.collect_list(F.struct("window", "start", "end"))
+    spans = found.groupBy("doc_id").agg(F.array_sort(joins).alias("w"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    apart = F.exists(F.transform("w", lambda x, i: (i > 0) & (x["start"] > F.element_at("w", F.greatest(i, F.lit(1)))["end"])), lambda gap: gap)
+    return spans.select("doc_id", F.col("w")[0]["start"].alias("first"), F.array_max(F.transform("w", lambda x: x["end"])).alias("last"), ((F.col("longest") <= 2000) & ~apart).alias("in_size"))
 
 
 @query("pi8_windows")
@@ -122,7 +176,7 @@ def _(spark, d):
 
 @query("pi13_merge_spans")
 def _(spark, d):
-    return _flat(pii.merge_spans(pii.detect(_docs(spark, d), [*pii.RULES, *pii.REGIONAL], "rules")))
+    return _flat(pii.merge_spans(pii.detect(_docs(spark, d), [*shapes.RULES, *shapes.REGIONAL], "rules")))
 
 
 @query("pi14_union_spans")
@@ -162,6 +216,15 @@ def _(spark, d):
     return pii.handle_tokens(pii.encode(_requests(spark, d))[1]).select("token", "request_id", F.length("handle").alias("length"))
 
 
+@query("pi17_handle_round_trip", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def _(spark, d):
+    """Texts encoded by random handles and restored."""
+    codec = pii.Handles()
+    encoded, rows = pii.encode(_requests(spark, d), codec=codec)
+    back = pii.decode(encoded.withColumnRenamed("encoded", "text"), rows, codec)
+    return back.select(F.col("text_no").alias("doc_id"), F.sha2("text", 256).alias("digest"))
+
+
 @query("pi18_find_tokens", with_(LOG) + "SELECT request_id, 'PERSON_' || k || ',MAIL_BOX_2' AS tokens FROM log")
 def _(spark, d):
     text = F.concat(F.lit("see < person _"), F.col("k").cast("string"), F.lit(r" > and <MAIL\_box\_2>, not <x> or <A_>"))
@@ -300,10 +363,13 @@ def _(spark, d):
     return pii.merge_reports(one.union(one))
 
 
-@query("pi26_detect_once", r"SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS emails, 'v1' AS version FROM documents")
+@query("pi26_detect_once", r"SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS emails, 'v1' AS version, 'strict' AS policy, 'de-CH' AS locale FROM documents")
 def _(spark, d):
-    once = pii.detect_once(_docs(spark, d), pii.detect_rules, "v1")
-    return once.select("doc_id", F.size(F.filter("spans", lambda s: s["entity_type"] == "EMAIL")).cast("long").alias("emails"), "version")
+    """Detected once and kept; the second run takes what the first has kept."""
+    kept = new_path(spark, "kept-spans")
+    for _run in range(2):
+        once = pii.detect_once(_docs(spark, d), pii.detect_rules, "v1", "strict", "de-CH", kept)
+    return once.select("doc_id", F.size(F.filter("spans", lambda s: s["entity_type"] == "EMAIL")).cast("long").alias("emails"), "version", "policy", "locale")
 
 
 @query("pi_detected_documents")

@@ -69,6 +69,14 @@ POLICIES = [("all", "*", "*", "*", []), ("team-3 only", "team-3", "*", "model-?"
 _P = "(VALUES ('all', '%', '%', '%', CAST([] AS VARCHAR[])), ('keys 1', '%', 'key-1%', '%', ['err%', 'k2'])) AS p(policy, pt, pk, pm, ptags)"
 
 
+@query("flt6_banned_keywords_many", "WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '^[a-zA-Z]+')) AS word FROM conversations WHERE length(regexp_extract(text, '^[a-zA-Z]+')) >= 4) SELECT doc_id, string_agg(word, ',' ORDER BY word) AS hits FROM documents JOIN w ON contains(lower(text), word) GROUP BY doc_id, text")
+def _(spark, d):
+    """The words with which conversations begin as keywords."""
+    first = F.lower(F.regexp_extract("text", "^[a-zA-Z]+", 0))
+    words = b.read(spark, d, "conversations").select(first.alias("word")).where("length(word) >= 4")
+    return r.banned_keywords(b.read(spark, d, "documents"), words).select("doc_id", F.array_join("hits", ",").alias("hits"))
+
+
 @query("flt7_policy_match", with_(LOG) + f"""SELECT request_id AS context_id, policy FROM log, {_P} WHERE (CASE WHEN team_id IS NULL THEN pt = '%' ELSE team_id LIKE pt END) AND api_key LIKE pk AND model LIKE pm
  AND (len(ptags) = 0 OR len(list_filter(request_tags, lambda x: x LIKE 'err%' OR x = 'k2')) > 0)""")
 def _(spark, d):

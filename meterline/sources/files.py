@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Sources
+from ..operators.relations import running_sum
+from ..shared import staged
 
-BATCH = "path string, n int, request string, error string"
+# Sources
 
 
 def split_objects(text: str) -> Iterator[tuple[str | None, str | None]]:
@@ -33,16 +36,59 @@ def split_objects(text: str) -> Iterator[tuple[str | None, str | None]]:
         at = end
 
 
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*("?)')
+_PLACE = ["path", "block", "line"]
+
+
+def line_depth(line: str) -> tuple[int, bool]:
+    """By how much a line of JSON nests deeper, and whether it ends outside a string, as it must."""
+    if '"' not in line:
+        return line.count("{") + line.count("[") - line.count("}") - line.count("]"), True
+    open_end = any(not m[1] for m in _STRING.finditer(line))
+    bare = _STRING.sub("", line)
+    return bare.count("{") + bare.count("[") - bare.count("}") - bare.count("]"), not open_end
+
+
 def read_batch_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """path, n, request (JSON) and error of each object in the batch files under ``path``; an unreadable rest is one error row."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """path, n, request (JSON) and error of each object in the batch files under ``path``; an unreadable rest is one error row.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Objects may span lines. Spark splits a file among tasks at line ends; each line's change of nesting is summed up over the lines
+    before it, in two levels (``running_sum``), and the lines between two places without nesting are put together and parsed. So a file of any size is
+    read by many tasks, and a task holds no more than one object's lines. Blank lines are passed over.
+    """
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    lines = staged(spark.read.text(path).select(*place, "value"), "batch-lines")
+
+    def depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, n, r, e) for p, v in zip(batch["path"], batch["value"], strict=True) for n, (r, e) in enumerate(split_objects(v))]
-            yield pd.DataFrame(rows, columns=["path", "n", "request", "error"])
+            found = [line_depth(v.as_py() or "") for v in batch["value"]]
+            columns = [*[batch[c] for c in _PLACE], pa.array([d for d, _ in found], pa.int64()), pa.array([ok for _, ok in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*_PLACE, "deeper", "ok"])
+
+    nested = running_sum(lines.mapInArrow(depths, "path string, block long, line long, deeper long, ok boolean"), "path", ["block", "line"], "deeper", "depth")
+    # A line after which nothing is open ends a part; the next begins another.
+    parts = running_sum(nested.withColumn("ends", (F.col("depth") <= 0).cast("long")), "path", ["block", "line"], "ends", "closed")
+    parts = parts.withColumn("part", F.col("closed") - F.col("ends"))
+    # A part that never ends, ends below nothing or breaks off in a string can't be read, and so needn't be put together.
+    faults = parts.groupBy("path", "part").agg(F.max("ends").alias("ends"), F.min("depth").alias("least"), F.min(F.col("ok").cast("long")).alias("ok"), F.max("line").alias("at"))
+    sound = (F.col("ends") > 0) & (F.col("least") >= 0) & (F.col("ok") > 0)
+    own = parts.select(*_PLACE, "part").join(faults.where(sound).select("path", "part"), ["path", "part"])
+    whole = lines.join(own, _PLACE).groupBy("path", "part").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("lines"))
+    whole = whole.select("path", "part", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("text"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, k, i, r, e) for p, k, v in zip(*(batch[c].to_pylist() for c in ("path", "part", "text"))) for i, (r, e) in enumerate(split_objects(v))]
+            kinds = pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["path", "part", "i", "request", "error"])
 
-    return files.mapInPandas(run, BATCH)
+    broken = faults.where(~sound).select("path", "part", F.lit(0).alias("i"), F.lit(None).cast("string").alias("request"), F.lit("an object isn't closed, or is closed twice").alias("error"))
+    parsed = staged(whole.mapInArrow(parse, "path string, part long, i int, request string, error string").unionByName(broken), "batch-objects")
+    # Nothing after a file's first fault is read.
+    fault = parsed.where("error IS NOT NULL").groupBy(F.col("path").alias("p")).agg(F.min("part").alias("fault"))
+    read = parsed.join(fault, F.col("path") == F.col("p"), "left").where("fault IS NULL OR part <= fault").withColumn("one", F.lit(1).cast("long"))
+    numbered = running_sum(read.select("path", "part", "i", "request", "error", "one"), "path", ["part", "i"], "one", "n")
+    return numbered.select("path", (F.col("n") - 1).cast("int").alias("n"), "request", "error")
 
 
 def read_batch_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -184,3 +230,102 @@ def upsert_rollup(existing: DataFrame, delta: DataFrame, keys: list[str], counte
     new = delta.select(*keys, *counters, "request_id", F.lit(1).alias("age"))
     last = F.max_by("request_id", F.when(F.col("request_id").isNotNull(), F.struct("age", "request_id")))
     return old.unionByName(new).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters], last.alias("request_id"))
+
+
+# Changes in place
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def _folder(spark: SparkSession, path: str, by: str, value) -> str:
+    """A partition's folder, by Spark's own rule for its name."""
+    rule = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return f"{path}/{rule.getPartitionPathString(by, None if value is None else str(value))}"
+
+
+def recover(spark: SparkSession, path: str, by: str) -> None:
+    """Finish what an earlier run has staged wholly; drop what it has staged in part. Run before each change of the table."""
+    fs, at = _fs(spark, f"{path}/_staging")
+    if fs.exists(at):
+        for status in sorted(fs.listStatus(at), key=lambda s: s.getPath().getName()):
+            name = status.getPath().getName()
+            if _exists(spark, f"{path}/_staging/{name}/_SUCCESS"):
+                _install(spark, path, by, name)
+            else:
+                _delete(spark, f"{path}/_staging/{name}")
+
+
+def _install(spark: SparkSession, path: str, by: str, name: str) -> None:
+    """Put the staged partitions in the place of the table's; may be repeated, as the staged ones stay until it is done and noted."""
+    staging = f"{path}/_staging/{name}"
+    rows = spark.read.parquet(f"{staging}/rows")
+    if not rows.isEmpty():
+        write_partitioned(rows, path, by)
+    # A partition that has been emptied isn't overwritten by dynamic overwrite.
+    left = rows.select(F.col(by).alias("__left")).distinct()
+    emptied = spark.read.parquet(f"{staging}/touched").join(left, F.col(by).eqNullSafe(F.col("__left")), "left_anti").select(F.col(by).cast("string")).collect()
+    for r in emptied:
+        _delete(spark, _folder(spark, path, by, r[0]))
+    fs, done = _fs(spark, f"{path}/_applied/{name}")
+    fs.create(done, True).close()
+    _delete(spark, staging)
+
+
+def rewrite_partitions(spark: SparkSession, path: str, by: str, touched: DataFrame, change: Callable[[DataFrame | None], DataFrame], name: str) -> None:
+    """Replace the partitions listed in ``touched`` (by) by ``change`` of their rows (None if the table isn't there yet); others aren't read or written.
+
+    The new partitions are written aside, marked complete, then put in place and noted under ``name``. A run that breaks off is finished or dropped by the next, and a
+    change whose name is noted isn't made again. The partitions of one change are listed on the driver; writers must take turns.
+    """
+    recover(spark, path, by)
+    if _exists(spark, f"{path}/_applied/{name}"):
+        return
+    values = touched.select(by).distinct()
+    listed = [r[0] for r in values.collect()]
+    if not listed:
+        return
+    present = [folder for folder in (_folder(spark, path, by, v) for v in listed) if _exists(spark, folder)]
+    old = None
+    if present:
+        old = spark.read.option("basePath", path).parquet(*present)
+    staging = f"{path}/_staging/{name}"
+    change(old).write.mode("overwrite").parquet(f"{staging}/rows")
+    values.write.mode("overwrite").parquet(f"{staging}/touched")
+    fs, mark = _fs(spark, f"{staging}/_SUCCESS")
+    fs.create(mark, True).close()
+    _install(spark, path, by, name)
+
+
+def upsert_into(delta: DataFrame, path: str, keys: list[str], counters: list[str], by: str, name: str) -> None:
+    """Add ``delta``'s counters to the rollup at ``path``, which lies in partitions of ``by``, one of its keys. See ``upsert_rollup`` and ``rewrite_partitions``."""
+    sums = upsert_rollup(delta.limit(0), delta, keys, counters).select(*keys, *counters, "request_id")
+    sums = sums.select(*[F.col(c).cast(delta.schema[c].dataType if c in keys else sums.schema[c].dataType).alias(c) for c in sums.columns])
+
+    def change(old: DataFrame | None) -> DataFrame:
+        if old is None:
+            return sums
+        merged = upsert_rollup(old.withColumn(by, F.col(by).cast(sums.schema[by].dataType)), sums, keys, counters)
+        return merged.select(*[F.col(c).cast(sums.schema[c].dataType).alias(c) for c in sums.columns])
+
+    rewrite_partitions(delta.sparkSession, path, by, delta, change, name)
+
+
+def erase_from(spark: SparkSession, path: str, by: str, column: str, values: DataFrame, name: str) -> None:
+    """Erase the rows whose ``column`` is listed in ``values`` from a table in partitions of ``by``; partitions without such rows keep their files."""
+    recover(spark, path, by)
+    table, gone = spark.read.parquet(path), values.select(column).distinct()
+    touched = staged(table.join(gone, column, "left_semi").select(by).distinct(), "touched")
+    rewrite_partitions(spark, path, by, touched, lambda old: old.join(gone, column, "left_anti"), name)

@@ -5,16 +5,18 @@ Each function takes and returns a streaming DataFrame; ``drain`` runs one over a
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import pii
 from ..shared import new_path
+from ..sources import files
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,34 +25,50 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-def drain(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over all available input. In append mode its rows go to files; else the last version of its result is kept."""
+def drain(stream: DataFrame, name: str = "stream", out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over all available input, its rows appended to files. With ``out`` and ``checkpoint`` of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    out, checkpoint = new_path(spark, f"{name}-out"), new_path(spark, f"{name}-checkpoint")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    out, checkpoint = out or new_path(spark, f"{name}-out"), checkpoint or new_path(spark, f"{name}-checkpoint")
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.format("parquet").option("path", out).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def rollup_into(stream: DataFrame, path: str, keys: list[str], counters: list[str], checkpoint: str):
-    """Start a stream that adds each micro-batch's sums to the rollup at ``path``.
+CLOSING = "2200-01-01"
 
-    A batch's sums are a partition named by its id, written over if the batch is repeated: replays change nothing. ``rollup_at`` adds them up.
+
+def drain_closed(source: DataFrame, job: Callable[[DataFrame], DataFrame], time: str, name: str = "stream") -> DataFrame:
+    """Run a windowed job over all of a source that ends here: a row from CLOSING, which comes after all others, lets the last windows close.
+
+    Windows leave the state and are written once the watermark has passed them; nothing is kept of those before, as in the complete mode.
+    The closing row's own window stays open, so it is never written.
+    """
+    spark = source.sparkSession
+    closing, out, checkpoint = (new_path(spark, f"{name}-{x}") for x in ("closing", "out", "checkpoint"))
+    row = spark.range(1).select(*[(F.lit(CLOSING) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema])
+    row.limit(0).write.parquet(closing)
+    both = source.unionByName(spark.readStream.schema(source.schema).parquet(closing))
+    drain(job(both), name, out, checkpoint)
+    row.write.mode("append").parquet(closing)
+    return drain(job(both), name, out, checkpoint)
+
+
+def rollup_into(stream: DataFrame, path: str, keys: list[str], counters: list[str], checkpoint: str, by: str = "usage_date"):
+    """Start a stream that adds each micro-batch's sums to the rollup at ``path``, in partitions of ``by``, one of the keys.
+
+    Only the partitions that a batch has rows of are rewritten, under the batch's name, so a batch that is repeated changes nothing and a
+    stream with another checkpoint adds to what is there (``files.upsert_into``). ``rollup_at`` reads the sums.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        sums = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
-        sums.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        files.upsert_into(df.withColumn("request_id", F.lit(None).cast("string")), path, keys, counters, by, f"{query}-{batch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rollup_at(spark: SparkSession, path: str, keys: list[str], counters: list[str]) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
+    return spark.read.parquet(path).select(*keys, *counters)
 
 
 def stream_load(log: DataFrame, length: str = "1 minute", slide: str | None = None) -> DataFrame:
@@ -61,40 +79,72 @@ def stream_load(log: DataFrame, length: str = "1 minute", slide: str | None = No
 
 
 LATE = "1 hour"  # rows this far behind the newest are still folded in
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHUNK = 10_000  # rows given out at once
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """A session's rows of one micro-batch by time and number: each frame is sorted as it comes, then the frames are merged row by row."""
+    runs = [frame.sort_values(["at", "seq"]).itertuples(index=False) for frame in frames]
+    return heapq.merge(*runs, key=lambda row: (row.at, row.seq))
+
+
+class _Fold(StatefulProcessor):
+    """A keyed fold with one value of state, and a timer at the time from which that has no more effect."""
+
+    def __init__(self, step, ends, state_schema: str, columns: list[str], last=None):
+        self.step, self.ends, self.state_schema, self.columns, self.last = step, ends, state_schema, columns, last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", self.state_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        state = self.state.get() if self.state.exists() else None
+        out = []
+        for row in _in_order(rows):
+            state, made = self.step(state, row)
+            if made is not None:
+                out.append((*key, *made))
+            if len(out) == CHUNK:
+                yield self._frame(out)
+                out = []
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(state))
+            self.handle.registerTimer(max((int(self.ends(state)) + 1) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        state = self.state.get() if self.state.exists() else None
+        self.state.clear()
+        made = self.last(state) if self.last and state is not None else None
+        yield self._frame([] if made is None else [(*key, *made)])
+
+    def close(self) -> None:
+        pass
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.columns)
 
 
 def _by_session(step, ends, state_schema: str, out_schema: str, last=None):
     """A keyed fold over a session's rows in order of time; ``step`` takes state and row and gives both the new state and a row.
 
-    ``ends`` gives the second from which a state has no more effect; it is dropped once the watermark, LATE behind the newest
+    ``ends`` gives the second from which a state has no more effect. A timer drops it once the watermark, LATE behind the newest
     ``at``, has passed that, so state doesn't grow with the sessions ever seen. ``last`` makes a row of a dropped state. Rows from before the watermark are left out;
-    it begins at the epoch, so event time runs a second ahead of ``at`` to take in rows at 0.
+    it begins at the epoch, so event time runs a second ahead of ``at`` to take in rows at 0. State lies in RocksDB, so it is
+    bounded by disk; a task holds one session's rows of one micro-batch, which the source's limits bound.
     """
     columns = [c.split()[0] for c in out_schema.split(", ")]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.get if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            made = last(at) if last else None
-            yield pd.DataFrame([] if made is None else [(*key, *made)], columns=columns)
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        out = []
-        for row in rows.itertuples(index=False):
-            at, made = step(at, row)
-            if made is not None:
-                out.append((*key, *made))
-        if at is not None:
-            state.update(at)
-            state.setTimeoutTimestamp(max((int(ends(at)) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=columns)
-
     def apply(stream: DataFrame, by: list[str]) -> DataFrame:
+        stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         timed = stream.withColumn("event_time", F.timestamp_seconds(F.col("at") + 1)).withWatermark("event_time", LATE)
-        return timed.groupBy(*by).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        fold = _Fold(step, ends, state_schema, columns, last)
+        return timed.groupBy(*by).transformWithStateInPandas(fold, out_schema, "append", "eventTime")
 
     return apply
 
