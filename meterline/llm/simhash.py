@@ -23,6 +23,9 @@ COPY_RADIUS = 5  # differing bits of the fingerprints of words that candidates m
 GROUP_SHINGLES = 4_000  # groups of candidates of at most so many shingles are compared many at a time
 BLOCK_SHINGLES = 500_000  # a larger group is compared in blocks of about this many, pair of blocks by pair
 CACHED_WORDS = 100_000
+SHORT_WORDS = 64  # texts of fewer words are candidates by their rarest shingles as well: few words make fingerprints differ in many bits
+MIDDLE_WORDS = 256  # texts of fewer words, from SHORT_WORDS on, have a second fingerprint
+OTHER_SEED = 43
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The bits of each byte value, the highest first.
@@ -140,7 +143,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
     rows = distinct.select("fp", F.posexplode(masks).alias("t", "mask"))
-    rows = rows.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp")
+    # Dealt by bucket once: Spark uses the same shuffle for the sizes and for the rows that meet them.
+    rows = rows.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp").repartition("bucket")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     held = staged(rows.join(sizes, "bucket"), "simhash-buckets")
     small = held.where(F.col("size") <= BUCKET).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
@@ -214,29 +218,42 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def word_fingerprint(text: str | None, known: dict[bytes, bytes]) -> int:
-    """The 64-bit fingerprint of a text's words, each weighing 1 + ln of its frequency; ``known`` remembers words' hashes.
+def word_fingerprint(words: list[bytes], known: dict[bytes, bytes], seed: int = SEED) -> int:
+    """The 64-bit fingerprint of words, each weighing 1 + ln of its frequency; ``known`` remembers words' hashes of this seed.
 
     A changed word changes one feature of this, but several shingles, so near copies' fingerprints differ in fewer bits.
     """
-    found = Counter(_words(text))
+    found = Counter(words)
     if not found:
         return 0
     if len(known) > CACHED_WORDS:
         known.clear()
     for w in found:
         if w not in known:
-            known[w] = xxhash.xxh64_digest(w, SEED)
+            known[w] = xxhash.xxh64_digest(w, seed)
     bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in found]), np.uint8).reshape(-1, 8), axis=1)
     weights = 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
     return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big")
 
 
-def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, bytes] = {}
-    for batch in batches:
-        found = np.array([word_fingerprint(t.as_py(), known) for t in batch["text"]], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(found.view(np.int64))], ["doc_id", "key", "fp"])
+def _word_fingerprints(words: int, short: int, middle: int):
+    """Each text's fingerprint, a second one of a text of middle length, and the shingles of a short one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        others: dict[bytes, bytes] = {}
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            prints, seconds, sets = [], [], []
+            for text in batch["text"]:
+                own = _words(text.as_py())
+                prints.append(signed(word_fingerprint(own, known)))
+                seconds.append(signed(word_fingerprint(own, others, OTHER_SEED)) if short <= len(own) < middle else None)
+                sets.append(shingles(text.as_py(), words).tolist() if 0 < len(own) < short else None)
+            columns = [pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns], ["doc_id", "key", "fp", "second", "shingles"])
+
+    return run
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -284,8 +301,7 @@ def _link_batch(found: list[tuple[int, int]]) -> pa.Table:
 def copy_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) between the keys of near copies in the same group of ``candidates`` (least, key, root).
 
-    The text of each candidate is fetched once and cut into shingles. Groups are compared as a whole if they are small;
-    of a large one every pair of blocks is compared, so no task holds more than two blocks and no pair is missed.
+    The text of each candidate is fetched once and cut into shingles.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +315,30 @@ def copy_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: f
     sets = texts.select("key", "root", "text").mapInArrow(cut, "key long, root long, shingles array<long>")
     # A repeated row is fetched as often as it occurs.
     sets = staged(sets.groupBy("key").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "simhash-shingles")
-    sizes = staged(sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("size")), "simhash-sizes")
+    return _group_links(sets, similarity)
+
+
+def short_links(short: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the keys of near copies among ``short`` (key, shingles), all of them.
+
+    Shingles are ordered from the rarest: two sets of the ``similarity`` share one of their first, as many as may differ and one more. Texts that share such a
+    shingle are compared; a shingle that no other text has makes no group.
+    """
+    each = short.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = each.groupBy("s").agg(F.count("*").alias("texts"))
+    ranked = each.join(held, "s").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "s"))).alias("all"))  # under SHORT_WORDS
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    roots = ranked.select("key", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("f")).where("f.texts > 1").select("key", F.col("f.s").alias("root"))
+    return _group_links(staged(roots.join(short, "key"), "simhash-short"), similarity)
+
+
+def _group_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the near copies in each group (root) of ``sets`` (root, key, shingles).
+
+    Groups are compared as a whole if they are small;
+    of a large one every pair of blocks is compared, so no task holds more than two blocks and no pair is missed.
+    """
+    sizes = staged(sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("size"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-sizes")
     sized = sets.join(sizes, "root")
     small = sized.where(F.col("size") <= GROUP_SHINGLES).groupBy("root").agg(F.collect_list(F.struct("key", "shingles")).alias("texts"))
 
@@ -323,23 +362,30 @@ def copy_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: f
 
 
 def near_copies(prints: DataFrame, docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
-    """key (of each different text), least (its least doc_id) and class (a key) for ``prints`` (doc_id, key, fp) of ``docs``.
+    """key (of each different text), least (its least doc_id) and class (a key) for ``prints`` (doc_id, key, fp, second, shingles) of ``docs``.
 
-    Texts are candidates if their fingerprints are joined by links of at most ``radius`` bits, and near copies if their sets
-    of shingles then have the ``similarity``. Classes are what such pairs join.
+    Texts are candidates if their first or second fingerprints are joined by links of at most ``radius`` bits, or, short ones, if they share a rare shingle, and
+    near copies if their sets of shingles then have the ``similarity``. Classes are what such pairs join.
     """
     distinct = staged(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "simhash-texts")
-    roots = components(links(distinct.select("fp").distinct(), radius))
+    seconds = prints.where("second is not null")
+    near = staged(links(distinct.select("fp").union(seconds.select("second")).distinct(), radius), "simhash-links")
+    # A text's two fingerprints belong together; that matters if the second has a link.
+    linked = near.select(F.explode(F.array("a", "b")).alias("second")).distinct()
+    ties = seconds.select(F.col("fp").alias("a"), F.col("second").alias("b")).distinct().join(linked, F.col("b") == F.col("second"), "left_semi")
+    roots = components(near.unionByName(ties))
     tied = distinct.join(roots, distinct.fp == roots.node, "left").select("key", "least", F.coalesce("root", "fp").alias("root"))
     # Written, like the sizes of groups, so that joins with them are of plain shuffles, of which Spark splits a large group's.
     several = staged(tied.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "simhash-groups")
     candidates = staged(tied.where("key <> 0").join(several, "root", "left_semi"), "simhash-candidates")
-    joined = components(copy_links(docs, candidates, words, similarity)).select(F.col("node").alias("key"), F.col("root").alias("class"))
+    short = staged(prints.where("shingles is not null and key <> 0").select("key", "shingles").dropDuplicates(["key"]), "simhash-short-texts")
+    found = copy_links(docs, candidates, words, similarity).unionByName(short_links(short, similarity))
+    joined = components(found).select(F.col("node").alias("key"), F.col("root").alias("class"))
     return distinct.join(joined, "key", "left").select("key", "least", F.coalesce("class", "key").alias("class"))
 
 
 def one_of_each(
-    docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS
+    docs: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, radius: int = COPY_RADIUS, short: int = SHORT_WORDS, middle: int = MIDDLE_WORDS
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, less near copies: one row of each class stays; see ``near_copies``.
 
@@ -348,7 +394,7 @@ def one_of_each(
     """
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = staged(keyed.mapInArrow(_word_fingerprints, f"doc_id {kind}, key long, fp long"), "simhash-words")
+    prints = staged(keyed.mapInArrow(_word_fingerprints(words, short, middle), f"doc_id {kind}, key long, fp long, second long, shingles array<long>"), "simhash-words")
     found = near_copies(prints, docs, words, similarity, radius)
     order = F.struct(F.col("least").isNull().alias("unnamed"), "least", "key")
     stay = staged(found.groupBy("class").agg(F.min(order).alias("one")).select("one.least", "one.key"), "simhash-one-of-each")

@@ -344,6 +344,35 @@ def copies_by_hand(docs, similarity=0.8):
     return set(least.values())
 
 
+def edited(text, rng, words):
+    """A text with words changed, put in, taken out or added at its end, and its likeness to the first."""
+    w = text.split(" ")
+    for _ in range(rng.choice([1, 1, 2, 3]) if len(w) > 60 else 1):
+        i = rng.randrange(len(w)) if len(w) >= 60 else rng.choice([0, len(w) - 1, rng.randrange(len(w))])
+        w[i : i + rng.randrange(2)] = rng.choice([[], [rng.choice(words)], [rng.choice(words), rng.choice(words)]])
+    cut = lambda t: {" ".join(x[i : i + 5]) for x in [t.lower().split()] for i in range(max(1, len(x) - 4))}
+    a, b = cut(text), cut(" ".join(w))
+    return " ".join(w), len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("fewest, most", [(9, 20), (20, 201), (201, 100_000)])
+def test_share_of_near_copies_that_go(spark, fewest, most):
+    """By length in words, through the stage's own function."""
+    rng = random.Random(fewest)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    words = [w for t in texts[:300] for w in t.split()]
+    short = [" ".join(t.split()[:n]) for t in texts for n in [rng.randrange(fewest, min(most, 200))] if len(t.split()) > n] if most == 20 else []
+    made = []
+    for t in rng.sample([*short, *(t for t in texts if fewest <= len(t.split()) < most)], 400 if most == 20 else 200):
+        u, likeness = edited(t, rng, words)
+        if 0.8 <= likeness < 1 and fewest <= len(u.split()) < most:
+            made.append((t, u))
+    docs = [(i, x) for i, (t, u) in enumerate(made) for x in (t,)] + [(10_000 + i, u) for i, (t, u) in enumerate(made)]
+    kept = {r.doc_id for r in simhash.one_of_each(frame(spark, docs)).collect()}
+    gone = sum(10_000 + i not in kept for i in range(len(made)))
+    assert len(made) >= 50 and gone >= 0.95 * len(made), (gone, len(made))
+
+
 @pytest.mark.parametrize("block, radius", [(500_000, simhash.COPY_RADIUS), (150, 8)])
 def test_one_of_each_equals_brute_force(spark, monkeypatch, block, radius):
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
