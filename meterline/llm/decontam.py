@@ -38,20 +38,18 @@ class TestSuffixes:
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.window, self.names = window, []
         self.vocabulary: dict[bytes, int] = {}
-        where: dict[tuple[int, ...], list[int]] = {}
+        where: dict[tuple[int, ...], list[tuple[int, int]]] = {}  # the items and their places that have a window
         for name, text in items:
             numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if numbers:
                 self.names.append(name)
                 for i in range(max(1, len(numbers) - window + 1)):
-                    holders = where.setdefault(tuple(numbers[i : i + window]), [])
-                    if not holders or holders[-1] != len(self.names) - 1:
-                        holders.append(len(self.names) - 1)
+                    where.setdefault(tuple(numbers[i : i + window]), []).append((len(self.names) - 1, i))
         self.lengths = np.array([len(w) for w in where], np.int64)
         self.rows = np.zeros((len(where), window), np.int64)
         for i, w in enumerate(where):
             self.rows[i, : len(w)] = w
-        self.holders = np.array([h for hs in where.values() for h in hs], np.int64)
+        self.holders = np.array([h for hs in where.values() for h in hs], np.int64).reshape(-1, 2)
         self.held_from = np.cumsum([0, *(len(hs) for hs in where.values())])
         bits = max(1, (len(self.vocabulary) + 1).bit_length())
         self.bits, self.per = bits, 63 // bits
@@ -110,7 +108,8 @@ def search_shard(tests: TestSuffixes, texts: list[str | None]) -> list[tuple[int
     """For each text its number of words, its hit stretches and, for each matching item, the longest match.
 
     The texts' suffixes, compared by their first ``window`` words, are sorted into one suffix array, in which every
-    test suffix is looked up. A match is a stretch of the text all of whose windows are the item's.
+    test suffix is looked up. A match is a stretch of the text that stands in the item word for word: windows make one longer where
+    both their places in the text and those in the item follow each other.
     """
     number = tests.vocabulary.get
     parts, sizes = [], np.zeros(len(texts), np.int64)
@@ -145,10 +144,12 @@ def search_shard(tests: TestSuffixes, texts: list[str | None]) -> list[tuple[int
 
     holders = tests.held_from[window + 1] - tests.held_from[window]
     at = np.repeat(tests.held_from[window] - np.concatenate(([0], np.cumsum(holders)[:-1])), holders) + np.arange(holders.sum())
-    item, place, length = tests.holders[at], np.repeat(place, holders), np.repeat(tests.lengths[window], holders)
-    order = np.lexsort((place, item))
-    item, place, length = item[order], place[order], length[order]
-    new = np.concatenate(([True], (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)))
+    item, theirs = tests.holders[at].T
+    place, length = np.repeat(place, holders), np.repeat(tests.lengths[window], holders)
+    apart = place - theirs
+    order = np.lexsort((place, apart, item))
+    item, place, length, apart = item[order], place[order], length[order], apart[order]
+    new = np.concatenate(([True], (item[1:] != item[:-1]) | (apart[1:] != apart[:-1]) | (place[1:] != place[:-1] + 1)))
     run = np.flatnonzero(new)
     spans = np.diff(np.concatenate((run, [len(item)]))) - 1 + length[run]
     of = np.searchsorted(begin, place[run], "right") - 1
@@ -218,7 +219,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     many parts as needed, each searched in a pass of its own, and the passes' findings are united by row.
 
     Returns doc_id, n_words, spans (start, n: disjoint stretches of hit words) and matches (item, start, n:
-    each item's longest). Null and empty texts have no words and no match. Items of fewer words than a window match as a
+    each item's longest verbatim one). Null and empty texts have no words and no match. Items of fewer words than a window match as a
     whole; those without words match nothing; those without an id hit words but are named null.
     """
     items, parts = _parts(benchmark, item_bytes)
@@ -256,7 +257,7 @@ def _covered(spans):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Judge each row of ``docs``: contaminated if at least one word in ``share``, and any, is in a benchmark window.
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the matches. Items are counted by their
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest verbatim match, 0 if none) and the matches. Items are counted by their
     id; a benchmark item without an id contaminates but isn't counted. Repeated rows and null ids are kept.
     """
     found = longest_matches(docs, benchmark, window)
@@ -269,6 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["n"])), F.lit(0)).alias("longest"),
         "matches",
     )
 

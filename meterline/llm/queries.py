@@ -106,20 +106,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     "op3_decontam": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item,
+i AS (SELECT row_number() OVER () AS b, CAST(item_id AS VARCHAR) AS item,
   regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-iw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[o:o + 12], ' ') AS win
-  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(o) WHERE len(w) > 0),
+iw AS (SELECT b, item, oi, least(len(w), 13) AS n, array_to_string(w[oi:oi + 12], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(oi) WHERE len(w) > 0),
 n AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT r, o, n, array_to_string(w[o:o + n - 1], ' ') AS win
   FROM d, n, unnest(range(1, len(w) - n + 2)) AS t(o) WHERE len(w) >= n),
-hit AS (SELECT r, o, iw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+hit AS (SELECT r, o, iw.n, item, b, oi FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(range(o, o + n)) AS t(p) GROUP BY r),
+runs AS (SELECT r, n, o - row_number() OVER (PARTITION BY r, b, o - oi ORDER BY o) AS run, b, o - oi AS apart FROM hit),
+far AS (SELECT r, max(m) AS longest FROM (SELECT r, n + count(*) - 1 AS m FROM runs GROUP BY r, n, b, apart, run) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN far USING (r)
 """.replace("{UPPER}", urlfilter.UPPER).replace("{LOWER}", urlfilter.LOWER),
     "op6_urlfilter": f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULE_ROWS}),

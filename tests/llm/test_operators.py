@@ -278,6 +278,33 @@ def test_longest_match_has_its_place(spark):
     assert [x.asDict() for x in m.matches] == [{"item": "9", "start": 2, "n": 20}]
 
 
+def test_matches_are_verbatim(spark):
+    """Items with repeated words and windows: the longest common stretch of at least a window."""
+    w = [f"w{i}" for i in range(13)]
+    docs = [(1, " ".join([*w, "zz"])), (2, "c " * 60), (3, " ".join([*w, "gap", *w[1:], "zz", *w])), (4, " ".join(w * 3))]
+    items = [(1, " ".join([*w, "gap", *w[1:], "zz"])), (2, "c " * 20), (3, " ".join(w * 2)), (4, "c c")]
+    found = {r.doc_id: {m.item: m for m in r.matches} for r in decontam.longest_matches(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+
+    def longest(a, b, least):
+        best = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, n)
+        return best if best >= least else 0
+
+    for d, t in docs:
+        for i, u in items:
+            a, b = t.split(), u.split()
+            want = longest(a, b, min(13, len(b)))
+            assert (found[d][str(i)].n if str(i) in found[d] else 0) == want, (d, i)
+            if want:
+                m = found[d][str(i)]
+                assert " ".join(a[m.start : m.start + m.n]) in " ".join(b)
+
+
 # 4: SimHash
 
 
