@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -217,6 +218,7 @@ def stub_message(text: Column, key: Column, tool: str = "retrieve") -> Column:
     return F.format_string(f"[Compressed: %s — %d lines, %s. Use {tool} tool to get full content.]", key, lines, content_type(text))
 
 
+#: Fixed value, as is the text of ``stub_message``.
 CUT = "\n...[truncated for context window]...\n"
 
 
@@ -390,11 +392,23 @@ def get_path(json: Column, dotted: str, default: str | None = None) -> Column:
 
 
 def drop_path(c: Column, path: str) -> Column:
-    """A typed struct without a nested field; ``[*]`` goes into an array's elements, which themselves stay."""
-    head, _, rest = path.partition(".")
-    if head.endswith("[*]"):
-        return c.withField(head[:-3], F.transform(c[head[:-3]], lambda x: drop_path(x, rest))) if rest else c
-    return c.withField(head, drop_path(c[head], rest)) if rest else c.dropFields(head)
+    """A typed struct without a nested field. ``[*]`` goes into an array's elements, ``[n]`` into its n-th from 0; elements themselves stay.
+
+    All elements of an array have one type, so under ``[n]`` the field of that element becomes null.
+    """
+    return _without(c, re.findall(r"[^.\[]+|\[[^\]]*\]", path), False)
+
+
+def _without(c: Column, steps: list[str], nulls: bool) -> Column:
+    step, rest = steps[0], steps[1:]
+    if step == "[*]":
+        return F.transform(c, lambda x: _without(x, rest, nulls)) if rest else c
+    if step.startswith("["):
+        number = step[1:-1]
+        return F.transform(c, lambda x, i: F.when(i == int(number), _without(x, rest, True)).otherwise(x)) if rest and number.isdigit() else c
+    if rest:
+        return c.withField(step, _without(c[step], rest, nulls))
+    return c.withField(step, F.nullif(c[step], c[step])) if nulls else c.dropFields(step)
 
 
 def query_text(conv: DataFrame) -> DataFrame:

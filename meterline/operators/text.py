@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections import deque
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -206,44 +208,49 @@ def head_tail(text: Column, most: int = 30_000) -> Column:
 
 
 SEPARATORS = ("\n\n", "\n", " ", "")
-
-
-def _joined(parts: list[str], sep: str, size: int, overlap: int) -> Iterator[str]:
-    """Parts put together while they fit; the last ones, up to ``overlap`` characters but one at least, begin the next chunk as well."""
-    held: deque[str] = deque()
-    length = 0
-    for part in parts:
-        added = len(part) + (len(sep) if held else 0)
-        if held and length + added > size:
-            yield sep.join(held)
-            while length > overlap and len(held) > 1:
-                length -= len(held.popleft()) + len(sep)
-        held.append(part)
-        length += added
-    if held:
-        yield sep.join(held)
-
-
-def _pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
-    at = next(i for i, sep in enumerate(separators) if not sep or sep in text)
-    sep, finer = separators[at], separators[at + 1 :]
-    small: list[str] = []
-    for part in text.split(sep) if sep else text:
-        if len(part) < size:
-            small.append(part)
-            continue
-        yield from _joined(small, sep, size, overlap)
-        small = []
-        if finer:
-            yield from _pieces(part, size, overlap, finer)
-        else:
-            yield from (part[i : i + size] for i in range(0, max(1, len(part) - overlap), size - overlap))
-    yield from _joined(small, sep, size, overlap)
+Span = tuple[int, int]
+
+
+def _between(text: str, start: int, end: int, sep: str) -> list[Span]:
+    """The stretches of ``text`` from start to end that ``sep`` parts; single characters if it is empty."""
+    if not sep:
+        return [(i, i + 1) for i in range(start, end)]
+    cuts = [m.start() for m in re.finditer(re.escape(sep), text[start:end])]
+    return list(zip([start, *(start + c + len(sep) for c in cuts)], [*(start + c for c in cuts), end]))
+
+
+def _together(spans: list[Span], size: int, overlap: int) -> Iterator[Span]:
+    """Runs of neighbouring spans that are ``size`` long at most; a run begins with those of the last ``overlap`` characters of the run before, or with its last span."""
+    starts, first = [a for a, _ in spans], 0
+    for i, (_, end) in enumerate(spans):
+        if end - starts[first] > size and i > first:
+            last = spans[i - 1][1]
+            yield starts[first], last
+            first = min(bisect_left(starts, last - overlap, first, i), i - 1)
+    if spans:
+        yield starts[first], spans[-1][1]
+
+
+def _chunk_spans(text: str, start: int, end: int, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[Span]:
+    sep = next(s for s in separators if not s or s in text[start:end])
+    finer = separators[separators.index(sep) + 1 :]
+    for fits, spans in groupby(_between(text, start, end, sep), lambda s: s[1] - s[0] < size):
+        if fits:
+            yield from _together(list(spans), size, overlap)
+        for a, b in [] if fits else spans:
+            if finer:
+                yield from _chunk_spans(text, a, b, size, overlap, finer)
+            else:
+                yield from ((i, min(i + size, b)) for i in range(a, max(a + 1, b - overlap), size - overlap))
 
 
 def split_recursively(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of a text, split at the first separator that it has; parts of ``size`` and more are split by the finer ones."""
-    return [c.strip() for c in _pieces(text, size, overlap, SEPARATORS) if c.strip()]
+    """Chunks of a text, split at the first separator that it has; parts of ``size`` and more are split by the finer ones.
+
+    Chunks are stretches of the text, found by their offsets: parts are put together while they fit.
+    """
+    chunks = (text[a:b].strip() for a, b in _chunk_spans(text, 0, len(text), size, overlap, SEPARATORS))
+    return [c for c in chunks if c]
 
 
 def split_text(docs: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -24,3 +24,16 @@ def test_queries_without_the_corpus_operators(tmp_path, pipeline):
     assert out.returncode == 0, out.stderr
     n, n_sql, corpus = out.stdout.split()
     assert int(n) > 190 and int(n_sql) > 150 and corpus == "False"
+
+
+def test_the_other_tests_without_the_corpus_operators(tmp_path):
+    """They can be collected, and those that need no Spark pass."""
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT / "meterline", copy / "meterline", ignore=lambda d, names: ["llm"] if Path(d).name == "meterline" else [])
+    shutil.copytree(ROOT / "tests", copy / "tests", ignore=lambda d, names: ["llm", "__pycache__"])
+    shutil.copy(ROOT / "__spark_entry__.py", copy)
+    run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", *args], cwd=copy, capture_output=True, text=True, timeout=300)
+    collected = run("--collect-only")
+    assert collected.returncode == 0 and "llm" not in collected.stdout, collected.stdout[-2000:]
+    passed = run("-k", "pattern_alone or secret_shape or windows_cover or splitting")
+    assert passed.returncode == 0 and " passed" in passed.stdout, passed.stdout[-2000:]

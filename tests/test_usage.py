@@ -169,3 +169,12 @@ def test_no_rule_is_dropped(spark):
     rules = spark.createDataFrame([("c", "BLOCK", "always", f"word{i:05d}", None) for i in range(5_001)], policies.RULES)
     docs = spark.createDataFrame([(1, "word00000"), (2, "WORD05000"), (3, "word09999"), (4, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.keyword) for r in text.screen_keywords(docs, rules, "c").collect()) == [(1, "word00000"), (2, "word05000")]
+
+
+def test_paths_with_indices(spark):
+    df = spark.createDataFrame([([(1, "a"), (2, "b"), (3, "c")],)], "list array<struct<n:int,p:string>>").select(F.struct("list", F.lit(1).alias("x")).alias("s"))
+    values = lambda path: df.select(sc.drop_path(F.col("s"), path).alias("s")).first().s.asDict(recursive=True)
+    assert values("list[1].p") == {"list": [{"n": 1, "p": "a"}, {"n": 2, "p": None}, {"n": 3, "p": "c"}], "x": 1}
+    assert values("list[*].p") == {"list": [{"n": 1}, {"n": 2}, {"n": 3}], "x": 1}
+    assert values("list[9].p") == values("list[1]") == values("list[z].p") == values("list[*]") == {"list": [{"n": 1, "p": "a"}, {"n": 2, "p": "b"}, {"n": 3, "p": "c"}], "x": 1}
+    assert values("x") == {"list": [{"n": 1, "p": "a"}, {"n": 2, "p": "b"}, {"n": 3, "p": "c"}]}
