@@ -30,9 +30,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The paths that ``staged`` has written in this process and ``clear_staged`` hasn't deleted.
+staged_paths: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    staged_paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete what has been staged, from the ``since``-th table on and but for the last ``but``; gives the number of tables.
+
+    Call it once the results that read them are written.
+    """
+    own = staged_paths[since : len(staged_paths) - but]
+    for path in own:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del staged_paths[since : since + len(own)]
+    return len(own)

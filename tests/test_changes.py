@@ -7,6 +7,7 @@ import os
 import random
 
 import pytest
+from meterline import shared
 from meterline.operators import pii
 from meterline.sources import files
 from meterline.streaming import jobs
@@ -231,3 +232,12 @@ def test_windows_leave_the_state(spark, tmp_path):
     query = jobs.stream_load(source).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 12  # what the last ten minutes need
+
+
+def test_staged_tables_are_cleared(spark):
+    since = len(shared.staged_paths)
+    tables = [shared.staged(spark.range(3), "clear") for _ in range(3)]
+    paths = [p.removeprefix("file:") for p in shared.staged_paths[since:]]
+    assert shared.clear_staged(spark, since, but=1) == 2
+    assert [os.path.exists(p.replace("//", "/")) for p in paths] == [False, False, True] and tables[2].count() == 3
+    assert shared.clear_staged(spark, since) == 1 and len(shared.staged_paths) == since
