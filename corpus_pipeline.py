@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterline.llm import decontam, langid, packing, simhash, toxicity
 from meterline.llm.common import staged, table
+from meterline.shared import clear_staged, staged_paths
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each to what the one before it has written."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``, each to what the one before it has written; what a stage has staged goes once its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), len(staged_paths)
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_staged(spark, since, but=1)
     return docs

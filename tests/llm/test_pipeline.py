@@ -4,6 +4,7 @@ import corpus_pipeline
 import pyarrow.parquet as pq
 import pytest
 from meterline.llm import decontam, langid, toxicity
+from meterline.shared import staged_paths
 from pyspark.sql import functions as F
 
 from .test_operators import HARD, copies_by_hand, frame
@@ -41,9 +42,11 @@ def test_stages_keep_what_the_operators_pass(spark, tmp_path):
 
 
 def test_run(spark):
+    before = list(staged_paths)
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "packing" and len(corpus_pipeline.STAGES) == 5
     found = corpus_pipeline.run(spark, SF)
     ids = {r.doc_id for r in found.select("doc_id").collect()}
+    assert staged_paths[:-1] == before  # only the result stays
     assert ids and ids < set(pq.read_table(f"{SF}/documents.parquet")["doc_id"].to_pylist())
 
 
