@@ -268,6 +268,8 @@ def _copies(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list
 
     Visited members leave the set that later ones are compared to, so a group of copies takes few rounds.
     """
+    order = np.argsort(keys)  # the least key leads, so groups that share members give the same links
+    keys, sets = keys[order], [sets[i] for i in order]
     sizes = np.array([len(x) for x in sets])
     flat, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
     rest, found = np.ones(len(sets), bool), []
@@ -441,6 +443,8 @@ def _copies(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list
 
     Visited members leave the set that later ones are compared to, so a group of copies takes few rounds.
     """
+    order = np.argsort(keys)  # the least key leads, so groups that share members give the same links
+    keys, sets = keys[order], [sets[i] for i in order]
     sizes = np.array([len(x) for x in sets])
     flat, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
     rest, found = np.ones(len(sets), bool), []
