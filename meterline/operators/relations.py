@@ -80,9 +80,16 @@ def banned_keywords(texts: DataFrame, words: list[str] | DataFrame) -> DataFrame
 
 
 def wildcard(pattern: Column) -> Column:
-    """A regular expression for a pattern in which * stands for anything."""
+    """A regular expression for a pattern in which * stands for anything, line ends too."""
     escaped = F.regexp_replace(pattern, r"([.\\+?^$(){}|\[\]])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(escaped, r"\*", ".*"), F.lit("$"))
+    return F.concat(F.lit(r"(?s)\A"), F.regexp_replace(escaped, r"\*", ".*"), F.lit(r"\z"))
+
+
+def fits_pattern(value: Column, pattern: Column) -> Column:
+    """Whether a value fits a pattern; only one with a * before its end is compiled, as it is anew for each row."""
+    stars = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit("")))
+    prefix = F.endswith(pattern, F.lit("*")) & (stars == 1)
+    return F.when(stars == 0, value == pattern).when(prefix, F.startswith(value, literal_prefix(pattern))).otherwise(F.rlike(value, wildcard(pattern)))
 
 
 def literal_prefix(pattern: Column) -> Column:
@@ -103,30 +110,65 @@ def _lengths(keyed: DataFrame) -> dict[str, list[int]]:
     return {c: sorted(r.n for r in rows if r.c == c) for c in {r.c for r in rows}}
 
 
-def policy_match(contexts: DataFrame, policies: DataFrame) -> DataFrame:
-    """Context and policy pairs whose team, key and model fit and, if the policy has tags, one of whose tags does.
+_CONTEXT, _SCOPE = ("team", "key", "model", "tags"), ("p_team", "p_key", "p_model", "p_tags")
 
-    A null value fits only ``*``. Each policy is keyed by the longest literal prefix that its patterns have, or by those of its tags if it names
-    no team, key or model; contexts are expanded into their beginnings of the lengths in use and meet the policies on equal keys, whatever
-    their number. What is met is then compared as a whole.
-    """
-    columns = ("team", "key", "model")
+
+def _sound_policies(policies: DataFrame) -> DataFrame:
+    tags = F.coalesce("p_tags", F.array().cast("array<string>")).alias("p_tags")
+    return policies.select("policy", "p_team", "p_key", "p_model", tags).dropna(subset=["p_team", "p_key", "p_model"])
+
+
+def _as_asked(contexts: DataFrame, policies: DataFrame) -> DataFrame:
+    """Contexts with null in place of what no policy asks for, so that those which no policy tells apart are alike."""
+    asked = policies.agg(*[F.max(F.size(p) > 0 if p == "p_tags" else F.col(p) != "*").alias(c) for c, p in zip(_CONTEXT, _SCOPE)]).first()
+    return contexts.select(*[F.col(c) if asked[c] else F.lit(None).cast(contexts.schema[c].dataType).alias(c) for c in _CONTEXT], *[c for c in contexts.columns if c == "context_id"])
+
+
+def _fitting(contexts: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Each context's columns with those of each scope (p_team, p_key, p_model, p_tags) that it fits."""
+    columns, own_columns = ("team", "key", "model"), contexts.columns
     key = lambda c, prefix: F.struct(F.length(prefix).alias("n"), F.lit(c).alias("c"), prefix.alias("prefix"))
     best = F.array_max(F.array(*[key(c, literal_prefix(F.col(f"p_{c}"))) for c in columns]))
     tags = F.array_distinct(F.transform("p_tags", lambda t: key("tag", literal_prefix(t))))
-    sound = policies.select("policy", "p_team", "p_key", "p_model", F.coalesce("p_tags", F.array().cast("array<string>")).alias("p_tags")).dropna(subset=["p_team", "p_key", "p_model"])
-    keyed = sound.withColumn("keys", F.when((best["n"] > 0) | (F.size("p_tags") == 0), F.array(best)).otherwise(tags)).withColumn("k", F.explode("keys"))
+    keyed = scopes.withColumn("__keys", F.when((best["n"] > 0) | (F.size("p_tags") == 0), F.array(best)).otherwise(tags)).withColumn("k", F.explode("__keys"))
     lengths = _lengths(keyed)
     under = lambda c, found: F.transform(found, lambda x: F.struct(F.lit(c).alias("c"), x.alias("prefix")))
     own = [under(c, prefixes(F.col(c), lengths.get(c, []))) for c in columns]
     own.append(under("tag", F.array_distinct(F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: prefixes(t, lengths.get("tag", [])))))))
-    opened = contexts.select("context_id", *columns, "tags", F.explode(F.concat(*own)).alias("o")).select("*", F.col("o.c").alias("c"), F.col("o.prefix").alias("prefix"))
+    opened = contexts.select("*", F.explode(F.concat(*own)).alias("o")).select(*own_columns, F.col("o.c").alias("c"), F.col("o.prefix").alias("prefix"))
     met = opened.join(keyed.select("*", F.col("k.c").alias("c"), F.col("k.prefix").alias("prefix")).drop("k"), ["c", "prefix"])
-    fits = lambda c: F.when(F.col(c).isNull(), F.col(f"p_{c}") == "*").otherwise(F.rlike(F.col(c), wildcard(F.col(f"p_{c}"))))
-    tagged = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: F.rlike(v, wildcard(p))))
+    fits = lambda c: F.when(F.col(c).isNull(), F.col(f"p_{c}") == "*").otherwise(fits_pattern(F.col(c), F.col(f"p_{c}")))
+    tagged = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: fits_pattern(v, p)))
     # A policy with several tags may be met by more than one: the first counts.
-    first = F.filter("keys", lambda k: (k["c"] != "tag") | F.exists("tags", lambda t: F.startswith(t, k["prefix"])))[0]
-    return met.where(fits("team") & fits("key") & fits("model") & tagged & (first["prefix"] == F.col("prefix"))).select("context_id", "policy")
+    first = F.filter("__keys", lambda k: (k["c"] != "tag") | F.exists("tags", lambda t: F.startswith(t, k["prefix"])))[0]
+    return met.where(fits("team") & fits("key") & fits("model") & tagged & (first["prefix"] == F.col("prefix"))).select(*own_columns, *_SCOPE)
+
+
+def policy_match(contexts: DataFrame, policies: DataFrame) -> DataFrame:
+    """Context and policy pairs whose team, key and model fit and, if the policy has tags, one of whose tags does.
+
+    A null value fits only ``*``. Alike contexts are matched once, and so are policies of one scope; the pairs found then meet the contexts and
+    the policies on equal keys. Each scope is keyed by the longest literal prefix that its patterns have, or by those of its tags if it names
+    no team, key or model; contexts are expanded into their beginnings of the lengths in use and meet the scopes on equal keys, whatever
+    their number. What is met is then compared as a whole.
+    """
+    sound = _sound_policies(policies)
+    asked = _as_asked(contexts, sound)
+    found = _fitting(asked.select(*_CONTEXT).distinct(), sound.select(*_SCOPE).distinct())
+    found = found.join(sound, list(_SCOPE)).select(*[F.col(c).alias(f"__{c}") for c in _CONTEXT], "policy")
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _CONTEXT])
+    return asked.join(found, alike).select("context_id", "policy")
+
+
+def policy_counts(contexts: DataFrame, policies: DataFrame) -> DataFrame:
+    """The number of contexts that each policy fits, as ``policy_match`` pairs them; policies that fit none are left out.
+
+    Alike contexts are counted before they are matched, so the pairs themselves are never made.
+    """
+    sound = _sound_policies(policies)
+    counted = _as_asked(contexts, sound).groupBy(*_CONTEXT).agg(F.count("*").alias("contexts"))
+    found = _fitting(counted, sound.select(*_SCOPE).distinct()).groupBy(*_SCOPE).agg(F.sum("contexts").alias("contexts"))
+    return sound.join(found, list(_SCOPE)).groupBy("policy").agg(F.sum("contexts").alias("contexts"))
 
 
 def policy_condition(df: DataFrame, column: str, condition: str | list[str]) -> DataFrame:

@@ -219,7 +219,7 @@ def _(spark, d):
         F.when(c % 5 == 0, F.array(F.lit("view"), F.concat(F.lit("k"), (c % 4).cast("string")))).otherwise(F.array().cast("array<string>")).alias("p_tags"),
     )
     contexts = _log(spark, d).select(F.col("request_id").alias("context_id"), F.col("team_id").alias("team"), F.col("api_key").alias("key"), "model", F.col("request_tags").alias("tags"))
-    return r.policy_match(contexts, policies).groupBy("policy").agg(F.count("*").alias("requests"))
+    return r.policy_counts(contexts, policies).withColumnRenamed("contexts", "requests")
 
 
 def _daily(spark, d):

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from meterline.operators import relations as r
 from pyspark.sql import functions as F
@@ -86,6 +87,26 @@ def test_policies_by_prefix(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
     assert r.policy_match(c, p.limit(0)).count() == 0 and r.policy_match(c.limit(0), p).count() == 0
+    per_policy = Counter(name for _, name in want)
+    counts = r.policy_counts(c, p)
+    assert {x.policy: x.contexts for x in counts.collect()} == per_policy
+    assert "NestedLoop" not in plan_of(counts) and "Cartesian" not in plan_of(counts)
+    assert r.policy_counts(c, p.limit(0)).count() == 0 and r.policy_counts(c.limit(0), p).count() == 0
+    assert {x.policy: x.contexts for x in r.policy_counts(c.union(c), p.union(p)).collect()} == {k: 4 * n for k, n in per_policy.items()}
+
+
+def test_alike_contexts_are_matched_once(spark):
+    c = spark.range(1000).selectExpr("id AS context_id", "'t' AS team", "concat('k', id % 2) AS key", "cast(null AS string) AS model", "array('x') AS tags")
+    p = spark.createDataFrame([("all", "*", "*", "*", []), ("one", "*", "k1", "*", ["x"])], "policy string, p_team string, p_key string, p_model string, p_tags array<string>")
+    found = r.policy_match(c, p)
+    assert {(x.policy, x["count"]) for x in found.groupBy("policy").count().collect()} == {("all", 1000), ("one", 500)}
+    opened = [line for line in plan_of(found).splitlines() if "Generate explode" in line]
+    assert opened and not any("context_id" in line for line in opened)
+
+
+def test_patterns_take_line_ends(spark):
+    df = spark.createDataFrame([("a\nb", "*"), ("a\nb", "a*"), ("a\nb", "*b"), ("a\nb", "a*b"), ("a\n", "a"), ("a.b", "a.*"), ("axb", "a.*"), ("a*", "a*"), ("ab", "a**b")], "v string, p string")
+    assert [x[0] for x in df.select(r.fits_pattern(F.col("v"), F.col("p"))).collect()] == [True, True, True, True, False, True, False, True, True]
 
 
 def test_models_by_prefix(spark):
