@@ -9,6 +9,7 @@ import hashlib
 import hmac
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -64,7 +65,9 @@ def unseal(vault: DataFrame, key: str | bytes | Broadcast) -> DataFrame:
 # Blind index
 
 GRAM = 3
-TERMS = "struct<exact:string,normalized:string,grams:array<long>>"
+KEPT = 100_000  # keyed grams that a task keeps
+TERMS = "struct<exact:string,normalized:string>"
+MODES = ("exact", "normalized", "substring")
 
 
 def _mac(master: bytes, kind: bytes, scope: str, text: str, size: int) -> bytes:
@@ -77,90 +80,134 @@ def _grams(text: str, lengths: Iterable[int]) -> set[str]:
     return {text[i : i + n] for n in lengths for i in range(len(text) - n + 1)}
 
 
-def _terms(master: Broadcast, as_query: bool) -> Column:
-    """A value's keyed terms. Of a query only the grams of its greatest length up to GRAM are made, of a value those of every length."""
+def _terms(master: Broadcast, text: Column) -> Column:
+    """The keyed terms of whole values."""
 
     @F.arrow_udf(TERMS)
     def make(scopes: pa.Array, values: pa.Array, folded: pa.Array) -> pa.Array:
         key, out = master.value, []
         for scope, value, plain in zip(scopes.to_pylist(), values.to_pylist(), folded.to_pylist()):
-            if value is None or scope is None:
+            known = value is not None and scope is not None
+            out.append({"exact": _mac(key, b"e", scope, value, 16).hex(), "normalized": _mac(key, b"n", scope, plain, 16).hex()} if known else None)
+        return pa.array(out, pa.struct([("exact", pa.string()), ("normalized", pa.string())]))
+
+    return make(F.col("request_id").cast("string"), text, sc.normalize_search(text))
+
+
+def _keyed_grams(master: Broadcast, text: Column, as_query: bool) -> Column:
+    """A normalized text's keyed grams. Of a query only the grams of its greatest length up to GRAM are made, of a value those of every length."""
+
+    @F.arrow_udf("array<long>")
+    def make(scopes: pa.Array, folded: pa.Array) -> pa.Array:
+        key, out = master.value, []
+
+        @lru_cache(KEPT)
+        def keyed(scope: str, gram: str) -> int:
+            return int.from_bytes(_mac(key, b"g", scope, gram, 8), "big", signed=True)
+
+        for scope, plain in zip(scopes.to_pylist(), folded.to_pylist()):
+            if plain is None or scope is None:
                 out.append(None)
                 continue
             lengths = [min(GRAM, len(plain))] if as_query else range(1, GRAM + 1)
-            grams = sorted(int.from_bytes(_mac(key, b"g", scope, g, 8), "big", signed=True) for g in _grams(plain, lengths) if g)
-            out.append({"exact": _mac(key, b"e", scope, value, 16).hex(), "normalized": _mac(key, b"n", scope, plain, 16).hex(), "grams": grams})
-        return pa.array(out, pa.struct([("exact", pa.string()), ("normalized", pa.string()), ("grams", pa.list_(pa.int64()))]))
+            out.append(sorted(keyed(scope, g) for g in _grams(plain, lengths) if g))
+        return pa.array(out, pa.list_(pa.int64()))
 
-    text = F.col("query" if as_query else "value")
-    return make(F.col("request_id").cast("string"), text, sc.normalize_search(text))
+    return make(F.col("request_id").cast("string"), text)
 
 
 @dataclass(frozen=True)
 class Index:
-    """``rows``: the sealed vault with the terms of its whole values; ``postings`` (gram, request_id, token); ``frequencies`` (gram, n)."""
+    """``rows``: the sealed vault with the terms of its whole values; ``postings`` (gram, normalized_term); ``frequencies`` (gram, n). The last two are None if it isn't made for substrings."""
 
     rows: DataFrame
-    postings: DataFrame
-    frequencies: DataFrame
+    postings: DataFrame | None
+    frequencies: DataFrame | None
 
 
-def index(vault: DataFrame, key: str | bytes | Broadcast) -> Index:
+def index(vault: DataFrame, key: str | bytes | Broadcast, modes: Iterable[str] = MODES) -> Index:
     """Seal a vault and derive its terms: keyed hashes of each value, of its normalized form and of that form's grams, all bound to the scope.
 
-    Who has the tables but not the key learns which rows of one scope have equal values or grams, and nothing across scopes. Rows with a null value or
-    scope stay, without terms.
+    Equal values of a scope share their postings, which name the normalized form's term and not the rows. Postings are made for substring
+    queries alone; without that mode among ``modes`` there are none, and such a search is refused. Who has the tables but not the key learns which rows of one scope have
+    equal values or grams, and nothing across scopes. Rows with a null value or scope stay, without terms.
     """
     master = secret(vault.sparkSession, key)
-    termed = staged(seal(vault.withColumn("__terms", _terms(master, False)), master), "vault-terms")  # terms are derived once
-    rows = termed.select("*", F.col("__terms.exact").alias("exact_term"), F.col("__terms.normalized").alias("normalized_term")).drop("__terms")
-    postings = termed.select(F.explode("__terms.grams").alias("gram"), "request_id", "token")
+    termed = seal(vault.withColumn("__terms", _terms(master, F.col("value"))), master)
+    rows = staged(termed.select("*", F.col("__terms.exact").alias("exact_term"), F.col("__terms.normalized").alias("normalized_term")).drop("__terms"), "vault-terms")  # terms are derived once
+    if "substring" not in modes:
+        return Index(rows, None, None)
+    # One sealed row stands for all of its value, so no value is shuffled unsealed.
+    one = rows.where("normalized_term is not null").select("request_id", "token", "ciphertext", "normalized_term").dropDuplicates(["normalized_term"])
+    opened = unseal(one, master)
+    grams = opened.select("normalized_term", _keyed_grams(master, sc.normalize_search(F.col("value")), False).alias("grams"))
+    postings = staged(grams, "vault-grams").select(F.explode("grams").alias("gram"), "normalized_term")
     return Index(rows, postings, postings.groupBy("gram").agg(F.count("*").alias("n")))
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_index(made: Index, path: str, mode: str = "append") -> None:
-    """Write an index, or add one to it: postings lie sorted by gram, so a read skips the files without a query's grams."""
-    made.postings.repartitionByRange("gram", "token").sortWithinPartitions("gram").write.mode(mode).parquet(f"{path}/postings")
-    made.frequencies.write.mode(mode).parquet(f"{path}/frequencies")
+    """Write an index, or add one to it: each file's postings lie sorted by gram, so a read skips the row groups without a query's grams.
+
+    One that is made for substrings and one that isn't can't be added to each other.
+    """
+    spark, grams = made.rows.sparkSession, made.postings is not None
+    if _is_there(spark, f"{path}/rows") and _is_there(spark, f"{path}/postings") != grams:
+        raise ValueError("the index there is made for other modes")
+    if grams:
+        made.postings.sortWithinPartitions("gram").write.mode(mode).parquet(f"{path}/postings")
+        made.frequencies.write.mode(mode).parquet(f"{path}/frequencies")
     made.rows.write.mode(mode).parquet(f"{path}/rows")  # last: a row counts once its terms are there
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """What has been written; rows added later bring frequencies of their own, which are summed."""
+    """What has been written; rows added later bring postings and frequencies of their own, which are summed."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")
+    if not _is_there(spark, f"{path}/postings"):
+        return Index(read("rows"), None, None)
     return Index(read("rows"), read("postings"), read("frequencies").groupBy("gram").agg(F.sum("n").alias("n")))
 
 
-MODES = ("exact", "normalized", "substring")
 _OWN = ("ciphertext", "exact_term", "normalized_term", "value")
 
 
 def search(made: Index, queries: DataFrame, key: str | bytes | Broadcast, mode: str = "normalized") -> DataFrame:
     """Hits of each query (query_id, request_id, query): query_id and the vault's columns, without the values.
 
-    Exact and normalized queries meet their rows by the term. A substring query meets the postings of its rarest gram; one without a
-    posting finds nothing, and an empty one fits every value of its scope. Only the rows so met are opened and compared, so a scope of
-    any size can be searched and nothing is refused. All joins are on equal keys; null queries and rows without a value find nothing.
+    Queries that ask the same are answered once. Exact and normalized ones meet their rows by the term. A substring query meets the postings
+    of its rarest gram, and by them rows; one without a posting finds nothing, and an empty one fits every value of its scope. Only the rows
+    so met are opened and compared, so a scope of any size can be searched and nothing is refused. All joins are on equal keys; null queries
+    and rows without a value find nothing.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if mode == "substring" and made.postings is None:
+        raise ValueError("the index isn't made for substrings")
     master = secret(made.rows.sparkSession, key)
-    asked = queries.select("query_id", "request_id", "query").where("query IS NOT NULL")
-    termed = staged(asked.withColumn("terms", _terms(master, True)), "vault-queries")
-    folded = sc.normalize_search(F.col("query"))
+    wanted = F.col("query") if mode == "exact" else sc.normalize_search(F.col("query"))
+    asked = staged(queries.where("query IS NOT NULL").select("query_id", "request_id", wanted.alias("query")), "vault-queries")
+    once = asked.select("request_id", "query").distinct()
     if mode == "substring":
-        each = termed.select("query_id", "request_id", "query", F.explode("terms.grams").alias("gram")).join(made.frequencies, "gram", "left")
-        rarest = each.groupBy("query_id", "request_id", "query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-        met = rarest.join(made.postings, ["gram", "request_id"]).drop("gram").join(made.rows, ["request_id", "token"])
-        empty = termed.where(F.size("terms.grams") == 0).select("query_id", "request_id", "query").join(made.rows, "request_id")
-        met = met.unionByName(empty)
+        termed = staged(once.withColumn("grams", _keyed_grams(master, F.col("query"), True)), "vault-grams-asked")
+        each = termed.select("request_id", "query", F.explode("grams").alias("gram")).join(made.frequencies, "gram", "left")
+        rarest = each.groupBy("request_id", "query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        values = rarest.join(made.postings, "gram").select("request_id", "query", "normalized_term").distinct()  # a value added twice has two postings
+        met = values.join(made.rows, ["request_id", "normalized_term"])
+        met = met.unionByName(termed.where(F.size("grams") == 0).select("request_id", "query").join(made.rows, "request_id"))
     else:
         term = f"{mode}_term"
-        met = termed.select("query_id", "request_id", "query", F.col(f"terms.{mode}").alias(term)).join(made.rows, ["request_id", term])
+        met = once.withColumn(term, _terms(master, F.col("query"))[mode]).join(made.rows, ["request_id", term])
     opened = unseal(met, master)
-    value = sc.normalize_search(F.col("value"))
-    fits = {"exact": F.col("value") == F.col("query"), "normalized": value == folded, "substring": F.contains(value, folded)}[mode]
-    return opened.where(fits).select("query_id", *[c for c in made.rows.columns if c not in _OWN])
+    value = F.col("value") if mode == "exact" else sc.normalize_search(F.col("value"))
+    fits = F.contains(value, F.col("query")) if mode == "substring" else value == F.col("query")
+    own = [c for c in made.rows.columns if c not in _OWN]
+    found = opened.where(fits).select(F.col("query").alias("__query"), *own)
+    asked = asked.select("query_id", F.col("request_id").alias("__scope"), F.col("query").alias("__query"))
+    return found.join(asked, (found["request_id"] == asked["__scope"]) & (found["__query"] == asked["__query"])).select("query_id", *own)
 
 
 # Without an index

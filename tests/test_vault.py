@@ -55,6 +55,31 @@ def test_rows_added_later_are_found(spark):
     assert searched(spark, second, [(1, "r", "ANNA")], path)[1]["substring"] == [(1, "<A>", "r"), (1, "<B>", "r")]
 
 
+def test_equal_values_share_postings_and_are_found_once(spark):
+    """A value's postings don't grow with its rows, nor do its hits with the times it was added."""
+    path, made = new_path(spark, "index"), None
+    for part in ("A", "B"):
+        rows = [(f"<{part}{i}>", "r", v, "s") for i in range(50) for v in (["Anna Bell", "ANNA  bell"][i % 2],)]
+        made, hits = searched(spark, rows, [(1, "r", "nna"), (2, "r", "NNA"), (2, "r", "nna"), (3, "q", "nna")], path)
+    assert made.postings.where("gram is not null").count() == 2 * len({"anna bell"[i : i + n] for n in (1, 2, 3) for i in range(10 - n)})
+    assert sorted(q for q, *_ in hits["substring"]) == [1] * 100 + [2] * 200
+    assert len(set(hits["substring"])) == 200
+
+
+def test_an_index_for_exact_queries_has_no_postings(spark):
+    path, asked = new_path(spark, "index"), spark.createDataFrame([(1, "r", "Anna")], "query_id long, request_id string, query string")
+    df = spark.createDataFrame([("<A>", "r", "Anna", "s"), ("<B>", "r", "anna", "s")], ROW)
+    vault.write_index(vault.index(df, KEY, ["exact"]), path)
+    made = vault.read_index(spark, path)
+    assert made.postings is None
+    assert [r.token for r in vault.search(made, asked, KEY, "exact").collect()] == ["<A>"]
+    assert sorted(r.token for r in vault.search(made, asked, KEY, "normalized").collect()) == ["<A>", "<B>"]
+    with pytest.raises(ValueError, match="substrings"):
+        vault.search(made, asked, KEY, "substring")
+    with pytest.raises(ValueError, match="other modes"):
+        vault.write_index(vault.index(df, KEY), path)
+
+
 def test_what_is_stored_shows_no_value_and_no_key(spark):
     rows = [("<A>", "r", "Anna Bell", "s"), ("<B>", "r", "Anna Bell", "s"), ("<A>", "q", "Anna Bell", "s")]
     made, _ = searched(spark, rows, [(1, "r", "x")])
