@@ -9,6 +9,7 @@ from meterline.functions import scalars as sc
 from meterline.operators import aggregates as ag
 from meterline.operators import relations as r
 from meterline.operators import text
+from meterline.plans import scalars
 from meterline.sources import files, policies
 from pyspark.sql import functions as F
 
@@ -178,3 +179,13 @@ def test_paths_with_indices(spark):
     assert values("list[*].p") == {"list": [{"n": 1}, {"n": 2}, {"n": 3}], "x": 1}
     assert values("list[9].p") == values("list[1]") == values("list[z].p") == values("list[*]") == {"list": [{"n": 1, "p": "a"}, {"n": 2, "p": "b"}, {"n": 3, "p": "c"}], "x": 1}
     assert values("x") == {"list": [{"n": 1, "p": "a"}, {"n": 2, "p": "b"}, {"n": 3, "p": "c"}]}
+
+
+def test_content_type_query_holds_for_prose_with_words_of_code(spark, tmp_path):
+    prose = "a from b, from c, from d\n    x\n\ty\n    z\n    u\n    v\n    w"
+    rows = [(1, i, "user", text) for i, text in enumerate([prose, prose, prose, "", "", '{"a": 1}', "", "", "import a\nimport b\nimport c"])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = scalars.QUERIES["sc14_content_type"](spark, str(tmp_path)).collect()
+    assert {r.turn: r.type for r in found} == {i: ["json", "code", "text"][i % 3] for i in range(9)}
+    said = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").where("turn in (2, 5, 8)")
+    assert [r.type for r in said.orderBy("turn").select(sc.content_type(F.col("text")).alias("type")).collect()] == ["code", "json", "code"]
