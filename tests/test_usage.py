@@ -1,8 +1,10 @@
 """Cases for usage operators whose meaning a single oracle query doesn't settle."""
 
 import datetime as dt
+import tracemalloc
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from meterline.functions import pricing as pr
 from meterline.functions import scalars as sc
@@ -189,3 +191,28 @@ def test_content_type_query_holds_for_prose_with_words_of_code(spark, tmp_path):
     assert {r.turn: r.type for r in found} == {i: ["json", "code", "text"][i % 3] for i in range(9)}
     said = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").where("turn in (2, 5, 8)")
     assert [r.type for r in said.orderBy("turn").select(sc.content_type(F.col("text")).alias("type")).collect()] == ["code", "json", "code"]
+
+
+def test_texts_become_pythons_a_few_at_a_time(spark):
+    texts = pa.array([f"{i} É " + "x" * 1000 for i in range(10_000)] + [None])
+    tracemalloc.start()
+    found = sc.normalize_search.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000  # 10 MB of texts
+    assert found[:2].to_pylist() == ["0 e " + "x" * 1000, "1 e " + "x" * 1000] and found[10_000].as_py() is None and len(found) == 10_001
+    assert sc.normalize_search.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_chunks_are_given_out_a_few_pages_at_a_time(spark):
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1_000)), "html": [f"<p>a{i}</p>" * (i % 3) for i in range(1_000)]})
+    parts = list(files.html_chunks(Pages())(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 2 * files.PAGES_AT_ONCE
+    assert [r for p in parts for r in p.to_pylist()] == [{"page_id": i, "chunk": n, "text": f"a{i}"} for i in range(1_000) for n in range(i % 3)]
