@@ -161,21 +161,30 @@ class _Chunks(HTMLParser):
             self.text.append(data)
 
 
+PAGES_AT_ONCE = 64  # that are parsed and given out together
+
+
 def html_chunks(pages: DataFrame) -> DataFrame:
-    """page_id, chunk number and text of the block-level chunks of each page, at most CHUNK_CHARS characters each; longer blocks make several."""
+    """page_id, chunk number and text of the block-level chunks of each page, at most CHUNK_CHARS characters each; longer blocks make several.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A worker holds one batch of pages as Arrow has it, and the Python texts and chunks of PAGES_AT_ONCE of them.
+    """
+
+    kind = pa.schema([("page_id", pa.int64()), ("chunk", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page, html in zip(batch["page_id"], batch["html"], strict=True):
-                parser = _Chunks()
-                parser.feed(html or "")
-                parser.close()
-                parser.flush()
-                rows += [(page, n, t) for n, t in enumerate(parser.out)]
-            yield pd.DataFrame(rows, columns=["page_id", "chunk", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, chunk int, text string")
+            for i in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part, rows = batch.slice(i, PAGES_AT_ONCE), []
+                for page, html in zip(part["page_id"].to_pylist(), part["html"].to_pylist(), strict=True):
+                    parser = _Chunks()
+                    parser.feed(html or "")
+                    parser.close()
+                    parser.flush()
+                    rows += [(page, n, t) for n, t in enumerate(parser.out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ((), (), ()), kind)], schema=kind)
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, chunk int, text string")
 
 
 # Sinks
