@@ -14,55 +14,61 @@ from .common import staged
 K = 5
 BLOCK_ROWS = 4_096  # candidates whose sorted lists a task holds
 QUERY_ROWS = 16_384  # queries that a task answers
+TOGETHER = 256  # queries that read on in the lists together
 READS = (0.05, 0.1, 0.2, 0.25, 0.2, 0.2)  # share of each list that is read in turn, to its end
 EXACT = 2.0**52  # doubles add integers up to here without loss
 
 
 class SortedLists:
-    """One list a dimension of a block's values, in descending order; read from the end for negative weights."""
+    """One list a dimension of a block's values, in descending order; read from the end for negative weights.
+
+    How far a list has been read is the same for all queries of one round, so many queries read on together: what the round's entries add, and what
+    those not read could, are products of the queries' weights with one matrix each.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
-        self.order = np.argsort(-values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
+        order = np.argsort(-values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=0)
+        self.place = np.empty(values.shape, np.int32)  # of each candidate in each list
+        np.put_along_axis(self.place, order, np.arange(len(values), dtype=np.int32)[:, None], axis=0)
 
-    def search(self, query: np.ndarray, k: int, floor: float = -np.inf, skip: int = -1) -> tuple[np.ndarray, int]:
-        """The positions of all candidates that may be among the ``k`` best and reach ``floor``, and the number of entries read.
+    def search(self, queries: np.ndarray, k: int, floors: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, int]:
+        """For each query (row) whether each candidate may be among its ``k`` best and reach its floor, and the number of entries read.
 
         Each round reads on in every list whose weight isn't 0, from where the last one stopped. A value that was not read
         lies between its list's last entry and the last one read, which gives every candidate a lower and an upper bound. A candidate
-        whose upper bound is below ``floor`` or the k-th greatest lower bound is out. Reading stops when no more than ``k``
-        are left, or when the lists are at their ends. ``skip`` takes no part.
+        whose upper bound is below the floor or the k-th greatest lower bound is out. A query stops reading when no more than ``k``
+        are left, or when the lists are at their ends. ``skip`` is each query's candidate that takes no part (-1: none).
         """
         n = len(self.values)
-        used = np.flatnonzero(query)
-        w = query[used]
-        up = w > 0
-        order, entries = self.order[:, used], self.sorted[:, used]
-        worst = np.where(up, entries[-1], entries[0]) * w  # what the list's last entry would give
-        sums = np.zeros(n)  # of what was read
-        missing = np.ones((n, len(used)))  # 1 where a value was not read
-        alive = np.delete(np.arange(n), skip) if skip >= 0 else np.arange(n)
-        read = done = 0
+        alive = np.ones((len(queries), n), bool)
+        alive[np.flatnonzero(skip >= 0), skip[skip >= 0]] = False
+        # Lists of positive weights are read from the top, those of negative ones from the end.
+        weights = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1)
+        worst = np.concatenate((self.sorted[-1], self.sorted[0]))  # what the list's last entry would give
+        used = np.count_nonzero(queries, axis=1)
+        sums = np.zeros((len(queries), n))  # of what was read
+        going, read, done = np.arange(len(queries)), 0, 0
         for share in READS:
             to = min(n, done + math.ceil(share * n))
-            for own, top in ((up, slice(done, to)), (~up, slice(n - to, n - done))):
-                lists = np.flatnonzero(own)
-                at, found = order[top][:, lists], entries[top][:, lists]
-                sums += np.bincount(at.ravel(), (found * w[lists]).ravel(), minlength=n)
-                missing[at, lists[None, :]] = 0
-            read, done = read + (to - done) * len(used), to
-            if done == n:
-                high = low = sums[alive]
-            else:
-                last = np.where(up, entries[done - 1], entries[n - done]) * w
-                open_ = missing[alive]
-                high, low = sums[alive] + open_ @ last, sums[alive] + open_ @ worst
-            bar = floor
-            if len(alive) > k:
-                bar = max(bar, float(np.partition(low, len(low) - k)[len(low) - k]))
-            alive = alive[high >= bar]
-            if len(alive) <= k or done == n:
+            top = (self.place >= done) & (self.place < to), (self.place >= n - to) & (self.place < n - done)
+            own = weights[going]
+            sums += own @ np.concatenate([np.where(t, self.values, 0) for t in top], axis=1).T
+            read, done = read + (to - done) * int(used[going].sum()), to
+            high = low = sums
+            if done < n:
+                missing = np.concatenate((self.place >= done, self.place < n - done), axis=1).T.astype(np.float64)
+                last = np.concatenate((self.sorted[done - 1], self.sorted[n - done]))
+                high, low = sums + (own * last) @ missing, sums + (own * worst) @ missing
+            left, bar = alive[going], floors[going]
+            if n > k:
+                bar = np.maximum(bar, np.partition(np.where(left, low, -np.inf), n - k, axis=1)[:, n - k])
+            left &= high >= bar[:, None]
+            alive[going] = left
+            more = np.count_nonzero(left, axis=1) > k
+            going, sums = going[more], sums[more]
+            if done == n or not len(going):
                 break
         return alive, read
 
@@ -76,13 +82,17 @@ def block_top(
     ``k`` candidates elsewhere are known to have.
     """
     lists, q, c, read = SortedLists(values), [], [], 0
-    for i, query in enumerate(queries):
-        found, entries = lists.search(query, k, -np.inf if floors is None else floors[i], int(own[i]))
+    floors = np.full(len(queries), -np.inf) if floors is None else floors
+    for begin in range(0, len(queries), TOGETHER):
+        some = slice(begin, begin + TOGETHER)
+        alive, entries = lists.search(queries[some], k, floors[some], own[some])
         read += entries
-        scores = values[found] @ query
-        found = np.sort(found[np.lexsort((found, -scores))[:k]])  # of equal ones the first, which have the smaller ids
-        q.append(np.full(len(found), i))
-        c.append(found)
+        for i, left in enumerate(alive, begin):
+            found = np.flatnonzero(left)
+            scores = values[found] @ queries[i]
+            found = np.sort(found[np.lexsort((found, -scores))[:k]])  # of equal ones the first, which have the smaller ids
+            q.append(np.full(len(found), i))
+            c.append(found)
     q, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (q, c))
     return q, c, (values[c] * queries[q]).sum(axis=1), read
 

@@ -87,6 +87,23 @@ def test_search_finds_the_best_and_reads_less_where_it_can():
     assert read < 0.75 * 4 * n * d and np.isin(np.arange(n)[(even @ x.T)[:, 0] >= floors[0]], c[q == 0]).all()
 
 
+def test_queries_read_on_together():
+    """As far as each would alone, with the same candidates left."""
+    rng = np.random.default_rng(6)
+    values, queries = np.floor(rng.pareto(1.5, size=(900, 1)) * 99 * rng.normal(size=(900, 8))), np.floor(rng.normal(size=(60, 8)) * 9)
+    queries[::7, 2], queries[5] = 0, 0
+    scores = values @ queries.T
+    own, floors = rng.integers(-1, 900, 60), np.where(rng.random(60) < 0.5, -np.inf, np.sort(scores, axis=0)[::-1][2])
+    lists = topk.SortedLists(values)
+    alive, read = lists.search(queries, 5, floors, own)
+    alone = [lists.search(queries[i : i + 1], 5, floors[i : i + 1], own[i : i + 1]) for i in range(60)]
+    assert np.array_equal(alive, np.concatenate([a for a, _ in alone])) and read == sum(r for _, r in alone) < 59 * 900 * 8
+    for i in range(60):
+        others = np.delete(np.arange(900), own[i]) if own[i] >= 0 else np.arange(900)
+        best = others[np.argsort(-scores[others, i], kind="stable")[:5]]
+        assert alive[i, best[scores[best, i] >= floors[i]]].all() and (own[i] < 0 or not alive[i, own[i]])
+
+
 # 2: toxicity
 
 
