@@ -162,6 +162,15 @@ def test_nearest_equals_brute_force():
         assert all(np.isclose(sum(q[t] * by_name[index.names[i]].get(t, 0) for t in q), c) for i, c in zip(at, cosines))
 
 
+def test_words_are_runs_of_letters_without_a_pattern(monkeypatch):
+    chars = [c for c in map(chr, range(0x2100)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["a%sB%s" % (c, c) for c in chars] + ["", None, "".join(chars), "\x1c\x85\xa0ÀÉß²½ºµ_9x"]
+    want = [re.findall(r"[^\W\d_]+", t.lower()) if t else [] for t in texts]
+    assert [toxicity.words(t) for t in texts] == want
+    monkeypatch.setattr(toxicity, "_WORD", None)  # texts in Latin-1 do without it
+    assert [toxicity.words(t) for t in texts[:256]] == want[:256]
+
+
 def test_blocks_out_of_reach_are_not_read():
     rng = np.random.default_rng(4)
     weights = np.where(np.arange(400) < 20, 30.0, 1.0)  # twenty telling terms
