@@ -156,8 +156,18 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     large = large.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
         F.collect_list("fp").alias("fps")
     )
-    found = small.select("fps").union(large.select("fps")).mapInArrow(_linked(radius), "a long, b long")
-    return found.distinct()
+    return _fewest(small.select("fps").union(large.select("fps")).mapInArrow(_linked(radius), "a long, b long"))
+
+
+def _fewest(found: DataFrame) -> DataFrame:
+    """Links a < b that connect the same as ``found`` (a, b), about one for each b.
+
+    A member of a large group has another leader in most of its buckets and pairs of blocks. It is tied to the least of them, and
+    so are the others, which are few and the same for many members. A member's leaders are no more than its buckets and pairs of blocks.
+    """
+    led = found.groupBy("b").agg(F.collect_set("a").alias("leaders")).withColumn("m", F.array_min("leaders"))
+    tied = F.transform("leaders", lambda x: F.struct(F.col("m").alias("a"), F.when(x == F.col("m"), F.col("b")).otherwise(x).alias("b")))
+    return led.select(F.explode(tied).alias("l")).select("l.a", "l.b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,182 +370,7 @@ def _group_links(sets: DataFrame, similarity: float) -> DataFrame:
     large = sized.where(F.col("size") > GROUP_SHINGLES).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), blocks))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     large = large.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "shingles")
-    return small.select("texts").mapInArrow(compare, _LINK).union(large.groupBy("root", "i", "j").applyInArrow(compare_blocks, _LINK))
-
-
-def near_copies(prints: DataFrame, docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
-    """key (of each different text), least (its least doc_id) and class (a key) for ``prints`` (doc_id, key, fp, second, shingles) of ``docs``.
-
-    Texts are candidates if their first or second fingerprints are joined by links of at most ``radius`` bits, or, short ones, if they share a rare shingle, and
-    near copies if their sets of shingles then have the ``similarity``. Classes are what such pairs join.
-    """
-    distinct = staged(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("least")), "simhash-texts")
-    seconds = staged(prints.where("second is not null").select("fp", "second").distinct(), "simhash-seconds")
-    near = links(distinct.select("fp").union(seconds.select("second")).distinct(), radius)
-    # A second fingerprint stands for the least first one of the texts that have it, so a pair that is near by both makes one link.
-    first = seconds.groupBy("second").agg(F.min("fp").alias("first"))
-    for end in ("a", "b"):
-        near = near.join(first, F.col(end) == F.col("second"), "left").withColumn(end, F.coalesce("first", end)).drop("first", "second")
-    ties = seconds.join(first, "second").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
-    roots = components(near.unionByName(ties))
-    tied = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    # Written, so that the join's sides are plain shuffles, of which Spark splits a large class's.
-    least = staged(tied.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-classes")
-    return tied.join(least, "root").select("fp", "root", "component_id")
-
-
-def text_key(text):
-    """A column that tells texts apart: their hash; 0 for null and for texts without a word."""
-    return F.when(F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
-
-
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
-
-
-def word_fingerprint(words: list[bytes], known: dict[bytes, bytes], seed: int = SEED) -> int:
-    """The 64-bit fingerprint of words, each weighing 1 + ln of its frequency; ``known`` remembers words' hashes of this seed.
-
-    A changed word changes one feature of this, but several shingles, so near copies' fingerprints differ in fewer bits.
-    """
-    found = Counter(words)
-    if not found:
-        return 0
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    for w in found:
-        if w not in known:
-            known[w] = xxhash.xxh64_digest(w, seed)
-    bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in found]), np.uint8).reshape(-1, 8), axis=1)
-    weights = 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
-    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big")
-
-
-def _word_fingerprints(words: int, short: int, middle: int):
-    """Each text's fingerprint, a second one of a text of middle length, and the shingles of a short one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
-        others: dict[bytes, bytes] = {}
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        for batch in batches:
-            prints, seconds, sets = [], [], []
-            for text in batch["text"]:
-                own = _words(text.as_py())
-                prints.append(signed(word_fingerprint(own, known)))
-                seconds.append(signed(word_fingerprint(own, others, OTHER_SEED)) if short <= len(own) < middle else None)
-                sets.append(shingles(text.as_py(), words).tolist() if 0 < len(own) < short else None)
-            columns = [pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns], ["doc_id", "key", "fp", "second", "shingles"])
-
-    return run
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The different hashes of a text's shingles, ascending; a shorter text is one shingle."""
-    found = _words(text)
-    runs = [b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], np.uint64).view(np.int64))
-
-
-def _copies(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (member, member) that join what is linked by pairs of at least ``similarity`` (Jaccard) among ``sets``.
-
-    Visited members leave the set that later ones are compared to, so a group of copies takes few rounds.
-    """
-    order = np.argsort(keys)  # the least key leads, so groups that share members give the same links
-    keys, sets = keys[order], [sets[i] for i in order]
-    sizes = np.array([len(x) for x in sets])
-    flat, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
-    rest, found = np.ones(len(sets), bool), []
-    for first in range(len(sets)):
-        todo = [first] if rest[first] else []
-        rest[first] = False
-        while todo:
-            x = todo.pop()
-            near = np.flatnonzero(rest & (sizes >= similarity * sizes[x]) & (similarity * sizes <= sizes[x]))
-            if not len(near):
-                continue
-            n = sizes[near]
-            starts = np.cumsum(n) - n
-            others = flat[np.repeat(begin[near] - starts, n) + np.arange(n.sum())]
-            place = np.minimum(np.searchsorted(sets[x], others), sizes[x] - 1)
-            shared = np.add.reduceat((sets[x][place] == others).astype(np.int64), starts)
-            near = near[shared >= similarity * (sizes[x] + n - shared) - 1e-9]
-            rest[near] = False
-            todo += near.tolist()
-            found += [(int(keys[first]), int(keys[i])) for i in near]
-    return found
-
-
-_LINK = "a long, b long"
-
-
-def _link_batch(found: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate("ab")})
-
-
-def copy_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the keys of near copies in the same group of ``candidates`` (least, key, root).
-
-    The text of each candidate is fetched once and cut into shingles.
-    """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([shingles(t.as_py(), words) for t in batch["text"]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["root"], found], ["key", "root", "shingles"])
-
-    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    wanted = candidates.select(F.col("least").alias("id"), F.col("key").alias("k"), "root")
-    texts = texts.join(wanted, (texts["key"] == wanted["k"]) & texts["doc_id"].eqNullSafe(wanted["id"]))
-    sets = texts.select("key", "root", "text").mapInArrow(cut, "key long, root long, shingles array<long>")
-    # A repeated row is fetched as often as it occurs.
-    sets = staged(sets.groupBy("key").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "simhash-shingles")
-    return _group_links(sets, similarity)
-
-
-def short_links(short: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the keys of near copies among ``short`` (key, shingles), all of them.
-
-    Shingles are ordered from the rarest: two sets of the ``similarity`` share one of their first, as many as may differ and one more. Texts that share such a
-    shingle are compared; a shingle that no other text has makes no group.
-    """
-    each = short.select("key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    held = each.groupBy("s").agg(F.count("*").alias("texts"))
-    ranked = each.join(held, "s").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "s"))).alias("all"))  # under SHORT_WORDS
-    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    roots = ranked.select("key", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("f")).where("f.texts > 1").select("key", F.col("f.s").alias("root"))
-    return _group_links(staged(roots.join(short, "key"), "simhash-short"), similarity)
-
-
-def _group_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the near copies in each group (root) of ``sets`` (root, key, shingles).
-
-    Groups are compared as a whole if they are small;
-    of a large one every pair of blocks is compared, so no task holds more than two blocks and no pair is missed.
-    """
-    sizes = staged(sets.groupBy("root").agg(F.sum(F.size("shingles")).alias("size"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-sizes")
-    sized = sets.join(sizes, "root")
-    small = sized.where(F.col("size") <= GROUP_SHINGLES).groupBy("root").agg(F.collect_list(F.struct("key", "shingles")).alias("texts"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for group in batch["texts"]:
-                keys = group.values.field("key").to_numpy()
-                sets = [x.values.to_numpy() for x in group.values.field("shingles")]
-                found += _copies(keys, sets, similarity)
-            yield from _link_batch(found).to_batches()
-
-    def compare_blocks(group: pa.Table) -> pa.Table:
-        return _link_batch(_copies(group["key"].to_numpy(), [x.values.to_numpy() for x in group["shingles"]], similarity))
-
-    blocks = F.ceil(F.col("size") / BLOCK_SHINGLES)
-    large = sized.where(F.col("size") > GROUP_SHINGLES).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), blocks))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    large = large.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "shingles")
-    return small.select("texts").mapInArrow(compare, _LINK).union(large.groupBy("root", "i", "j").applyInArrow(compare_blocks, _LINK))
+    return _fewest(small.select("texts").mapInArrow(compare, _LINK).union(large.groupBy("root", "i", "j").applyInArrow(compare_blocks, _LINK)))
 
 
 def near_copies(prints: DataFrame, docs: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:

@@ -473,6 +473,22 @@ def test_masks_cover_every_difference_within_the_radius(radius):
         assert any(a & m == b & m for m in masks)
 
 
+@pytest.mark.parametrize("bucket", [64, simhash.BUCKET])
+def test_links_of_a_large_group_are_about_one_a_member(spark, monkeypatch, bucket):
+    """However many buckets and blocks its members share."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centre = rng.getrandbits(64)
+    group = {centre} | {centre ^ sum(1 << i for i in rng.sample(range(64), 2)) for _ in range(700)}
+    fps = sorted(map(signed, group | {rng.getrandbits(64) for _ in range(50)}))
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    pairs = {(r.a, r.b) for r in found.collect()}
+    assert all(a < b for a, b in pairs) and len(group) <= len(pairs) + 1 and len(pairs) < 1.3 * len(group)
+    least = min(map(signed, group))
+    assert {r.node: r.root for r in simhash.components(found).collect()} == {f: least for f in map(signed, group) if f != least}
+
+
 def test_components_of_a_long_chain(spark):
     chain = list(range(0, 400))
     random.Random(2).shuffle(chain)
