@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from ..shared import staged
+from ..shared import bytes_in_memory, staged
 from .patterns import with_hits
 
 # Filters
@@ -111,6 +111,15 @@ def _lengths(keyed: DataFrame) -> dict[str, list[int]]:
 
 
 _CONTEXT, _SCOPE = ("team", "key", "model", "tags"), ("p_team", "p_key", "p_model", "p_tags")
+#: A table of at most so many bytes is broadcast to meet contexts or policies; above, both sides are sorted, which spills.
+BROADCAST_BYTES = 32 << 20
+
+
+def _meeting(grows: DataFrame, few: DataFrame, on: Column | list[str]) -> DataFrame:
+    """A join in which only ``few`` may be broadcast, by its measured bytes; files, which repeat and compress, can make ``grows`` look small."""
+    if bytes_in_memory(few) <= BROADCAST_BYTES:
+        return grows.join(F.broadcast(few), on)
+    return grows.hint("merge").join(few.hint("merge"), on)
 
 
 def _sound_policies(policies: DataFrame) -> DataFrame:
@@ -136,7 +145,7 @@ def _fitting(contexts: DataFrame, scopes: DataFrame) -> DataFrame:
     own = [under(c, prefixes(F.col(c), lengths.get(c, []))) for c in columns]
     own.append(under("tag", F.array_distinct(F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: prefixes(t, lengths.get("tag", [])))))))
     opened = contexts.select("*", F.explode(F.concat(*own)).alias("o")).select(*own_columns, F.col("o.c").alias("c"), F.col("o.prefix").alias("prefix"))
-    met = opened.join(keyed.select("*", F.col("k.c").alias("c"), F.col("k.prefix").alias("prefix")).drop("k"), ["c", "prefix"])
+    met = _meeting(opened, keyed.select("*", F.col("k.c").alias("c"), F.col("k.prefix").alias("prefix")).drop("k"), ["c", "prefix"])
     fits = lambda c: F.when(F.col(c).isNull(), F.col(f"p_{c}") == "*").otherwise(fits_pattern(F.col(c), F.col(f"p_{c}")))
     tagged = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: fits_pattern(v, p)))
     # A policy with several tags may be met by more than one: the first counts.
@@ -150,14 +159,15 @@ def policy_match(contexts: DataFrame, policies: DataFrame) -> DataFrame:
     A null value fits only ``*``. Alike contexts are matched once, and so are policies of one scope; the pairs found then meet the contexts and
     the policies on equal keys. Each scope is keyed by the longest literal prefix that its patterns have, or by those of its tags if it names
     no team, key or model; contexts are expanded into their beginnings of the lengths in use and meet the scopes on equal keys, whatever
-    their number. What is met is then compared as a whole.
+    their number. What is met is then compared as a whole. The contexts themselves are neither broadcast nor, while the pairs found are few, sorted.
     """
     sound = _sound_policies(policies)
     asked = _as_asked(contexts, sound)
-    found = _fitting(asked.select(*_CONTEXT).distinct(), sound.select(*_SCOPE).distinct())
-    found = found.join(sound, list(_SCOPE)).select(*[F.col(c).alias(f"__{c}") for c in _CONTEXT], "policy")
+    different = staged(asked.select(*_CONTEXT).distinct(), "contexts")
+    found = _fitting(different, sound.select(*_SCOPE).distinct())
+    found = _meeting(found, sound, list(_SCOPE)).select(*[F.col(c).alias(f"__{c}") for c in _CONTEXT], "policy")
     alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _CONTEXT])
-    return asked.join(found, alike).select("context_id", "policy")
+    return _meeting(asked, found, alike).select("context_id", "policy")
 
 
 def policy_counts(contexts: DataFrame, policies: DataFrame) -> DataFrame:
@@ -167,8 +177,8 @@ def policy_counts(contexts: DataFrame, policies: DataFrame) -> DataFrame:
     """
     sound = _sound_policies(policies)
     counted = _as_asked(contexts, sound).groupBy(*_CONTEXT).agg(F.count("*").alias("contexts"))
-    found = _fitting(counted, sound.select(*_SCOPE).distinct()).groupBy(*_SCOPE).agg(F.sum("contexts").alias("contexts"))
-    return sound.join(found, list(_SCOPE)).groupBy("policy").agg(F.sum("contexts").alias("contexts"))
+    found = staged(_fitting(counted, sound.select(*_SCOPE).distinct()).groupBy(*_SCOPE).agg(F.sum("contexts").alias("contexts")), "scopes")
+    return _meeting(sound, found, list(_SCOPE)).groupBy("policy").agg(F.sum("contexts").alias("contexts"))
 
 
 def policy_condition(df: DataFrame, column: str, condition: str | list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,3 +55,9 @@ def clear_staged(spark: SparkSession, since: int = 0, but: int = 0) -> int:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     del staged_paths[since : since + len(own)]
     return len(own)
+
+
+def bytes_in_memory(df: DataFrame) -> int:
+    """About what a table's rows take in memory: Spark's own guess is the size of the files, in which repeated values hardly count."""
+    row = F.octet_length(F.to_json(F.struct("*"))) + 32 + 8 * len(df.columns)
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0

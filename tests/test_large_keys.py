@@ -104,6 +104,25 @@ def test_alike_contexts_are_matched_once(spark):
     assert opened and not any("context_id" in line for line in opened)
 
 
+def test_contexts_and_counted_policies_are_never_broadcast(spark, tmp_path, monkeypatch):
+    c = spark.range(5000).selectExpr("id AS context_id", "'t' AS team", "concat('k', id % 2) AS key", "cast(null AS string) AS model", "array('x') AS tags")
+    c.write.parquet(f"{tmp_path}/contexts")
+    c = spark.read.parquet(f"{tmp_path}/contexts")  # files small enough for Spark to broadcast
+    p = spark.createDataFrame([("all", "*", "*", "*", []), ("one", "*", "k1", "*", ["x"])], "policy string, p_team string, p_key string, p_model string, p_tags array<string>")
+    few = r.policy_match(c, p)
+    plan = plan_of(few)
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan and not any("context_id" in line for line in plan.splitlines() if "Exchange" in line)
+    p.write.parquet(f"{tmp_path}/policies")
+    p = spark.read.parquet(f"{tmp_path}/policies")
+    counts = r.policy_counts(c, p)
+    assert "BuildLeft" not in plan_of(counts) and {x.policy: x.contexts for x in counts.collect()} == {"all": 5000, "one": 2500}
+    monkeypatch.setattr(r, "BROADCAST_BYTES", 0)
+    many, counts = r.policy_match(c, p), r.policy_counts(c, p)
+    assert "BroadcastHashJoin" not in plan_of(many) and "SortMergeJoin" in plan_of(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) == sorted([(i, "all") for i in range(5000)] + [(i, "one") for i in range(1, 5000, 2)])
+    assert "BroadcastHashJoin" not in plan_of(counts) and {x.policy: x.contexts for x in counts.collect()} == {"all": 5000, "one": 2500}
+
+
 def test_patterns_take_line_ends(spark):
     df = spark.createDataFrame([("a\nb", "*"), ("a\nb", "a*"), ("a\nb", "*b"), ("a\nb", "a*b"), ("a\n", "a"), ("a.b", "a.*"), ("axb", "a.*"), ("a*", "a*"), ("ab", "a**b")], "v string, p string")
     assert [x[0] for x in df.select(r.fits_pattern(F.col("v"), F.col("p"))).collect()] == [True, True, True, True, False, True, False, True, True]
