@@ -115,9 +115,9 @@ _CONTEXT, _SCOPE = ("team", "key", "model", "tags"), ("p_team", "p_key", "p_mode
 BROADCAST_BYTES = 32 << 20
 
 
-def _meeting(grows: DataFrame, few: DataFrame, on: Column | list[str]) -> DataFrame:
-    """A join in which only ``few`` may be broadcast, by its measured bytes; files, which repeat and compress, can make ``grows`` look small."""
-    if bytes_in_memory(few) <= BROADCAST_BYTES:
+def meeting(grows: DataFrame, few: DataFrame, on: Column | list[str], size: int | None = None) -> DataFrame:
+    """A join in which only ``few`` may be broadcast, by its bytes as measured or known; files, which repeat and compress, can make ``grows`` look small."""
+    if (bytes_in_memory(few) if size is None else size) <= BROADCAST_BYTES:
         return grows.join(F.broadcast(few), on)
     return grows.hint("merge").join(few.hint("merge"), on)
 
@@ -145,7 +145,7 @@ def _fitting(contexts: DataFrame, scopes: DataFrame) -> DataFrame:
     own = [under(c, prefixes(F.col(c), lengths.get(c, []))) for c in columns]
     own.append(under("tag", F.array_distinct(F.flatten(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: prefixes(t, lengths.get("tag", [])))))))
     opened = contexts.select("*", F.explode(F.concat(*own)).alias("o")).select(*own_columns, F.col("o.c").alias("c"), F.col("o.prefix").alias("prefix"))
-    met = _meeting(opened, keyed.select("*", F.col("k.c").alias("c"), F.col("k.prefix").alias("prefix")).drop("k"), ["c", "prefix"])
+    met = meeting(opened, keyed.select("*", F.col("k.c").alias("c"), F.col("k.prefix").alias("prefix")).drop("k"), ["c", "prefix"])
     fits = lambda c: F.when(F.col(c).isNull(), F.col(f"p_{c}") == "*").otherwise(fits_pattern(F.col(c), F.col(f"p_{c}")))
     tagged = (F.size("p_tags") == 0) | F.exists("tags", lambda v: F.exists("p_tags", lambda p: fits_pattern(v, p)))
     # A policy with several tags may be met by more than one: the first counts.
@@ -165,9 +165,9 @@ def policy_match(contexts: DataFrame, policies: DataFrame) -> DataFrame:
     asked = _as_asked(contexts, sound)
     different = staged(asked.select(*_CONTEXT).distinct(), "contexts")
     found = _fitting(different, sound.select(*_SCOPE).distinct())
-    found = _meeting(found, sound, list(_SCOPE)).select(*[F.col(c).alias(f"__{c}") for c in _CONTEXT], "policy")
+    found = meeting(found, sound, list(_SCOPE)).select(*[F.col(c).alias(f"__{c}") for c in _CONTEXT], "policy")
     alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _CONTEXT])
-    return _meeting(asked, found, alike).select("context_id", "policy")
+    return meeting(asked, found, alike).select("context_id", "policy")
 
 
 def policy_counts(contexts: DataFrame, policies: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def policy_counts(contexts: DataFrame, policies: DataFrame) -> DataFrame:
     sound = _sound_policies(policies)
     counted = _as_asked(contexts, sound).groupBy(*_CONTEXT).agg(F.count("*").alias("contexts"))
     found = staged(_fitting(counted, sound.select(*_SCOPE).distinct()).groupBy(*_SCOPE).agg(F.sum("contexts").alias("contexts")), "scopes")
-    return _meeting(sound, found, list(_SCOPE)).groupBy("policy").agg(F.sum("contexts").alias("contexts"))
+    return meeting(sound, found, list(_SCOPE)).groupBy("policy").agg(F.sum("contexts").alias("contexts"))
 
 
 def policy_condition(df: DataFrame, column: str, condition: str | list[str]) -> DataFrame:

@@ -280,7 +280,7 @@ _ORDERS = """v AS (SELECT '<O_' || o_orderkey AS token, CASE WHEN o_orderkey % 3
 def _indexed(spark, d, queries, mode):
     """Hits by an index that has been written and read again."""
     path = new_path(spark, "vault-index")
-    vault.write_index(vault.index(_orders_vault(spark, d), "0123456789abcdef", [mode]), path)
+    vault.index(_orders_vault(spark, d), "0123456789abcdef", [mode], path)
     return vault.search(vault.read_index(spark, path), queries, "0123456789abcdef", mode).select("query_id", "token", "request_id", "o_custkey")
 
 

@@ -1,10 +1,13 @@
 """The sealed vault and its blind index."""
 
 import random
+from pathlib import Path
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
-from meterline.operators import vault
-from meterline.shared import new_path
+from meterline.operators import relations, vault
+from meterline.shared import new_path, staged_paths
 from pyspark.sql import functions as F
 
 KEY = "0123456789abcdef"
@@ -100,3 +103,52 @@ def test_no_join_is_a_product(spark):
     for mode in vault.MODES:
         plan = vault.search(made, asked, KEY, mode)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def size(path, name):
+    return sum(f.stat().st_size for f in Path(path.removeprefix("file:"), name).rglob("*.parquet"))
+
+
+def test_postings_take_less_than_half_of_the_rows(spark, tmp_path):
+    """Each value has some 70 grams, each a few bits of a list and not a term of its own."""
+    df = spark.range(20_000).selectExpr("concat('<T_', id, '>') AS token", "'r' AS request_id", "concat('Customer#', lpad(id * 7919 % 1000003, 9, '0'), ' 5-LOW  P') AS value", "'s' AS subject_id")
+    vault.write_index(vault.index(df, KEY, ["substring"]), f"{tmp_path}/index")
+    assert 0 < 2 * size(f"{tmp_path}/index", "postings") < size(f"{tmp_path}/index", "rows")
+
+
+def test_an_index_in_place_is_written_once_and_counts_when_complete(spark, tmp_path):
+    path, before = f"{tmp_path}/index", len(staged_paths)
+    df = spark.createDataFrame([("<A>", "r", "Anna Bell", "s")], ROW)
+    made = vault.index(df, KEY, path=path)
+    assert len(staged_paths) == before and made.rows.inputFiles() and all("/index/rows/" in f for f in made.rows.inputFiles())
+    vault._put(made.rows, path, "rows", "bunfinished")
+    assert vault.read_index(spark, path).rows.count() == 1
+    vault.index(df.withColumn("token", F.lit("<B>")), KEY, path=path)
+    asked = spark.createDataFrame([(1, "r", "NNA")], "query_id long, request_id string, query string")
+    hits = lambda: sorted(r.token for r in vault.search(vault.read_index(spark, path), asked, KEY, "substring").collect())
+    assert hits() == ["<A>", "<B>"]
+    with pytest.raises(ValueError, match="other modes"):
+        vault.index(df, KEY, ["exact"], path)
+    vault.write_index(vault.index(df.withColumn("token", F.lit("<C>")), KEY), path, "overwrite")
+    assert hits() == ["<C>"] and size(path, "values") and len(list(Path(path, "values").glob("__batch=*"))) == 1
+
+
+def test_lists_name_each_value_by_its_place(monkeypatch):
+    rng = random.Random(3)
+    ids = [*range(70, 100), 5, 6, *range(2**40, 2**40 + 30)]
+    rows = [(i, rng.choice("rs"), "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 30)))) for i in ids]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 40])], ["id", "request_id", "text"]) for i in (0, 40)]
+    for block, held in ((10_000, 1_000_000), (8, 1_000_000), (10_000, 50)):
+        monkeypatch.setattr(vault, "BLOCK", block)
+        monkeypatch.setattr(vault, "HELD", held)
+        made = [r for b in vault._lists(SimpleNamespace(value=b"k"))(iter(batches)) for r in b.to_pylist()]
+        assert all(r["n"] == len(r["places"]) and max(r["places"]) < block for r in made)
+        found = sorted((r["gram"], r["first"] + p) for r in made for p in r["places"])
+        assert found == sorted((vault._gram_key(b"k", s, g), i) for i, s, t in rows for g in vault._grams(t, (1, 2, 3)))
+
+
+def test_search_without_broadcasts(spark, monkeypatch):
+    rows = [(f"<T_{i}>", "hot" if i % 3 else "cold", f"Anna Bell {i % 40}", "s") for i in range(300)]
+    queries = [(1, "hot", "Bell 3"), (2, "cold", "BELL 3"), (3, "hot", ""), (4, "none", "Bell"), (5, "hot", "l 39"), (6, "hot", "Bell 3")]
+    monkeypatch.setattr(relations, "BROADCAST_BYTES", 0)
+    assert searched(spark, rows, queries)[1] == by_hand(rows, queries)
