@@ -136,7 +136,7 @@ def test_an_index_in_place_is_written_once_and_counts_when_complete(spark, tmp_p
 def test_lists_name_each_value_by_its_place(monkeypatch):
     rng = random.Random(3)
     ids = [*range(70, 100), 5, 6, *range(2**40, 2**40 + 30)]
-    rows = [(i, rng.choice("rs"), "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 30)))) for i in ids]
+    rows = [(i, rng.choice("rs"), "".join(rng.choice("ab é\U0010ffff\0") for _ in range(rng.randrange(0, 30)))) for i in ids]
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 40])], ["id", "request_id", "text"]) for i in (0, 40)]
     for block, held in ((10_000, 1_000_000), (8, 1_000_000), (10_000, 50)):
         monkeypatch.setattr(vault, "BLOCK", block)
